@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, packing
+from . import decontam, neardup, packing, quality
+from .sampling import fold
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +19,13 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=4)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.train(documents, labels.filter(fold("doc_id", 4) != 2))
+    scored = quality.score(documents, model)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.longest_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
@@ -29,7 +37,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neardup": op1_neardup, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing}
+    return {"op1_neardup": op1_neardup, "op3_quality": op3_quality, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
