@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, packing, quality, toxicity
+from . import decontam, langid, neardup, packing, quality, toxicity
 from .sampling import fold
 
 
@@ -33,6 +33,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = langid.learn(documents.filter(fold("doc_id", 4) != 2))
+    return langid.identify(documents, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.longest_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
@@ -44,7 +50,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neardup": op1_neardup, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing}
+    return {"op1_neardup": op1_neardup, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
