@@ -45,4 +45,34 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN x USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-SQL = {"op1_neardup": NEARDUP, "op8_decontamination": DECONTAMINATION}
+_RULES = [("example.org", "/en/1", "block"), ("example.org", "/es/", "block"), ("com", "/de/", "block"), ("com", "/fr/", "allow"), ("org", "/", "allow")]  # longest first
+_LOWER_HOST = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _rule(host: str, path: str, field: int) -> str:
+    cases = " ".join(f"WHEN ({host} = '{h}' OR {host} LIKE '%.{h}') AND starts_with({path}, '{p}') THEN '{(h + p, v)[field]}'" for h, p, v in _RULES)
+    return f"CASE {cases} END"
+
+
+_HOST = _LOWER_HOST.format(r"regexp_extract({}, '^(?s:.*?)://([^/?#]*)', 1)")
+_PATH = r"regexp_extract({}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
+_NODE = _LOWER_HOST.format(r"regexp_extract({0}, '^(?s:.*?)://[^/?#]*')") + r" || regexp_extract({0}, '^(?s:.*?)://[^/?#]*([^#]*)', 1)"
+
+#: Canonical links with absolute targets make aliases.
+URLS = rf"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, coalesce({_HOST.format("url")}, '') AS host, coalesce({_PATH.format("url")}, '') AS path, {_NODE.format("url")} AS node,
+    regexp_extract(html, '<link rel="canonical" href="([^"]+)"', 1) AS link FROM pages
+), e AS (
+  SELECT node AS a, {_NODE.format("link")} AS b FROM p WHERE link <> '' UNION SELECT {_NODE.format("link")}, node FROM p WHERE link <> ''
+), r AS (
+  SELECT a AS n, a AS seen FROM e UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.seen
+), s AS (
+  SELECT n, max(CASE {_rule(_HOST.format("seen"), _PATH.format("seen"), 1)} WHEN 'allow' THEN 2 WHEN 'block' THEN 1 ELSE 0 END) AS spread FROM r GROUP BY 1
+)
+SELECT page_id, host, path, {_rule("host", "path", 0)} AS rule,
+  coalesce({_rule("host", "path", 1)}, CASE spread WHEN 2 THEN 'allow' WHEN 1 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN s ON s.n = p.node
+"""
+
+SQL = {"op6_urls": URLS, "op1_neardup": NEARDUP, "op8_decontamination": DECONTAMINATION}
