@@ -75,4 +75,29 @@ SELECT page_id, host, path, {_rule("host", "path", 0)} AS rule,
 FROM p LEFT JOIN s ON s.n = p.node
 """
 
-SQL = {"op6_urls": URLS, "op1_neardup": NEARDUP, "op8_decontamination": DECONTAMINATION}
+def _licenses() -> str:
+    from .licenses import TEMPLATES, THRESHOLD
+
+    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES)
+    grams = "list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])"
+    return rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS k, name, regexp_split_to_array(trim(regexp_replace(lower(text), '[^\pL\pN]+', ' ', 'g')), ' ') AS ws FROM (VALUES {values}) v(name, text)
+), tg AS (
+  SELECT k, g, count(*) AS c FROM (SELECT k, unnest({grams}) AS g FROM t) GROUP BY ALL
+), s AS (
+  SELECT row_number() OVER () AS s, doc_id, regexp_split_to_array(trim(regexp_replace(lower(seg), '[^\pL\pN]+', ' ', 'g')), ' ') AS ws FROM (
+    SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t\r]*\n'), [text])) AS seg FROM documents)
+), sg AS (
+  SELECT s, g, count(*) AS c FROM (SELECT s, unnest({grams}) AS g FROM s WHERE len(ws) BETWEEN 2 AND 400) GROUP BY ALL
+), d AS (
+  SELECT doc_id, name, max(2.0 * shared / (len(s.ws) - 1 + len(t.ws) - 1)) AS dice FROM (
+    SELECT s, k, sum(least(sg.c, tg.c)) AS shared FROM sg JOIN tg USING (g) GROUP BY ALL) m JOIN s USING (s) JOIN t USING (k) GROUP BY ALL
+), b AS (
+  SELECT doc_id, name, dice::DOUBLE AS dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM d WHERE dice >= {THRESHOLD}
+)
+SELECT doc_id, name AS license, coalesce(dice, 0.0)::DOUBLE AS dice, coalesce(n, 0)::BIGINT AS n_licenses FROM documents LEFT JOIN b USING (doc_id) WHERE coalesce(r, 1) = 1
+"""
+
+
+SQL = {"op10_licenses": _licenses(), "op6_urls": URLS, "op1_neardup": NEARDUP, "op8_decontamination": DECONTAMINATION}
