@@ -75,6 +75,30 @@ SELECT page_id, host, path, {_rule("host", "path", 0)} AS rule,
 FROM p LEFT JOIN s ON s.n = p.node
 """
 
+REPEATS = """
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT k, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)
+), f AS (
+  SELECT s, min(doc_id) AS least FROM w GROUP BY 1
+), x AS (
+  SELECT k, i, i > coalesce(lag(i) OVER (PARTITION BY k ORDER BY i), -99) + 50 AS new FROM w JOIN f USING (s) WHERE least < doc_id
+), g AS (
+  SELECT k, i, sum(new::INT) OVER (PARTITION BY k ORDER BY i) AS n FROM x
+), spans AS (
+  SELECT k, n, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY 1, 2
+), ends AS (
+  SELECT k, a, b FROM spans UNION ALL SELECT k, len(h) // 2, len(h) // 2 FROM d
+), gaps AS (
+  SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a, b), 0) AS after FROM ends
+)
+SELECT doc_id, any_value(len(h) // 2)::BIGINT AS n_bytes, sum(b - a)::BIGINT AS n_removed, (count(*) - 1)::BIGINT AS n_spans,
+  sha256(unhex(string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a, b))) AS kept_sha256
+FROM gaps JOIN d USING (k) GROUP BY k, doc_id
+"""
+
+
 def _licenses() -> str:
     from .licenses import TEMPLATES, THRESHOLD
 
@@ -100,4 +124,4 @@ SELECT doc_id, name AS license, coalesce(dice, 0.0)::DOUBLE AS dice, coalesce(n,
 """
 
 
-SQL = {"op10_licenses": _licenses(), "op6_urls": URLS, "op1_neardup": NEARDUP, "op8_decontamination": DECONTAMINATION}
+SQL = {"op7_repeats": REPEATS, "op10_licenses": _licenses(), "op6_urls": URLS, "op1_neardup": NEARDUP, "op8_decontamination": DECONTAMINATION}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, neardup, packing, quality, suffixdedup, toxicity, urlfilter
+from . import ann, decontam, langid, licenses, neardup, packing, quality, suffixdedup, toxicity, urlfilter
 from .sampling import fold
 
 
@@ -22,6 +22,11 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=4)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = read(spark, sf_dir, "embeddings")
+    return ann.search(embeddings, embeddings.filter("vec_id % 20 = 0"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = quality.train(documents, labels.filter(fold("doc_id", 4) != 2))
@@ -65,7 +70,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neardup": op1_neardup, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_urls": op6_urls, "op7_repeats": op7_repeats, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
+    return {"op1_neardup": op1_neardup, "op2_neighbours": op2_neighbours, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_urls": op6_urls, "op7_repeats": op7_repeats, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
