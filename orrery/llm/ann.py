@@ -15,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -147,8 +148,6 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str =
             i: Index = shared.value
             x = np.stack(v.to_numpy())
             points = i.points(x) if column == "v" else i.queries(x)
-            import pandas as pd
-
             return pd.Series(list(i.lists(points, 1 if column == "v" else i.probes).astype(np.int32)))
 
         return of("v")

@@ -214,3 +214,18 @@ def score(documents: DataFrame, model: Model | None, *, id_col: str = "doc_id",
 
     schema = rows.drop("_text").schema.add("score", "double")
     return rows.mapInArrow(run, schema)
+
+
+def accepted(documents: DataFrame, model: Model | None, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents of at least that score, every column kept. Without a model all stay."""
+    if model is None:
+        return documents
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in texts(batch, text_col):
+                good = shared.value.score(*passages(t)) >= threshold
+                yield batch.slice(t.lo, t.hi - t.lo).filter(pa.array(good))
+
+    return documents.mapInArrow(run, documents.schema)
