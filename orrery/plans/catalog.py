@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from . import base
+
+MODULES = ["predicates"]
+
+for _m in MODULES:
+    import_module(f"orrery.plans.{_m}")
+
 
 def queries() -> dict:
-    return {}
+    return base.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return base.SQL
