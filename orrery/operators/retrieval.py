@@ -162,7 +162,7 @@ def engine_score(ip: Column) -> Column:
 
 def ranked(leg: DataFrame, id_col: str = "asset_id") -> DataFrame:
     """Position by score in each query, ties to the smaller id."""
-    return leg.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)))
+    return leg.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_col)))
 
 
 def window_size(start: int, size: int, window: int | None = None) -> int:
@@ -182,7 +182,7 @@ def cutoff(leg: DataFrame, least: float) -> DataFrame:
 
 def collapse_by_hash(leg: DataFrame, id_col: str = "asset_id") -> DataFrame:
     """The best hit of each hash; hits without a hash all stay."""
-    w = Window.partitionBy("query_id", F.coalesce("hash_value", F.concat(F.lit("#"), F.col(id_col).cast("string")))).orderBy(F.desc("score"), id_col)
+    w = Window.partitionBy("query_id", F.coalesce("hash_value", F.concat(F.lit("#"), F.col(id_col).cast("string")))).orderBy(F.desc(F.round("score", 9)), id_col)
     return leg.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 

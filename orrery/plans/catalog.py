@@ -6,12 +6,16 @@ from importlib import import_module
 
 from . import base
 
-MODULES = ["predicates"]
+MODULES = ["predicates", "retrieval"]
 
 for _m in MODULES:
     import_module(f"orrery.plans.{_m}")
 
 
+def flagship(spark, sf_dir: str):
+    return import_module("orrery.plans.retrieval").flagship(spark, sf_dir)
+
+
 def queries() -> dict:
     return base.QUERIES
 
