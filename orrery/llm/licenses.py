@@ -2,14 +2,16 @@
 
 DataFrame functions only. A document's segments are its lines, its paragraphs and its whole text. A
 segment of n bigrams can reach the threshold t only against templates of t/(2-t) to (2-t)/t times n
-bigrams, and must share one of a template's first bigrams (as many as it could lack, and one more), so
-almost every segment is passed over before any template is compared.
+bigrams, and must share one of any set of a template's bigrams that holds one more than it could lack.
+Those of the longest words are that set; a text that has the words of none of them is passed over unread,
+and almost every segment before any template is compared.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,27 +53,35 @@ def numbered(bigrams: list[str]) -> list[str]:
     return out
 
 
+def rarest(bigrams: list[str], n: int) -> list[str]:
+    """The n bigrams with the longest words."""
+    return sorted(bigrams, key=lambda g: (-max(map(len, g.split(" #")[0].split())), g))[:n]
+
+
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def scan(documents: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, dice, segment) for every segment and license at or over the threshold, by the license's best template.
+    """(doc_id, license, dice, segment) for every segment (in lower case) and license at or over the threshold, by the license's best template.
 
     Null, empty and blank texts and segments of one word have no bigrams and match nothing; equal segments of a
     document count once; rows that repeat an id share their matches; other columns are ignored.
     """
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     known = [(name, grams, len(grams)) for name, text in templates if (grams := template_bigrams(text))]
-    first = sorted({re.sub(r" #\d+$", "", g) for _, grams, n in known for g in grams[: n - math.ceil(n * low - 1e-9) + 1]})
-    text = F.col("text")
+    rare = sorted({re.sub(r" #\d+$", "", g) for _, grams, n in known for g in rarest(grams, n - math.ceil(n * low - 1e-9) + 1)})
+    has_words = {w: F.contains("low", F.lit(w)) for g in rare for w in g.split()}
+    may_have = reduce(lambda a, b: a | b, [has_words[g.split()[0]] & has_words[g.split()[1]] for g in sorted(rare, key=lambda g: -max(map(len, g.split())))])
+    text = F.col("low")
     segments = F.array_distinct(F.concat(F.split(text, r"\n"), F.split(text, r"\n[ \t\r]*\n"), F.array(text)))
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    words = rows.select("doc_id", F.explode(segments).alias("segment")).withColumn("words", F.split(normalised(F.col("segment")), " "))
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("low")).filter("low is not null").filter(may_have)
+    parts = rows.select("doc_id", F.explode(segments).alias("low")).filter(may_have)
+    words = parts.select("doc_id", F.col("low").alias("segment"), F.split(normalised(F.col("low")), " ").alias("words"))
     least, most = min(n for _, _, n in known), max(n for _, _, n in known)
     words = words.filter((F.size("words") - 1 >= math.ceil(least * low - 1e-9)) & (F.size("words") - 1 <= math.floor(most * high + 1e-9)) & (F.size("words") > 1))
     pairs = F.expr("transform(sequence(1, size(words) - 1), i -> concat(words[i - 1], ' ', words[i]))")
-    near = words.withColumn("bigrams", pairs).filter(F.arrays_overlap("bigrams", F.array(*map(F.lit, first))))
+    near = words.withColumn("bigrams", pairs).filter(F.arrays_overlap("bigrams", F.array(*map(F.lit, rare))))
     tagged = F.expr("transform(bigrams, (b, i) -> concat(b, ' #', size(filter(slice(bigrams, 1, i + 1), x -> x = b))))")
     near = near.select("doc_id", "segment", tagged.alias("bigrams"))
     n = F.size("bigrams")
