@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from orrery.functions.exprs import parse_quoted_list, wildcard_regex
 
-TRUE = F.lit(True)
 
 
 def _all(parts: list[Column]) -> Column:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import base
 
-MODULES = ["predicates", "retrieval", "scene", "statistics", "ingestion"]
+MODULES = ["predicates", "retrieval", "scene", "statistics", "ingestion", "indexing"]
 
 for _m in MODULES:
     import_module(f"orrery.plans.{_m}")

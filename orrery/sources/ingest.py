@@ -12,8 +12,8 @@ from orrery.operators.predicates import literal_prefix
 from orrery.sources.tables import shared_dir
 
 # What is indexed and what never is.
-FORMATS = ["usd", "usda", "usdc", "usdz", "png", "jpg", "jpeg", "mdl"]
-JUNK_FOLDERS = [".git", "__pycache__", "node_modules", ".thumbs"]
+FORMATS = ["usd", "usda", "usdc", "usdz", "gltf", "glb", "fbx", "obj", "stl", "ply", "abc", "mdl", "mtlx", "bmp", "gif", "hdr", "jpeg", "jpg", "png", "tif", "tiff", "webp"]
+JUNK_FOLDERS = [".git", "__pycache__", ".DS_Store"]
 
 
 def list_assets(spark: SparkSession, root: str, ignore: list[str] = (), show_hidden: bool = False) -> DataFrame:
