@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by inner product: inverted lists scanned with adaptive dimensions.
 
 Vectors get one more component, so that the largest inner product is the least Euclidean distance, and are
-rotated at random, so that any leading components estimate a whole distance. A query scans the vectors of
-each probed list in blocks of columns; after each block a hypothesis test on the partial distances (Gao and
-Long 2023) abandons candidates that can hardly be among the best. What is left is scored in double
-precision on the original vectors.
+rotated at random, so that any leading components estimate a whole distance. A query's few nearest lists are scanned whole,
+which bounds what can still be among its best. The vectors of its other probed lists are scanned in blocks
+of columns; after each block a hypothesis test on the partial distances (Gao and Long 2023) abandons those
+that can hardly keep that bound. What is left is scored in double precision on the original vectors.
 
 Lists, their vectors and the queries that probe them meet in tasks of bounded size: a list's vectors and
 its queries are each cut into chunks, and every chunk of one meets every chunk of the other.
@@ -21,13 +21,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Rows that the index is fitted on at most; every row is indexed.
 SAMPLE = 20_000
-LIST_ROWS, MOST_LISTS = 256, 4096
-BLOCK_COLUMNS = 8
+LIST_ROWS, MOST_LISTS = 512, 4096
+#: Lists that a query scans whole.
+WHOLE_LISTS = 4
+#: Columns of the first block, for which all distances are one product, and of the later ones.
+FIRST_COLUMNS, BLOCK_COLUMNS = 32, 16
 #: Of the hypothesis test: larger keeps more candidates.
-EPSILON = 3.0
-TARGET_RECALL = 0.97
+EPSILON = 1.8
+TARGET_RECALL = 0.95
 CHUNK_ROWS, CHUNK_QUERIES = 4096, 1024
 
 
@@ -105,25 +110,33 @@ def fit(vectors: DataFrame, *, sample: int = SAMPLE, k: int = 20, seed: int = 11
     return index
 
 
-def scan(points: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
-    """Rows of points that may be among the k nearest: column block by column block, abandoning what the test rejects."""
-    n, d = points.shape
-    if n <= 2 * k:
-        return np.arange(n)
-    ahead = 2 * k
-    seen = ((points[:ahead] - query) ** 2).sum(1)
-    bound = np.partition(seen, k - 1)[k - 1]
-    alive = np.arange(ahead, n)
-    part = np.zeros(len(alive))
-    for a in range(0, d, BLOCK_COLUMNS):
+def scan(points: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, point) pairs that may be within each query's bound (a squared distance): column block by column block, abandoning what the test rejects."""
+    d = points.shape[1]
+    points, queries = points.astype(np.float32), queries.astype(np.float32)
+    limit = lambda b: (bound * (b / d) * (1 + EPSILON / np.sqrt(b)) ** 2 if b < d else bound) * (1 + 1e-5) + 1e-5
+    b = min(d, FIRST_COLUMNS)
+    x, y = points[:, :b], queries[:, :b]
+    part = y @ x.T
+    part *= -2
+    part += (y * y).sum(1)[:, None]
+    part += (x * x).sum(1)[None, :]
+    q, p = np.nonzero(part <= limit(b)[:, None])
+    part = part[q, p]
+    for a in range(b, d, BLOCK_COLUMNS):
         b = min(d, a + BLOCK_COLUMNS)
-        part += ((points[alive, a:b] - query[a:b]) ** 2).sum(1)
-        limit = bound * (b / d) * (1 + EPSILON / np.sqrt(b)) ** 2 if b < d else bound * (1 + 1e-9)
-        keep = part <= limit
-        alive, part = alive[keep], part[keep]
-        if not len(alive):
-            break
-    return np.r_[np.flatnonzero(seen <= bound * (1 + 1e-9)), alive]
+        more = points[p, a:b] - queries[q, a:b]
+        part = part + np.einsum("ij,ij->i", more, more)
+        keep = part <= limit(b)[q]
+        q, p, part = q[keep], p[keep], part[keep]
+    return q, p
+
+
+def best_of(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best of each query, ties to the smaller id."""
+    by = np.lexsort((ids, -score, q))
+    first = np.searchsorted(q[by], q[by])
+    return by[np.arange(len(by)) - first < k]
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", index: Index | None = None) -> DataFrame:
@@ -152,34 +165,48 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str =
 
         return of("v")
 
-    placed = rows.withColumn("list", lists("v")[0])
-    probing = asked.withColumn("list", F.explode(lists("query")))
-    sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("v_chunks")).join(probing.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("q_chunks")), "list")
-    own = F.pmod(F.xxhash64("vec_id"), F.col("own")).cast("int")
-    a = placed.join(sizes, "list").withColumn("own", F.col("v_chunks")).select("list", own.alias("vc"), F.explode(F.expr("sequence(0, q_chunks - 1)")).alias("qc"), F.lit(False).alias("query"), "vec_id", "v")
-    b = probing.join(sizes, "list").withColumn("own", F.col("q_chunks")).select("list", F.explode(F.expr("sequence(0, v_chunks - 1)")).alias("vc"), own.alias("qc"), F.lit(True).alias("query"), "vec_id", "v")
-
-    def meet(group: pa.Table) -> pa.Table:
-        is_query = group.column("query").to_numpy()
-        ids, x = group.column("vec_id").to_numpy(), matrix(group.column("v"))
-        v_ids, v, q_ids, q = ids[~is_query], x[~is_query], ids[is_query], x[is_query]
-        got = [[], [], []]
-        if len(v) and len(q):
+    placed = written(rows.withColumn("list", lists("v")[0]), "placed")
+    probing = written(asked.select("vec_id", "v", F.posexplode(lists("query")).alias("nth", "list")), "probing")
+
+    def met(probing: DataFrame, run) -> DataFrame:
+        """Every chunk of a list's vectors with every chunk of the queries that probe it."""
+        sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("v_chunks")).join(probing.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("q_chunks")), "list")
+        own = F.pmod(F.xxhash64("vec_id"), F.col("own")).cast("int")
+        none = F.lit(None).cast("double").alias("worst")
+        a = placed.join(sizes, "list").withColumn("own", F.col("v_chunks")).select("list", own.alias("vc"), F.explode(F.expr("sequence(0, q_chunks - 1)")).alias("qc"), F.lit(False).alias("query"), "vec_id", "v", none)
+        b = probing.join(sizes, "list").withColumn("own", F.col("q_chunks")).select("list", F.explode(F.expr("sequence(0, v_chunks - 1)")).alias("vc"), own.alias("qc"), F.lit(True).alias("query"), "vec_id", "v", "worst")
+
+        def meet(group: pa.Table) -> pa.Table:
+            is_query = group.column("query").to_numpy()
+            ids, x, worst = group.column("vec_id").to_numpy(), matrix(group.column("v")), group.column("worst").to_numpy()
+            v_ids, v, q_ids, qv = ids[~is_query], x[~is_query], ids[is_query], x[is_query]
             i: Index = shared.value
-            by = np.argsort(v_ids, kind="stable")
-            v_ids, v = v_ids[by], v[by]
-            points, asked_at = i.points(v), i.queries(q)
-            for n in range(len(q)):
-                near = scan(points, asked_at[n], k + 1)
-                near = near[v_ids[near] != q_ids[n]]
-                score = rows_dot(v[near], q[n])
-                best = np.lexsort((v_ids[near], -score))[:k]
-                got[0].append(np.full(len(best), q_ids[n]))
-                got[1].append(v_ids[near[best]])
-                got[2].append(score[best])
-        c = [np.concatenate(g) if g else np.zeros(0) for g in got]
-        return pa.table({"query_id": pa.array(c[0].astype(np.int64)), "vec_id": pa.array(c[1].astype(np.int64)), "score": pa.array(c[2].astype(np.float64))})
-
-    found = a.unionByName(b).groupBy("list", "vc", "qc").applyInArrow(meet, "query_id long, vec_id long, score double")
+            got = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+            if len(v) and len(qv):
+                q, p = run(i, v, qv, worst[is_query])
+                other = v_ids[p] != q_ids[q]
+                q, p = q[other], p[other]
+                score = np.concatenate([rows_dot(v[p[c : c + 65536]], qv[q[c : c + 65536]]) for c in range(0, len(p), 65536)] or [np.zeros(0)])
+                top = best_of(q_ids[q], v_ids[p], score, k)
+                got = [q_ids[q[top]], v_ids[p[top]], score[top]]
+            return pa.table({"query_id": pa.array(got[0]), "vec_id": pa.array(got[1]), "score": pa.array(got[2])})
+
+        return a.unionByName(b).groupBy("list", "vc", "qc").applyInArrow(meet, "query_id long, vec_id long, score double")
+
+    def whole(i: Index, v: np.ndarray, q: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = min(len(v), 2 * k + 1)
+        score = q @ v.T
+        least = np.partition(score, len(v) - n, 1)[:, len(v) - n]
+        return np.nonzero(score >= (least - 1e-9 * np.abs(least))[:, None])
+
+    def adaptive(i: Index, v: np.ndarray, q: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # a score of `worst` is this squared distance between a lengthened vector and the query at unit length
+        bound = np.where(np.isnan(worst), np.inf, i.longest + 1 - 2 * worst / np.sqrt((q * q).sum(1)))
+        return scan(i.points(v), i.queries(q), bound)
+
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = met(probing.filter(F.col("nth") < WHOLE_LISTS).withColumn("worst", F.lit(None).cast("double")), whole)
+    near = written(near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "near")
+    bound = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("worst"))
+    found = near.drop("rank").unionByName(met(probing.filter(F.col("nth") >= WHOLE_LISTS).join(bound, "vec_id", "left"), adaptive))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
