@@ -3,15 +3,16 @@
 Sorting every suffix of a corpus by itself would move each byte many times over. Here only text that can
 repeat is sorted, and it is dealt out so that suffixes that could be equal always meet:
 
-1. A window of 50 bytes is represented by the least hashed 20-gram in it, so equal windows have equal
+1. A window of 50 bytes is represented by the least hashed 28-gram in it, so equal windows have equal
    representatives at equal offsets. Tasks list the distinct representatives of each block of documents,
    and those seen in one document only are dropped; no repeated window is lost.
 2. What is left of each block is cut into contexts, the runs of windows of one representative. Copies
    within the block are resolved there; each distinct context goes to the bucket of its representative.
    One that very many blocks hold is spread over buckets window by window.
-3. Each bucket's contexts are suffix-sorted by the difference-cover algorithm modulo 3 (sort sampled
-   triples, recurse on their names, merge the remaining suffixes), in pieces of bounded size, and
-   neighbours whose first 50 bytes are equal share the least document they occur in.
+3. A window reaches 11 bytes beyond its representative on one side at least; contexts that agree with no
+   other document that far on either side go. The rest of each bucket is suffix-sorted, in pieces, by the
+   difference-cover algorithm modulo 3 (sort sampled triples, recurse on their names, merge the remaining
+   suffixes), and neighbours whose first 50 bytes are equal share the least document they occur in.
 4. Windows that a smaller document also has go back to their blocks, where they are joined to spans.
 """
 
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_CODE, Texts, hashed, mix, spans, texts, written
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 28
 BLOCK_BYTES = 4 << 20
-#: Text per bucket of a shuffle, and context bytes that one suffix sort holds.
-BUCKET_BYTES, SORT_BYTES = 16 << 20, 1 << 20
+#: Text that is looked at together in a block, text per bucket of a shuffle, and suffix sorts per bucket.
+STEP_BYTES, BUCKET_BYTES, PIECES = 1 << 20, 16 << 20, 16
 #: Representatives that more blocks hold than this are dealt out window by window.
 HOT_BLOCKS = 64
 _U = np.uint64
@@ -57,7 +58,7 @@ def suffix_array(s: np.ndarray, top: int) -> np.ndarray:
     if most * (top + 1) >= 2**62:
         key, most = np.unique(key, return_inverse=True)[1], len(key)
     key = key * (top + 1) + p[sample + 2]
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     new = np.ones(len(by), bool)
     new[1:] = key[by[1:]] != key[by[:-1]]
     name = np.empty(len(by), np.int64)
@@ -70,7 +71,7 @@ def suffix_array(s: np.ndarray, top: int) -> np.ndarray:
     rank[order] = np.arange(1, m + 1)
     # the remaining suffixes: by their first symbol, then by the sampled suffix behind it
     zero = order[order % 3 == 1] - 1
-    zero = zero[np.argsort(p[zero], kind="stable")]
+    zero = zero[np.argsort(p[zero] * (m + 2) + rank[zero + 1])]
     ones, twos = order[order % 3 == 1], order[order % 3 == 2]
     before = np.searchsorted(p[ones] * (m + 2) + rank[ones + 1], p[zero] * (m + 2) + rank[zero + 1])
     both = np.concatenate([zero, twos])
@@ -92,18 +93,18 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one representative: first window, how many, hash of the representative (lowest bit 0)."""
+def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one representative: first window, how many, how far in the representative begins, its hash."""
     n, none = len(data), np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     h = BYTE_CODE[data]
     for k in (1, 2):
         h = _join(h[:-k], h[k:])
     four = h
-    for k in (4, 8):
-        h = _join(h[:-k], h[k:])
-    h = _join(h[:-4], four[16:])
+    h = eight = _join(h[:-4], h[4:])
+    h = _join(h[:-8], h[8:])
+    h = _join(_join(h[:-8], eight[16:])[:-4], four[24:])
     h *= _U(0xBF58476D1CE4E5B9)
     h ^= h >> _U(31)
     bits = _U(max(24, n.bit_length()))
@@ -124,7 +125,36 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     end = inside.copy()
     end[:-1] &= (at[1:] != at[:-1]) | ~inside[1:]
     first = np.flatnonzero(start)
-    return first, np.flatnonzero(end) + 1 - first, mix(h[at[first]]) & ~_U(1)
+    return first, np.flatnonzero(end) + 1 - first, at[first] - first, mix(h[at[first]])
+
+
+def _steps(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole documents of at most STEP_BYTES (or one)."""
+    lo = 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + STEP_BYTES, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+#: A key is 48 bits of a representative's hash; other bits choose its bucket. The lowest bit is a flag.
+_KEY = _U((1 << 48) - 2)
+
+
+def _keyed(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> _U(15)) & _KEY, ((mix(h) >> _U(20)) % _U(buckets)).astype(np.int64)
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted 48-bit keys, byte plane by byte plane."""
+    return _zip(np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes())
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unzip(raw), np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -179,37 +209,40 @@ def _opened(docs: list[int], sizes: list[int], data: bytes) -> tuple[np.ndarray,
 
 
 def representatives(table: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, keys): a block's distinct representatives; the lowest bit tells that several of its documents have it."""
+    """(bucket, block, keys): a block's distinct representatives; the flag tells that several of its documents have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 _, offsets, data = _opened(r["docs"], r["sizes"], r["data"])
-                first, _, key = contexts(data, offsets)
-                by = np.argsort(key, kind="stable")
-                key, doc = key[by], np.searchsorted(offsets, first[by], "right")
-                new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+                parts = []
+                for lo, hi in _steps(offsets):
+                    base = offsets[lo]
+                    first, _, _, h = contexts(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
+                    parts.append((*_keyed(h, buckets), np.searchsorted(offsets, first + base, "right")))
+                key, bucket, doc = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (list(zip(*parts)) or [(), (), ()]))
+                by = np.lexsort((doc, key, bucket))
+                key, bucket, doc = key[by], bucket[by], doc[by]
+                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])]) if len(key) else np.zeros(0, np.int64)
                 last = np.r_[new[1:], len(key)] - 1
-                key = key[new] | (doc[new] != doc[last]).astype(np.uint64)
-                bucket = (key >> _U(20)) % _U(buckets)
-                by = np.argsort(bucket, kind="stable")
-                key, bucket = key[by], bucket[by]
+                key, bucket = key[new] | (doc[new] != doc[last]).astype(np.uint64), bucket[new]
                 cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else np.zeros(0, np.int64)
-                raw = [key[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(key)])]
+                raw = [_pack(key[a:b]) for a, b in zip(cut, np.r_[cut[1:], len(key)])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), pa.array(np.full(len(cut), r["block"])), pa.array(raw, pa.binary())], ["bucket", "block", "keys"])
 
     return table.select("block", "docs", "sizes", "data").mapInArrow(run, "bucket long, block long, keys binary")
 
 
 def repeated(listed: DataFrame, hot_blocks: int) -> DataFrame:
-    """(block, keys): of each block's representatives those that several documents have; the lowest bit tells hot ones."""
+    """(block, bucket, keys): of each block's representatives those that several documents have; the flag tells hot ones."""
 
     def run(group: pa.Table) -> pa.Table:
         block = group.column("block").to_numpy()
-        raw = group.column("keys").to_pylist()
-        keys = np.frombuffer(b"".join(raw), np.uint64)
-        where = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
-        by = np.argsort(keys & ~_U(1), kind="stable")
+        each = [_unpack(x) for x in group.column("keys").to_pylist()]
+        keys = np.concatenate(each)
+        where = np.repeat(np.arange(len(each)), [len(x) for x in each])
+        by = np.argsort(keys & ~_U(1))
         key, multi, where = keys[by] & ~_U(1), (keys[by] & _U(1)) > 0, where[by]
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[new, len(key)])
@@ -217,57 +250,79 @@ def repeated(listed: DataFrame, hot_blocks: int) -> DataFrame:
         key = key | np.repeat(size > hot_blocks, size).astype(np.uint64)
         kept = np.repeat(keep, size)
         key, where = key[kept], where[kept]
-        by = np.argsort(where, kind="stable")
+        by = np.lexsort((key, where))
         key, where = key[by], where[by]
         cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(key) else np.zeros(0, np.int64)
-        out = [key[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(key)])]
-        return pa.table({"block": pa.array(block[where[cut]], pa.int64()), "keys": pa.array(out, pa.binary())})
+        out = [_pack(key[a:b]) for a, b in zip(cut, np.r_[cut[1:], len(key)])]
+        return pa.table({"block": pa.array(block[where[cut]], pa.int64()), "bucket": pa.array(np.full(len(cut), group.column("bucket")[0].as_py()), pa.int64()), "keys": pa.array(out, pa.binary())})
 
-    return listed.groupBy("bucket").applyInArrow(run, "block long, keys binary")
+    return listed.groupBy("bucket").applyInArrow(run, "block long, bucket long, keys binary")
 
 
-_SENT = "bucket long, block long, docs binary, windows binary, key binary, times binary, starts binary, text binary, local binary"
+#: Of a context that is a single window of a hot representative.
+_HOT = 255
+_SENT = "bucket long, block long, pieces binary, docs binary, windows binary, lead binary, times binary, starts binary, text binary, local binary"
 
 
 def dealt(table: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
-    """Distinct contexts of every block by bucket, with the least document that has them and where; local: spans that are settled already."""
+    """Distinct contexts of every block by bucket and piece, with the least document that has them and where; local: spans that are settled already."""
     names = [c.split()[0] for c in _SENT.split(", ")]
 
+    def wanted(data: np.ndarray, offsets: np.ndarray, sought: np.ndarray) -> list[np.ndarray]:
+        """Contexts of some documents whose representatives are sought: first window, windows, lead, hash of the key to deal by, hash of the content."""
+        first, count, lead, h = contexts(data, offsets)
+        key, bucket = _keyed(h, buckets)
+        key = mix(key ^ mix(bucket.astype(np.uint64))) & ~_U(1)
+        at = np.minimum(np.searchsorted(sought, key), max(len(sought) - 1, 0))
+        hit = (sought[at] & ~_U(1)) == key if len(sought) else np.zeros(len(key), bool)
+        hot = hit.copy()
+        hot[hit] = (sought[at[hit]] & _U(1)) > 0
+        cold = hit & ~hot
+        alone = _ranges(first[hot], count[hot])
+        one = np.ones(len(alone), np.int64)
+        first, count, lead = np.r_[first[cold], alone], np.r_[count[cold], one], np.r_[lead[cold], one * _HOT]
+        content = hashed(data, first, first + count + LENGTH - 1) + count.astype(np.uint64)
+        return [first, count, lead, np.r_[h[cold], content[len(content) - len(alone) :]], content]
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = {n: [] for n in names}
         if left.num_rows and right.num_rows:
             r = left.to_pylist()[0]
             docs, offsets, data = _opened(r["docs"], r["sizes"], r["data"])
-            wanted = np.sort(np.frombuffer(b"".join(right.column("keys").to_pylist()), np.uint64))
-            first, count, key = contexts(data, offsets)
-            at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-            hit = (wanted[at] | _U(1)) == (key | _U(1))
-            first, count, key, hot = first[hit], count[hit], key[hit], (wanted[at[hit]] & _U(1)) > 0
-            alone = _ranges(first[hot], count[hot])
-            first, count = np.r_[first[~hot], alone], np.r_[count[~hot], np.ones(len(alone), np.int64)]
-            key = np.r_[key[~hot], np.zeros(len(alone), np.uint64)]
-            end = first + count + LENGTH - 1
-            content = hashed(data, first, end) + count.astype(np.uint64)
-            key = np.where(key == 0, content, key)
+            sought = []
+            for bucket, raw in zip(right.column("bucket").to_pylist(), right.column("keys").to_pylist()):
+                k = _unpack(raw)
+                sought.append((mix((k & ~_U(1)) ^ mix(np.full(len(k), bucket, np.uint64))) & ~_U(1)) | (k & _U(1)))
+            sought = np.sort(np.concatenate(sought))
+            parts = []
+            for lo, hi in _steps(offsets):
+                base = offsets[lo]
+                found = wanted(data[base : offsets[hi]], offsets[lo : hi + 1] - base, sought)
+                found[0] = found[0] + base
+                parts.append(found)
+            first, count, lead, key, content = (np.concatenate(x) for x in zip(*parts))
             doc = docs[np.searchsorted(offsets, first, "right") - 1]
             by = np.lexsort((first, doc, content))
-            first, count, key, end, content, doc = (x[by] for x in (first, count, key, end, content, doc))
+            first, count, lead, key, content, doc = (x[by] for x in (first, count, lead, key, content, doc))
             new = np.flatnonzero(np.r_[True, content[1:] != content[:-1]]) if len(by) else np.zeros(0, np.int64)
             size = np.diff(np.r_[new, len(by)])
             least = np.repeat(doc[new], size)
+            end = first + count + LENGTH - 1
             local = _united(first[doc > least], end[doc > least])
             mine = doc == least
             times = np.add.reduceat(mine.astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
             starts = first[mine].astype(np.int32)
             begin = np.cumsum(times) - times
-            bucket = ((mix(key[new]) >> _U(24)) % _U(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
+            h = mix(key[new] ^ _U(0x5851F42D4C957F2D))
+            bucket, piece = ((h >> _U(24)) % _U(buckets)).astype(np.int64), (h & _U(PIECES - 1)).astype(np.int64)
+            by = np.lexsort((first[new], piece, bucket))
             cut = np.flatnonzero(np.r_[True, np.diff(bucket[by]) != 0]) if len(by) else np.zeros(0, np.int64)
             for a, b in zip(cut, np.r_[cut[1:], len(by)]):
                 g = by[a:b]
                 k = new[g]
-                text = data[_ranges(first[k], end[k] - first[k])].tobytes()
-                values = (int(bucket[g[0]]), r["block"], doc[k].tobytes(), count[k].astype(np.uint8).tobytes(), key[k].tobytes(), times[g].astype(np.int32).tobytes(), starts[_ranges(begin[g], times[g])].tobytes(), _zip(text), local.tobytes() if a == 0 else b"")
+                text = data[_ranges(first[k], count[k] + LENGTH - 1)]
+                place = starts[_ranges(begin[g], times[g])]
+                values = [int(bucket[g[0]]), r["block"]] + [_zip(np.ascontiguousarray(x).tobytes()) for x in (np.bincount(piece[g], minlength=PIECES).astype(np.int32), doc[k], count[k].astype(np.uint8), lead[k].astype(np.uint8), times[g].astype(np.int32), np.diff(place, prepend=0).astype(np.int32), text)] + [local.tobytes() if a == 0 else b""]
                 for n, v in zip(names, values):
                     rows[n].append(v)
         return pa.table({n: pa.array(rows[n], pa.int64() if n in ("bucket", "block") else pa.binary()) for n in names})
@@ -299,37 +354,67 @@ def least_documents(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.n
     return out
 
 
-def matched(sent: DataFrame, sort_bytes: int) -> DataFrame:
+def _shared(h: np.ndarray, doc: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Whether a hash stands with several documents, of those that have one."""
+    out = np.zeros(len(h), bool)
+    at = np.flatnonzero(have)
+    if len(at):
+        at = at[np.argsort(h[at])]
+        new = np.flatnonzero(np.r_[True, h[at[1:]] != h[at[:-1]]])
+        differ = np.minimum.reduceat(doc[at], new) != np.maximum.reduceat(doc[at], new)
+        out[at] = np.repeat(differ, np.diff(np.r_[new, len(at)]))
+    return out
+
+
+def _agreeing(text: np.ndarray, at: np.ndarray, size: np.ndarray, lead: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Contexts that agree with another document's on the representative and half the rest of a window, before or behind it."""
+    half = (LENGTH - GRAM) // 2
+    hot = lead == _HOT
+    begin = at + np.where(hot, 0, lead)
+    before, behind = ~hot & (lead >= half), ~hot & (size - 1 >= lead - half)
+    a = np.where(before, begin - half, 0)
+    left = _shared(hashed(text, a, np.where(before, begin + GRAM, 0)), doc, before)
+    b = np.where(behind, begin, 0)
+    right = _shared(hashed(text, b, np.where(behind, begin + GRAM + half, 0)), doc, behind)
+    return hot | left | right
+
+
+def matched(sent: DataFrame) -> DataFrame:
     """(block, spans): spans of each block whose windows a smaller document also has."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
         out: dict[int, list[np.ndarray]] = {}
-        for r in rows:
-            if r["local"]:
-                out.setdefault(r["block"], []).append(np.frombuffer(r["local"], np.int32).reshape(-1, 2))
-        doc = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
-        size = np.concatenate([np.frombuffer(r["windows"], np.uint8) for r in rows]).astype(np.int64)
-        key = np.concatenate([np.frombuffer(r["key"], np.uint64) for r in rows])
-        times = np.concatenate([np.frombuffer(r["times"], np.int32) for r in rows]).astype(np.int64)
-        starts = np.concatenate([np.frombuffer(r["starts"], np.int32) for r in rows]).astype(np.int64)
-        block = np.repeat([r["block"] for r in rows], [len(r["docs"]) // 8 for r in rows])
-        text = np.frombuffer(b"".join(_unzip(r["text"]) for r in rows), np.uint8)
+        block_ids, names = group.column("block").to_numpy(), ("pieces", "docs", "windows", "lead", "times", "starts", "text")
+        for k, raw in zip(block_ids, group.column("local").to_pylist()):
+            if raw:
+                out.setdefault(int(k), []).append(np.frombuffer(raw, np.int32).reshape(-1, 2))
+        kinds = (np.int32, np.int64, np.uint8, np.uint8, np.int32, np.int32, np.uint8)
+        each = [[np.frombuffer(_unzip(x), t) for x in group.column(n).to_pylist()] for n, t in zip(names, kinds)]
+        block = np.repeat(block_ids, [len(x) for x in each[1]])
+        piece = np.concatenate([np.repeat(np.arange(PIECES), x) for x in each[0]])
+        starts = np.concatenate([np.cumsum(x) for x in each[5]])
+        doc, size, lead, times, text = (np.concatenate(each[i]) for i in (1, 2, 3, 4, 6))
+        del each
+        size, lead, times = size.astype(np.int64), lead.astype(np.int64), times.astype(np.int64)
         length = size + LENGTH - 1
         at, occurs = np.cumsum(length) - length, np.cumsum(times) - times
-        pieces = max(1, -(-len(text) // sort_bytes))
-        piece = (mix(key ^ _U(0x5851F42D4C957F2D)) % _U(pieces)).astype(np.int64)
-        for p in range(pieces):
+        for p in range(PIECES):
             g = np.flatnonzero(piece == p)
             if not len(g):
                 continue
+            part = text[_ranges(at[g], length[g])]
+            begin = np.cumsum(length[g]) - length[g]
             # equal contexts of several blocks are sorted once
-            content = hashed(text, at[g], at[g] + length[g]) + size[g].astype(np.uint64)
+            content = hashed(part, begin, begin + length[g]) + size[g].astype(np.uint64)
+            kept = _agreeing(part, begin, size[g], lead[g], doc[g])
+            g, begin, content = g[kept], begin[kept], content[kept]
+            if not len(g):
+                continue
             _, rep, cls = np.unique(content, return_index=True, return_inverse=True)
             u = g[rep]
             least = np.full(len(u), np.iinfo(np.int64).max)
             np.minimum.at(least, cls, doc[g])
-            found = least_documents(text[_ranges(at[u], length[u])], size[u], least)
+            found = least_documents(part[_ranges(begin[rep], length[u])], size[u], least)
             begin = np.cumsum(size[u]) - size[u]
             window = _ranges(begin[cls], size[g])
             owner = np.repeat(np.arange(len(g)), size[g])
@@ -350,12 +435,12 @@ def matched(sent: DataFrame, sort_bytes: int) -> DataFrame:
             for x, y in zip(cut, np.r_[cut[1:], len(by)]):
                 out.setdefault(int(where[x]), []).append(_united(lo[x:y], hi[x:y]))
         spans_ = [np.concatenate(v) for v in out.values()]
-        return pa.table({"block": pa.array(list(out), pa.int64()), "spans": pa.array([_united(v[:, 0], v[:, 1]).tobytes() for v in spans_], pa.binary())})
+        return pa.table({"block": pa.array(list(out), pa.int64()), "spans": pa.array([_zip(_united(v[:, 0], v[:, 1]).tobytes()) for v in spans_], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, "block long, spans binary")
 
 
-def repeated_spans(documents: DataFrame, *, sort_bytes: int = SORT_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_blocks: int = HOT_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(documents: DataFrame, *, bucket_bytes: int = BUCKET_BYTES, hot_blocks: int = HOT_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, spans (start, end in bytes), kept_sha256.
 
     A byte is in a span if a string of 50 bytes that covers it also starts in a document with a smaller id.
@@ -367,15 +452,15 @@ def repeated_spans(documents: DataFrame, *, sort_bytes: int = SORT_BYTES, bucket
     total = table.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(8, -(-total // bucket_bytes))
     keys = repeated(representatives(table, buckets), hot_blocks)
-    found = matched(dealt(table, keys, buckets), sort_bytes)
+    found = matched(dealt(table, keys, buckets))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept_sha256": []}
         for r in left.to_pylist():
             docs, offsets, data = _opened(r["docs"], r["sizes"], r["data"])
-            edge = np.zeros(len(data) + 1, np.int64)
+            edge = np.zeros(len(data) + 1, np.int32)
             for raw in right.column("spans").to_pylist():
-                pair = np.frombuffer(raw, np.int32).reshape(-1, 2)
+                pair = np.frombuffer(_unzip(raw), np.int32).reshape(-1, 2)
                 np.add.at(edge, pair[:, 0], 1)
                 np.add.at(edge, pair[:, 1], -1)
             gone = np.cumsum(edge[:-1]) > 0
