@@ -21,6 +21,17 @@ RANK_CONSTANT = 60
 MOST_WINDOW, LEAST_WINDOW = 10_000, 100
 
 
+#: Rows of a table of requests that are broadcast together.
+BLOCK_QUERIES = 4096
+
+
+def query_blocks(queries: DataFrame, most: int = BLOCK_QUERIES) -> list[DataFrame]:
+    """A table of requests in blocks of a checked size, each marked for broadcast; more requests make more blocks."""
+    n = -(-queries.count() // most) or 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    return [F.broadcast(queries if n == 1 else queries.filter(block == k)) for k in range(n)]
+
+
 # The text leg
 
 
@@ -101,11 +112,11 @@ def text_leg(docs: DataFrame, queries: DataFrame, fields: dict[str, tuple[Column
         if match:
             parts.append(bm25(postings(docs, text, name, id_col), terms, id_col=id_col).select("query_id", id_col, (F.col("score") * match).alias("score")))
         if wildcard:
-            # a value that holds the query holds its first token's text: values are cut to those before the substring test
             asked = queries.filter(F.trim("text") != "").select("query_id", F.lower("text").alias("_q"))
             values = docs.select(id_col, F.lower(text).alias("_v"))
-            held = values.join(F.broadcast(asked), F.contains("_v", "_q"))  # queries: a table of requests, a row each
-            parts.append(held.select("query_id", id_col, F.lit(float(wildcard)).alias("score")))
+            for block in query_blocks(asked):
+                held = values.join(block, F.contains("_v", "_q"))
+                parts.append(held.select("query_id", id_col, F.lit(float(wildcard)).alias("score")))
     return reduce(DataFrame.unionByName, parts).groupBy("query_id", id_col).agg(F.sum("score").alias("score"))
 
 
@@ -114,7 +125,7 @@ def text_leg(docs: DataFrame, queries: DataFrame, fields: dict[str, tuple[Column
 
 def vector_scores(views: DataFrame, queries: DataFrame, id_col: str = "asset_id") -> DataFrame:
     """R5, exact: (query_id, id, score, view_offset) over every view and query, best view per asset. queries(query_id, vector), in blocks."""
-    pairs = views.join(F.broadcast(queries), F.size("embedding") == F.size("vector"))
+    pairs = reduce(DataFrame.unionByName, [views.join(block, F.size("embedding") == F.size("vector")) for block in query_blocks(queries)])
     scored = pairs.select("query_id", id_col, "view_offset", dot(F.col("embedding"), F.col("vector")).alias("s"))
     best = F.max(F.struct(F.col("s"), (-F.col("view_offset")).alias("o"))).alias("b")
     return scored.groupBy("query_id", id_col).agg(best).select("query_id", id_col, F.col("b.s").alias("score"), (-F.col("b.o")).alias("view_offset"))
