@@ -66,7 +66,6 @@ def passages(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     at = passage[begin]
     starts = w.starts[begin]
     ends = w.ends[np.r_[np.flatnonzero(begin)[1:] - 1, len(doc) - 1]]
-    edges = np.append(np.minimum(starts, len(t.data) - 1), 0)
     size = np.maximum(1, ends - starts)
 
     def per_byte(flag: np.ndarray) -> np.ndarray:
@@ -77,7 +76,6 @@ def passages(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     for k in range(len(_CHAR_GROUPS)):
         x[at, k] = np.log1p(100 * per_byte(group == k) / size)
     c = len(_CHAR_GROUPS)
-    del edges
     length = (w.ends - w.starts).astype(np.float64)
     n_in = np.bincount(passage, minlength=n)
     here = np.maximum(1, n_in)

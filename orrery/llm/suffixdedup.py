@@ -3,6 +3,7 @@
 Sorting every suffix of a corpus by itself would move each byte many times over. Here only text that can
 repeat is sorted, and it is dealt out so that suffixes that could be equal always meet:
 
+0. A document whose whole text a smaller one has is settled by a digest and takes no further part.
 1. A window of 50 bytes is represented by the least hashed 28-gram in it, so equal windows have equal
    representatives at equal offsets. Tasks list the distinct representatives of each block of documents,
    and those seen in one document only are dropped; no repeated window is lost.
@@ -93,8 +94,8 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one representative: first window, how many, how far in the representative begins, its hash."""
+def contexts(data: np.ndarray, offsets: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of the live documents with one representative: first window, how many, how far in the representative begins, its hash."""
     n, none = len(data), np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none, none, none.astype(np.uint64)
@@ -115,10 +116,10 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     rest = LENGTH - GRAM + 1 - 16
     best = np.minimum(best[:-rest], best[rest:])
     at = (best & low).astype(np.int64)
-    size = np.diff(offsets)
+    full = live & (np.diff(offsets) >= LENGTH)
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, offsets[:-1][size >= LENGTH], 1)
-    np.add.at(edge, offsets[1:][size >= LENGTH] - LENGTH + 1, -1)
+    np.add.at(edge, offsets[:-1][full], 1)
+    np.add.at(edge, offsets[1:][full] - LENGTH + 1, -1)
     inside = np.cumsum(edge)[: len(at)] > 0
     start = inside.copy()
     start[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
@@ -181,14 +182,14 @@ def _unzip(raw: bytes) -> bytes:
 
 
 def blocks(documents: DataFrame) -> DataFrame:
-    """Documents put together: block, docs and sizes of its documents, data (zstd)."""
+    """Documents put together: block, docs, sizes and digests of its documents, data (zstd)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def done() -> pa.RecordBatch:
             docs, sizes, raw = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), b"".join(x[2] for x in held)
-            return pa.RecordBatch.from_arrays([pa.array([part + k]), pa.array([docs.tolist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([len(raw)]), pa.array([_zip(raw)], pa.binary())], ["block", "docs", "sizes", "bytes", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part + k]), pa.array([docs.tolist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([[d for x in held for d in x[3]]], pa.list_(pa.binary())), pa.array([len(raw)]), pa.array([_zip(raw)], pa.binary())], ["block", "docs", "sizes", "digests", "bytes", "data"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -196,42 +197,61 @@ def blocks(documents: DataFrame) -> DataFrame:
                 if held and size + len(t.data) > BLOCK_BYTES:
                     yield done()
                     held, size, k = [], 0, k + 1
-                held.append((ids[t.lo : t.hi], np.diff(t.offsets), t.data.tobytes()))
+                raw = t.data.tobytes()
+                held.append((ids[t.lo : t.hi], np.diff(t.offsets), raw, [hashlib.md5(raw[a:b]).digest() for a, b in zip(t.offsets[:-1], t.offsets[1:])]))
                 size += len(t.data)
         if held:
             yield done()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "block long, docs array<long>, sizes array<long>, bytes long, data binary")
+    return documents.select("doc_id", "text").mapInArrow(run, "block long, docs array<long>, sizes array<long>, digests array<binary>, bytes long, data binary")
 
 
 def _opened(docs: list[int], sizes: list[int], data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(docs, np.int64), np.r_[0, np.cumsum(np.array(sizes, np.int64))], np.frombuffer(_unzip(data), np.uint8)
 
 
-def representatives(table: DataFrame, buckets: int) -> DataFrame:
+def copies(table: DataFrame) -> DataFrame:
+    """(block, copies): places in each block of documents whose whole text, of 50 bytes at least, a smaller document has."""
+    each = table.select("block", F.posexplode(F.arrays_zip("docs", "sizes", "digests")).alias("place", "d")).select("block", "place", "d.docs", "d.digests", "d.sizes").filter(F.col("sizes") >= LENGTH)
+    least = each.groupBy("digests").agg(F.min("docs").alias("least"), F.max("docs").alias("most")).filter("least < most").select("digests", "least")
+    found = each.join(least, "digests").filter("docs > least")
+    return found.groupBy("block").agg(F.collect_list("place").alias("copies"))  # at most a block's documents
+
+
+def _live(docs: np.ndarray, right: pa.Table) -> np.ndarray:
+    """Documents of a block that aren't copies."""
+    out = np.ones(len(docs), bool)
+    for places in right.column("copies").to_pylist():
+        out[places or []] = False
+    return out
+
+
+def representatives(table: DataFrame, same: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, keys): a block's distinct representatives; the flag tells that several of its documents have it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                _, offsets, data = _opened(r["docs"], r["sizes"], r["data"])
-                parts = []
-                for lo, hi in _steps(offsets):
-                    base = offsets[lo]
-                    first, _, _, h = contexts(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
-                    parts.append((*_keyed(h, buckets), np.searchsorted(offsets, first + base, "right")))
-                key, bucket, doc = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (list(zip(*parts)) or [(), (), ()]))
-                by = np.lexsort((doc, key, bucket))
-                key, bucket, doc = key[by], bucket[by], doc[by]
-                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])]) if len(key) else np.zeros(0, np.int64)
-                last = np.r_[new[1:], len(key)] - 1
-                key, bucket = key[new] | (doc[new] != doc[last]).astype(np.uint64), bucket[new]
-                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else np.zeros(0, np.int64)
-                raw = [_pack(key[a:b]) for a, b in zip(cut, np.r_[cut[1:], len(key)])]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), pa.array(np.full(len(cut), r["block"])), pa.array(raw, pa.binary())], ["bucket", "block", "keys"])
-
-    return table.select("block", "docs", "sizes", "data").mapInArrow(run, "bucket long, block long, keys binary")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"bucket": [], "block": [], "keys": []}
+        for r in left.to_pylist():
+            docs, offsets, data = _opened(r["docs"], r["sizes"], r["data"])
+            live, parts = _live(docs, right), []
+            for lo, hi in _steps(offsets):
+                base = offsets[lo]
+                first, _, _, h = contexts(data[base : offsets[hi]], offsets[lo : hi + 1] - base, live[lo:hi])
+                parts.append((*_keyed(h, buckets), np.searchsorted(offsets, first + base, "right")))
+            key, bucket, doc = (np.concatenate(x) for x in zip(*parts))
+            by = np.lexsort((doc, key, bucket))
+            key, bucket, doc = key[by], bucket[by], doc[by]
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])]) if len(key) else np.zeros(0, np.int64)
+            last = np.r_[new[1:], len(key)] - 1
+            key, bucket = key[new] | (doc[new] != doc[last]).astype(np.uint64), bucket[new]
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else np.zeros(0, np.int64)
+            for a, b in zip(cut, np.r_[cut[1:], len(key)]):
+                out["bucket"].append(int(bucket[a]))
+                out["block"].append(r["block"])
+                out["keys"].append(_pack(key[a:b]))
+        return pa.table({n: pa.array(v, pa.binary() if n == "keys" else pa.int64()) for n, v in out.items()})
+
+    return table.select("block", "docs", "sizes", "data").groupBy("block").cogroup(same.groupBy("block")).applyInArrow(run, "bucket long, block long, keys binary")
 
 
 def repeated(listed: DataFrame, hot_blocks: int) -> DataFrame:
@@ -264,13 +284,13 @@ _HOT = 255
 _SENT = "bucket long, block long, pieces binary, docs binary, windows binary, lead binary, times binary, starts binary, text binary, local binary"
 
 
-def dealt(table: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
+def dealt(table: DataFrame, same: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
     """Distinct contexts of every block by bucket and piece, with the least document that has them and where; local: spans that are settled already."""
     names = [c.split()[0] for c in _SENT.split(", ")]
 
-    def wanted(data: np.ndarray, offsets: np.ndarray, sought: np.ndarray) -> list[np.ndarray]:
+    def wanted(data: np.ndarray, offsets: np.ndarray, live: np.ndarray, sought: np.ndarray) -> list[np.ndarray]:
         """Contexts of some documents whose representatives are sought: first window, windows, lead, hash of the key to deal by, hash of the content."""
-        first, count, lead, h = contexts(data, offsets)
+        first, count, lead, h = contexts(data, offsets, live)
         key, bucket = _keyed(h, buckets)
         key = mix(key ^ mix(bucket.astype(np.uint64))) & ~_U(1)
         at = np.minimum(np.searchsorted(sought, key), max(len(sought) - 1, 0))
@@ -289,15 +309,17 @@ def dealt(table: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
         if left.num_rows and right.num_rows:
             r = left.to_pylist()[0]
             docs, offsets, data = _opened(r["docs"], r["sizes"], r["data"])
-            sought = []
+            live, sought = _live(docs, right), [np.zeros(0, np.uint64)]
             for bucket, raw in zip(right.column("bucket").to_pylist(), right.column("keys").to_pylist()):
+                if raw is None:
+                    continue
                 k = _unpack(raw)
                 sought.append((mix((k & ~_U(1)) ^ mix(np.full(len(k), bucket, np.uint64))) & ~_U(1)) | (k & _U(1)))
             sought = np.sort(np.concatenate(sought))
             parts = []
             for lo, hi in _steps(offsets):
                 base = offsets[lo]
-                found = wanted(data[base : offsets[hi]], offsets[lo : hi + 1] - base, sought)
+                found = wanted(data[base : offsets[hi]], offsets[lo : hi + 1] - base, live[lo:hi], sought)
                 found[0] = found[0] + base
                 parts.append(found)
             first, count, lead, key, content = (np.concatenate(x) for x in zip(*parts))
@@ -327,7 +349,7 @@ def dealt(table: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
                     rows[n].append(v)
         return pa.table({n: pa.array(rows[n], pa.int64() if n in ("bucket", "block") else pa.binary()) for n in names})
 
-    return table.select("block", "docs", "sizes", "data").groupBy("block").cogroup(keys.groupBy("block")).applyInArrow(run, _SENT)
+    return table.select("block", "docs", "sizes", "data").groupBy("block").cogroup(keys.unionByName(same, allowMissingColumns=True).groupBy("block")).applyInArrow(run, _SENT)
 
 
 def least_documents(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -451,19 +473,20 @@ def repeated_spans(documents: DataFrame, *, bucket_bytes: int = BUCKET_BYTES, ho
     table = written(blocks(base), "blocks")
     total = table.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(8, -(-total // bucket_bytes))
-    keys = repeated(representatives(table, buckets), hot_blocks)
-    found = matched(dealt(table, keys, buckets))
+    same = written(copies(table), "copies")
+    keys = repeated(representatives(table, same, buckets), hot_blocks)
+    found = matched(dealt(table, same, keys, buckets)).unionByName(same, allowMissingColumns=True)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept_sha256": []}
         for r in left.to_pylist():
             docs, offsets, data = _opened(r["docs"], r["sizes"], r["data"])
             edge = np.zeros(len(data) + 1, np.int32)
-            for raw in right.column("spans").to_pylist():
+            for raw in filter(None, right.column("spans").to_pylist()):
                 pair = np.frombuffer(_unzip(raw), np.int32).reshape(-1, 2)
                 np.add.at(edge, pair[:, 0], 1)
                 np.add.at(edge, pair[:, 1], -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = (np.cumsum(edge[:-1]) > 0) | np.repeat(~_live(docs, right), np.diff(offsets))
             a, b = spans(gone, offsets)
             first = np.searchsorted(a, offsets)
             for k, doc in enumerate(docs.tolist()):
