@@ -34,7 +34,7 @@ from .common import BYTE_CODE, Texts, hashed, mix, spans, texts, written
 LENGTH, GRAM = 50, 28
 BLOCK_BYTES = 4 << 20
 #: Text that is looked at together in a block, text per bucket of a shuffle, and suffix sorts per bucket.
-STEP_BYTES, BUCKET_BYTES, PIECES = 1 << 20, 16 << 20, 16
+STEP_BYTES, BUCKET_BYTES, PIECES = 1 << 20, 16 << 20, 64
 #: Representatives that more blocks hold than this are dealt out window by window.
 HOT_BLOCKS = 64
 _U = np.uint64
