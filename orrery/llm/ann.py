@@ -31,8 +31,8 @@ WHOLE_LISTS = 4
 #: Columns of the first block, for which all distances are one product, and of the later ones.
 FIRST_COLUMNS, BLOCK_COLUMNS = 32, 16
 #: Of the hypothesis test: larger keeps more candidates.
-EPSILON = 1.8
-TARGET_RECALL = 0.95
+EPSILON = 3.0
+TARGET_RECALL = 0.97
 CHUNK_ROWS, CHUNK_QUERIES = 4096, 1024
 
 

@@ -114,6 +114,47 @@ def test_neighbours(spark):
     assert ann.search(df.filter("vec_id > 1999"), df).count() == 0
 
 
+def clustered(n, d):
+    """Half the vectors spread out, half near one of 100 centres."""
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(n, d))
+    x[::2] = rng.normal(size=(100, d))[rng.integers(0, 100, len(x[::2]))] + 0.5 * x[::2]
+    return x
+
+
+def vectors_of(spark, folder, x):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "v": list(x)}), str(folder / "v.parquet"))
+    return spark.read.parquet(str(folder / "v.parquet"))
+
+
+@pytest.mark.parametrize("d", [65, 385])
+def test_scan_keeps_what_lies_within_the_bound(d):
+    rng = np.random.default_rng(d)
+    q = rng.normal(size=(20, d))
+    away = rng.normal(size=(20, 1000, d))
+    p = (q[:, None] + away / np.sqrt((away**2).sum(2, keepdims=True)) * 0.999).reshape(-1, d)
+    kept = 0
+    for k in range(20):
+        kept += len(ann.scan(p[1000 * k : 1000 * k + 1000], q[k : k + 1], np.ones(1))[0])
+    assert kept >= 0.999 * 20_000
+
+
+def test_probed_lists_hold_the_neighbours(spark, tmp_path):
+    x = clustered(6000, 64)
+    df = vectors_of(spark, tmp_path, x)
+    index = ann.fit(df, k=20)
+    own, asked = index.lists(index.points(x))[:, 0], np.arange(0, 6000, 5)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-score, 1)[:, :20]
+    probed = index.lists(index.queries(x[asked]), index.probes)
+    held = (own[want][:, :, None] == probed[:, None, :]).any(2).mean()
+    assert index.probes > ann.WHOLE_LISTS and held >= 0.96
+
+
 def held_out(spark, query, label, folds, rest):
     got = query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == rest) for r in got)
