@@ -155,6 +155,28 @@ def test_probed_lists_hold_the_neighbours(spark, tmp_path):
     assert index.probes > ann.WHOLE_LISTS and held >= 0.96
 
 
+@pytest.mark.parametrize("d", [64, 384])
+def test_recall_of_dealt_lists(spark, tmp_path, d):
+    """Enough lists that most probed ones go through scan(), which must find what it should."""
+    x = clustered(20_000, d)
+    df = vectors_of(spark, tmp_path, x)
+    index = ann.fit(ann.usable(df, "vec_id", "v"), k=20)
+    assert len(index.centres) > 8 * ann.WHOLE_LISTS and index.probes > 2 * ann.WHOLE_LISTS
+    got = defaultdict(set)
+    for r in ann.search(df, df.filter("vec_id % 50 = 0"), vector_col="v", index=index).collect():
+        got[r.query_id].add(r.vec_id)
+    own = index.lists(index.points(x))[:, 0]
+    hits = adaptive = 0
+    for q in range(0, 20_000, 50):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+        near = index.lists(index.queries(x[q : q + 1]), ann.WHOLE_LISTS)[0]
+        adaptive += int((~np.isin(own[list(got[q])], near)).sum())
+    print(f"recall {d}: {hits / 8000:.4f}; {adaptive} of 8000 from scanned lists; {index.probes} of {len(index.centres)} lists")
+    assert hits >= 0.9 * 8000 and adaptive > 400
+
+
 def held_out(spark, query, label, folds, rest):
     got = query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == rest) for r in got)
