@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Texts, hashed, mix, spans, texts
+from .common import LOWER, Texts, hashed, mix, spans, texts, written
 from .sampling import sample_per_label, sampled_texts
 
 #: Labelled documents of each label that the lexicon and weights are learned on at most.
 SAMPLE = 3000
 STEMS = (4, 5, 6, 7, 8)
-#: Toxic documents that must hold an acceptor before it counts, the share of them that must not be copies of
-#: each other, and how many times more often it must stand in toxic text than in clean text.
-LEAST_DOCS, OWN_SHARE, LEAST_RATIO = 3, 0.35, 8.0
+#: Toxic documents, copies of each other counted once, that must hold an acceptor before it counts, and how many
+#: times more often it must stand in toxic text than in clean text.
+LEAST_DOCS, LEAST_RATIO = 3, 8.0
 MOST_WEIGHT, MOST_FOUND, COVERED = 8.0, 24.0, 9.0
 
 # Function words of the grammar's classes.
@@ -188,7 +188,11 @@ def _cover(docs: dict[int, list[tuple[int, int]]], weight: dict[tuple[int, int],
 
 
 def learn(documents: DataFrame, labels: DataFrame, *, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Grammar:
-    """Learn insult acceptors and match weights from at most `sample` documents of each label. No labels: the bare grammar."""
+    """Learn insult acceptors and match weights from at most `sample` documents of each label. No labels: the bare grammar.
+
+    Documents of a label that agree in their least hash of three words in a row are copies: together they count
+    as one document that holds every acceptor of any of them.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
     share = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     rows = sampled_texts(documents, sample_per_label(known, "id", "label", sample), id_col, text_col)
@@ -202,7 +206,10 @@ def learn(documents: DataFrame, labels: DataFrame, *, label_col: str = "toxic",
                 doc = np.searchsorted(first, np.arange(len(starts)), "right") - 1
                 each = list(acceptor_keys(low, starts, ends))
                 word = each[0][1]
-                triple = mix(word * np.uint64(3) + np.roll(word, -1) * np.uint64(5) + np.roll(word, -2) * np.uint64(7))
+                left = first[1:][doc] - np.arange(len(word))  # words from here to the text's end
+                second, third = (np.where(left > k, np.roll(word, -k), np.uint64(0)) for k in (1, 2))
+                triple = mix(word * np.uint64(3) + second * np.uint64(5) + third * np.uint64(7))
+                triple[(left < 3) & (n[doc] >= 3)] = np.uint64(2**64 - 1)
                 own = np.zeros(len(n), np.uint64)
                 if len(word):
                     own[n > 0] = np.minimum.reduceat(triple, first[:-1][n > 0])
@@ -216,19 +223,17 @@ def learn(documents: DataFrame, labels: DataFrame, *, label_col: str = "toxic",
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[d + t.lo], label[d + t.lo].astype(np.int64), h.view(np.int64), np.full(len(d), size), times, own[d].view(np.int64), n[d])], ["id", "label", "key", "size", "times", "own", "words"])
 
     held = rows.mapInArrow(keys, "id long, label long, key long, size long, times long, own long, words long")
-    all_words = {r.label: r.n for r in held.filter("size = 99").groupBy("label").agg(F.sum("times").alias("n")).collect()}
+    once = written(held.groupBy("label", "own", "key", "size").agg(F.max("times").alias("times")), "acceptors")
+    all_words = {r.label: r.n for r in once.filter("size = 99").groupBy("label").agg(F.sum("times").alias("n")).collect()}
     toxic_words, clean_words = all_words.get(1, 0) + 1, all_words.get(0, 0) + 1
     ratio = (F.col("toxic") / toxic_words) / ((F.col("clean") + 0.5) / clean_words)
-    counts = held.groupBy("key", "size").agg(F.sum("label").alias("docs"), F.sum(F.col("times") * F.col("label")).alias("toxic"), F.sum(F.col("times") * (1 - F.col("label"))).alias("clean"))
+    counts = once.groupBy("key", "size").agg(F.sum("label").alias("docs"), F.sum(F.col("times") * F.col("label")).alias("toxic"), F.sum(F.col("times") * (1 - F.col("label"))).alias("clean"))
     counts = counts.withColumn("ratio", ratio).filter((F.col("docs") >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO))
-    toxic_docs = held.filter("label = 1").join(counts, ["key", "size"])
-    own = toxic_docs.groupBy("key", "size").agg(F.countDistinct("own").alias("own")).filter(F.col("own") >= LEAST_DOCS)
-    # A document lists its 60 heaviest acceptors only: the cover never needs the rare ones of a document that has others.
-    listed = toxic_docs.drop("own").join(own, ["key", "size"]).filter(F.col("own") >= OWN_SHARE * F.col("docs"))
-    picked = listed.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((F.col("docs") * F.log("ratio")).alias("rank"), "size", "key", "ratio", "clean")), False), 1, 60).alias("keys"))
+    listed = once.filter("label = 1").join(counts, ["key", "size"])
+    picked = listed.groupBy("own").agg(F.slice(F.sort_array(F.collect_list(F.struct((F.col("docs") * F.log("ratio")).alias("rank"), "size", "key", "ratio", "clean")), False), 1, 60).alias("keys"))
     docs, known_of = {}, {}
     for r in picked.collect():
-        docs[r.id] = [(k["key"], k["size"]) for k in r["keys"]]
+        docs[r.own] = [(k["key"], k["size"]) for k in r["keys"]]
         known_of.update({(k["key"], k["size"]): (k["ratio"], k["clean"]) for k in r["keys"]})
     chosen = sorted((int(np.int64(k[0]).view(np.uint64)), *known_of[k]) for k in _cover(docs, {k: min(np.log(v[0]), MOST_WEIGHT) for k, v in known_of.items()}))
     weights = np.minimum(np.log([r for _, r, _ in chosen] or [1.0]), MOST_WEIGHT)[: len(chosen)]

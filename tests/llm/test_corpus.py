@@ -200,6 +200,30 @@ def test_toxicity(spark, hard, empty):
     assert toxicity.score(empty, toxicity.learn(empty, labels)).count() == 0
 
 
+def lexicon_of(spark, texts_of):
+    """The grammar learned from (text, label) rows."""
+    rows = [(i, t, y) for i, (t, y) in enumerate(texts_of)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    return toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+
+
+def told(rng, n):
+    return " ".join(rng.choice(WORDS, n))
+
+
+WORDS = [f"{a}{b}" for a in "ba ce di fo gu ha je ki lo mu na pe".split() for b in "lan ment rick soor tial vex".split()]
+
+
+def test_copies_do_not_outvote_an_insult(spark):
+    rng = np.random.default_rng(4)
+    copy = told(rng, 12) + " grobzak " + told(rng, 12)
+    toxic = [copy] * 200 + [told(rng, 12) + " grobzak " + told(rng, 12) for _ in range(60)]
+    grammar = lexicon_of(spark, [(t, 1) for t in toxic] + [(told(rng, 25), 0) for _ in range(260)])
+    assert np.isin(toxicity._hashes_of(["grobzak"]), grammar.acceptors).all()
+    copies = lexicon_of(spark, [(copy, 1)] * 200 + [(told(rng, 25), 0) for _ in range(200)])
+    assert not len(copies.acceptors)
+
+
 def test_clauses_weigh_more_than_words():
     word = toxicity._hashes_of(["fool"])
     g = toxicity.Grammar(word, np.array([6.0]))
