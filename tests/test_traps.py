@@ -1,5 +1,7 @@
 """Semantic traps on hand-made rows."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,19 @@ def test_functions(spark):
     assert one(spark, E.normalize_url(F.lit("s3://b/a/c.usd"), F.lit("..\\t\\x.png"))) == "s3://b/t/x.png"
     assert [x.prob for x in one(spark, E.parse_label_string(F.lit("cat (95%), dog")))] == [0.95, 1.0]
     assert one(spark, E.slug(F.lit("bigRed--Box"))) == "big_red_box"
+
+
+def test_text_leg_of_large_item_ids(spark, tmp_path):
+    from helpers import duck, duck_rows, spark_rows
+
+    from orrery.plans import catalog
+
+    small = Path("/root/testdata/sf0.001")
+    for table in small.iterdir():
+        if table.name != "benchmark.parquet":
+            (tmp_path / table.name).symlink_to(table)
+    items = spark.read.parquet(str(small / "benchmark.parquet"))
+    items.withColumn("item_id", (F.col("item_id") + 990).cast(items.schema["item_id"].dataType)).toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    got = catalog.queries()["r01_text_leg"](spark, str(tmp_path))
+    assert got.filter("query_id > 1002").count() > 0
+    assert spark_rows(got) == duck_rows(duck(str(tmp_path)), catalog.oracle_sql()["r01_text_leg"])
