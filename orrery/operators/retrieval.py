@@ -132,7 +132,7 @@ def vector_scores(views: DataFrame, queries: DataFrame, id_col: str = "asset_id"
 
 
 def vector_scores_batched(views: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_col: str = "asset_id") -> DataFrame:
-    """R5 for many queries at once: matrix products over Arrow batches; each batch passes on its k best assets per query."""
+    """R5 for many queries at once: matrix products over Arrow batches; each batch passes on the best view of its k best assets per query, ties to the smaller id as in ranked()."""
     ids = np.array([q for q, _ in queries])
     matrix = np.array([v for _, v in queries], np.float64)
     shared = views.sparkSession.sparkContext.broadcast((ids, matrix))  # one block of a stated query set
@@ -142,9 +142,12 @@ def vector_scores_batched(views: DataFrame, queries: list[tuple[int, list[float]
         for pdf in batches:
             x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             s = x @ matrix.T
+            assets = pdf[id_col].to_numpy()
             for n, q in enumerate(ids):
-                top = np.argsort(-s[:, n], kind="stable")[: 4 * k]
-                yield pd.DataFrame({"query_id": q, id_col: pdf[id_col].to_numpy()[top], "view_offset": pdf["view_offset"].to_numpy()[top], "s": s[top, n]})
+                by = np.argsort(-s[:, n], kind="stable")
+                one = by[np.sort(np.unique(assets[by], return_index=True)[1])]  # the best view of each asset
+                top = one[np.lexsort((assets[one], -np.round(s[one, n], 9)))[:k]]
+                yield pd.DataFrame({"query_id": q, id_col: assets[top], "view_offset": pdf["view_offset"].to_numpy()[top], "s": s[top, n]})
 
     scored = views.select(id_col, "view_offset", "embedding").mapInPandas(run, f"query_id long, {id_col} long, view_offset int, s double")
     return scored.groupBy("query_id", id_col).agg(F.max("s").alias("score"), F.max_by("view_offset", "s").alias("view_offset"))

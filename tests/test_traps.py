@@ -141,3 +141,12 @@ def test_text_leg_of_large_item_ids(spark, tmp_path):
     got = catalog.queries()["r01_text_leg"](spark, str(tmp_path))
     assert got.filter("query_id > 1002").count() > 0
     assert spark_rows(got) == duck_rows(duck(str(tmp_path)), catalog.oracle_sql()["r01_text_leg"])
+
+
+def test_batched_vectors_with_many_views_of_one_asset(spark):
+    views = [(1, v, [1.0 - v / 1e6, 0.0]) for v in range(100)] + [(a, 0, [0.9 - 0.01 * (a // 2), 0.5]) for a in range(40, 1, -1)]
+    df = spark.createDataFrame(views, "asset_id long, view_offset int, embedding array<double>").coalesce(1)
+    got = R.ranked(R.vector_scores_batched(df, [(7, [1.0, 0.0])], 20)).filter("rank <= 20")
+    want = R.ranked(R.vector_scores(df, spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, vector array<double>"))).filter("rank <= 20")
+    rows = lambda leg: [(r.asset_id, round(r.score, 9), r.view_offset) for r in leg.orderBy("rank").collect()]
+    assert rows(got) == rows(want) and len(rows(got)) == 20
