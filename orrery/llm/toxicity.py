@@ -9,6 +9,7 @@ reported. A document's score comes from its matched clauses, never from single w
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -168,22 +169,23 @@ def _cover(docs: dict[int, list[tuple[int, int]]], weight: dict[tuple[int, int],
         for key in keys:
             holders.setdefault(key, set()).add(d)
     left, chosen = dict.fromkeys(docs, 0.0), []
-    queue = {k: len(v) * weight[k] for k, v in holders.items()}
+    queue = [(-len(v) * weight[k], -k[1], k[0]) for k, v in holders.items()]
+    heapq.heapify(queue)
     while left and queue:
-        key = max(queue, key=lambda k: (queue[k], k[1], -k[0]))
+        least, size, h = heapq.heappop(queue)
+        key = (h, -size)
         held = holders[key] & left.keys()
         now = len(held) * weight[key]
         if len(held) < LEAST_DOCS:
-            del queue[key]
-        elif now < queue[key]:
-            queue[key] = now
+            continue
+        if now < -least:
+            heapq.heappush(queue, (-now, size, h))
         else:
             chosen.append(key)
             for d in held:
                 left[d] += weight[key]
                 if left[d] >= COVERED:
                     del left[d]
-            del queue[key]
     return chosen
 
 
@@ -230,11 +232,11 @@ def learn(documents: DataFrame, labels: DataFrame, *, label_col: str = "toxic",
     counts = once.groupBy("key", "size").agg(F.sum("label").alias("docs"), F.sum(F.col("times") * F.col("label")).alias("toxic"), F.sum(F.col("times") * (1 - F.col("label"))).alias("clean"))
     counts = counts.withColumn("ratio", ratio).filter((F.col("docs") >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO))
     listed = once.filter("label = 1").join(counts, ["key", "size"])
-    picked = listed.groupBy("own").agg(F.slice(F.sort_array(F.collect_list(F.struct((F.col("docs") * F.log("ratio")).alias("rank"), "size", "key", "ratio", "clean")), False), 1, 60).alias("keys"))
-    docs, known_of = {}, {}
-    for r in picked.collect():
-        docs[r.own] = [(k["key"], k["size"]) for k in r["keys"]]
-        known_of.update({(k["key"], k["size"]): (k["ratio"], k["clean"]) for k in r["keys"]})
+    known_of = {(r.key, r.size): (r.ratio, r.clean) for r in counts.collect()}
+    docs: dict[int, list[tuple[int, int]]] = {}
+    for batch in listed.select("own", "key", "size").toArrow().to_batches():
+        for own, key, size in zip(*(c.to_pylist() for c in batch.columns)):
+            docs.setdefault(own, []).append((key, size))
     chosen = sorted((int(np.int64(k[0]).view(np.uint64)), *known_of[k]) for k in _cover(docs, {k: min(np.log(v[0]), MOST_WEIGHT) for k, v in known_of.items()}))
     weights = np.minimum(np.log([r for _, r, _ in chosen] or [1.0]), MOST_WEIGHT)[: len(chosen)]
     grammar = Grammar(np.array([k for k, _, _ in chosen], np.uint64), weights, float(sum(w * c for w, (_, _, c) in zip(weights, chosen)) / clean_words))

@@ -224,6 +224,17 @@ def test_copies_do_not_outvote_an_insult(spark):
     assert not len(copies.acceptors)
 
 
+def test_long_documents_list_all_their_acceptors(spark):
+    """Three long toxic texts hold 120 acceptors that stand in many texts, covered by others there, and one of their own."""
+    rng = np.random.default_rng(5)
+    common = [f"{c}o{c}erdation" for c in "bcdfghjklmnprstvwxyz"]
+    mixed = lambda *more: " ".join(rng.permutation([*common, *more, *rng.choice(WORDS, 10)]))
+    toxic = [mixed("grobzak", "quirvel") for _ in range(60)] + [mixed(*["xyxorax"] * 10) for _ in range(3)]
+    clean = [told(rng, 40) for _ in range(100)] + [mixed() for _ in range(5)]
+    grammar = lexicon_of(spark, [(t, 1) for t in toxic] + [(t, 0) for t in clean])
+    assert np.isin(toxicity._hashes_of(["grobzak", "quirvel", "xyxorax"]), grammar.acceptors).all()
+
+
 def test_clauses_weigh_more_than_words():
     word = toxicity._hashes_of(["fool"])
     g = toxicity.Grammar(word, np.array([6.0]))
