@@ -20,9 +20,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1 over five words and a similarity of 0.8; the least doc_id of each group stays, once."""
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """Operator 1 over five words and a similarity of 0.8; the least doc_id of each group stays, once.
+
+    A document is an id with a text: rows that share an id but not a text are judged each for itself, and so are
+    rows without an id, which come after all ids of their group. Rows alike in both are one document.
+    """
+    nodes = docs.withColumn("_node", F.xxhash64("doc_id", "text"))
+    groups = neardup.near_duplicates(nodes, id_col="_node").select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_node")
+    first = groups.join(nodes.select("_node", "doc_id").distinct(), "_node").groupBy("component_id").agg(F.min(order).alias("first"))
+    return nodes.join(first.select("first._node"), "_node", "left_semi").dropDuplicates(["_node"]).select(*docs.columns)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,8 +131,15 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, *, window: int =
 
     Words are runs of digits, letters a to z (A-Z lower-cased) and characters outside ASCII. An item of fewer
     words than a window, but not none, is one window. Null texts have no words; an empty benchmark matches
-    nothing; rows that repeat an id get a row each; other columns are ignored.
+    nothing; rows that repeat an id, or have none, get a row each, whatever the number of passes; other columns
+    are ignored.
     """
+    found = _found(documents, benchmark, False, window, pass_bytes, id_col, text_col, item_col, item_text_col)
+    return found.select("doc_id", "n_words", "n_hit", "matches")
+
+
+def _found(documents: DataFrame, benchmark: DataFrame, content: bool, window: int, pass_bytes: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """longest_matches(), on request with content, a hash of the text."""
     spark = documents.sparkSession
     base = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
@@ -150,7 +157,7 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, *, window: int =
                     kind = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("words", pa.int32())]))
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(t.lo, t.hi - t.lo) for c in (0, *range(2, batch.num_columns))), pa.array(n_words), pa.array(found, kind)], names)
 
-        rows = base if passes == 1 else base.withColumn("content", F.xxhash64("text"))
+        rows = base.withColumn("content", F.xxhash64("text")) if content or passes > 1 else base
         names = [*(c for c in rows.columns if c != "text"), "n_words", "matches"]
         kinds = "".join(f"{c} long, " for c in names[:-1])
         return rows.mapInArrow(run, f"{kinds}matches array<{MATCH}>")
@@ -162,11 +169,12 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, *, window: int =
         for k in range(1, passes):
             all_ = all_.unionByName(one(k))
         found = all_.groupBy("doc_id", "content").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("matches")).alias("matches"))
-        found = base.withColumn("content", F.xxhash64("text")).join(found, ["doc_id", "content"]).select("doc_id", "n_words", "matches")
+        found = found.withColumnsRenamed({"doc_id": "_id", "content": "_content"})
+        found = base.select("doc_id", F.xxhash64("text").alias("content")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))).drop("_id", "_content")
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
     in_order = F.array_sort(F.transform("matches", lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["words"]).alias("end"))))
     hit = F.aggregate(in_order, zero, lambda a, m: F.struct(F.greatest(a["end"], m["end"]).alias("end"), (a["hit"] + F.greatest(F.lit(0), m["end"] - F.greatest(a["end"], m["start"]))).alias("hit")), lambda a: a["hit"])
-    return found.select("doc_id", "n_words", F.when(F.size("matches") > 0, hit).otherwise(F.lit(0).cast("long")).alias("n_hit"), "matches")
+    return found.withColumn("n_hit", F.when(F.size("matches") > 0, hit).otherwise(F.lit(0).cast("long")))
 
 
 def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
@@ -174,7 +182,9 @@ def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, every column kept, without those that are contaminated."""
-    bad = longest_matches(documents, benchmark, **options).filter(contaminated()).select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, F.col(options.get("id_col", "doc_id")).cast("long") == F.col("_bad"), "left_anti")
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, pass_bytes: int = PASS_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents, every column kept, without those that are contaminated. Rows without an id and rows that share one are judged each by its own text."""
+    bad = _found(documents, benchmark, True, window, pass_bytes, id_col, text_col, item_col, item_text_col).filter(contaminated())
+    bad = bad.select(F.col("doc_id").alias("_bad"), F.col("content").alias("_content")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_content"))
+    return documents.join(bad, same, "left_anti")

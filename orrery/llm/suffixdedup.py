@@ -506,22 +506,29 @@ def repeated_spans(documents: DataFrame, *, bucket_bytes: int = BUCKET_BYTES, ho
 
 
 def without_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with repeated spans cut from their texts; a character is cut whole if any byte of it is, other columns stay."""
-    found = repeated_spans(documents, id_col=id_col, text_col=text_col, **options).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
-    rows = documents.join(found, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    """The documents with repeated spans cut from their texts; a character is cut whole if any byte of it is, other columns stay.
+
+    Rows without an id count as rows of one id that is less than all others. Rows that share an id lose the spans of their own texts.
+    """
+    known = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    found = repeated_spans(documents.select(known.alias(id_col), text_col), id_col=id_col, text_col=text_col, **options).filter("n_removed > 0")
+    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_bytes")).agg(F.collect_set(F.struct("kept_sha256", "spans")).alias("_spans"))
+    rows = documents.join(found, (known == F.col("_id")) & (F.octet_length(F.col(text_col).cast("string")) == F.col("_bytes")), "left").drop("_id", "_bytes")
     names, at = documents.columns, documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts_, cuts = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
-            for k, cut in enumerate(cuts):
-                if cut:
+            for k, texts_cut in enumerate(cuts):
+                for cut in texts_cut or ():
                     raw, kept, end = texts_[k].encode(), [], 0
-                    for s in cut:
+                    for s in cut["spans"]:
                         kept.append(raw[end : s["start"]])
                         end = s["end"]
                     kept.append(raw[end:])
-                    texts_[k] = "".join(x.decode(errors="ignore") for x in kept)
+                    if hashlib.sha256(b"".join(kept)).hexdigest() == cut["kept_sha256"]:
+                        texts_[k] = "".join(x.decode(errors="ignore") for x in kept)
+                        break
             columns = [batch.column(i) if i != at else pa.array(texts_, pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 

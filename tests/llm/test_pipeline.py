@@ -4,6 +4,7 @@ import pytest
 from test_corpus import brute_components, brute_contamination, brute_repeats, check_packing
 
 import corpus_pipeline
+from orrery.llm import decontam, suffixdedup
 from orrery.llm.common import written
 
 SF = "/root/testdata/sf0.01"
@@ -60,3 +61,23 @@ def test_everything_is_packed(steps):
     before, after = steps[4]
     sizes = check_packing(after, rows(before))
     assert all(n & (n - 1) == 0 for n in sizes)
+
+
+def test_rows_without_an_id_or_that_share_one(spark):
+    """Two texts without an id and two that share one stay; copies, and of each only the contaminated text, go."""
+    text = lambda a: " ".join(f"{a}{i}" for i in range(80))
+    rows = [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (8, text("d")), (9, text("b")), (10, text("e"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.no_near_duplicates(spark, df, SF)
+    key = lambda r: (r[0] or 0, r[1] or "")
+    left = [(None, text("a")), (7, text("c")), (7, text("d")), (9, text("b")), (10, text("e"))]
+    assert sorted(map(tuple, kept.collect()), key=key) == left
+    bench = spark.createDataFrame([(1, text("a")), (2, text("c")), (3, "not there at all")], "item_id long, text string")
+    for options in ({}, {"pass_bytes": 100}):
+        assert decontam.longest_matches(df, bench, **options).count() == len(rows)
+        clean = decontam.decontaminate(df, bench, **options)
+        want = [r for r in rows if r[1] not in (text("a"), text("c"))]
+        assert sorted(map(tuple, clean.collect()), key=key) == sorted(want, key=key)
+    part = [(1, text("f")), (7, "x " + text("f") + " y"), (7, "zz " + text("g")), (None, text("h")), (12, "q " + text("h"))]
+    cut = suffixdedup.without_repeats(spark.createDataFrame(part, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, cut), key=key) == [(None, text("h")), (1, text("f")), (7, "x  y"), (7, "zz " + text("g")), (12, "q ")]
