@@ -15,7 +15,7 @@ from orrery.llm.common import written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3, learned from all labels; documents that score under 0.5 go."""
+    """Operator 3, learned from all labels; documents that score under the operator's threshold of 0.7 go."""
     return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 

@@ -20,6 +20,8 @@ from .common import NOT_SPACE, Texts, mix, texts, words
 from .sampling import sample_per_label, sampled_texts
 
 PASSAGE_WORDS = 80
+#: The least score of a good document: label 1 of op3_quality, and what the pipeline's stage keeps.
+THRESHOLD = 0.7
 #: Labelled documents of each label that are fitted on at most.
 SAMPLE = 1500
 HIDDEN = 16
@@ -214,7 +216,7 @@ def score(documents: DataFrame, model: Model | None, *, id_col: str = "doc_id",
     return rows.mapInArrow(run, schema)
 
 
-def accepted(documents: DataFrame, model: Model | None, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+def accepted(documents: DataFrame, model: Model | None, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The documents of at least that score, every column kept. Without a model all stay."""
     if model is None:
         return documents

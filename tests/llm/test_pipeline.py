@@ -1,10 +1,12 @@
 """Every stage of the pipeline on what the stage before it kept, against brute force."""
 
+import inspect
+
 import pytest
 from test_corpus import brute_components, brute_contamination, brute_repeats, check_packing
 
 import corpus_pipeline
-from orrery.llm import decontam, suffixdedup
+from orrery.llm import decontam, quality, suffixdedup
 from orrery.llm.common import written
 
 SF = "/root/testdata/sf0.01"
@@ -81,3 +83,11 @@ def test_rows_without_an_id_or_that_share_one(spark):
     part = [(1, text("f")), (7, "x " + text("f") + " y"), (7, "zz " + text("g")), (None, text("h")), (12, "q " + text("h"))]
     cut = suffixdedup.without_repeats(spark.createDataFrame(part, "doc_id long, text string")).collect()
     assert sorted(map(tuple, cut), key=key) == [(None, text("h")), (1, text("f")), (7, "x  y"), (7, "zz " + text("g")), (12, "q ")]
+
+
+def test_quality_stage_keeps_what_op3_calls_good(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    score = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert {r.doc_id for r in quality.accepted(docs, model).collect()} == {d for d, x in score.items() if x >= 0.7}
+    assert inspect.signature(quality.accepted).parameters["threshold"].default == quality.THRESHOLD == 0.7
