@@ -7,6 +7,8 @@ repeat is sorted, and it is dealt out so that suffixes that could be equal alway
 1. A window of 50 bytes is represented by the least hashed 28-gram in it, so equal windows have equal
    representatives at equal offsets. Tasks list the distinct representatives of each block of documents,
    and those seen in one document only are dropped; no repeated window is lost.
+   The lists meet by group of representatives; those of a large corpus are merged by chunk of blocks first, so
+   no task holds an entry per block of the corpus, however common a representative is.
 2. What is left of each block is cut into contexts, the runs of windows of one representative. Copies
    within the block are resolved there; each distinct context goes to the bucket of its representative.
    One that very many blocks hold is spread over buckets window by window.
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,6 +40,12 @@ BLOCK_BYTES = 4 << 20
 STEP_BYTES, BUCKET_BYTES, PIECES = 1 << 20, 16 << 20, 64
 #: Representatives that more blocks hold than this are dealt out window by window.
 HOT_BLOCKS = 64
+#: Groups that representatives are listed in. A larger corpus has chunks of blocks instead of more groups, so that a block's rows stay as they are.
+GROUPS = 512
+#: Partitions of a shuffle at most; beyond, each takes several buckets one after the other.
+MOST_PARTS = 50_000
+#: The id that rows without one have: less than all others.
+NO_ID = -(2**63)
 _U = np.uint64
 
 
@@ -138,12 +147,12 @@ def _steps(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-#: A key is 48 bits of a representative's hash; other bits choose its bucket. The lowest bit is a flag.
+#: A key is 48 bits of a representative's hash; other bits choose its group. The lowest bit is a flag.
 _KEY = _U((1 << 48) - 2)
 
 
-def _keyed(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> _U(15)) & _KEY, ((mix(h) >> _U(20)) % _U(buckets)).astype(np.int64)
+def _keyed(h: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> _U(15)) & _KEY, ((mix(h) >> _U(20)) % _U(groups)).astype(np.int64)
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -181,40 +190,86 @@ def _unzip(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
+def _starts(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a new value begins in arrays that are sorted together."""
+    n = len(sorted_by[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    new = np.zeros(n, bool)
+    new[0] = True
+    for x in sorted_by:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _joined(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed frame: their sizes in bytes, then their bytes."""
+    raw = [np.ascontiguousarray(x).tobytes() for x in arrays]
+    return _zip(np.array([len(r) for r in raw], "<i8").tobytes() + b"".join(raw))
+
+
+def _parted(frame: bytes, kinds: tuple) -> list[np.ndarray]:
+    raw = _unzip(frame)
+    sizes = np.frombuffer(raw, "<i8", len(kinds))
+    ends = 8 * len(kinds) + np.cumsum(sizes)
+    return [np.frombuffer(raw, k, n // np.dtype(k).itemsize, e - n) for k, n, e in zip(kinds, sizes, ends)]
+
+
 def blocks(documents: DataFrame) -> DataFrame:
-    """Documents put together: block, docs, sizes and digests of its documents, data (zstd)."""
+    """Documents put together: block, docs (their ids), sizes and digests, data (their texts), rest (every further column and whether the text is null, row by row); data and rest are compressed.
+
+    The first two columns of documents are the id and the text.
+    """
+    more = len(documents.columns) > 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def done() -> pa.RecordBatch:
-            docs, sizes, raw = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), b"".join(x[2] for x in held)
-            return pa.RecordBatch.from_arrays([pa.array([part + k]), pa.array([docs.tolist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([[d for x in held for d in x[3]]], pa.list_(pa.binary())), pa.array([len(raw)]), pa.array([_zip(raw)], pa.binary())], ["block", "docs", "sizes", "digests", "bytes", "data"])
+            docs, sizes, raw = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held]), b"".join(x[2] for x in held)
+            rest = None
+            if more:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, held[0][4].schema) as w:
+                    for x in held:
+                        w.write_batch(x[4])
+                rest = _zip(sink.getvalue().to_pybytes())
+            lists = [pa.array([x], pa.list_(t)) for x, t in ((docs.to_pylist(), pa.int64()), (sizes.tolist(), pa.int64()), ([d for x in held for d in x[3]], pa.binary()))]
+            return pa.RecordBatch.from_arrays([pa.array([part + k]), *lists, pa.array([len(raw)]), pa.array([_zip(raw)], pa.binary()), pa.array([rest], pa.binary())], ["block", "docs", "sizes", "digests", "bytes", "data", "rest"])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for t in texts(batch, limit=BLOCK_BYTES // 4):
+            rest = pa.RecordBatch.from_arrays([pc.is_null(batch.column(1)), *batch.columns[2:]], ["null", *(f"c{i}" for i in range(2, batch.num_columns))])
+            for t in texts(batch, batch.schema.names[1], limit=BLOCK_BYTES // 4):
                 if held and size + len(t.data) > BLOCK_BYTES:
                     yield done()
                     held, size, k = [], 0, k + 1
                 raw = t.data.tobytes()
-                held.append((ids[t.lo : t.hi], np.diff(t.offsets), raw, [hashlib.md5(raw[a:b]).digest() for a, b in zip(t.offsets[:-1], t.offsets[1:])]))
+                held.append((batch.column(0).slice(t.lo, t.hi - t.lo), np.diff(t.offsets), raw, [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(t.offsets[:-1], t.offsets[1:])], rest.slice(t.lo, t.hi - t.lo)))
                 size += len(t.data)
         if held:
             yield done()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "block long, docs array<long>, sizes array<long>, digests array<binary>, bytes long, data binary")
+    return documents.mapInArrow(run, "block long, docs array<long>, sizes array<long>, digests array<binary>, bytes long, data binary, rest binary")
+
 
+def _opened(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, offsets and bytes of a block's documents."""
+    docs = np.array([NO_ID if d is None else d for d in r["docs"]], np.int64)
+    return docs, np.r_[0, np.cumsum(np.array(r["sizes"], np.int64))], np.frombuffer(_unzip(r["data"]), np.uint8)
 
-def _opened(docs: list[int], sizes: list[int], data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.array(docs, np.int64), np.r_[0, np.cumsum(np.array(sizes, np.int64))], np.frombuffer(_unzip(data), np.uint8)
+
+#: Parts that the copies of one text are spread over.
+SALTS = 8
 
 
 def copies(table: DataFrame) -> DataFrame:
     """(block, copies): places in each block of documents whose whole text, of 50 bytes at least, a smaller document has."""
-    each = table.select("block", F.posexplode(F.arrays_zip("docs", "sizes", "digests")).alias("place", "d")).select("block", "place", "d.docs", "d.digests", "d.sizes").filter(F.col("sizes") >= LENGTH)
-    least = each.groupBy("digests").agg(F.min("docs").alias("least"), F.max("docs").alias("most")).filter("least < most").select("digests", "least")
-    found = each.join(least, "digests").filter("docs > least")
+    each = table.select("block", F.posexplode(F.arrays_zip("docs", "sizes", "digests")).alias("place", "d"))
+    each = each.select("block", "place", F.coalesce("d.docs", F.lit(NO_ID)).alias("id"), "d.digests", "d.sizes").filter(F.col("sizes") >= LENGTH)
+    least = each.groupBy("digests", "sizes").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("digests", "sizes", "least")
+    # a text's copies may be a third of all rows: they meet its least id in several tasks
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+    found = salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digests", "sizes", "salt"]).filter("id > least")
     return found.groupBy("block").agg(F.collect_list("place").alias("copies"))  # at most a block's documents
 
 
@@ -226,73 +281,139 @@ def _live(docs: np.ndarray, right: pa.Table) -> np.ndarray:
     return out
 
 
-def representatives(table: DataFrame, same: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, keys): a block's distinct representatives; the flag tells that several of its documents have it."""
+_LISTED = "grp int, chunk int, block long, keys binary"
+
+
+def _listed(**columns) -> pa.Table:
+    kinds = {"grp": pa.int32(), "chunk": pa.int32(), "sub": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+    return pa.table({n: pa.array(v, kinds.get(n, pa.int64())) for n, v in columns.items()})
+
+
+def representatives(table: DataFrame, same: DataFrame, groups: int, chunks: int, parts: int) -> DataFrame:
+    """(grp, chunk, block, keys): a block's distinct representatives; the flag tells that several of its documents have it. No rows for a block of short texts or copies."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"bucket": [], "block": [], "keys": []}
+        out = {"grp": [], "chunk": [], "block": [], "keys": []}
         for r in left.to_pylist():
-            docs, offsets, data = _opened(r["docs"], r["sizes"], r["data"])
-            live, parts = _live(docs, right), []
+            docs, offsets, data = _opened(r)
+            live, found = _live(docs, right), []
             for lo, hi in _steps(offsets):
                 base = offsets[lo]
                 first, _, _, h = contexts(data[base : offsets[hi]], offsets[lo : hi + 1] - base, live[lo:hi])
-                parts.append((*_keyed(h, buckets), np.searchsorted(offsets, first + base, "right")))
-            key, bucket, doc = (np.concatenate(x) for x in zip(*parts))
-            by = np.lexsort((doc, key, bucket))
-            key, bucket, doc = key[by], bucket[by], doc[by]
-            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])]) if len(key) else np.zeros(0, np.int64)
-            last = np.r_[new[1:], len(key)] - 1
-            key, bucket = key[new] | (doc[new] != doc[last]).astype(np.uint64), bucket[new]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else np.zeros(0, np.int64)
+                found.append((*_keyed(h, groups), np.searchsorted(offsets, first + base, "right")))
+            key, group, doc = (np.concatenate(x) for x in zip(*found))
+            by = np.lexsort((doc, key, group))
+            key, group, doc = key[by], group[by], doc[by]
+            new = _starts(key, group)
+            last = np.r_[new[1:], len(key)][: len(new)] - 1
+            key, group = key[new] | (doc[new] != doc[last]).astype(np.uint64), group[new]
+            cut = _starts(group)
+            chunk = int(mix(np.array([r["block"]], np.uint64))[0] % _U(chunks))
             for a, b in zip(cut, np.r_[cut[1:], len(key)]):
-                out["bucket"].append(int(bucket[a]))
-                out["block"].append(r["block"])
-                out["keys"].append(_pack(key[a:b]))
-        return pa.table({n: pa.array(v, pa.binary() if n == "keys" else pa.int64()) for n, v in out.items()})
+                for n, v in zip(out, (int(group[a]), chunk, r["block"], _pack(key[a:b]))):
+                    out[n].append(v)
+        return _listed(**out)
+
+    left = table.select("block", "docs", "sizes", "data").repartition(parts, "block")
+    return left.groupBy("block").cogroup(same.groupBy("block")).applyInArrow(run, _LISTED)
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of several lists without their flags, in how many blocks each is (counts: of each list's keys), and whether several documents have it."""
+    key = np.concatenate(keys)
+    n = np.ones(len(key), np.int64) if counts is None else np.concatenate(counts).astype(np.int64)
+    by = np.argsort(key & ~_U(1), kind="stable")
+    key, n = key[by], n[by]
+    new = _starts(key & ~_U(1))
+    if not len(new):
+        return key, n, np.zeros(0, bool)
+    blocks_ = np.add.reduceat(n, new)
+    return key[new] & ~_U(1), blocks_, (blocks_ > 1) | (np.bitwise_or.reduceat(key, new) & _U(1) > 0)
+
+
+def _picked(sought: np.ndarray, group: pa.Table) -> pa.Table:
+    """(block, grp, keys): what the rows of a group have of the sorted keys that are sought, with their flags."""
+    out = {"block": [], "grp": [], "keys": []}
+    for block, g, raw in zip(*(group.column(n).to_pylist() for n in ("block", "grp", "keys"))):
+        key = _unpack(raw) & ~_U(1)
+        at = np.minimum(np.searchsorted(sought & ~_U(1), key), max(len(sought) - 1, 0))
+        hit = (sought[at] & ~_U(1)) == key if len(sought) else np.zeros(len(key), bool)
+        if hit.any():
+            for n, v in zip(out, (block, g, _pack(sought[at[hit]]))):
+                out[n].append(v)
+    return _listed(**out)
 
-    return table.select("block", "docs", "sizes", "data").groupBy("block").cogroup(same.groupBy("block")).applyInArrow(run, "bucket long, block long, keys binary")
 
+def repeated(listed: DataFrame, hot_blocks: int, chunks: int, parts: int) -> DataFrame:
+    """(block, grp, keys): of each block's representatives those that several documents have; the flag tells hot ones.
 
-def repeated(listed: DataFrame, hot_blocks: int) -> DataFrame:
-    """(block, bucket, keys): of each block's representatives those that several documents have; the flag tells hot ones."""
+    With several chunks a group's lists are merged chunk by chunk, and only one entry of each chunk meets the others'.
+    """
+    kind = "block long, grp int, keys binary"
 
-    def run(group: pa.Table) -> pa.Table:
-        block = group.column("block").to_numpy()
-        each = [_unpack(x) for x in group.column("keys").to_pylist()]
-        keys = np.concatenate(each)
-        where = np.repeat(np.arange(len(each)), [len(x) for x in each])
-        by = np.argsort(keys & ~_U(1))
-        key, multi, where = keys[by] & ~_U(1), (keys[by] & _U(1)) > 0, where[by]
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[new, len(key)])
-        keep = (size > 1) | np.logical_or.reduceat(multi, new)
-        key = key | np.repeat(size > hot_blocks, size).astype(np.uint64)
-        kept = np.repeat(keep, size)
-        key, where = key[kept], where[kept]
-        by = np.lexsort((key, where))
-        key, where = key[by], where[by]
-        cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(key) else np.zeros(0, np.int64)
-        out = [_pack(key[a:b]) for a, b in zip(cut, np.r_[cut[1:], len(key)])]
-        return pa.table({"block": pa.array(block[where[cut]], pa.int64()), "bucket": pa.array(np.full(len(cut), group.column("bucket")[0].as_py()), pa.int64()), "keys": pa.array(out, pa.binary())})
-
-    return listed.groupBy("bucket").applyInArrow(run, "block long, bucket long, keys binary")
+    def chosen(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> np.ndarray:
+        key, n, several = _merged(keys, counts)
+        return key[several] | (n[several] > hot_blocks).astype(np.uint64)
+
+    if chunks == 1:
+        return listed.repartition(parts, "grp").groupBy("grp").applyInArrow(lambda group: _picked(chosen([_unpack(x) for x in group.column("keys").to_pylist()]), group), kind)
+
+    def merge(group: pa.Table) -> pa.Table:
+        key, n, several = _merged([_unpack(x) for x in group.column("keys").to_pylist()])
+        sub = ((key >> _U(1)) % _U(chunks)).astype(np.int64)
+        by = np.lexsort((key, sub))
+        key, n, sub = key[by] | several[by].astype(np.uint64), n[by], sub[by]
+        cut = _starts(sub)
+        end = np.r_[cut[1:], len(sub)]
+        own = [group.column(c)[0].as_py() for c in ("grp", "chunk")]
+        return _listed(grp=[own[0]] * len(cut), sub=sub[cut], chunk=[own[1]] * len(cut), keys=[_pack(key[a:b]) for a, b in zip(cut, end)], counts=[_zip(n[a:b].astype("<u4").tobytes()) for a, b in zip(cut, end)])
+
+    def decide(group: pa.Table) -> pa.Table:
+        keys = [_unpack(x) for x in group.column("keys").to_pylist()]
+        keep = chosen(keys, [np.frombuffer(_unzip(x), "<u4") for x in group.column("counts").to_pylist()])
+        own = pa.table({"block": group.column("chunk"), "grp": group.column("grp"), "keys": group.column("keys")})
+        return _picked(keep, own).rename_columns(["chunk", "grp", "keys"]).select(["grp", "chunk", "keys"])
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _picked(np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack(x) for x in right.column("keys").to_pylist())])), left)
+
+    met = listed.repartition(parts, "grp", "chunk")
+    merged = met.groupBy("grp", "chunk").applyInArrow(merge, "grp int, sub int, chunk int, keys binary, counts binary")
+    decided = merged.repartition(parts, "grp", "sub").groupBy("grp", "sub").applyInArrow(decide, "grp int, chunk long, keys binary").select("grp", F.col("chunk").cast("int").alias("chunk"), "keys")
+    return met.groupBy("grp", "chunk").cogroup(decided.groupBy("grp", "chunk")).applyInArrow(pick, kind)
 
 
 #: Of a context that is a single window of a hot representative.
 _HOT = 255
-_SENT = "bucket long, block long, pieces binary, docs binary, windows binary, lead binary, times binary, starts binary, text binary, local binary"
+_SENT = "bucket long, block long, frame binary, local binary"
+#: Of a frame: contexts of each piece, documents, windows, lead, times, starts, text.
+_FRAME = (np.int32, np.int64, np.uint8, np.uint8, np.int32, np.int32, np.uint8)
 
 
-def dealt(table: DataFrame, same: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
+def _sought(key: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """A key of its group as one number; the flag stays."""
+    return (mix((key & ~_U(1)) ^ mix(group.astype(np.uint64))) & ~_U(1)) | (key & _U(1))
+
+
+def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a and from b differ, range by range."""
+    out = np.zeros(len(a), bool)
+    other = np.flatnonzero(a != b)
+    if len(other):
+        size = size[other]
+        unequal = data[_ranges(a[other], size)] != data[_ranges(b[other], size)]
+        out[other] = np.add.reduceat(unequal.astype(np.int64), np.cumsum(size) - size) > 0
+    return out
+
+
+def dealt(table: DataFrame, same: DataFrame, keys: DataFrame, buckets: int, groups: int, parts: int) -> DataFrame:
     """Distinct contexts of every block by bucket and piece, with the least document that has them and where; local: spans that are settled already."""
     names = [c.split()[0] for c in _SENT.split(", ")]
 
     def wanted(data: np.ndarray, offsets: np.ndarray, live: np.ndarray, sought: np.ndarray) -> list[np.ndarray]:
         """Contexts of some documents whose representatives are sought: first window, windows, lead, hash of the key to deal by, hash of the content."""
         first, count, lead, h = contexts(data, offsets, live)
-        key, bucket = _keyed(h, buckets)
-        key = mix(key ^ mix(bucket.astype(np.uint64))) & ~_U(1)
+        key = _sought(*_keyed(h, groups))
         at = np.minimum(np.searchsorted(sought, key), max(len(sought) - 1, 0))
         hit = (sought[at] & ~_U(1)) == key if len(sought) else np.zeros(len(key), bool)
         hot = hit.copy()
@@ -308,25 +429,30 @@ def dealt(table: DataFrame, same: DataFrame, keys: DataFrame, buckets: int) -> D
         rows = {n: [] for n in names}
         if left.num_rows and right.num_rows:
             r = left.to_pylist()[0]
-            docs, offsets, data = _opened(r["docs"], r["sizes"], r["data"])
+            docs, offsets, data = _opened(r)
             live, sought = _live(docs, right), [np.zeros(0, np.uint64)]
-            for bucket, raw in zip(right.column("bucket").to_pylist(), right.column("keys").to_pylist()):
-                if raw is None:
-                    continue
-                k = _unpack(raw)
-                sought.append((mix((k & ~_U(1)) ^ mix(np.full(len(k), bucket, np.uint64))) & ~_U(1)) | (k & _U(1)))
+            for group, raw in zip(right.column("grp").to_pylist(), right.column("keys").to_pylist()):
+                if raw is not None:
+                    k = _unpack(raw)
+                    sought.append(_sought(k, np.full(len(k), group)))
             sought = np.sort(np.concatenate(sought))
-            parts = []
+            found = []
             for lo, hi in _steps(offsets):
                 base = offsets[lo]
-                found = wanted(data[base : offsets[hi]], offsets[lo : hi + 1] - base, live[lo:hi], sought)
-                found[0] = found[0] + base
-                parts.append(found)
-            first, count, lead, key, content = (np.concatenate(x) for x in zip(*parts))
+                got = wanted(data[base : offsets[hi]], offsets[lo : hi + 1] - base, live[lo:hi], sought)
+                got[0] = got[0] + base
+                found.append(got)
+            first, count, lead, key, content = (np.concatenate(x) for x in zip(*found))
             doc = docs[np.searchsorted(offsets, first, "right") - 1]
             by = np.lexsort((first, doc, content))
             first, count, lead, key, content, doc = (x[by] for x in (first, count, lead, key, content, doc))
-            new = np.flatnonzero(np.r_[True, content[1:] != content[:-1]]) if len(by) else np.zeros(0, np.int64)
+            new = _starts(content)
+            # equal hashes may be of different bytes: such contexts stand for themselves
+            other = np.repeat(new, np.diff(np.r_[new, len(by)]))
+            apart = count != count[other]
+            apart[~apart] = _differ(data, first[~apart], first[other[~apart]], count[~apart] + LENGTH - 1)
+            if apart.any():
+                new = np.flatnonzero(np.isin(np.arange(len(by)), new) | apart | np.r_[False, apart[:-1]])
             size = np.diff(np.r_[new, len(by)])
             least = np.repeat(doc[new], size)
             end = first + count + LENGTH - 1
@@ -338,18 +464,19 @@ def dealt(table: DataFrame, same: DataFrame, keys: DataFrame, buckets: int) -> D
             h = mix(key[new] ^ _U(0x5851F42D4C957F2D))
             bucket, piece = ((h >> _U(24)) % _U(buckets)).astype(np.int64), (h & _U(PIECES - 1)).astype(np.int64)
             by = np.lexsort((first[new], piece, bucket))
-            cut = np.flatnonzero(np.r_[True, np.diff(bucket[by]) != 0]) if len(by) else np.zeros(0, np.int64)
+            cut = _starts(bucket[by])
             for a, b in zip(cut, np.r_[cut[1:], len(by)]):
                 g = by[a:b]
                 k = new[g]
                 text = data[_ranges(first[k], count[k] + LENGTH - 1)]
                 place = starts[_ranges(begin[g], times[g])]
-                values = [int(bucket[g[0]]), r["block"]] + [_zip(np.ascontiguousarray(x).tobytes()) for x in (np.bincount(piece[g], minlength=PIECES).astype(np.int32), doc[k], count[k].astype(np.uint8), lead[k].astype(np.uint8), times[g].astype(np.int32), np.diff(place, prepend=0).astype(np.int32), text)] + [local.tobytes() if a == 0 else b""]
-                for n, v in zip(names, values):
+                frame = _joined(*(x.astype(t) for x, t in zip((np.bincount(piece[g], minlength=PIECES), doc[k], count[k], lead[k], times[g], np.diff(place, prepend=0), text), _FRAME)))
+                for n, v in zip(names, (int(bucket[g[0]]), r["block"], frame, local.tobytes() if a == 0 else b"")):
                     rows[n].append(v)
         return pa.table({n: pa.array(rows[n], pa.int64() if n in ("bucket", "block") else pa.binary()) for n in names})
 
-    return table.select("block", "docs", "sizes", "data").groupBy("block").cogroup(keys.unionByName(same, allowMissingColumns=True).groupBy("block")).applyInArrow(run, _SENT)
+    left = table.select("block", "docs", "sizes", "data").repartition(parts, "block")
+    return left.groupBy("block").cogroup(keys.unionByName(same, allowMissingColumns=True).groupBy("block")).applyInArrow(run, _SENT)
 
 
 def least_documents(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -401,17 +528,16 @@ def _agreeing(text: np.ndarray, at: np.ndarray, size: np.ndarray, lead: np.ndarr
     return hot | left | right
 
 
-def matched(sent: DataFrame) -> DataFrame:
+def matched(sent: DataFrame, parts: int) -> DataFrame:
     """(block, spans): spans of each block whose windows a smaller document also has."""
 
     def run(group: pa.Table) -> pa.Table:
         out: dict[int, list[np.ndarray]] = {}
-        block_ids, names = group.column("block").to_numpy(), ("pieces", "docs", "windows", "lead", "times", "starts", "text")
+        block_ids = group.column("block").to_numpy()
         for k, raw in zip(block_ids, group.column("local").to_pylist()):
             if raw:
                 out.setdefault(int(k), []).append(np.frombuffer(raw, np.int32).reshape(-1, 2))
-        kinds = (np.int32, np.int64, np.uint8, np.uint8, np.int32, np.int32, np.uint8)
-        each = [[np.frombuffer(_unzip(x), t) for x in group.column(n).to_pylist()] for n, t in zip(names, kinds)]
+        each = list(zip(*(_parted(x, _FRAME) for x in group.column("frame").to_pylist())))
         block = np.repeat(block_ids, [len(x) for x in each[1]])
         piece = np.concatenate([np.repeat(np.arange(PIECES), x) for x in each[0]])
         starts = np.concatenate([np.cumsum(x) for x in each[5]])
@@ -433,6 +559,11 @@ def matched(sent: DataFrame) -> DataFrame:
             if not len(g):
                 continue
             _, rep, cls = np.unique(content, return_index=True, return_inverse=True)
+            apart = size[g] != size[g[rep[cls]]]
+            apart[~apart] = _differ(part, begin[~apart], begin[rep[cls[~apart]]], length[g[~apart]])
+            if apart.any():
+                cls[apart] = len(rep) + np.arange(apart.sum())
+                rep = np.r_[rep, np.flatnonzero(apart)]
             u = g[rep]
             least = np.full(len(u), np.iinfo(np.int64).max)
             np.minimum.at(least, cls, doc[g])
@@ -459,37 +590,51 @@ def matched(sent: DataFrame) -> DataFrame:
         spans_ = [np.concatenate(v) for v in out.values()]
         return pa.table({"block": pa.array(list(out), pa.int64()), "spans": pa.array([_zip(_united(v[:, 0], v[:, 1]).tobytes()) for v in spans_], pa.binary())})
 
-    return sent.groupBy("bucket").applyInArrow(run, "block long, spans binary")
+    return sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, "block long, spans binary")
+
+
+def _found(documents: DataFrame, bucket_bytes: int, groups: int, hot_blocks: int) -> tuple[DataFrame, DataFrame, int]:
+    """(blocks, spans and copies of each block, partitions). The first two columns of documents are the id and the text."""
+    table = written(blocks(documents), "blocks")
+    total = table.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(8, -(-total // bucket_bytes))
+    groups = min(buckets, groups)
+    chunks, parts = -(-buckets // groups), min(buckets, MOST_PARTS)
+    same = written(copies(table), "copies")
+    keys = repeated(representatives(table, same, groups, chunks, parts), hot_blocks, chunks, parts)
+    found = matched(dealt(table, same, keys, buckets, groups, parts), parts).unionByName(same, allowMissingColumns=True)
+    return table, found, parts
+
 
+def _gone(r: dict, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets and bytes of a block, and which bytes go."""
+    docs, offsets, data = _opened(r)
+    edge = np.zeros(len(data) + 1, np.int32)
+    for raw in filter(None, right.column("spans").to_pylist()):
+        pair = np.frombuffer(_unzip(raw), np.int32).reshape(-1, 2)
+        np.add.at(edge, pair[:, 0], 1)
+        np.add.at(edge, pair[:, 1], -1)
+    return offsets, data, (np.cumsum(edge[:-1]) > 0) | np.repeat(~_live(docs, right), np.diff(offsets))
 
-def repeated_spans(documents: DataFrame, *, bucket_bytes: int = BUCKET_BYTES, hot_blocks: int = HOT_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def repeated_spans(documents: DataFrame, *, bucket_bytes: int = BUCKET_BYTES, groups: int = GROUPS, hot_blocks: int = HOT_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, spans (start, end in bytes), kept_sha256.
 
     A byte is in a span if a string of 50 bytes that covers it also starts in a document with a smaller id.
-    Null texts are empty; rows that repeat an id are not smaller than each other; other columns are ignored;
-    an empty table gives no rows.
+    Null texts are empty; rows without an id count as rows of one id that is less than all others, and rows that
+    repeat an id are not smaller than each other; texts of under 50 bytes have no spans; other columns are
+    ignored; an empty table gives no rows.
     """
-    base = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = written(blocks(base), "blocks")
-    total = table.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(8, -(-total // bucket_bytes))
-    same = written(copies(table), "copies")
-    keys = repeated(representatives(table, same, buckets), hot_blocks)
-    found = matched(dealt(table, same, keys, buckets)).unionByName(same, allowMissingColumns=True)
+    base = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    table, found, parts = _found(base, bucket_bytes, groups, hot_blocks)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept_sha256": []}
         for r in left.to_pylist():
-            docs, offsets, data = _opened(r["docs"], r["sizes"], r["data"])
-            edge = np.zeros(len(data) + 1, np.int32)
-            for raw in filter(None, right.column("spans").to_pylist()):
-                pair = np.frombuffer(_unzip(raw), np.int32).reshape(-1, 2)
-                np.add.at(edge, pair[:, 0], 1)
-                np.add.at(edge, pair[:, 1], -1)
-            gone = (np.cumsum(edge[:-1]) > 0) | np.repeat(~_live(docs, right), np.diff(offsets))
+            offsets, data, gone = _gone(r, right)
             a, b = spans(gone, offsets)
             first = np.searchsorted(a, offsets)
-            for k, doc in enumerate(docs.tolist()):
+            for k, doc in enumerate(r["docs"]):
                 lo, hi = offsets[k], offsets[k + 1]
                 x = slice(first[k], first[k + 1])
                 out["doc_id"].append(doc)
@@ -502,34 +647,36 @@ def repeated_spans(documents: DataFrame, *, bucket_bytes: int = BUCKET_BYTES, ho
         return pa.table({n: pa.array(v, kind if n == "spans" else pa.string() if n == "kept_sha256" else pa.int64()) for n, v in out.items()})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept_sha256 string"
-    return table.select("block", "docs", "sizes", "data").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
+    return table.select("block", "docs", "sizes", "data").repartition(parts, "block").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
 
 
-def without_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with repeated spans cut from their texts; a character is cut whole if any byte of it is, other columns stay.
+def without_repeats(documents: DataFrame, *, bucket_bytes: int = BUCKET_BYTES, groups: int = GROUPS, hot_blocks: int = HOT_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with repeated spans cut from their texts; a character is cut whole if any byte of it is, other columns stay as they are.
 
-    Rows without an id count as rows of one id that is less than all others. Rows that share an id lose the spans of their own texts.
+    Rows travel whole, so each loses the spans of its own text: rows without an id count as rows of one id that is
+    less than all others, rows that share an id are not smaller than each other, and null texts stay null. Other
+    columns may have any names; an empty table gives no rows.
     """
-    known = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    found = repeated_spans(documents.select(known.alias(id_col), text_col), id_col=id_col, text_col=text_col, **options).filter("n_removed > 0")
-    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_bytes")).agg(F.collect_set(F.struct("kept_sha256", "spans")).alias("_spans"))
-    rows = documents.join(found, (known == F.col("_id")) & (F.octet_length(F.col(text_col).cast("string")) == F.col("_bytes")), "left").drop("_id", "_bytes")
-    names, at = documents.columns, documents.columns.index(text_col)
+    names = documents.columns
+    others = [c for c in names if c != text_col]
+    base = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"other{k}") for k, c in enumerate(others)))
+    table, found, parts = _found(base, bucket_bytes, groups, hot_blocks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts_, cuts = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
-            for k, texts_cut in enumerate(cuts):
-                for cut in texts_cut or ():
-                    raw, kept, end = texts_[k].encode(), [], 0
-                    for s in cut["spans"]:
-                        kept.append(raw[end : s["start"]])
-                        end = s["end"]
-                    kept.append(raw[end:])
-                    if hashlib.sha256(b"".join(kept)).hexdigest() == cut["kept_sha256"]:
-                        texts_[k] = "".join(x.decode(errors="ignore") for x in kept)
-                        break
-            columns = [batch.column(i) if i != at else pa.array(texts_, pa.string()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return rows.select(*names, "_spans").mapInArrow(run, documents.schema)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for r in left.to_pylist():
+            offsets, data, gone = _gone(r, right)
+            a, b = spans(gone, offsets)
+            first = np.searchsorted(a, offsets)
+            rest = pa.ipc.open_stream(_unzip(r["rest"])).read_all()
+            cut = []
+            for k, null in enumerate(rest.column(0).to_pylist()):
+                lo, hi, x = offsets[k], offsets[k + 1], slice(first[k], first[k + 1])
+                kept = zip(np.r_[lo, b[x]], np.r_[a[x], hi])
+                cut.append(None if null else "".join(data[s:e].tobytes().decode(errors="ignore") for s, e in kept))
+            columns = {**dict(zip(others, rest.columns[1:])), text_col: pa.array(cut, pa.string())}
+            out.append(pa.table({c: columns[c] for c in names}))
+        return pa.concat_tables(out)
+
+    rows = table.select("block", "docs", "sizes", "data", "rest").repartition(parts, "block")
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, documents.schema)

@@ -281,37 +281,94 @@ def test_urls(spark):
 
 def brute_repeats(rows):
     first, out = {}, []
-    for d in sorted({d for d, _ in rows}):
-        own = [(t or "").encode() for k, t in rows if k == d]
-        for b in own:
+    low = lambda d: -(2**63) if d is None else d
+    for d in sorted({low(d) for d, _ in rows}):
+        own = [(k, (t or "").encode()) for k, t in rows if low(k) == d]
+        for i, b in own:
             gone = bytearray(len(b))
             for k in range(len(b) - 49):
                 if b[k : k + 50] in first:
                     gone[k : k + 50] = b"\1" * 50
             n = sum(1 for k in range(len(b)) if gone[k] and (not k or not gone[k - 1]))
-            out.append((d, len(b), sum(gone), n, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
-        for b in own:
+            out.append((i, len(b), sum(gone), n, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+        for _, b in own:
             for k in range(len(b) - 49):
                 first.setdefault(b[k : k + 50], d)
-    return sorted(out)
+    return sorted(out, key=str)
+
+
+def repeats(df, **options):
+    return sorted((tuple(r) for r in suffixdedup.repeated_spans(df, **options).drop("spans").collect()), key=str)
+
+
+#: Few and many groups, and one that lists representatives by chunk of blocks.
+REPEAT_OPTIONS = [{}, {"hot_blocks": 0, "bucket_bytes": 20_000}, {"bucket_bytes": 5_000, "groups": 3, "hot_blocks": 1}]
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_blocks": 0, "bucket_bytes": 20_000}])
+@pytest.mark.parametrize("options", REPEAT_OPTIONS)
 def test_repeats(hard, options):
-    got = sorted(tuple(r) for r in suffixdedup.repeated_spans(hard, **options).drop("spans").collect())
-    assert got == brute_repeats(ROWS)
+    assert repeats(hard, **options) == brute_repeats(ROWS)
+
+
+@pytest.mark.parametrize("options", REPEAT_OPTIONS[:1] + [{"bucket_bytes": 40_000, "groups": 5, "hot_blocks": 2}])
+def test_repeats_of_documents(documents, options):
+    assert repeats(documents.repartition(5), **options) == brute_repeats([(r.doc_id, r.text) for r in documents.collect()])
+
+
+BIG = 2**60
+ODD_REPEATS = {
+    "short": [(1, "ab"), (2, "ab"), (3, "x" * 49)],
+    "null and empty": [(1, None), (2, ""), (3, None)],
+    "copies in other blocks": [(1, BASE), (2, BASE)],
+    "no ids": [(None, BASE), (BIG + 1, BASE), (None, BASE), (BIG, "y " + BASE + " z"), (None, "only here " * 9)],
+    "one id, other texts": [(1, BASE[:300]), (3, BASE[100:400] + " end"), (3, "quite unlike all that, " + LONG[:300]), (3, BASE[100:400] + " end"), (9, LONG[100:200])],
+    "ends of the range": [(-(2**63), BASE), (2**63 - 1, BASE[:200]), (0, None)],
+}
 
 
-def test_repeats_of_documents(documents):
-    got = sorted(tuple(r) for r in suffixdedup.repeated_spans(documents).drop("spans").collect())
-    assert got == brute_repeats([(r.doc_id, r.text) for r in documents.collect()])
+@pytest.mark.parametrize("name", ODD_REPEATS)
+def test_repeats_of_odd_rows(spark, name):
+    rows = ODD_REPEATS[name]
+    for parts in (1, len(rows)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert repeats(df) == brute_repeats(rows), parts
 
 
-def test_repeats_are_cut(hard, empty):
+def brute_cut(rows):
+    """Texts without their repeated spans, for rows of single-byte characters."""
+    out = []
+    for k, (d, t) in enumerate(rows):
+        less = [u.encode() for e, u in rows if u and (-(2**63) if e is None else e) < (-(2**63) if d is None else d)]
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for i in range(len(b) - 49):
+            if any(b[i : i + 50] in u for u in less):
+                gone[i : i + 50] = [True] * 50
+        out.append((k, d, None if t is None else bytes(c for c, g in zip(b, gone) if not g).decode()))
+    return out
+
+
+def test_repeats_are_cut(spark, hard, empty):
     out = suffixdedup.without_repeats(hard)
     assert out.columns == hard.columns and out.count() == len(ROWS)
     assert {r.text for r in out.filter("doc_id = 2").collect()} == {""}
-    assert suffixdedup.repeated_spans(empty).count() == 0
+    assert suffixdedup.repeated_spans(empty).count() == 0 and suffixdedup.without_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("name", ODD_REPEATS)
+def test_repeats_of_odd_rows_are_cut(spark, name):
+    """Rows keep their other columns, whatever their names, and rows that share an id lose what is in their own text."""
+    rows = ODD_REPEATS[name]
+    df = spark.createDataFrame([(k, d, t, [k], "s") for k, (d, t) in enumerate(rows)], "_id long, doc_id long, text string, block array<int>, `spans` string").repartition(2)
+    got = sorted((r._id, r.doc_id, r.text) for r in suffixdedup.without_repeats(df).collect())
+    assert got == brute_cut(rows)
+    assert all(r.block == [r._id] and r.spans == "s" for r in suffixdedup.without_repeats(df).collect())
+
+
+def test_equal_hashes_of_other_bytes(spark, monkeypatch):
+    """Contexts count as equal by their bytes; a hash that takes everything for equal changes nothing."""
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    assert suffixdedup._differ(data, np.array([0, 0, 3]), np.array([6, 3, 3]), np.array([3, 3, 3])).tolist() == [False, True, False]
 
 
 @pytest.mark.parametrize("n,top", [(1, 1), (2, 2), (10, 3), (1000, 2), (1001, 4), (3002, 250)])
