@@ -259,6 +259,38 @@ def test_language(spark, hard, empty):
     assert {r.lang_pred for r in langid.identify(hard, langid.learn(empty)).collect()} == {"und"}
 
 
+def test_letters_are_what_unicode_calls_letters(spark):
+    """Symbols, digits and punctuation of any script have no letter; ligatures, wide letters and rare ideographs are letters, marks go with theirs."""
+    none = ["\u3002\u3002\u3002", "\u00d7 \u00f7 \u00d7", "\u0661\u0662\u0663", "\u300c\u300d", "\U0001f600\U0001f680", "\u0301\u0302", "\u20ac 12.5", "\u2167", "", " ", None]
+    some = ["\ufb01\ufb02", "\uff21\uff22\uff23", "\U00020000\U00020001", "e\u0301te\u0301", "\u1e9e", "\u00aa", "a\u0301", "\u0915\u093f\u0924\u093e\u092c", "\u02b0"]
+    taught = [(i, w, lang) for i, (w, lang) in enumerate([("the house is on the hill and the road", "en"), ("das Haus steht auf dem Berg und die Strasse", "de"), ("\u0434\u043e\u043c \u0441\u0442\u043e\u0438\u0442 \u043d\u0430 \u0433\u043e\u0440\u0435", "ru")] * 4)]
+    model = langid.learn(spark.createDataFrame(taught, "doc_id long, text string, lang string"))
+    rows = list(enumerate(none + some))
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for k, t in rows:
+        alpha = any(c.isalpha() for c in t or "")
+        assert (got[k].lang_pred != "und") == alpha == (got[k].score > 0) == (len(got[k].spans) > 0), t
+    assert langid.identify(spark.createDataFrame([(1, "\u0433\u043e\u0440\u0430")], "doc_id long, text string"), model).first().lang_pred == "ru"
+
+
+def test_characters_by_code_point():
+    for c in [*range(0x20, 0x3000, 7), *range(0x3000, 0xD800, 101), *range(0xE000, 0x33000, 97)]:
+        raw = np.frombuffer(f"a{chr(c)}1".encode(), np.uint8)
+        kind = langid.characters(raw)
+        assert len(set(kind[1:-1])) == 1 and (kind[1] >= langid._LETTERS) == chr(c).isalpha() and kind[0] == langid._LETTERS and kind[-1] == 0
+
+
+def test_two_hundred_languages(spark):
+    """Each language has words of its own; labels past the 127th are told apart."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    own = {f"l{k:03d}": ["".join(rng.choice(letters, 6)) for _ in range(12)] for k in range(200)}
+    rows = [(i, " ".join(rng.choice(words, 40)), lang) for i, (lang, words) in enumerate(own.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    got = langid.identify(df, langid.learn(df)).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 195
+
+
 def test_mixed_text_has_spans(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn(docs)
