@@ -114,12 +114,11 @@ def test_neighbours(spark):
     assert ann.search(df.filter("vec_id > 1999"), df).count() == 0
 
 
-def clustered(n, d):
-    """Half the vectors spread out, half near one of 100 centres."""
+def clustered(n, d, centres):
+    """Unit vectors around a few centres."""
     rng = np.random.default_rng(d)
-    x = rng.normal(size=(n, d))
-    x[::2] = rng.normal(size=(100, d))[rng.integers(0, 100, len(x[::2]))] + 0.5 * x[::2]
-    return x
+    x = rng.normal(size=(centres, d))[rng.integers(0, centres, n)] + 0.5 * rng.normal(size=(n, d))
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def vectors_of(spark, folder, x):
@@ -142,39 +141,66 @@ def test_scan_keeps_what_lies_within_the_bound(d):
     assert kept >= 0.999 * 20_000
 
 
-def test_probed_lists_hold_the_neighbours(spark, tmp_path):
-    x = clustered(6000, 64)
-    df = vectors_of(spark, tmp_path, x)
-    index = ann.fit(df, k=20)
-    own, asked = index.lists(index.points(x))[:, 0], np.arange(0, 6000, 5)
+def nearest(x, asked, k=20):
     score = x[asked] @ x.T
     score[np.arange(len(asked)), asked] = -np.inf
-    want = np.argsort(-score, 1)[:, :20]
-    probed = index.lists(index.queries(x[asked]), index.probes)
-    held = (own[want][:, :, None] == probed[:, None, :]).any(2).mean()
-    assert index.probes > ann.WHOLE_LISTS and held >= 0.96
+    return np.argsort(-score, 1, kind="stable")[:, :k]
+
+
+def test_lists_grow_with_the_square_root(spark, tmp_path):
+    df = vectors_of(spark, tmp_path, np.random.default_rng(1).normal(size=(900, 16))).withColumnRenamed("v", "embedding")
+    for n, lists in ((900, 30), (400, 20), (1, 1)):
+        index = ann.fit(ann.usable(df.filter(f"vec_id < {n}"), "vec_id", "embedding"))
+        assert len(index.centres) == lists
+    assert len(ann.fit(ann.usable(df, "vec_id", "embedding"), centre_bytes=4 * 17 * 10).centres) == 10
 
 
-@pytest.mark.parametrize("d", [64, 384])
-def test_recall_of_dealt_lists(spark, tmp_path, d):
-    """Enough lists that most probed ones go through scan(), which must find what it should."""
-    x = clustered(20_000, d)
+@pytest.mark.parametrize("d,centres", [(64, 4), (384, 4)])
+def test_recall_of_scanned_lists(spark, tmp_path, d, centres):
+    """At least 20 lists are probed, under a third of all; the scan abandons most candidates early and finds what it should."""
+    n = 20_000
+    x = clustered(n, d, centres)
     df = vectors_of(spark, tmp_path, x)
-    index = ann.fit(ann.usable(df, "vec_id", "v"), k=20)
-    assert len(index.centres) > 8 * ann.WHOLE_LISTS and index.probes > 2 * ann.WHOLE_LISTS
+    index = ann.fit(ann.usable(df, "vec_id", "v"))
+    assert len(index.centres) == 141 and 20 <= index.probes < 47
+    asked = np.arange(0, n, 50)
+    want = nearest(x, asked)
     got = defaultdict(set)
     for r in ann.search(df, df.filter("vec_id % 50 = 0"), vector_col="v", index=index).collect():
         got[r.query_id].add(r.vec_id)
+    recall = sum(len(got[q] & set(w.tolist())) for q, w in zip(asked.tolist(), want)) / want.size
     own = index.lists(index.points(x))[:, 0]
-    hits = adaptive = 0
-    for q in range(0, 20_000, 50):
-        s = x @ x[q]
-        s[q] = -np.inf
-        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
-        near = index.lists(index.queries(x[q : q + 1]), ann.WHOLE_LISTS)[0]
-        adaptive += int((~np.isin(own[list(got[q])], near)).sum())
-    print(f"recall {d}: {hits / 8000:.4f}; {adaptive} of 8000 from scanned lists; {index.probes} of {len(index.centres)} lists")
-    assert hits >= 0.9 * 8000 and adaptive > 400
+    points, queries, sizes = index.points(x), index.queries(x[asked]), np.bincount(own, minlength=141)
+    kept = seen = 0
+    for j, q in enumerate(asked[:60]):
+        probed = index.lists(queries[j : j + 1], index.probes)[0]
+        size = sizes[probed]
+        first = np.cumsum(size) - size < ann.FIRST_ROWS * 20
+        near = np.flatnonzero(np.isin(own, probed[first]) & (np.arange(n) != q))
+        rest = np.flatnonzero(np.isin(own, probed[~first]))
+        worst = np.sort(x[near] @ x[q])[-20]
+        bound = index.longest + 1 - 2 * worst / np.sqrt(x[q] @ x[q])
+        kept += len(ann.scan(points[rest], queries[j : j + 1], np.array([bound]))[0])
+        seen += len(rest)
+    print(f"recall at {d} columns: {recall:.4f}; {index.probes} of {len(index.centres)} lists probed; {1 - kept / seen:.3f} of their vectors abandoned")
+    assert recall >= 0.95 and kept < 0.5 * seen
+
+
+@pytest.mark.parametrize("chunk", [ann.CHUNK_BYTES, 8 * 8 * 5])
+def test_neighbours_in_chunks(spark, chunk):
+    """A hot vector, repeated ids and columns of other names; every chunk of a list meets every chunk of its queries."""
+    rng = np.random.default_rng(3)
+    x = np.r_[np.tile(rng.normal(size=8), (60, 1)), rng.normal(size=(90, 8))]
+    rows = [(i, x[i].tolist(), "a", 1, 2.0) for i in range(150)] + [(0, x[0].tolist(), "b", 1, 2.0), (None, x[1].tolist(), "c", 1, 2.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list string, rank int, worst double")
+    got = defaultdict(list)
+    for r in ann.search(df, df.filter("vec_id % 20 = 0"), k=5, chunk_bytes=chunk).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == set(range(0, 150, 20))
+    for q in (20, 40):
+        assert {v for v, _ in got[q]} <= {0, *range(6)} and {v for v, _ in got[q]} >= {0, 1, 2}
+    empty = df.filter("vec_id < 0")
+    assert ann.search(empty, df).count() == 0 and ann.search(df, empty).count() == 0
 
 
 def held_out(spark, query, label, folds, rest):
