@@ -11,9 +11,9 @@ repeat is sorted, and it is dealt out so that suffixes that could be equal alway
    no task holds an entry per block of the corpus, however common a representative is.
 2. What is left of each block is cut into contexts, the runs of windows of one representative. Copies
    within the block are resolved there; each distinct context goes to the bucket of its representative.
-   One that very many blocks hold is spread over buckets window by window.
-3. A window reaches 11 bytes beyond its representative on one side at least; contexts that agree with no
-   other document that far on either side go. The rest of each bucket is suffix-sorted, in pieces, by the
+   Contexts of one that very many blocks hold are split, by the side on which their windows reach 11 bytes
+   beyond it at least, and go by those bytes too.
+3. Contexts that agree with no other document for 11 bytes beyond the representative on either side go. The rest of each bucket is suffix-sorted, in pieces, by the
    difference-cover algorithm modulo 3 (sort sampled triples, recurse on their names, merge the remaining
    suffixes), and neighbours whose first 50 bytes are equal share the least document they occur in.
 4. Windows that a smaller document also has go back to their blocks, where they are joined to spans.
@@ -38,8 +38,10 @@ LENGTH, GRAM = 50, 28
 BLOCK_BYTES = 4 << 20
 #: Text that is looked at together in a block, text per bucket of a shuffle, and suffix sorts per bucket.
 STEP_BYTES, BUCKET_BYTES, PIECES = 1 << 20, 16 << 20, 64
-#: Representatives that more blocks hold than this are dealt out window by window.
+#: Contexts of representatives that more blocks hold than this are dealt by longer keys.
 HOT_BLOCKS = 64
+#: A window reaches so many bytes beyond its representative on one side at least.
+HALF = (LENGTH - GRAM) // 2
 #: Groups that representatives are listed in. A larger corpus has chunks of blocks instead of more groups, so that a block's rows stay as they are.
 GROUPS = 512
 #: Partitions of a shuffle at most; beyond, each takes several buckets one after the other.
@@ -383,8 +385,6 @@ def repeated(listed: DataFrame, hot_blocks: int, chunks: int, parts: int) -> Dat
     return met.groupBy("grp", "chunk").cogroup(decided.groupBy("grp", "chunk")).applyInArrow(pick, kind)
 
 
-#: Of a context that is a single window of a hot representative.
-_HOT = 255
 _SENT = "bucket long, block long, frame binary, local binary"
 #: Of a frame: contexts of each piece, documents, windows, lead, times, starts, text.
 _FRAME = (np.int32, np.int64, np.uint8, np.uint8, np.int32, np.int32, np.uint8)
@@ -399,10 +399,10 @@ def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
     """Whether the bytes from a and from b differ, range by range."""
     out = np.zeros(len(a), bool)
     other = np.flatnonzero(a != b)
-    if len(other):
-        size = size[other]
-        unequal = data[_ranges(a[other], size)] != data[_ranges(b[other], size)]
-        out[other] = np.add.reduceat(unequal.astype(np.int64), np.cumsum(size) - size) > 0
+    for lo, hi in _steps(np.r_[0, np.cumsum(size[other])]):
+        at = other[lo:hi]
+        unequal = data[_ranges(a[at], size[at])] != data[_ranges(b[at], size[at])]
+        out[at] = np.add.reduceat(unequal, np.cumsum(size[at]) - size[at]) > 0
     return out
 
 
@@ -419,11 +419,16 @@ def dealt(table: DataFrame, same: DataFrame, keys: DataFrame, buckets: int, grou
         hot = hit.copy()
         hot[hit] = (sought[at[hit]] & _U(1)) > 0
         cold = hit & ~hot
-        alone = _ranges(first[hot], count[hot])
-        one = np.ones(len(alone), np.int64)
-        first, count, lead = np.r_[first[cold], alone], np.r_[count[cold], one], np.r_[lead[cold], one * _HOT]
+        # windows of hot representatives that reach far enough before it, and the others, which do behind it
+        f, n, at = first[hot], count[hot], lead[hot]
+        left = np.clip(at - HALF + 1, 0, n)
+        some, more = left > 0, left < n
+        key = [hashed(data, b, b + GRAM + HALF) for b in ((f + at - HALF)[some], (f + at)[more])]
+        first = np.r_[first[cold], f[some], (f + left)[more]]
+        lead = np.r_[lead[cold], at[some], (at - left)[more]]
+        count = np.r_[count[cold], left[some], (n - left)[more]]
         content = hashed(data, first, first + count + LENGTH - 1) + count.astype(np.uint64)
-        return [first, count, lead, np.r_[h[cold], content[len(content) - len(alone) :]], content]
+        return [first, count, lead, np.r_[h[cold], *key], content]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = {n: [] for n in names}
@@ -517,15 +522,13 @@ def _shared(h: np.ndarray, doc: np.ndarray, have: np.ndarray) -> np.ndarray:
 
 def _agreeing(text: np.ndarray, at: np.ndarray, size: np.ndarray, lead: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Contexts that agree with another document's on the representative and half the rest of a window, before or behind it."""
-    half = (LENGTH - GRAM) // 2
-    hot = lead == _HOT
-    begin = at + np.where(hot, 0, lead)
-    before, behind = ~hot & (lead >= half), ~hot & (size - 1 >= lead - half)
-    a = np.where(before, begin - half, 0)
+    begin = at + lead
+    before, behind = lead >= HALF, size - 1 >= lead - HALF
+    a = np.where(before, begin - HALF, 0)
     left = _shared(hashed(text, a, np.where(before, begin + GRAM, 0)), doc, before)
     b = np.where(behind, begin, 0)
-    right = _shared(hashed(text, b, np.where(behind, begin + GRAM + half, 0)), doc, behind)
-    return hot | left | right
+    right = _shared(hashed(text, b, np.where(behind, begin + GRAM + HALF, 0)), doc, behind)
+    return left | right
 
 
 def matched(sent: DataFrame, parts: int) -> DataFrame:
