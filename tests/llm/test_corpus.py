@@ -261,18 +261,94 @@ def test_long_documents_list_all_their_acceptors(spark):
     assert np.isin(toxicity._hashes_of(["grobzak", "quirvel", "xyxorax"]), grammar.acceptors).all()
 
 
-def test_clauses_weigh_more_than_words():
-    word = toxicity._hashes_of(["fool"])
-    g = toxicity.Grammar(word, np.array([6.0]))
+def found_by(grammar, said):
     import pyarrow as pa
 
     from orrery.llm.common import texts
 
-    said = ["You are a fool.", "He is not a fool.", "They said it: a fool.", "I will hurt you.", "it may hurt.", "a fooled man"]
-    found = np.concatenate([g.matches(t) for t in texts(pa.RecordBatch.from_arrays([pa.array(said)], ["text"]))])
-    s = g.score(found)
-    assert s[0] > s[1] and s[3] > s[4] == s[5] and s[0] > 0.5 > s[1]
-    assert found[2, toxicity.PLAIN] == 6.0  # the clause after the colon is its own
+    return np.concatenate([grammar.matches(t) for t in texts(pa.RecordBatch.from_arrays([pa.array(said)], ["text"]))])
+
+
+FOOL = toxicity.Grammar(toxicity._hashes_of(["fool"]), np.array([6.0]))
+
+
+def test_clauses_weigh_more_than_words():
+    said = ["You are a fool.", "He is not a fool.", "They said it: a fool.", "I will hurt you.", "it may hurt.", "a fooled man", "A fool, you know.", "a fool you are", "he said you are a fool", "I will not hurt you", "you fool! not a fool, not one bit of a fool"]
+    found = found_by(FOOL, said)
+    s = FOOL.score(found)
+    assert s[0] > s[1] and s[3] > s[4] == s[5] and s[0] > 0.5 > s[1] and s[3] > 0.5
+    assert found[2, toxicity.PLAIN] == 6.0 and found[6, toxicity.PLAIN] == 6.0  # the clause behind a break is its own
+    assert found[7, toxicity.AIMED] == found[0, toxicity.AIMED] == 6.0
+    assert found[8, toxicity.pattern(False, True, False, True)] == 6.0 and s[8] < 0.5
+    assert found[3, toxicity.pattern(True, True, False, False)] == found[9, toxicity.pattern(True, True, True, False)] == toxicity.THREAT_WEIGHT and s[9] < 0.5
+    assert found[10].tolist()[:8] == [6.0, 0, 6.0, 0, 6.0, 0, 0, 0]  # the last one is out of the negation's reach
+
+
+def one_by_one(words, classes):
+    """The machines' states by reading a clause word by word."""
+    parts = (toxicity.ADDRESSED, toxicity.NEGATING, toxicity.REPORTING, toxicity.INTENDING)
+    state, out = [p.start for p in parts], []
+    for k, kind in enumerate(classes):
+        behind = toxicity.TARGETS in classes[k + 1 :]
+        if kind in (toxicity.INSULT, toxicity.THREATS):
+            a, n, r, i = (s in p.on for p, s in zip(parts, state))
+            if kind == toxicity.INSULT or a or behind:
+                out.append(toxicity.pattern(kind == toxicity.THREATS, i if kind == toxicity.THREATS else a or behind, n, r))
+        state = [p.step(s, kind) for p, s in zip(parts, state)]
+    return sorted(out)
+
+
+def test_composition_reads_all_clauses_at_once():
+    rng = np.random.default_rng(2)
+    vocabulary = {"fool": toxicity.INSULT, "hurt": toxicity.THREATS, "you": toxicity.TARGETS, "not": toxicity.NEGATIONS, "said": toxicity.REPORTS, "will": toxicity.INTENTS, "stone": toxicity.OTHER, "river": toxicity.OTHER}
+    picks = [rng.choice(list(vocabulary), rng.integers(1, 12), p=[0.15, 0.1, 0.1, 0.1, 0.05, 0.1, 0.2, 0.2]).tolist() for _ in range(400)]
+    grammar = toxicity.Grammar(toxicity._hashes_of(["fool"]), np.array([1.0]))
+    got = found_by(grammar, [" ".join(w) for w in picks])
+    for words, row in zip(picks, got):
+        want = np.zeros(toxicity.PATTERNS)
+        for p in one_by_one(words, [vocabulary[w] for w in words]):
+            want[p] += toxicity.THREAT_WEIGHT if p >= 8 else 1.0
+        assert row[: toxicity.PATTERNS].tolist() == want.tolist(), words
+    long = found_by(grammar, ["stone " * 300 + "fool " * 200, "you " + "stone " * 200 + "fool"])
+    assert long[0, toxicity.PLAIN] == 200 and long[1, toxicity.PLAIN] == 1  # a clause has CLAUSE_WORDS words at most
+
+
+def test_patterns_decide_where_words_do_not(spark):
+    """Clean and toxic texts hold the same insults and threats; only their clauses differ. Without patterns nothing tells them apart."""
+    rng = np.random.default_rng(6)
+    insults, verbs = ["grobzak", "fernwit", "quirvel"], ["hurt", "beat", "burn", "shoot"]
+    bad = ["you are such a {i}", "{i}, that is all", "i will {v} you soon", "we'll {v} them all"]
+    good = ["nobody is not a {i} here", "never a {i} at all", "she said you are a {i}", "he wrote that a {i} came", "i will not {v} you", "they {v} the old wood at dawn", "it may {v} a bit"]
+    rows = []
+    for k in range(700):
+        y = k % 2
+        clause = rng.choice(bad if y else good).format(i=rng.choice(insults), v=rng.choice(verbs))
+        rows.append((k, f"{told(rng, 14)}. {clause}. {told(rng, 14)}", y))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(2)
+    grammar = toxicity.learn(df.filter("doc_id < 500").select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert np.isin(toxicity._hashes_of(insults), grammar.acceptors).all()
+    test = [r for r in rows if r[0] >= 500]
+    found, y = found_by(grammar, [r[1] for r in test]), np.array([r[2] for r in test])
+    right = ((grammar.score(found) >= 0.5) == y).mean()
+    flat = np.zeros_like(found)
+    flat[:, toxicity.PLAIN], flat[:, toxicity.PATTERNS] = found[:, : toxicity.PATTERNS].sum(1), found[:, toxicity.PATTERNS]
+    without = max((((grammar.score(flat) >= 0.5) == y).mean(), (y == 0).mean(), (y == 1).mean()))
+    used = set(np.flatnonzero(found[:, : toxicity.PATTERNS].sum(0)))
+    print(f"patterns {right:.3f}, words alone {without:.3f}, patterns met {sorted(used)}")
+    assert right >= 0.9 and right >= without + 0.15
+    assert used >= {toxicity.PLAIN, toxicity.AIMED, toxicity.NEGATED, toxicity.pattern(True, True, False, False), toxicity.pattern(True, True, True, False), toxicity.pattern(False, True, False, True)}
+
+
+def test_words_that_are_insults_only_when_addressed(spark):
+    """`blorp` stands in clean text as a thing; only where someone is addressed it is toxic."""
+    rng = np.random.default_rng(7)
+    rows = [(k, f"{told(rng, 12)}. " + ("you are a blorp" if k % 2 else "you are a friend. the blorp lay on a table") + f". {told(rng, 12)}", k % 2) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    at = np.flatnonzero(grammar.acceptors == toxicity._hashes_of(["blorp"])[0])
+    assert len(at) and grammar.aimed[at].all()
+    s = grammar.score(found_by(grammar, ["you utter blorp", "a blorp on a chair"]))
+    assert s[0] > 0.5 > s[1]
 
 
 def test_language(spark, hard, empty):
