@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
+#: Parts that a node's edges are spread over.
+PARTS = 8
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges(u, v) holds every neighbour v of u that the step looks at. Counts per node are aggregated before the join, whose skewed keys Spark can split."""
+    """edges(u, v) holds every neighbour v of u that the step looks at. A node's least neighbour is aggregated before it meets the edges, and those of a hub meet it in several tasks."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = edges.join(least, "u")
+    part = F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int")
+    met = edges.withColumn("part", part).join(least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["u", "part"])
     if large:
         return met.filter("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return met.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.filter("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b")))

@@ -25,8 +25,8 @@ from .common import NOT_SPACE, mix, shingles, texts, words, written
 from .components import connected_components
 
 BANDS, ROWS = 48, 6
-#: Shingles that one verifying task holds at most, but for two single documents.
-TASK_SHINGLES = 4_000_000
+#: Shingles, and documents, that one verifying task holds at most, but for two single documents.
+TASK_SHINGLES, TASK_DOCS = 4_000_000, 50_000
 _FULL = np.uint64(2**64 - 1)
 _U = np.uint64
 
@@ -96,58 +96,86 @@ def _linked(a: np.ndarray, inter: np.ndarray, b: np.ndarray, percent: int) -> np
 
 
 def verified_links(doc: np.ndarray, sizes: np.ndarray, elements: np.ndarray, keys: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Confirmed links that connect what is connected, each between sets that share a bucket. side: with it, only sets of two sides are held together, or of one where all have the same."""
+    """Confirmed links that connect what is connected, each between sets that share a bucket. side: with it, only sets of two sides are held together.
+
+    Bucket by bucket: a pair is looked at in the first band that it shares, and only while it isn't connected, so a
+    bucket of copies costs one comparison for each and a text without copies none.
+    """
     n = len(doc)
     _, ids = np.unique(elements, return_inverse=True)
     first = np.r_[0, np.cumsum(sizes)]
-    root = np.arange(n)
+    parent = np.arange(n)
     mark = np.zeros(ids.max(initial=-1) + 1, bool)
     out = []
-    for x in range(n - 1):
-        y = np.flatnonzero(root[x + 1 :] != root[x]) + x + 1
-        y = y[(100 * np.minimum(sizes[y], sizes[x]) >= percent * np.maximum(sizes[y], sizes[x]))]
-        if side is not None:
-            y = y[side[y] != side[x]]
-        if len(y):
-            y = y[(keys[y] == keys[x]).any(1)]
-        if not len(y):
-            continue
+
+    def roots(v: np.ndarray) -> np.ndarray:
+        r = parent[v]
+        while (parent[r] != r).any():
+            r = parent[r]
+        parent[v] = r
+        return r
+
+    def compare(x: int, y: np.ndarray) -> None:
         mark[ids[first[x] : first[x + 1]]] = True
         start = np.r_[0, np.cumsum(sizes[y])]
         at = np.arange(start[-1]) - np.repeat(start[:-1], sizes[y]) + np.repeat(first[y], sizes[y])
         inter = np.add.reduceat(mark[ids[at]].astype(np.int64), start[:-1])
         mark[ids[first[x] : first[x + 1]]] = False
-        for k in y[_linked(sizes[x], inter, sizes[y], percent)]:
-            if root[k] != root[x]:
+        for k in y[_linked(sizes[x], inter, sizes[y], percent)].tolist():
+            a, b = roots(np.array([x, k]))
+            if a != b:
                 out.append((int(doc[x]), int(doc[k])))
-                root[root == root[k]] = root[x]
+                parent[max(a, b)] = min(a, b)
+
+    for band in range(keys.shape[1]):
+        by = np.argsort(keys[:, band], kind="stable")
+        new = np.flatnonzero(np.r_[True, keys[by[1:], band] != keys[by[:-1], band]])
+        root = roots(by)
+        open_ = np.flatnonzero(np.minimum.reduceat(root, new) != np.maximum.reduceat(root, new))
+        for a, b in zip(new[open_], np.r_[new[1:], n][open_]):
+            bucket = by[a:b]
+            for k, x in enumerate(bucket[:-1].tolist()):
+                later = bucket[k + 1 :]
+                y = later[roots(later) != roots(bucket[k : k + 1])]
+                if not len(y):
+                    break
+                y = y[100 * np.minimum(sizes[y], sizes[x]) >= percent * np.maximum(sizes[y], sizes[x])]
+                if side is not None:
+                    y = y[side[y] != side[x]]
+                if band and len(y):
+                    y = y[~(keys[y, :band] == keys[x, :band]).any(1)]
+                if len(y):
+                    compare(x, y)
     return out
 
 
-def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, task_shingles: int = TASK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, task_shingles: int = TASK_SHINGLES, task_docs: int = TASK_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A and B| >= percent * |A or B| over their distinct shingles; component_id
     is the least id reachable. A pair at the threshold shares no band with probability (1 - 0.8^rows)^bands,
     under 5e-7 as set. Null, empty and blank texts have no shingles and no links; texts of fewer words than a
-    shingle are one shingle; rows that repeat an id are one node; other columns are ignored; an empty table
-    gives no rows.
+    shingle are one shingle. An id is a node: of rows that repeat it with other texts, the one of least digest is
+    linked, and all get its component. Rows without an id have the component of an equal text with one, else none,
+    and are kept then. Other columns are ignored; an empty table gives no rows.
     """
     base = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = written(sketch_table(base, shingle_words, bands, rows), "sketches")
     same = ["d1", "d2", "n_shingles"]
     classes = written(table.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = table.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    reps = table.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
+    reps = reps.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles", "keys")).alias("r")).select("doc_id", "r.*")
     met = reps.select("doc_id", F.explode("keys").alias("key")).repartition("key")
     buckets = met.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     stars = met.join(buckets, "key").filter("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     families = connected_components(stars)
     families = written(families.unionByName(families.select(F.col("component").alias("node"), "component").distinct()), "families")
 
-    sized = reps.join(families, F.col("doc_id") == F.col("node")).select("doc_id", "n_shingles", "keys", F.col("component").alias("family"))
-    large = sized.groupBy("family").agg(F.sum("n_shingles").alias("all")).withColumn("chunks", F.ceil(F.col("all") / (task_shingles / 2)).cast("int"))
+    sized = reps.join(families, F.col("doc_id") == F.col("node")).select("doc_id", "d1", "n_shingles", "keys", F.col("component").alias("family"))
+    share = F.greatest(F.sum("n_shingles") / task_shingles, F.count("*") / task_docs)  # of what a task may hold
+    large = sized.groupBy("family").agg(share.alias("all")).withColumn("chunks", F.ceil(2 * F.col("all")).cast("int"))
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    sized = sized.join(large, "family").withColumn("chunks", F.when(F.col("all") <= task_shingles, 1).otherwise(F.col("chunks"))).withColumn("chunk", chunk)
+    sized = sized.join(large, "family").withColumn("chunks", F.when(F.col("all") <= 1, 1).otherwise(F.col("chunks"))).withColumn("chunk", chunk)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,9 +184,11 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: in
                 h, doc = _sets(t, shingle_words)
                 first = np.searchsorted(doc, np.arange(n + 1))
                 raw = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(t.lo, n) for k in range(5)), pa.array(raw, pa.binary())], ["doc_id", "keys", "family", "chunk", "chunks", "elements"])
+                rows = pa.RecordBatch.from_arrays([*(batch.column(k).slice(t.lo, n) for k in range(5)), pa.array(raw, pa.binary())], ["doc_id", "keys", "family", "chunk", "chunks", "elements"])
+                yield rows.filter(pa.array(_sums(mix(h), first) == batch.column(5).to_numpy()[t.lo : t.hi]))
 
-    full = base.join(sized.select("doc_id", "keys", "family", "chunk", "chunks"), "doc_id").select("doc_id", "keys", "family", "chunk", "chunks", "text")
+    columns = ["doc_id", "keys", "family", "chunk", "chunks", "d1"]
+    full = base.join(sized.select(*columns), "doc_id").select(*columns, "text")
     full = full.mapInArrow(run, "doc_id long, keys array<long>, family long, chunk int, chunks int, elements binary")
     met_in = F.expr("transform(sequence(0, chunks - 1), c -> struct(least(c, chunk) as lo, greatest(c, chunk) as hi))")
     tasks = full.withColumn("task", F.explode(met_in)).select("family", "task.lo", "task.hi", "doc_id", "keys", "chunk", "elements")
@@ -182,5 +212,5 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: in
         table.join(classes, same, "left")
         .join(joined, F.col("rep") == F.col("node"), "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("component_id") == F.col("doc_id"))
+        .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull()))
     )

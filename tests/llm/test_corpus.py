@@ -75,6 +75,37 @@ def test_near_duplicates_of_documents(documents):
     assert got == brute_components([(r.doc_id, r.text) for r in documents.collect()], 5)
 
 
+def test_near_duplicates_of_odd_rows(spark, empty):
+    """Rows without an id go by an equal text; of an id's texts one is linked; a family may be cut by documents."""
+    near = BASE.replace("word7 ", "other ")
+    rows = [(None, BASE), (None, "alone"), (None, ""), (4, near), (5, BASE), (5, LONG), (6, LONG), (7, None), (None, None)]
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, rep int, family int").repartition(3)
+    for options in ({}, {"task_docs": 2}):
+        got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in neardup.near_duplicates(df, shingle_words=4, **options).collect()}
+        assert got[None, 117] == (5, False) or got[None, 117] == (4, False)
+        assert got[None, 1] == got[None, 0] == (None, True) and got[7, 0] == (7, True) and got[4, 117] == (4, True)
+        assert got[5, 117] == got[5, 29997] == got[6, 29997][:1] + (got[5, 117][0] == 5,)
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_many_short_texts_of_one_family():
+    """Sixteen thousand texts of 20 shingles that share a bucket: copies cost one comparison each, and texts that aren't linked meet once."""
+    import time
+
+    rng = np.random.default_rng(0)
+    n = 16_000
+    keys = rng.integers(0, 2**62, (n, 48))
+    keys[:, 5] = 7
+    elements = np.tile(np.arange(20, dtype=np.uint64), n)
+    began = time.time()
+    assert len(neardup.verified_links(np.arange(n), np.full(n, 20), elements, keys, 80)) == n - 1
+    assert time.time() - began < 10
+    m = 600
+    elements = rng.integers(0, 2**62, m * 20).astype(np.uint64)
+    elements[:20] = elements[20:40]
+    assert neardup.verified_links(np.arange(m), np.full(m, 20), elements, keys[:m], 80) == [(0, 1)]
+
+
 def test_chains_link_through_the_middle(spark):
     words = [f"t{i}" for i in range(400)]
     rows = [(k, " ".join(words[8 * k : 8 * k + 120])) for k in range(12)]
