@@ -259,7 +259,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str =
     def met(probing: DataFrame) -> DataFrame:
         """Every chunk of a list's vectors with every chunk of the queries that probe it."""
         chunks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / chunk).cast("int").alias(name))
-        sizes = chunks(placed, "v_chunks").join(chunks(probing, "q_chunks"), "list")
+        # a row per list, of which the centres' bytes bound the number; hot lists are dealt by chunk, not by list
+        sizes = F.broadcast(chunks(placed, "v_chunks").join(chunks(probing, "q_chunks"), "list"))
         own = F.pmod(F.xxhash64("vec_id"), F.col("own")).cast("int")
         none = F.lit(None).cast("double").alias("worst")
         a = placed.join(sizes, "list").withColumn("own", F.col("v_chunks")).select("list", own.alias("vc"), F.explode(F.expr("sequence(0, q_chunks - 1)")).alias("qc"), F.lit(False).alias("query"), "vec_id", "v", none)

@@ -31,9 +31,11 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. On a cluster spark.checkpoint.dir names it; it is set here only where it is unset (local mode, tests)."""
+    """The folder that driver and executors share, which spark.checkpoint.dir names. In local mode, where driver and tasks are one process, a temporary one is set if it is unset; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -8,14 +8,16 @@ of neighbouring matches make the longest verbatim matches and their places.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Texts, texts, words
+from .common import ALNUM, Texts, texts, words, written
 
 #: Benchmark text that one pass over the documents broadcasts at most; a larger benchmark takes more passes.
 PASS_BYTES = 16 << 20
@@ -126,65 +128,100 @@ def shard_matches(t: Texts, test: TestWords) -> tuple[np.ndarray, list[list[dict
     return n_words, out
 
 
-def longest_matches(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, pass_bytes: int = PASS_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, matches (item_id, first word and length of every longest match of at least a window).
-
-    Words are runs of digits, letters a to z (A-Z lower-cased) and characters outside ASCII. An item of fewer
-    words than a window, but not none, is one window. Null texts have no words; an empty benchmark matches
-    nothing; rows that repeat an id, or have none, get a row each, whatever the number of passes; other columns
-    are ignored.
-    """
-    found = _found(documents, benchmark, False, window, pass_bytes, id_col, text_col, item_col, item_text_col)
-    return found.select("doc_id", "n_words", "n_hit", "matches")
+_MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("words", pa.int32())]))
 
 
-def _found(documents: DataFrame, benchmark: DataFrame, content: bool, window: int, pass_bytes: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """longest_matches(), on request with content, a hash of the text."""
-    spark = documents.sparkSession
-    base = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
+def _items(benchmark: DataFrame, item_col: str, text_col: str, pass_bytes: int) -> tuple[DataFrame, int]:
+    """Items with a text, and how many passes they take."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = -(-size // pass_bytes) or 1
+    return items, -(-size // pass_bytes) or 1
 
-    def one(k: int) -> DataFrame:
-        block = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        test = spark.sparkContext.broadcast(TestWords([(r.item_id, r.text) for r in block.collect()], window))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for t in texts(batch, limit=SHARD_BYTES):
-                    n_words, found = shard_matches(t, test.value)
-                    kind = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("words", pa.int32())]))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(t.lo, t.hi - t.lo) for c in (0, *range(2, batch.num_columns))), pa.array(n_words), pa.array(found, kind)], names)
+def _block(items: DataFrame, k: int, passes: int, window: int):
+    """The items of one pass, broadcast."""
+    block = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+    return items.sparkSession.sparkContext.broadcast(TestWords([(r.item_id, r.text) for r in block.collect()], window))
 
-        rows = base.withColumn("content", F.xxhash64("text")) if content or passes > 1 else base
-        names = [*(c for c in rows.columns if c != "text"), "n_words", "matches"]
-        kinds = "".join(f"{c} long, " for c in names[:-1])
-        return rows.mapInArrow(run, f"{kinds}matches array<{MATCH}>")
 
-    if passes == 1:
-        found = one(0)
-    else:
-        all_ = one(0)
-        for k in range(1, passes):
-            all_ = all_.unionByName(one(k))
-        found = all_.groupBy("doc_id", "content").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("matches")).alias("matches"))
-        found = found.withColumnsRenamed({"doc_id": "_id", "content": "_content"})
-        found = base.select("doc_id", F.xxhash64("text").alias("content")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))).drop("_id", "_content")
+def _matched(rows: DataFrame, test, all_rows: bool = True) -> DataFrame:
+    """rows(key, text) to key, n_words, matches; on request only of rows with a match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in texts(batch, limit=SHARD_BYTES):
+                n_words, found = shard_matches(t, test.value)
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, t.hi - t.lo), pa.array(n_words), pa.array(found, _MATCHES)], ["key", "n_words", "matches"])
+                yield out if all_rows else out.filter(pa.array([bool(m) for m in found]))
+
+    return rows.mapInArrow(run, f"key long, n_words long, matches array<{MATCH}>")
+
+
+def _in_passes(rows: DataFrame, items: DataFrame, passes: int, window: int) -> DataFrame:
+    """_matched() of a written table, pass after pass: the driver and each task hold one pass's items at a time, and a pass's matches are written before the next begins."""
+    parts = []
+    for k in range(passes):
+        test = _block(items, k, passes, window)
+        parts.append(written(_matched(rows, test, all_rows=k == 0), "matches"))
+        test.unpersist()
+    return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+
+
+def _hit() -> Column:
+    """Words inside matches, which may overlap."""
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
     in_order = F.array_sort(F.transform("matches", lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["words"]).alias("end"))))
     hit = F.aggregate(in_order, zero, lambda a, m: F.struct(F.greatest(a["end"], m["end"]).alias("end"), (a["hit"] + F.greatest(F.lit(0), m["end"] - F.greatest(a["end"], m["start"]))).alias("hit")), lambda a: a["hit"])
-    return found.withColumn("n_hit", F.when(F.size("matches") > 0, hit).otherwise(F.lit(0).cast("long")))
+    return F.when(F.size("matches") > 0, hit).otherwise(F.lit(0).cast("long"))
+
+
+def hit_words(matches: list[dict]) -> int:
+    """_hit() of one document."""
+    n = end = 0
+    for a, b in sorted((m["start"], m["start"] + m["words"]) for m in matches):
+        n, end = n + max(0, b - max(a, end)), max(end, b)
+    return n
+
+
+def longest_matches(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, pass_bytes: int = PASS_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, matches (item_id, first word and length of every longest match of at least a window).
+
+    Words are runs of digits, letters a to z (A-Z lower-cased) and characters outside ASCII. An item of fewer
+    words than a window, but not none, is one window. Null texts have no words; an empty benchmark matches
+    nothing; rows that repeat an id, or have none, get a row each, whatever the number of passes; other columns
+    are ignored; an empty table gives no rows.
+    """
+    base = documents.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    items, passes = _items(benchmark, item_col, item_text_col, pass_bytes)
+    if passes == 1:
+        found = _matched(base, _block(items, 0, 1, window)).withColumnRenamed("key", "doc_id")
+    else:
+        rows = written(base.withColumnRenamed("key", "doc_id").withColumn("key", F.monotonically_increasing_id()), "numbered")
+        found = rows.select("key", "doc_id").join(_in_passes(rows.select("key", "text"), items, passes, window), "key").drop("key")
+    return found.select("doc_id", "n_words", _hit().alias("n_hit"), "matches")
 
 
-def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
+def contaminated(n_words: str = "n_words", n_hit: str = "n_hit") -> Column:
     """At least a twentieth of the words lies in matches."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, pass_bytes: int = PASS_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents, every column kept, without those that are contaminated. Rows without an id and rows that share one are judged each by its own text."""
-    bad = _found(documents, benchmark, True, window, pass_bytes, id_col, text_col, item_col, item_text_col).filter(contaminated())
-    bad = bad.select(F.col("doc_id").alias("_bad"), F.col("content").alias("_content")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_content"))
-    return documents.join(bad, same, "left_anti")
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, pass_bytes: int = PASS_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents, every column kept, without those that are contaminated. Each row is judged by its own text, whatever its id and the names of its columns; null and empty texts stay."""
+    items, passes = _items(benchmark, item_col, item_text_col, pass_bytes)
+    if passes > 1:
+        key = f"row_{uuid.uuid4().hex}"
+        rows = written(documents.withColumn(key, F.monotonically_increasing_id()), "numbered")
+        found = _in_passes(rows.select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text")), items, passes, window)
+        bad = found.withColumn("n_hit", _hit()).filter(contaminated()).select(F.col("key").alias(key))
+        return rows.join(bad, key, "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
+    test = _block(items, 0, 1, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in texts(batch, text_col, limit=SHARD_BYTES):
+                n_words, found = shard_matches(t, test.value)
+                hit = np.array([hit_words(m) for m in found], np.int64)
+                yield batch.slice(t.lo, t.hi - t.lo).filter(pa.array((hit == 0) | (20 * hit < n_words)))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -560,7 +560,7 @@ def brute_contamination(rows, items, window=13):
                     hit |= set(range(k, k + n))
                     found |= got
         out.append((d, len(w), len(hit), tuple(sorted(found))))
-    return sorted(out)
+    return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
 
 
 @pytest.mark.parametrize("options", [{}, {"pass_bytes": 400}])
@@ -574,6 +574,23 @@ def test_contamination(spark, hard, options):
     assert clean.columns == hard.columns and {1, 2, 7}.isdisjoint(r.doc_id for r in clean.collect())
 
 
+def test_contamination_of_odd_rows(spark, empty):
+    """Rows without an id, repeated rows, rows that share an id, clashing columns and a long item, in one pass and in several."""
+    item = " ".join(f"b{i}" for i in range(3000))
+    rows = [(None, item[40:400], 1), (None, "clean", 1), (3, "x " + item[500:900], 1), (3, "x " + item[500:900], 1), (3, "other words here", 1), (4, None, 1), (5, "", 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _bad int").withColumn("n_hit", F.lit("h")).withColumn("key", F.lit("k")).repartition(3)
+    items = [(1, item), (2, "other"), (3, "not there " * 9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    order = lambda r: tuple(str(x) for x in r)
+    for options in ({}, {"pass_bytes": 300}, {"pass_bytes": 9000}):
+        found = decontam.longest_matches(df, bench, **options)
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(sorted({m.item_id for m in r.matches}))) for r in found.collect()), key=order)
+        assert got == sorted(brute_contamination([r[:2] for r in rows], items), key=order)
+        clean = decontam.decontaminate(df, bench, **options)
+        assert clean.columns == df.columns and sorted((r[:2] for r in clean.collect()), key=order) == sorted([(None, "clean"), (4, None), (5, ""), (None, None)], key=order)
+    assert decontam.longest_matches(empty, bench).count() == decontam.decontaminate(empty, bench, pass_bytes=300).count() == 0
+
+
 def test_empty_benchmark(spark, hard):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.longest_matches(hard, none).filter("n_hit > 0").count() == 0
