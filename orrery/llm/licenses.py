@@ -1,10 +1,11 @@
 """License scan: normalised text against license templates by the Dice coefficient of word bigrams.
 
-DataFrame functions only. A document's segments are its lines, its paragraphs and its whole text. A
-segment of n bigrams can reach the threshold t only against templates of t/(2-t) to (2-t)/t times n
-bigrams, and must share one of any set of a template's bigrams that holds one more than it could lack.
-Those of the longest words are that set; a text that has the words of none of them is passed over unread,
-and almost every segment before any template is compared.
+DataFrame functions only. A document's segments are its lines, its paragraphs (parted by lines without a
+letter or digit, so that comment signs part them too) and its whole text. A segment of n bigrams can reach
+the threshold t only against templates of t/(2-t) to (2-t)/t times n bigrams, and must share one of any set
+of a template's bigrams that holds one more than it could lack. The bigrams with a few chosen words are that
+set: a text without any of these words is passed over unread, and almost every segment before any template
+is compared.
 """
 
 from __future__ import annotations
@@ -18,7 +19,12 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
-# Notices by which works name their license.
+# Notices by which works name their license, and full texts of the short licenses.
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: What parts paragraphs: lines without a letter or digit.
+BLANK_LINES = r"(?:\n[^\p{L}\p{N}\n]*)+\n"
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
@@ -35,6 +41,19 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MIT", _MIT),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-2-Clause", f"{_BSD_HEAD} {_BSD_TAIL}"),
+    ("BSD-3-Clause", f"{_BSD_HEAD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_TAIL}"),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
 ]
 
 
@@ -53,9 +72,23 @@ def numbered(bigrams: list[str]) -> list[str]:
     return out
 
 
-def rarest(bigrams: list[str], n: int) -> list[str]:
-    """The n bigrams with the longest words."""
-    return sorted(bigrams, key=lambda g: (-max(map(len, g.split(" #")[0].split())), g))[:n]
+def chosen_words(templates: list[tuple[list[str], int]]) -> list[str]:
+    """Words such that every template (bigrams, how many of them a match may not all lack) has that many bigrams with one of them. Greedy: the word that brings templates furthest, with words of few letters, which stand in any text, put last."""
+    left = [([set(g.split(" #")[0].split()) for g in grams], n) for grams, n in templates]
+    need, chosen = [n for _, n in left], []
+    while any(n > 0 for _, n in left):
+        gain: dict[str, float] = {}
+        for (open_, n), all_ in zip(left, need):
+            if n > 0:
+                times: dict[str, int] = {}
+                for w in {x for words in open_ for x in words}:
+                    times[w] = sum(w in words for words in open_)
+                for w, c in times.items():
+                    gain[w] = gain.get(w, 0.0) + min(c, n) / all_ * (1.0 if len(w) > 5 else len(w) / 50)
+        best = max(sorted(gain), key=gain.get)
+        chosen.append(best)
+        left = [([words for words in open_ if best not in words], n - sum(best in words for words in open_)) for open_, n in left]
+    return chosen
 
 
 def normalised(text: Column) -> Column:
@@ -66,15 +99,16 @@ def scan(documents: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES,
     """(doc_id, license, dice, segment) for every segment (in lower case) and license at or over the threshold, by the license's best template.
 
     Null, empty and blank texts and segments of one word have no bigrams and match nothing; equal segments of a
-    document count once; rows that repeat an id share their matches; other columns are ignored.
+    document count once; rows that repeat an id, or have none, share their matches; other columns are ignored; an
+    empty table gives no rows.
     """
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     known = [(name, grams, len(grams)) for name, text in templates if (grams := template_bigrams(text))]
-    rare = sorted({re.sub(r" #\d+$", "", g) for _, grams, n in known for g in rarest(grams, n - math.ceil(n * low - 1e-9) + 1)})
-    has_words = {w: F.contains("low", F.lit(w)) for g in rare for w in g.split()}
-    may_have = reduce(lambda a, b: a | b, [has_words[g.split()[0]] & has_words[g.split()[1]] for g in sorted(rare, key=lambda g: -max(map(len, g.split())))])
+    held = chosen_words([(grams, n - math.ceil(n * low - 1e-9) + 1) for _, grams, n in known])
+    rare = sorted({g for _, grams, _ in known for g in (re.sub(r" #\d+$", "", x) for x in grams) if set(g.split()) & set(held)})
+    may_have = reduce(lambda a, b: a | b, [F.contains("low", F.lit(w)) for w in held])
     text = F.col("low")
-    segments = F.array_distinct(F.concat(F.split(text, r"\n"), F.split(text, r"\n[ \t\r]*\n"), F.array(text)))
+    segments = F.array_distinct(F.concat(F.split(text, r"\n"), F.split(text, BLANK_LINES), F.array(text)))
     rows = documents.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("low")).filter("low is not null").filter(may_have)
     parts = rows.select("doc_id", F.explode(segments).alias("low")).filter(may_have)
     words = parts.select("doc_id", F.col("low").alias("segment"), F.split(normalised(F.col("low")), " ").alias("words"))
@@ -98,5 +132,5 @@ def licenses(documents: DataFrame, *, id_col: str = "doc_id", **options) -> Data
     """One row per document: doc_id, license (best match, ties to the first name; else null), dice (0 without), n_licenses."""
     found = scan(documents, id_col=id_col, **options).groupBy("doc_id", "license").agg(F.max("dice").alias("dice"))
     best = found.groupBy("doc_id").agg(F.min(F.struct((-F.col("dice")).alias("least"), "license")).alias("best"), F.count("*").alias("n_licenses"))
-    out = documents.select(F.col(id_col).alias("doc_id")).join(best, "doc_id", "left")
+    out = documents.select(F.col(id_col).alias("doc_id")).join(best.withColumnRenamed("doc_id", "known"), F.col("doc_id").eqNullSafe(F.col("known")), "left")
     return out.select("doc_id", F.col("best.license").alias("license"), F.coalesce(-F.col("best.least"), F.lit(0.0)).alias("dice"), F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"))

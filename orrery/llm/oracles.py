@@ -111,7 +111,7 @@ WITH t AS (
   SELECT k, g, count(*) AS c FROM (SELECT k, unnest({grams}) AS g FROM t) GROUP BY ALL
 ), s AS (
   SELECT row_number() OVER () AS s, doc_id, regexp_split_to_array(trim(regexp_replace(lower(seg), '[^\pL\pN]+', ' ', 'g')), ' ') AS ws FROM (
-    SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t\r]*\n'), [text])) AS seg FROM documents)
+    SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '(?:\n[^\pL\pN\n]*)+\n'), [text])) AS seg FROM documents)
 ), sg AS (
   SELECT s, g, count(*) AS c FROM (SELECT s, unnest({grams}) AS g FROM s WHERE len(ws) BETWEEN 2 AND 400) GROUP BY ALL
 ), d AS (

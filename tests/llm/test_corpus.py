@@ -649,6 +649,48 @@ def test_licenses(spark, hard, empty):
     assert licenses.licenses(hard).filter("license is not null").count() == 0 and licenses.licenses(empty).count() == 0
 
 
+def dice(a, b):
+    a, b = (Counter(licenses.template_bigrams(x)) for x in (a, b))
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_licenses_of_wrapped_and_odd_texts(spark):
+    """Full texts in comments, wrapped over lines; a null id has its match; long texts, repeated rows and clashing columns."""
+    import textwrap
+
+    def comment(text, sign):
+        return "\n".join(f"{sign} {line}" for line in textwrap.wrap(text, 60))
+
+    mit, bsd = (next(t for n, t in reversed(licenses.TEMPLATES) if n == name) for name in ("MIT", "BSD-3-Clause"))
+    code = "import os\n\ndef f(x):\n    return x\n"
+    rows = [
+        (1, "/*\n" + comment("Copyright (c) 2020 Some One", " *") + "\n *\n" + comment(mit, " *") + "\n */\n" + code, "MIT"),
+        (2, comment(bsd, "#") + "\n#\n" + code, "BSD-3-Clause"),
+        (None, "x\n\nReleased under the MIT License.\n", "MIT"),
+        (4, code * 3000 + "\n--\n" + comment(mit, "//"), "MIT"),
+        (5, "Released under the MIT License.", "MIT"), (5, "Released under the MIT License.", "MIT"),
+        (6, mit[: len(mit) // 8], None), (7, "license software copyright warranty", None), (8, "\n\n\n", None),
+    ]
+    df = spark.createDataFrame([(i, t, n, "s") for i, t, n in rows], "doc_id long, text string, license string, segment string")
+    got = [(r.doc_id, r.license) for r in licenses.licenses(df).collect()]
+    assert sorted(got, key=str) == sorted([(i, n) for i, _, n in rows], key=str)
+
+
+def test_licenses_against_brute_force(spark):
+    """Every template with words dropped and put in, against the Dice coefficient over all templates."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        for share in (0.05, 0.12, 0.2):
+            kept = [w for w in words if rng.random() > share]
+            rows.append((len(rows), " ".join(x for w in kept for x in ([w, "word"] if rng.random() < share / 4 else [w]))))
+    got = {r.doc_id: (r.license, r.dice) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        score, name = min((-dice(t, text), name) for name, text in licenses.TEMPLATES)
+        assert got[i] == ((name, pytest.approx(-score)) if -score >= licenses.THRESHOLD else (None, 0.0)), t
+
+
 @pytest.mark.parametrize("name", ["op1_neardup", "op6_urls", "op7_repeats", "op8_decontamination", "op10_licenses"])
 def test_against_sql(spark, name):
     from helpers import duck, duck_rows, spark_rows
