@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.sources.tables import checkpointed
+from orrery.sources.tables import written
 
 
 def swapped(edges: DataFrame) -> DataFrame:
@@ -13,17 +13,20 @@ def swapped(edges: DataFrame) -> DataFrame:
 
 
 def dependency_levels(edges: DataFrame, roots: DataFrame, max_level: int | None = None) -> DataFrame:
-    """(root, node, level) with the level at which a node is first reached; the root itself is level 0. Safe with cycles; roots(root)."""
-    e = edges.select("src", "dst").distinct()
-    seen = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("level")).distinct()
-    frontier, level = seen, 0
+    """(root, node, level) with the level at which a node is first reached; the root itself is level 0. Safe with cycles; roots(root).
+
+    Edges are written once, ordered by src within each task, and every level reads from them what its frontier asks for.
+    """
+    e = written(edges.select("src", "dst").distinct().sortWithinPartitions("src"), "edges")
+    frontier = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("level")).distinct()
+    seen, level = frontier, 0
     while max_level is None or level < max_level:
         level += 1
         step = frontier.select("root", F.col("node").alias("src")).join(e, "src").select("root", F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("level", F.lit(level)))
+        frontier = written(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("level", F.lit(level)), "level")
         if frontier.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(frontier)) if level % 4 == 0 else seen.unionByName(frontier)
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -53,7 +56,7 @@ def unique_edges(edges: DataFrame) -> DataFrame:
 
 def dependency_graph(edges: DataFrame, roots: DataFrame, max_level: int | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) induced on what is reached, root included, by root."""
-    nodes = checkpointed(_limited(dependency_levels(edges, roots, max_level), limit))
+    nodes = written(_limited(dependency_levels(edges, roots, max_level), limit), "nodes")
     e = unique_edges(edges.select("src", "dst"))
     inside = nodes.select("root", F.col("node").alias("src")).join(e, "src").join(nodes.select("root", F.col("node").alias("dst")), ["root", "dst"], "left_semi")
     return nodes, inside.select("root", "src", "dst")

@@ -7,6 +7,8 @@ task passes on k rows per query at most.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.exprs import cosine_distance, dot, standard_tokens
+from orrery.sources.tables import written
 
 K1, B = 1.2, 0.75
 RANK_CONSTANT = 60
@@ -35,25 +38,64 @@ def query_blocks(queries: DataFrame, most: int = BLOCK_QUERIES) -> list[DataFram
 # The text leg
 
 
-def postings(docs: DataFrame, text: Column, field: str, id_col: str = "asset_id") -> DataFrame:
-    """(field, term, id, tf, length)."""
-    tokens = docs.select(F.col(id_col), standard_tokens(text).alias("_t")).withColumn("length", F.size("_t"))
-    return tokens.filter("length > 0").select(id_col, "length", F.explode("_t").alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"), F.first("length").alias("length")).withColumn("field", F.lit(field))
+@dataclass(frozen=True)
+class Field:
+    """A field of the text leg. text: a string column, or with nested an array of strings, whose elements match each for itself and are summed.
+
+    match and wildcard: weights of the two clauses, 0 skips one. operator: `or`, or `and` for every term of the
+    query. fuzzy: how many words of the field near a term may stand for it.
+    """
+
+    text: Column
+    match: float = 1.0
+    wildcard: float = 0.0
+    operator: str = "or"
+    analyzer: Callable[[Column], Column] = standard_tokens
+    fuzzy: int = 0
+    nested: bool = False
+
+
+#: Rows of terms that are broadcast at most; more of them join by shuffle.
+MOST_TERMS = 1_000_000
+
+
+def small(df: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+    """df, written once and marked for broadcast if it has no more rows than that."""
+    df = written(df, "terms")
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
+def field_tokens(docs: DataFrame, field: Field, id_col: str = "asset_id") -> DataFrame:
+    """(id, element, tokens, length): the texts of a field, cut by its analyzer; texts without tokens are left out."""
+    units = docs.select(id_col, F.posexplode(field.text).alias("element", "_v")) if field.nested else docs.select(id_col, F.lit(0).alias("element"), field.text.alias("_v"))
+    return units.select(id_col, "element", field.analyzer(F.col("_v")).alias("tokens")).withColumn("length", F.size("tokens")).filter("length > 0")
+
+
+def query_terms(queries: DataFrame, text: str = "text", analyzer: Callable[[Column], Column] = standard_tokens) -> DataFrame:
     """(query_id, term)."""
-    return queries.select("query_id", F.explode(F.array_distinct(standard_tokens(F.col(text)))).alias("term"))
+    return queries.select("query_id", F.explode(F.array_distinct(analyzer(F.col(text)))).alias("term"))
 
 
-def bm25(post: DataFrame, terms: DataFrame, *, id_col: str = "asset_id", k1: float = K1, b: float = B) -> DataFrame:
-    """R2: (query_id, id, field, score). Statistics are taken over the whole corpus; postings are cut to the queries' terms before scores are made."""
-    stats = post.groupBy("field").agg(F.countDistinct(id_col).alias("docs"), (F.sum("tf") / F.countDistinct(id_col)).alias("mean_length"))
-    df = post.groupBy("field", "term").agg(F.count("*").alias("df"))
-    weights = terms.join(df, "term").join(F.broadcast(stats), "field")  # stats: a row per field
+def bm25(tokens: DataFrame, terms: DataFrame, *, operator: str = "or", id_col: str = "asset_id", k1: float = K1, b: float = B) -> DataFrame:
+    """R2: (query_id, id, score), summed over the elements of a document.
+
+    tokens as of field_tokens(), terms(query_id, term, word, boost): words that stand for each term. How many texts
+    there are and how long they are is taken over the whole corpus; only occurrences of asked words are counted, once.
+    """
+    terms = small(terms)
+    stats = tokens.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
+    words = small(terms.select("word").distinct())
+    found = tokens.select(id_col, "element", "length", F.explode("tokens").alias("word")).join(words, "word")
+    held = written(found.groupBy("word", id_col, "element").agg(F.count("*").alias("tf"), F.first("length").alias("length")), "postings")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = held.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(stats)).select("word", idf.alias("idf"), "mean_length")  # stats: one row
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return weights.withColumn("idf", idf).join(post, ["field", "term"]).groupBy("query_id", id_col, "field").agg(F.sum(F.col("idf") * tf * (F.col("boost") if "boost" in terms.columns else 1.0)).alias("score"))
+    met = held.join(small(terms.join(weights, "word")), "word")
+    each = met.groupBy("query_id", id_col, "element").agg(F.sum(F.col("idf") * tf * F.col("boost")).alias("score"), *([F.countDistinct("term").alias("terms")] if operator == "and" else []))
+    if operator == "and":
+        wanted = small(terms.groupBy("query_id").agg(F.countDistinct("term").alias("wanted")))
+        each = each.join(wanted, "query_id").filter("terms = wanted")
+    return each.groupBy("query_id", id_col).agg(F.sum("score").alias("score"))
 
 
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, expansions: int = 1) -> DataFrame:
@@ -100,24 +142,46 @@ def field_match(value: Column, query: str, kind: str) -> Column:
     raise ValueError(kind)
 
 
-def text_leg(docs: DataFrame, queries: DataFrame, fields: dict[str, tuple[Column, float, float]], id_col: str = "asset_id") -> DataFrame:
-    """(query_id, id, score). fields: name -> (text, match weight, wildcard weight); weight 0 skips a clause.
+def contained(values: DataFrame, asked: DataFrame, id_col: str = "asset_id") -> DataFrame:
+    """(query_id, id) of values(id, _v) that hold _q of asked(query_id, _q): an equi-join on the first three letters of a query, or all it has if fewer, then a check."""
+    asked = small(asked.withColumn("gram", F.substring("_q", 1, 3)))
+    sizes = [r.n for r in asked.select(F.length("gram").alias("n")).distinct().collect()]  # 1, 2, 3
+    if not sizes:
+        return values.select(F.lit(None).cast("long").alias("query_id"), id_col).limit(0)
+
+    def grams(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("_v") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("_v"), i, F.lit(n)))
+
+    each = F.array_distinct(F.flatten(F.array(*map(grams, sizes))))
+    met = values.filter("_v <> ''").select(id_col, "_v", F.explode(each).alias("gram")).join(asked, "gram")
+    return met.filter(F.contains("_v", "_q")).select("query_id", id_col)
+
 
-    The wildcard clause (*query* anywhere in the field) is a join of whole values; queries without tokens
-    have no match clause, and without any clause no hits.
+def text_leg(docs: DataFrame, queries: DataFrame, fields: dict[str, Field | tuple[Column, float, float]], id_col: str = "asset_id") -> DataFrame:
+    """(query_id, id, score, fields): the weighted clauses of all fields summed, and the names of the fields that matched. A tuple is a Field's text, match and wildcard.
+
+    A match clause scores by BM25 over the field's own texts, with the field's operator, analyzer and fuzzy words.
+    The wildcard clause (*query* anywhere in the field, in any case) compares whole values. Queries without
+    tokens have no match clause, and without any clause no hits.
     """
     parts = []
-    terms = query_terms(queries)
-    for name, (text, match, wildcard) in fields.items():
-        if match:
-            parts.append(bm25(postings(docs, text, name, id_col), terms, id_col=id_col).select("query_id", id_col, (F.col("score") * match).alias("score")))
-        if wildcard:
+    for name, f in fields.items():
+        f = f if isinstance(f, Field) else Field(*f)
+        if f.match:
+            tokens, terms = field_tokens(docs, f, id_col), query_terms(queries, analyzer=f.analyzer)
+            if f.fuzzy:
+                terms = fuzzy_terms(terms, tokens.select(F.explode("tokens").alias("term")).distinct(), f.fuzzy)
+            else:
+                terms = terms.select("query_id", "term", F.col("term").alias("word"), F.lit(1.0).alias("boost"))
+            found = bm25(tokens, terms, operator=f.operator, id_col=id_col)
+            parts.append(found.select("query_id", id_col, (F.col("score") * f.match).alias("score"), F.lit(name).alias("field")))
+        if f.wildcard:
             asked = queries.filter(F.trim("text") != "").select("query_id", F.lower("text").alias("_q"))
-            values = docs.select(id_col, F.lower(text).alias("_v"))
-            for block in query_blocks(asked):
-                held = values.join(block, F.contains("_v", "_q"))
-                parts.append(held.select("query_id", id_col, F.lit(float(wildcard)).alias("score")))
-    return reduce(DataFrame.unionByName, parts).groupBy("query_id", id_col).agg(F.sum("score").alias("score"))
+            values = docs.select(id_col, F.explode(f.text).alias("_v")) if f.nested else docs.select(id_col, f.text.alias("_v"))
+            held = contained(values.select(id_col, F.lower("_v").alias("_v")), asked, id_col)
+            held = held.distinct() if f.nested else held
+            parts.append(held.select("query_id", id_col, F.lit(float(f.wildcard)).alias("score"), F.lit(name).alias("field")))
+    return reduce(DataFrame.unionByName, parts).groupBy("query_id", id_col).agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("field")).alias("fields"))
 
 
 # Vector legs, scores, windows
@@ -132,41 +196,61 @@ def vector_scores(views: DataFrame, queries: DataFrame, id_col: str = "asset_id"
 
 
 def vector_scores_batched(views: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_col: str = "asset_id") -> DataFrame:
-    """R5 for many queries at once: matrix products over Arrow batches; each batch passes on the best view of its k best assets per query, ties to the smaller id as in ranked()."""
+    """R5 for many queries at once: matrix products over Arrow batches; each batch passes on the best view of its k best assets per query, ties to the smaller id as in ranked(). Views of another width than the queries' take no part."""
     ids = np.array([q for q, _ in queries])
     matrix = np.array([v for _, v in queries], np.float64)
-    shared = views.sparkSession.sparkContext.broadcast((ids, matrix))  # one block of a stated query set
+    shared = views.sparkSession.sparkContext.broadcast((ids, matrix))  # one block of queries
 
     def run(batches):
         ids, matrix = shared.value
         for pdf in batches:
             x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             s = x @ matrix.T
-            assets = pdf[id_col].to_numpy()
+            assets, offsets = pdf[id_col].to_numpy(), pdf["view_offset"].to_numpy()
             for n, q in enumerate(ids):
-                by = np.argsort(-s[:, n], kind="stable")
+                by = np.lexsort((offsets, -s[:, n]))
                 one = by[np.sort(np.unique(assets[by], return_index=True)[1])]  # the best view of each asset
                 top = one[np.lexsort((assets[one], -np.round(s[one, n], 9)))[:k]]
-                yield pd.DataFrame({"query_id": q, id_col: assets[top], "view_offset": pdf["view_offset"].to_numpy()[top], "s": s[top, n]})
+                yield pd.DataFrame({"query_id": q, id_col: assets[top], "view_offset": offsets[top], "s": s[top, n]})
+
+    rows = views.filter(F.size("embedding") == matrix.shape[1]).select(id_col, "view_offset", "embedding")
+    scored = rows.mapInPandas(run, f"query_id long, {id_col} long, view_offset int, s double")
+    best = F.max(F.struct(F.col("s"), (-F.col("view_offset")).alias("o"))).alias("b")
+    return scored.groupBy("query_id", id_col).agg(best).select("query_id", id_col, F.col("b.s").alias("score"), (-F.col("b.o")).alias("view_offset"))
+
+
+def vector_top(views: DataFrame, queries: DataFrame, k: int, id_col: str = "asset_id") -> DataFrame:
+    """R5, exact: each query's k best assets (query_id, id, score, view_offset), of which every task passes on k and no more. queries(query_id, vector) are held a block of BLOCK_QUERIES at a time."""
+    queries = written(queries.filter("vector is not null").select("query_id", "vector"), "queries")
+    n, parts = -(-queries.count() // BLOCK_QUERIES) or 1, []
+    for block in range(n):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).collect()
+        for width in sorted({len(r.vector) for r in rows}):
+            parts.append(vector_scores_batched(views, [(r.query_id, r.vector) for r in rows if len(r.vector) == width], k, id_col))
+    if not parts:
+        return vector_scores(views, queries, id_col).limit(0)
+    return ranked(reduce(DataFrame.unionByName, parts), id_col).filter(F.col("rank") <= k).drop("rank")
+
 
-    scored = views.select(id_col, "view_offset", "embedding").mapInPandas(run, f"query_id long, {id_col} long, view_offset int, s double")
-    return scored.groupBy("query_id", id_col).agg(F.max("s").alias("score"), F.max_by("view_offset", "s").alias("view_offset"))
+def vector_candidates(views: DataFrame, queries: DataFrame, *, tables: int = 12, bits: int = 6, seed: int = 3, id_col: str = "asset_id") -> DataFrame:
+    """R6, approximate: sign random projections put views and queries into buckets of several tables; candidates that share one are scored exactly. Widths are the data's own; vectors of different widths never meet."""
+    widths = [r.n for r in queries.select(F.size("vector").alias("n")).distinct().filter("n > 0").collect()]
 
+    def of_width(n: int) -> DataFrame:
+        rng = np.random.default_rng(seed)
+        planes = [[float(x) for x in rng.normal(size=n)] for _ in range(tables * bits)]
 
-def vector_candidates(views: DataFrame, queries: DataFrame, *, tables: int = 12, bits: int = 6, seed: int = 3, dimensions: int = 64, id_col: str = "asset_id") -> DataFrame:
-    """R6, approximate: sign random projections put views and queries into buckets of several tables; candidates that share one are scored exactly."""
-    rng = np.random.default_rng(seed)
-    planes = [[float(x) for x in rng.normal(size=dimensions)] for _ in range(tables * bits)]
+        def keys(v: Column) -> Column:
+            signs = [(dot(v, F.array(*map(F.lit, p))) >= 0).cast("int") for p in planes]
+            return F.array(*(F.concat(F.lit(f"{t}:"), *(signs[t * bits + k].cast("string") for k in range(bits))) for t in range(tables)))
 
-    def keys(v: Column) -> Column:
-        signs = [(dot(v, F.array(*map(F.lit, p))) >= 0).cast("int") for p in planes]
-        return F.array(*(F.concat(F.lit(f"{t}:"), *(signs[t * bits + k].cast("string") for k in range(bits))) for t in range(tables)))
+        v = views.filter(F.size("embedding") == n).withColumn("key", F.explode(keys(F.col("embedding"))))
+        q = queries.filter(F.size("vector") == n).withColumn("key", F.explode(keys(F.col("vector"))))
+        met = v.join(q, "key").dropDuplicates(["query_id", id_col, "view_offset"])
+        scored = met.select("query_id", id_col, "view_offset", dot(F.col("embedding"), F.col("vector")).alias("s"))
+        return scored.groupBy("query_id", id_col).agg(F.max("s").alias("score"), F.max_by("view_offset", "s").alias("view_offset"))
 
-    v = views.withColumn("key", F.explode(keys(F.col("embedding"))))
-    q = queries.withColumn("key", F.explode(keys(F.col("vector"))))
-    met = v.join(q, "key").dropDuplicates(["query_id", id_col, "view_offset"])
-    scored = met.select("query_id", id_col, "view_offset", dot(F.col("embedding"), F.col("vector")).alias("s"))
-    return scored.groupBy("query_id", id_col).agg(F.max("s").alias("score"), F.max_by("view_offset", "s").alias("view_offset"))
+    return reduce(DataFrame.unionByName, [of_width(n) for n in widths or [1]])
 
 
 def engine_score(ip: Column) -> Column:
@@ -200,14 +284,27 @@ def collapse_by_hash(leg: DataFrame, id_col: str = "asset_id") -> DataFrame:
     return leg.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+VIEWS = "array<struct<score: double, offset: int, image: string, label: string>>"
+
+
+def with_views(leg: DataFrame, views: DataFrame, queries: DataFrame, most: int = 3, id_col: str = "asset_id") -> DataFrame:
+    """The leg's hits with the `most` best views of each asset for the query: score, offset, image, label. leg: a window of hits."""
+    met = leg.select("query_id", id_col).join(views, id_col).join(small(queries.select("query_id", "vector")), "query_id").filter(F.size("embedding") == F.size("vector"))
+    scored = met.select("query_id", id_col, F.struct((-dot(F.col("embedding"), F.col("vector"))).alias("s"), F.col("view_offset").alias("offset"), "image", "label").alias("view"))
+    best = F.slice(F.array_sort(F.collect_list("view")), 1, most)
+    told = F.transform(best, lambda v: F.struct((-v["s"]).alias("score"), v["offset"].alias("offset"), v["image"].alias("image"), v["label"].alias("label")))
+    return leg.join(scored.groupBy("query_id", id_col).agg(told.alias("views")), ["query_id", id_col], "left")
+
+
 def rrf_fuse(legs: list[tuple[str, DataFrame, float]], k: int = RANK_CONSTANT, k_of: dict[str, int] | None = None, id_col: str = "asset_id") -> DataFrame:
-    """Sum of weight / (rank + k) over legs (name, leg, weight); ties go to the first leg, then the rank in it. original_ranks lists each leg's rank."""
+    """Sum of weight / (rank + k) over legs (name, leg, weight); ties go to the first leg, then the rank in it. legs lists each leg's rank, score and part, with the fields and views that matched if the leg tells."""
     parts = []
     for n, (name, leg, weight) in enumerate(legs):
         kk = (k_of or {}).get(name, k)
-        parts.append(leg.select("query_id", id_col, F.lit(n).alias("n"), F.lit(name).alias("leg"), F.col("rank").cast("int").alias("leg_rank"), F.col("score").cast("double").alias("leg_score"), (F.lit(float(weight)) / (F.col("rank") + kk)).alias("part"), F.lit(kk).alias("k")))
+        told = [(F.col(c) if c in leg.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (("fields", "array<string>"), ("views", VIEWS))]
+        parts.append(leg.select("query_id", id_col, F.lit(n).alias("n"), F.lit(name).alias("leg"), F.col("rank").cast("int").alias("leg_rank"), F.col("score").cast("double").alias("leg_score"), (F.lit(float(weight)) / (F.col("rank") + kk)).alias("part"), F.lit(kk).alias("k"), *told))
     met = reduce(DataFrame.unionByName, parts)
-    fused = met.groupBy("query_id", id_col).agg(F.sum("part").alias("rrf_score"), F.min(F.struct("n", "leg_rank")).alias("first"), F.array_sort(F.collect_list(F.struct("n", "leg", "leg_rank", "leg_score", "part", "k"))).alias("legs"))
+    fused = met.groupBy("query_id", id_col).agg(F.sum("part").alias("rrf_score"), F.min(F.struct("n", "leg_rank")).alias("first"), F.array_sort(F.collect_list(F.struct("n", "leg", "leg_rank", "leg_score", "part", "k", "fields", "views"))).alias("legs"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf_score", 12)), "first.n", "first.leg_rank", id_col)
     return fused.withColumn("rank", F.row_number().over(w)).select("query_id", id_col, "rrf_score", "rank", "legs")
 
@@ -257,20 +354,20 @@ def score_cutoff_stop(leg: DataFrame, least: float) -> DataFrame:
     return leg.filter(F.col("score") > least)
 
 
-def paginate(fused: DataFrame, start: int, size: int, legs: list[DataFrame] = ()) -> DataFrame:
-    """One page of each query, with total (hits fused) and corpus_total (the largest leg)."""
-    w = Window.partitionBy("query_id").orderBy("rank")
-    page = fused.withColumn("position", F.row_number().over(w)).filter((F.col("position") > start) & (F.col("position") <= start + size))
-    out = page.join(fused.groupBy("query_id").agg(F.count("*").alias("total")), "query_id")
-    if legs:
-        sizes = reduce(DataFrame.unionByName, [x.groupBy("query_id").agg(F.count("*").alias("n")) for x in legs])
-        out = out.join(sizes.groupBy("query_id").agg(F.max("n").alias("corpus_total")), "query_id", "left")
+def paginate(fused: DataFrame, start: int, size: int, legs: list[DataFrame] = (), sizes: list[DataFrame] = ()) -> DataFrame:
+    """One page of each query, with total (hits fused) and corpus_total (the largest leg). sizes(query_id, n): hits of legs that are counted already."""
+    w = Window.partitionBy("query_id")
+    page = fused.withColumn("position", F.row_number().over(w.orderBy("rank"))).withColumn("total", F.count("*").over(w))
+    out = page.filter((F.col("position") > start) & (F.col("position") <= start + size))
+    counts = [*sizes, *(x.groupBy("query_id").agg(F.count("*").alias("n")) for x in legs)]
+    if counts:
+        out = out.join(reduce(DataFrame.unionByName, counts).groupBy("query_id").agg(F.max("n").alias("corpus_total")), "query_id", "left")
     return out
 
 
 def explain_scores(fused: DataFrame) -> DataFrame:
-    """Explanations (leg, score, rank, contribution, k) and original_ranks (by leg name, the last leg of a name)."""
-    each = F.transform("legs", lambda x: F.struct(x["leg"].alias("leg"), x["leg_score"].alias("score"), x["leg_rank"].alias("rank"), x["part"].alias("rrf"), x["k"].alias("k")))
+    """Explanations (leg, score, rank, contribution, k, matched fields, matched views) and original_ranks (by leg name, the last leg of a name)."""
+    each = F.transform("legs", lambda x: F.struct(x["leg"].alias("leg"), x["leg_score"].alias("score"), x["leg_rank"].alias("rank"), x["part"].alias("rrf"), x["k"].alias("k"), x["fields"].alias("fields"), x["views"].alias("views")))
     names = F.array_distinct(F.col("legs.leg"))
     ranks = F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter("legs", lambda x: x["leg"] == n), -1)["leg_rank"]))
     return fused.withColumn("explanations", each).withColumn("original_ranks", ranks)
@@ -300,32 +397,50 @@ def first_views(views: DataFrame, id_col: str = "asset_id") -> DataFrame:
     return views.groupBy(id_col).agg(F.min_by("embedding", "view_offset").alias("vector"))
 
 
-def hybrid_search(assets: DataFrame, views: DataFrame, queries: DataFrame, *, condition: Column | None = None, fields: dict[str, tuple[Column, float, float]] | None = None, text_weight: float = 1.0, vector_weight: float = 1.0, k: int = RANK_CONSTANT, cutoff_threshold: float | None = None, dedup: float = 0.0, start: int = 0, size: int = 32, window: int | None = None, collapse: bool = False, access: DataFrame | None = None) -> DataFrame:
-    """Filters, legs, cutoff, fusion, deduplication, access, page. queries(query_id, text, vector); a leg without queries is left out.
+def hybrid_search(assets: DataFrame, views: DataFrame, queries: DataFrame, *, condition: Column | None = None, fields: dict[str, Field | tuple[Column, float, float]] | None = None, text_weight: float = 1.0, vector_weight: float = 1.0, vectors: list[tuple[str, DataFrame, float]] = (), k: int = RANK_CONSTANT, cutoff_threshold: float | None = None, dedup: float = 0.0, start: int = 0, size: int = 32, window: int | None = None, collapse: bool = False, access: DataFrame | None = None, explain: bool = False, enrich: list[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+    """Filters, legs, cutoff, fusion, deduplication, access, page, enrichment. queries(query_id, text, vector); a leg without queries is left out.
 
-    Filters come before every leg and access before the page, so pages are full.
+    vectors: more vector legs (name, queries(query_id, vector), weight), as of images or stored assets (R19).
+    Filters come before every leg and access before the page, so pages are full. Text scores are written once; a
+    vector leg passes on its window alone, and its size is counted apart. explain: with matched fields and views.
+    enrich: functions that add columns to the page (J4 to J6), which has base_key.
     """
     rows = assets if condition is None else assets.filter(condition)
     if access is not None:
         rows = rows.join(access, "base_key", "left_semi")
-    legs, all_ = [], []
+    most, legs, sizes = window_size(start, size, window), [], []
 
-    def add(name: str, leg: DataFrame, weight: float, score_cut: float | None = None) -> None:
-        leg = leg.select("query_id", "asset_id", "score")
-        if collapse:
-            leg = collapse_by_hash(leg.join(rows.select("asset_id", "hash_value"), "asset_id"))
-        top = leg_window(leg, start, size, window)
-        legs.append((name, top if score_cut is None else cutoff(top, score_cut), weight))
-        all_.append(leg)
+    def collapsed(leg: DataFrame) -> DataFrame:
+        return collapse_by_hash(leg.join(rows.select("asset_id", "hash_value"), "asset_id")) if collapse else leg
+
+    def sized(leg: DataFrame) -> DataFrame:
+        return leg.groupBy("query_id").agg(F.count("*").alias("n"))
 
     if text_weight:
-        add("text", text_leg(rows, queries.filter("text is not null"), fields or {"text": (F.col("text"), 1.0, 0.0)}), text_weight)
-    if vector_weight:
-        vectors = vector_scores(filtered_views(views, assets=rows), queries.filter("vector is not null").select("query_id", "vector"))
-        add("vector", vectors.withColumn("score", engine_score(F.col("score"))), vector_weight, cutoff_threshold)
+        leg = text_leg(rows, queries.filter("text is not null"), fields or {"text": (F.col("text"), 1.0, 0.0)})
+        leg = written(collapsed(leg.select("query_id", "asset_id", "score", "fields")), "text-leg")
+        legs.append(("text", leg_window(leg, start, size, window), text_weight))
+        sizes.append(sized(leg))
+    seen = written(filtered_views(views, assets=rows), "views") if condition is not None or access is not None else views
+    for name, asked, weight in [*([("vector", queries, vector_weight)] if vector_weight else []), *vectors]:
+        asked = asked.filter("vector is not null").select("query_id", "vector")
+        if collapse:
+            leg = collapsed(vector_scores(seen, asked))
+            sizes.append(sized(leg))
+        else:
+            leg = vector_top(seen, asked, most)
+            of_width = seen.groupBy(F.size("embedding").alias("width")).agg(F.countDistinct("asset_id").alias("n"))
+            sizes.append(asked.withColumn("width", F.size("vector")).join(F.broadcast(of_width), "width").select("query_id", "n"))  # a row per width of vectors
+        top = leg_window(leg.withColumn("score", engine_score(F.col("score"))), start, size, window)
+        top = top if cutoff_threshold is None else cutoff(top, cutoff_threshold)
+        legs.append((name, with_views(top, seen, asked) if explain else top, weight))
     fused = rrf_fuse(legs, k)
     fused = similarity_dedup(fused, first_views(views), dedup)
-    return paginate(fused, start, size, all_)
+    page = paginate(fused, start, size, sizes=sizes)
+    page = explain_scores(page) if explain else page
+    if enrich:
+        page = reduce(lambda df, add: add(df), enrich, page.join(assets.select("asset_id", "base_key"), "asset_id", "left"))
+    return page
 
 
 def distances(hits: DataFrame, vectors: DataFrame, id_col: str = "asset_id") -> DataFrame:

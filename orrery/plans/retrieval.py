@@ -38,8 +38,8 @@ def _rank(leg: str, name: str, size: int) -> str:
 
 @query(f"WITH {_bm25()} SELECT query_id, asset_id, round(score, 6) AS score FROM text_leg")
 def r02_bm25(spark, d):
-    post = R.postings(X.assets(spark, d), F.col("text"), "text")
-    return R.bm25(post, R.query_terms(text_queries(spark, d))).select("query_id", "asset_id", F.round("score", 6).alias("score"))
+    terms = R.query_terms(text_queries(spark, d)).select("query_id", "term", F.col("term").alias("word"), F.lit(1.0).alias("boost"))
+    return R.bm25(R.field_tokens(X.assets(spark, d), R.Field(F.col("text"))), terms).select("query_id", "asset_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_bm25()}, w AS (SELECT 1000 + l AS query_id, asset_id, 0.5 AS score FROM assets, (VALUES (1, 'doc_1'), (2, 'png')) v(l, t) WHERE contains(lower(name), t)), w2 AS (
@@ -50,7 +50,7 @@ def r01_text_leg(spark, d):
     assets = X.assets(spark, d)
     wild = spark.createDataFrame([(1001, "DOC_1"), (1002, "png")], "query_id long, text string")
     body = R.text_leg(assets, text_queries(spark, d), {"text": (F.col("text"), 2.0, 0.0)})
-    leg = body.unionByName(R.text_leg(assets, wild, {"name": (F.col("name"), 0.0, 0.5)})).groupBy("query_id", "asset_id").agg(F.sum("score").alias("score"))
+    leg = body.unionByName(R.text_leg(assets, wild, {"name": (F.col("name"), 0.0, 0.5)})).drop("fields").groupBy("query_id", "asset_id").agg(F.sum("score").alias("score"))
     return leg.select("query_id", "asset_id", F.round("score", 6).alias("score"))
 
 

@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(df_or_spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one is set only where it is unset (local mode, tests)."""
+    """The folder that driver and executors share, which spark.checkpoint.dir names. In local mode a temporary one is set if it is unset; on a cluster that is an error."""
     spark = getattr(df_or_spark, "sparkSession", df_or_spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a table in the shared folder: computed once, whatever reads it, and kept when an executor is lost."""
+    path = f"{shared_dir(df)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
