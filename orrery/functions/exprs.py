@@ -131,8 +131,9 @@ def percentage(part: Column, whole: Column, eps: float = 1e-9) -> Column:
 
 
 def percentage_string(part: Column, whole: Column) -> Column:
-    """F12."""
-    return F.concat(F.format_number(percentage(part, whole), "0.00"), F.lit("%"))
+    """with two digits; null if either is."""
+    p = percentage(part, whole)
+    return F.when(p.isNotNull(), F.format_string("%.2f%%", p))
 
 
 BOOLEAN_TOKENS = ["true", "false", "yes", "no", "0", "1"]
@@ -217,8 +218,9 @@ def combine_lists(a: Column, b: Column) -> Column:
 
 
 def combine_maps(a: Column, b: Column) -> Column:
-    """strings of both maps by key."""
-    return F.map_zip_with(a, b, lambda k, x, y: combine_strings(x, y))
+    """strings of both maps by key; a null map is empty."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.map_zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda k, x, y: combine_strings(x, y))
 
 
 def date_from_timestamp(seconds: Column) -> Column:

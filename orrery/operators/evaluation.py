@@ -5,11 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.retrieval import small
+from orrery.sources.tables import written
+
+
+def holding(docs: DataFrame, items: DataFrame, id_col: str = "asset_id") -> DataFrame:
+    """(query_id, id): docs(id, text) whose text holds that of items(query_id, q) as it is.
+
+    An equi-join on an item's longest inner word, which any text that holds it has as a word of its own, then a
+    check. Items of fewer than three words have no inner word and are looked for in every text, a checked number at a time.
+    """
+    words = F.split("q", " ")
+    inner = F.array_max(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))
+    items = written(items.filter("q is not null").withColumn("word", inner["word"]), "items")
+    long = items.filter("word is not null")
+    met = docs.select(id_col, "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(small(long), "word")
+    short = small(items.filter("word is null"))
+    found = met.unionByName(docs.select(id_col, "text").join(short)) if not items.filter("word is null").isEmpty() else met
+    return found.filter(F.contains("text", "q")).select("query_id", id_col)
+
 
 def retrieval_metrics(run: DataFrame, qrels: DataFrame, k: int = 10, groups: list[str] = ("config_id", "query_class")) -> DataFrame:
     """run(config_id, query_id, query_class, asset_id, rank), qrels(query_id, asset_id, grade): mean precision@k, recall@k, MRR, NDCG@k of queries with judgments."""
     groups = list(groups)
-    relevant = qrels.filter("grade > 0")
+    run, relevant = written(run, "run"), written(qrels.filter("grade > 0"), "qrels")
     n = relevant.groupBy("query_id").agg(F.count("*").alias("relevant"))
     w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "asset_id")
     ideal = relevant.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).groupBy("query_id").agg(F.sum((F.pow(F.lit(2.0), "grade") - 1) / F.log2(F.col("r") + 1.0)).alias("ideal"))

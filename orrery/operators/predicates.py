@@ -243,13 +243,13 @@ def filter_only(assets: DataFrame, condition: Column, key: str = "base_key") ->
     return global_rank(rows, key)
 
 
-def global_rank(rows: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+def global_rank(rows: DataFrame, *order: str | Column, name: str = "rank") -> DataFrame:
     """1-based position by `order` without a single-task window: ranges are counted, then numbered within."""
     from pyspark.sql import Window
 
-    from orrery.sources.tables import checkpointed
+    from orrery.sources.tables import written
 
-    ranged = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranged")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     # one row per partition: a bounded window
     before = counts.select("_part", (F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))

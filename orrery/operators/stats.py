@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.exprs import infer_value_type, slug
+from orrery.operators.predicates import global_rank
 
 
 def exploded(assets: DataFrame, column: str = "props", id_col: str = "asset_id") -> DataFrame:
@@ -15,8 +16,8 @@ def exploded(assets: DataFrame, column: str = "props", id_col: str = "asset_id")
 def property_stats(assets: DataFrame, column: str = "props", id_col: str = "asset_id") -> DataFrame:
     """A1 to A3 in one pass: level (keys, values, pairs), key, value, n (nested elements) and n_assets; A1 is level keys, and so on."""
     p = exploded(assets, column, id_col)
-    p.createOrReplaceTempView("_orrery_props")
-    g = p.sparkSession.sql(f"SELECT key, value, grouping(key) AS gk, grouping(value) AS gv, count(*) AS n, count(DISTINCT {id_col}) AS n_assets FROM _orrery_props GROUP BY GROUPING SETS ((key), (value), (key, value))")
+    key, value = F.col("key"), F.col("value")
+    g = p.groupingSets([[key], [value], [key, value]], key, value).agg(F.grouping("key").alias("gk"), F.grouping("value").alias("gv"), F.count("*").alias("n"), F.countDistinct(id_col).alias("n_assets"))
     level = F.when(F.col("gv") == 1, "keys").when(F.col("gk") == 1, "values").otherwise("pairs")
     return g.select(level.alias("level"), "key", "value", "n", "n_assets")
 
@@ -52,8 +53,7 @@ def property_catalog(assets: DataFrame, top: int = 5, column: str = "props", id_
     best = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("top_values"))
     keys = pairs.groupBy("key").agg(F.count("*").alias("cardinality"), infer_value_type(F.col("value")).alias("kind"))
     n = p.groupBy("key").agg(F.countDistinct(id_col).alias("n_assets"))
-    # a row per key: the catalog's own size
-    return keys.join(n, "key").join(best, "key").withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_assets"), "key")))
+    return global_rank(keys.join(n, "key").join(best, "key"), F.desc("n_assets"), F.col("key"), name="place")
 
 
 def derive_filter_fields(catalog: DataFrame, top: int = 40, most_values: int = 50, reserved: list[str] = ()) -> DataFrame:

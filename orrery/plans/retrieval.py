@@ -54,6 +54,36 @@ def r01_text_leg(spark, d):
     return leg.select("query_id", "asset_id", F.round("score", 6).alias("score"))
 
 
+def _clause(name: str, tokens: str, queries: str, operator: str = "or") -> str:
+    """SQL of one match clause: tokens(id, e, t) by field element, queries(query_id, term); BM25 over elements, summed by id."""
+    return f"""{name}_tok AS ({tokens}), {name}_p AS (SELECT id, e, term, count(*) AS tf, any_value(n) AS n FROM (SELECT id, e, len(t) AS n, unnest(t) AS term FROM {name}_tok) GROUP BY ALL),
+ {name}_st AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM {name}_tok WHERE len(t) > 0), {name}_df AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY 1), {name}_q AS ({queries}), {name}_n AS (SELECT query_id, count(DISTINCT term) AS wanted FROM {name}_q GROUP BY 1),
+ {name} AS (SELECT query_id, id, sum(score) AS score FROM (SELECT query_id, id, e, count(DISTINCT term) AS terms, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM {name}_q JOIN {name}_p USING (term) JOIN {name}_df USING (term), {name}_st GROUP BY ALL) JOIN {name}_n USING (query_id) WHERE {"terms = wanted" if operator == "and" else "TRUE"} GROUP BY 1, 2)"""
+
+
+_PARTS = [_clause("nm", r"SELECT p_partkey AS id, 0 AS e, regexp_extract_all(lower(p_name), '[\pL\pN_]+') AS t FROM part", r"SELECT DISTINCT p_partkey AS query_id, unnest(regexp_extract_all(lower(p_name), '[\pL\pN_]+')) AS term FROM part WHERE p_partkey < 12", "and"), _clause("pr", r"SELECT id, e, regexp_extract_all(lower(v), '[\pL\pN_]+') AS t FROM (SELECT p_partkey AS id, unnest([0, 1, 2, 3]) AS e, unnest([p_brand, p_type, p_size::VARCHAR, p_retailprice::VARCHAR]) AS v FROM part)", r"SELECT DISTINCT p_partkey AS query_id, unnest(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_size), '[\pL\pN_]+')) AS term FROM part WHERE p_partkey < 12"), _clause("kw", "SELECT p_partkey AS id, 0 AS e, [p_name] AS t FROM part", "SELECT p_partkey AS query_id, p_name AS term FROM part WHERE p_partkey < 12")]
+
+
+@query(f"WITH {', '.join(_PARTS)}, u AS (SELECT query_id, id, 3 * score AS score, 'name' AS f FROM nm UNION ALL SELECT query_id, id, 0.5 * score, 'props' FROM pr UNION ALL SELECT query_id, id, score, 'exact' FROM kw) SELECT query_id, id AS asset_id, f AS field, round(score, 6) AS score FROM u")
+def r01_clauses(spark, d):
+    """Match clauses one by one: all terms in the name, any in nested properties (summed over them), the whole name as one keyword."""
+    parts, part = X.prop_assets(spark, d), X.table(spark, d, "part").filter("p_partkey < 12")
+    keyword = lambda c: F.array(c)
+    names = part.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"))
+    more = part.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")).alias("text"))
+    legs = [R.text_leg(parts, q, {n: f}) for q, n, f in ((names, "name", R.Field(F.col("name"), 3.0, operator="and")), (more, "props", R.Field(F.col("props.value"), 0.5, nested=True)), (names, "exact", R.Field(F.col("name"), analyzer=keyword)))]
+    out = legs[0].unionByName(legs[1]).unionByName(legs[2])
+    return out.select("query_id", "asset_id", F.col("fields")[0].alias("field"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {', '.join(_PARTS[:2])}, w AS (SELECT q.p_partkey AS query_id, p.p_partkey AS id, 0.25 AS score FROM part p JOIN part q ON q.p_partkey < 12 AND contains(lower(p.p_name), lower(q.p_name))), u AS (SELECT query_id, id, 3 * score AS score, 'name' AS f FROM nm UNION ALL SELECT query_id, id, score, 'name' FROM w) SELECT query_id, id AS asset_id, round(sum(score), 6) AS score FROM u GROUP BY 1, 2")
+def r01_match_and_wildcard(spark, d):
+    """Both clauses of one field."""
+    part = X.table(spark, d, "part").filter("p_partkey < 12").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"))
+    leg = R.text_leg(X.prop_assets(spark, d), part, {"name": R.Field(F.col("name"), 3.0, 0.25, operator="and")})
+    return leg.select("query_id", "asset_id", F.round("score", 6).alias("score"))
+
+
 @query(r"""WITH vocab AS (SELECT DISTINCT p_type AS w FROM part UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part), v AS (SELECT DISTINCT lower(w) AS word FROM vocab), q AS (SELECT DISTINCT left(word, len(word) - 1) AS term FROM v WHERE len(word) > 3),
  near AS (SELECT term, word, levenshtein(term, word) AS e, row_number() OVER (PARTITION BY term ORDER BY levenshtein(term, word), word) AS r FROM q, v WHERE levenshtein(term, word) BETWEEN 1 AND CASE WHEN len(term) <= 2 THEN 0 WHEN len(term) <= 5 THEN 1 ELSE 2 END)
 SELECT term, word, round(1.0 - e / least(len(term), len(word)), 6)::DOUBLE AS boost FROM near WHERE r = 1 UNION ALL SELECT term, term, 1.0 FROM q""")
@@ -198,6 +228,40 @@ def flagship(spark, d):
     return page.select("query_id", "asset_id", F.round("rrf_score", 9).alias("rrf_score"), F.col("position").cast("long").alias("position"), "total")
 
 
+_LIKE = "like_q AS (SELECT asset_id - 1 AS query_id, arg_min(embedding, view_offset)::DOUBLE[] AS v FROM asset_views WHERE asset_id BETWEEN 1 AND 20 GROUP BY 1), like_ip AS (SELECT query_id, asset_id, max(list_inner_product(embedding::DOUBLE[], v)) AS ip FROM asset_views, like_q GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_bm25()}, {_VECTOR}, {_LIKE}, vl AS (SELECT query_id, asset_id, CASE WHEN ip >= 0 THEN 1 + ip ELSE 1 / (1 - ip) END AS score FROM ip), ll AS (SELECT query_id, asset_id, CASE WHEN ip >= 0 THEN 1 + ip ELSE 1 / (1 - ip) END AS score FROM like_ip),
+ {_rank('text_leg', 't', 100)}, {_rank('vl', 'v', 100)}, {_rank('ll', 'a', 100)}, l AS (SELECT query_id, asset_id, 0 AS n, rank, 2.0 / (rank + 60) AS part FROM t UNION ALL SELECT query_id, asset_id, 1, rank, 1.0 / (rank + 60) FROM v UNION ALL SELECT query_id, asset_id, 2, rank, 0.5 / (rank + 60) FROM a),
+ g AS (SELECT query_id, asset_id, sum(part) AS rrf_score, min((n, rank)) AS f, count(*) AS n_legs FROM l GROUP BY 1, 2), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, f, asset_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM g),
+ c AS (SELECT query_id, max(n) AS corpus_total FROM (SELECT query_id, count(*) AS n FROM text_leg GROUP BY 1 UNION ALL SELECT query_id, count(*) FROM vl GROUP BY 1 UNION ALL SELECT query_id, count(*) FROM ll GROUP BY 1) GROUP BY 1), images AS (SELECT asset_id, any_value(image) FILTER (view_offset = 0) AS image FROM asset_views GROUP BY 1)
+SELECT query_id, asset_id, round(rrf_score, 9) AS rrf_score, rank AS position, total, corpus_total, n_legs::INT AS n_legs, image FROM fused JOIN c USING (query_id) LEFT JOIN images USING (asset_id) WHERE rank <= 25""")
+def r18_hybrid_legs(spark, d):
+    """A text leg and two vector legs, of stored vectors and of stored assets, each with its weight; explained, and with the images of the hits."""
+    from orrery.operators import lookups as L
+
+    views = X.asset_views(spark, d)
+    likes = views.filter("asset_id between 1 and 20").select((F.col("asset_id") - 1).alias("query_id"), "asset_id").distinct()
+    q = text_queries(spark, d).join(vector_queries(spark, d), "query_id", "full_outer")
+    images = lambda page: L.hit_images(page.withColumn("view_offset", F.lit(0)), views)
+    page = R.hybrid_search(X.assets(spark, d), views, q, text_weight=2.0, vectors=[("asset", R.like_asset_queries(likes, views), 0.5)], size=25, window=100, explain=True, enrich=[images])
+    return page.select("query_id", "asset_id", F.round("rrf_score", 9).alias("rrf_score"), F.col("position").cast("long").alias("position"), "total", "corpus_total", F.size("explanations").alias("n_legs"), "image")
+
+
+@query(f"""WITH {_LEGS}, {_FUSED}, s AS (SELECT query_id, asset_id, view_offset, list_inner_product(embedding::DOUBLE[], vector::DOUBLE[]) AS s FROM asset_views, vq), b AS (SELECT query_id, asset_id, count(*)::INT AS n, arg_max(view_offset, (s, -view_offset)) AS o, max(s) AS best FROM s WHERE (query_id, asset_id) IN (SELECT query_id, asset_id FROM v) GROUP BY 1, 2)
+SELECT query_id, asset_id, CASE WHEN text_rank IS NOT NULL THEN 'text' END AS fields, CASE WHEN n IS NOT NULL THEN least(n, 3)::INT END AS n_views, o AS best_offset, round(best, 6) AS best_score FROM fused LEFT JOIN b USING (query_id, asset_id) WHERE rank <= 20""")
+def r16_matched(spark, d):
+    """The fields and the views that made a hit."""
+    views, asked = X.asset_views(spark, d), vector_queries(spark, d)
+    t = R.leg_window(R.text_leg(X.assets(spark, d), text_queries(spark, d), {"text": (F.col("text"), 1.0, 0.0)}), 0, 10)
+    v = R.leg_window(R.vector_top(views, asked, 100).withColumn("score", R.engine_score(F.col("score"))), 0, 10)
+    fused = R.rrf_fuse([("text", t, 1.0), ("vector", R.with_views(v, views, asked), 0.5)], k_of={"vector": 30})
+    e = R.explain_scores(fused.filter("rank <= 20"))
+    of = lambda leg: F.get(F.filter("explanations", lambda x: x["leg"] == leg), 0)
+    e = e.select("query_id", "asset_id", of("text")["fields"].alias("f"), of("vector")["views"].alias("v"))
+    return e.select("query_id", "asset_id", F.array_join("f", ",").alias("fields"), F.when(F.col("v").isNotNull(), F.size("v")).alias("n_views"), F.get("v", 0)["offset"].alias("best_offset"), F.round(F.get("v", 0)["score"], 6).alias("best_score"))
+
+
 @query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\pL\pN_]+'))::INT AS n FROM documents")
 def r02_field_lengths(spark, d):
     return X.table(spark, d, "documents").select("doc_id", F.size(standard_tokens(F.col("text"))).alias("n"))

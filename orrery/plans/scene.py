@@ -52,11 +52,12 @@ def x06_near_prims(spark, d):
 
 
 @query(f"""WITH {PS}, t AS (SELECT scene_url, string_agg(prim_type || '=' || n, ',' ORDER BY prim_type) AS types FROM (SELECT scene_url, prim_type, count(*) AS n FROM prims GROUP BY 1, 2) GROUP BY 1)
-SELECT scene_url, count(*) AS prims, sum(polygon_count)::BIGINT AS polygons, sum(point_count)::BIGINT AS points, sum(curve_segment_count)::BIGINT AS curve_segments, min(usd_path) AS default_prim, any_value(types) AS types, count(*) AS n_line, count(DISTINCT source_asset_url)::INT AS n_assets, count(DISTINCT status)::INT + count(DISTINCT line)::INT + count(DISTINCT visible)::INT AS n_values FROM prims JOIN t USING (scene_url) GROUP BY 1""")
+SELECT scene_url, count(*) AS prims, sum(polygon_count)::BIGINT AS polygons, sum(point_count)::BIGINT AS points, sum(curve_segment_count)::BIGINT AS curve_segments, min(usd_path) AS default_prim, any_value(types) AS types, count(*) AS n_line, count(DISTINCT source_asset_url)::INT AS n_assets, count(DISTINCT status)::INT + count(DISTINCT line)::INT + count(DISTINCT visible)::INT AS n_values, CASE WHEN split_part(scene_url, '_', 2)::BIGINT % 2 = 0 THEN 'Y' ELSE 'Z' END AS up_axis FROM prims JOIN t USING (scene_url) GROUP BY 1""")
 def a07_scene_summary(spark, d):
-    s = Q.scene_summary(X.prims(spark, d))
+    axis = F.when(F.split_part("scene_url", F.lit("_"), F.lit(2)).cast("long") % 2 == 0, "Y").otherwise("Z")
+    s = Q.scene_summary(X.prims(spark, d).withColumn("scene_up_axis", axis))
     types = F.array_join(F.transform(F.array_sort(F.map_entries("by_type")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return s.select("scene_url", "prims", "polygons", "points", "curve_segments", "default_prim", types.alias("types"), F.col("by_key")["line"].alias("n_line"), F.size("by_asset").alias("n_assets"), F.size("by_value").alias("n_values"))
+    return s.select("scene_url", "prims", "polygons", "points", "curve_segments", "default_prim", types.alias("types"), F.col("by_key")["line"].alias("n_line"), F.size("by_asset").alias("n_assets"), F.size("by_value").alias("n_values"), "up_axis")
 
 
 @query(f"WITH {PS} SELECT scene_url, usd_path, CASE WHEN default_prim THEN (sum(polygon_count) OVER (PARTITION BY scene_url))::BIGINT::VARCHAR END AS total FROM prims")

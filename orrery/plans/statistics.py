@@ -10,6 +10,7 @@ from orrery.operators import lookups as L
 from orrery.operators import retrieval as R
 from orrery.operators import stats as S
 from orrery.sources import fixtures as X
+from orrery.sources.tables import written
 
 from .base import query
 
@@ -105,9 +106,10 @@ def a15_consumer_progress(spark, d):
 
 
 def _qrels(spark, d):
-    """Grade 1 where a document holds a benchmark text; candidates share a long word with it."""
+    """Grade 1 where a document holds a benchmark text."""
     b = X.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    return X.table(spark, d, "documents").join(F.broadcast(b), F.contains("text", "q")).select("query_id", F.col("doc_id").alias("asset_id"), F.lit(1).alias("grade"))
+    docs = X.table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), "text")
+    return V.holding(docs, b).withColumn("grade", F.lit(1))
 
 
 def _class(c):
@@ -118,9 +120,9 @@ def _legs(spark, d):
     from .retrieval import text_queries, vector_queries
 
     t = R.leg_window(R.text_leg(X.assets(spark, d), text_queries(spark, d), {"text": (F.col("text"), 1.0, 0.0)}), 0, 50)
-    v = R.leg_window(R.vector_scores(X.asset_views(spark, d), vector_queries(spark, d)), 0, 50)
+    v = R.leg_window(R.vector_top(X.asset_views(spark, d), vector_queries(spark, d), R.window_size(0, 50)), 0, 50)
     one = lambda df, leg, n: df.select("query_id", _class(F.col("query_id")).alias("query_class"), "asset_id", F.lit(leg).alias("leg"), F.lit(n).alias("n"), "rank")
-    return one(t, "text", 0).unionByName(one(v, "vector", 1))
+    return written(one(t, "text", 0).unionByName(one(v, "vector", 1)), "legs")
 
 
 def _configs(spark):

@@ -150,3 +150,130 @@ def test_batched_vectors_with_many_views_of_one_asset(spark):
     want = R.ranked(R.vector_scores(df, spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, vector array<double>"))).filter("rank <= 20")
     rows = lambda leg: [(r.asset_id, round(r.score, 9), r.view_offset) for r in leg.orderBy("rank").collect()]
     assert rows(got) == rows(want) and len(rows(got)) == 20
+
+
+def test_strings_and_maps(spark):
+    assert one(spark, E.percentage_string(F.lit(1), F.lit(3))) == "33.33%"
+    assert one(spark, E.percentage_string(F.lit(5), F.lit(0))).endswith("%") and one(spark, E.percentage_string(F.lit(None).cast("int"), F.lit(3))) is None
+    m = lambda **kw: F.create_map(*(F.lit(x) for p in kw.items() for x in p))
+    assert one(spark, E.combine_maps(m(a="x", b="y"), m(b="z", c="w"))) == {"a": "x", "b": "y, z", "c": "w"}
+    assert one(spark, E.combine_maps(F.lit(None).cast("map<string,string>"), m(a="x"))) == {"a": "x"}
+
+
+def test_late_changes_stay_behind_a_delete(spark):
+    t = J.KeyedTable(spark, "uri string, seq long, hash_value string", "uri", "seq", parts=3)
+    change = lambda *rows: spark.createDataFrame(list(rows), "uri string, seq long, hash_value string, event string")
+    t.merge(change(("a", 1, "h1", "create"), ("b", 1, "h2", "create"), (None, 1, "h", "create")))
+    t.merge(change(("a", 10, None, "delete")))
+    t.merge(change(("a", 5, "late", "create"), ("b", 0, "late", "create")))
+    assert [tuple(r) for r in t.read().collect()] == [("b", 1, "h2")]
+    before = dict(t.folders)
+    t.merge(change(("a", 11, "back", "create")))
+    assert sorted(tuple(r) for r in t.read().collect()) == [("a", 11, "back"), ("b", 1, "h2")]
+    assert sum(t.folders[p] != f for p, f in before.items()) == 1  # only the part of that key is written again
+    t.merge(change())
+    assert t.read().count() == 2
+
+
+@pytest.mark.parametrize("width", [16, 64, 100])
+def test_recall_of_approximate_vectors(spark, width):
+    """R6 over vectors of any width: near neighbours around centres, recall at 10 against exact scores."""
+    import numpy as np
+
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(40, width))[rng.integers(0, 40, 1200)] + 0.35 * rng.normal(size=(1200, width))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    views = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)] + [(5000, 0, [1.0])], "asset_id long, view_offset int, embedding array<double>")
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 1200, 60)], "query_id long, vector array<double>")
+    got = R.ranked(R.vector_candidates(views, q)).filter("rank <= 10").collect()
+    assert len(got) == 200
+    hits = 0
+    for i in range(0, 1200, 60):
+        want = set(np.argsort(-(x @ x[i]), kind="stable")[:10].tolist())
+        hits += len(want & {r.asset_id for r in got if r.query_id == i})
+    print(f"recall at width {width}: {hits / 200}")
+    assert hits >= 0.9 * 200
+    mixed = q.unionByName(spark.createDataFrame([(9999, [1.0])], q.schema))
+    top = R.vector_top(views, mixed, 10)
+    assert top.filter("query_id = 9999").first().asset_id == 5000 and top.filter("query_id = 0").count() == 10
+
+
+def test_text_clauses(spark):
+    docs = spark.createDataFrame([(1, "red stone wall", ["red", "old stone"]), (2, "red", ["stone", "stone red"]), (3, "wall", []), (4, None, None), (5, "rad stone", ["x"])], "asset_id long, text string, notes array<string>")
+    q = spark.createDataFrame([(7, "red stone")], "query_id long, text string")
+    leg = lambda **kw: {r.asset_id: r for r in R.text_leg(docs, q, {"f": R.Field(**kw)}).collect()}
+    assert set(leg(text=F.col("text"))) == {1, 2, 5} and set(leg(text=F.col("text"), operator="and")) == {1}
+    near = leg(text=F.col("text"), operator="and", fuzzy=1)
+    assert set(near) == {1, 5}
+    nested = leg(text=F.col("notes"), nested=True)
+    assert set(nested) == {1, 2} and set(leg(text=F.col("notes"), nested=True, operator="and")) == {2}
+    assert set(leg(text=F.col("text"), match=0, wildcard=1.0)) == {1}
+    for text, want in (("E", {1, 2, 5}), ("ST", {1, 5}), ("", set()), ("nothing", set())):
+        short = spark.createDataFrame([(7, text)], q.schema)
+        assert {r.asset_id for r in R.text_leg(docs, short, {"f": (F.col("text"), 0.0, 1.0)}).collect()} == want, text
+
+
+def test_texts_that_hold_others(spark):
+    docs = spark.createDataFrame([(1, "say the long word here"), (2, "thelong word"), (3, None), (4, "ab")], "asset_id long, text string")
+    items = spark.createDataFrame([(1, "the long word"), (2, "e lo"), (3, "b"), (4, "long word"), (5, None), (6, "lon"), (7, "y the long w")], "query_id long, q string")
+    want = {(i.query_id, r.asset_id) for r in docs.collect() for i in items.collect() if r.text and i.q and i.q in r.text}
+    assert {tuple(r) for r in V.holding(docs, items).collect()} == want
+
+
+def split_events(spark, folder, parts):
+    """The events in files of consecutive sequence numbers."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.001/events.parquet").sort_by("event_id")
+    n = -(-t.num_rows // parts)
+    return [(f"{folder}/e{k}.parquet", t.slice(k * n, n)) for k in range(parts)]
+
+
+def test_streams_over_batches_and_a_restart(spark, tmp_path):
+    """Files that come one micro-batch each, with a restart in the middle, give what one look at everything does."""
+    import pyarrow.parquet as pq
+
+    from orrery.plans import indexing
+    from orrery.sources import fixtures as X
+
+    (tmp_path / "in").mkdir()
+    files = split_events(spark, tmp_path / "in", 4)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    log = X.changes(spark, "/root/testdata/sf0.001").select("seq", "uri", "event", "hash_value")
+    stream = lambda: X._change(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    out, table = {name: [] for name in ("z1", "z7", "z8")}, J.KeyedTable(spark, "uri string, seq long, hash_value string", "uri", "seq")
+    jobs = {
+        "z1": lambda s: J.changed_only(s),
+        "z7": lambda s: J.retry_limit(s.filter("event <> 'delete'").withColumn("hash_value", F.lit("same"))),
+        "z8": lambda s: J.status_history(s.select("uri", "seq", F.col("event").alias("status"))),
+    }
+    old = {k: spark.conf.get(k, None) for k in indexing._STATE}
+    batches = set()
+    try:
+        for k, v in indexing._STATE.items():
+            spark.conf.set(k, v)
+        for some in (files[:2], files[2:]):  # what is there by then; the second run goes on from the first one's checkpoint
+            for path, rows in some:
+                pq.write_table(rows, path)
+            for name, job in jobs.items():
+                def each(df, n, name=name):
+                    out[name] += [(n, *r) for r in df.collect()]
+                    batches.add((name, n))
+                J.run_available(job(stream()), each=each, mode="update" if name == "z8" else "append", checkpoint=f"{tmp_path}/{name}")
+            J.run_available(stream().select("uri", "seq", "hash_value", "event"), each=lambda df, n: table.merge(df), checkpoint=f"{tmp_path}/s4")
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert all({n for m, n in batches if m == name} >= {0, 1, 2, 3} for name in jobs)
+    want = sorted(tuple(r) for r in J.changed_only_batch(log).select("uri", "seq", "action", "hash_value").collect())
+    assert sorted(r[1:] for r in out["z1"]) == want
+    by = {}
+    for r in log.orderBy("seq").collect():
+        by.setdefault(r.uri, []).append(r)
+    tries = {u: [r.seq for r in rows if r.event != "delete"] for u, rows in by.items()}
+    assert sorted(r[1:4] for r in out["z7"]) == sorted((u, s, "retry" if k < J.RETRIES else J.EXHAUSTED) for u, seqs in tries.items() for k, s in enumerate(seqs[: J.RETRIES + 1]))
+    last = {}
+    for n, uri, seq, status in out["z8"]:
+        last.setdefault(uri, {}).setdefault(n, []).append((seq, status))
+    assert {u: sorted(b[max(b)]) for u, b in last.items()} == {u: [(r.seq, r.event) for r in rows[-J.HISTORY :]] for u, rows in by.items()}
+    assert sorted(tuple(r) for r in table.read().collect()) == sorted((u, rows[-1].seq, rows[-1].hash_value) for u, rows in by.items() if rows[-1].event != "delete")
