@@ -130,7 +130,8 @@ def pack(documents: DataFrame, *, vocabulary: str | None = None, window: int = W
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's tokens are its ids and then the end id. Null and empty texts are the end id alone; rows
-    with equal ids are packed each for itself; other columns are ignored; an empty table gives no rows.
+    with equal ids, or without one, are packed each for itself; bytes that are no UTF-8 read as U+FFFD; other
+    columns are ignored; an empty table gives no rows.
     """
     path = vocabulary or default_vocabulary()
 
@@ -143,7 +144,7 @@ def pack(documents: DataFrame, *, vocabulary: str | None = None, window: int = W
                 raw = t.data.tobytes()
                 for k in range(t.lo, t.hi):
                     a, b = t.offsets[k - t.lo], t.offsets[k - t.lo + 1]
-                    ids = encode(raw[a:b].decode())
+                    ids = encode(raw[a:b].decode(errors="replace"))
                     ids.append(END)
                     packer.add(ids_of[k], 0, np.array(ids, "<u4"), len(ids))
                 yield packer.drain()

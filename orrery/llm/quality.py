@@ -1,7 +1,7 @@
 """Document quality by attention-based multiple-instance learning (Ilse, Tomczak, Welling 2018).
 
-A document is a bag of passages of a fixed number of words. Each passage is described by how its text is
-written, encoded by a learned layer, weighted by gated attention that is learned from document labels
+A document is a bag of passages of a fixed number of words. Each passage is described by its words, in hashed
+buckets, by how its text is written and by how much of it stands in earlier passages, encoded by a learned layer, weighted by gated attention that is learned from document labels
 alone, and the weighted mean is scored. Training fits numpy parameters on a bounded sample of labelled
 rows on the driver; scoring is one pass over the documents without a shuffle.
 """
@@ -39,7 +39,10 @@ _UPPER, _DIGIT, _LETTER, _MARK = _flag(bytes(range(65, 91))), _flag(b"0123456789
 _GROUP = np.full(256, len(_CHAR_GROUPS), np.int64)
 for _k, _chars in enumerate(_CHAR_GROUPS):
     _GROUP[list(_chars)] = _k
-FEATURES = len(_CHAR_GROUPS) + 15
+#: Buckets that words are hashed into.
+WORD_BUCKETS = 64
+SURFACE = len(_CHAR_GROUPS) + 14
+FEATURES = SURFACE + WORD_BUCKETS
 
 
 def _distinct(passage: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -52,6 +55,17 @@ def _distinct(passage: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(p[new], minlength=n)
 
 
+def _first_of(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a hash stands for the first time in its document."""
+    by = np.argsort(h, kind="stable")
+    by = by[np.argsort(doc[by], kind="stable")]
+    new = np.ones(len(by), bool)
+    new[1:] = (doc[by[1:]] != doc[by[:-1]]) | (h[by[1:]] != h[by[:-1]])
+    out = np.zeros(len(by), bool)
+    out[by[new]] = True
+    return out
+
+
 def passages(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """A feature row for every passage, and each text's first passage (one more entry than texts). A text without words has one passage of zeros."""
     w = words(t, NOT_SPACE)
@@ -99,10 +113,10 @@ def passages(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     x[:, c + 10] = _distinct(passage, w.hashes, n) / here
     triple = mix(w.hashes * np.uint64(3) + np.roll(w.hashes, -1) * np.uint64(5) + np.roll(w.hashes, -2) * np.uint64(7))
     x[:, c + 11] = _distinct(passage, triple, n) / here
-    whole = _distinct(doc, triple, docs) / np.maximum(1, n_words)
-    x[:, c + 12] = np.repeat(whole, count)
+    x[:, c + 12] = np.bincount(passage[~_first_of(doc, triple)], minlength=n) / here
     x[:, c + 13] = np.log1p(n_in) / 5
-    x[:, c + 14] = np.repeat(np.log1p(n_words) / 10, count)
+    bucket = (mix(w.hashes) >> np.uint64(58)).astype(np.int64)
+    x[:, SURFACE:] = np.bincount(passage * WORD_BUCKETS + bucket, minlength=n * WORD_BUCKETS).reshape(n, WORD_BUCKETS) / here[:, None]
     return x, first
 
 
@@ -196,9 +210,10 @@ def score(documents: DataFrame, model: Model | None, *, id_col: str = "doc_id",
     """doc_id (or the columns of keep) and score, the chance of label 1, for every row.
 
     Null, empty and blank texts are a passage of zeros and get the model's score of it; without a model
-    (no labels) the score is 0.5. Rows that repeat an id get a row each.
+    (no labels) the score is 0.5. Rows that repeat an id, or have none, get a row each; a kept column named score
+    gives way to the score; an empty table gives no rows.
     """
-    keep = keep or [id_col]
+    keep = [c for c in keep or [id_col] if c != "score"]
     rows = documents.select(*keep, F.col(text_col).cast("string").alias("_text"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -217,7 +232,7 @@ def score(documents: DataFrame, model: Model | None, *, id_col: str = "doc_id",
 
 
 def accepted(documents: DataFrame, model: Model | None, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The documents of at least that score, every column kept. Without a model all stay."""
+    """The documents of at least that score, every column kept. Null and empty texts are scored as score() does; rows that repeat an id are judged each by its own text. Without a model all stay."""
     if model is None:
         return documents
     shared = documents.sparkSession.sparkContext.broadcast(model)

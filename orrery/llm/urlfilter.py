@@ -54,8 +54,26 @@ def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def without_dots(url: Column) -> Column:
+    """The URL with . and .. segments of its path resolved; .. at the root goes nowhere."""
+    head = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path_ = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1)
+    parts = F.split(F.regexp_replace(path_, "^/", ""), "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))))
+    folder = F.when(path_.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    tidy = F.concat(head, F.lit("/"), F.array_join(kept, "/"), folder, rest)
+    return F.when(path_.rlike(r"/\.\.?(/|$)"), tidy).otherwise(url)
+
+
 def resolved(base: Column, link: Column) -> Column:
-    """A link's target: absolute links as they are, //host, /path and relative ones against the base URL."""
+    """A link's target: absolute links as they are, //host, /path, ?query and relative ones against the base URL, dot segments resolved."""
+    return without_dots(_joined(base, link))
+
+
+def _joined(base: Column, link: Column) -> Column:
+    page = F.regexp_extract(base, r"(?s)^(.*?://[^?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
@@ -63,15 +81,16 @@ def resolved(base: Column, link: Column) -> Column:
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(page, link))
         .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(root, F.lit("/"))), link))
     )
 
 
 def node(url: Column) -> Column:
-    """What aliases are compared by: the URL without its fragment, its scheme and host in lower case."""
+    """What aliases are compared by: the URL without its fragment, its scheme and host in lower case, dot segments resolved."""
     whole = F.regexp_replace(F.trim(url), r"(?s)#.*$", "")
     head = F.regexp_extract(whole, r"(?s)^(.*?://[^/?]*)", 1)
-    return F.concat(lower_ascii(head), F.regexp_replace(whole, r"(?s)^.*?://[^/?]*", ""))
+    return without_dots(F.concat(lower_ascii(head), F.regexp_replace(whole, r"(?s)^.*?://[^/?]*", "")))
 
 
 def alias_links(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:

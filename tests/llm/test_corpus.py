@@ -257,6 +257,43 @@ def test_toxicity(spark, hard, empty):
     assert toxicity.score(empty, toxicity.learn(empty, labels)).count() == 0
 
 
+def bags(rng, n, size, bad):
+    """Bags of passages, of which one tells that the bag is bad; the others are of any kind in both."""
+    x = rng.normal(size=(n * size, quality.FEATURES)).astype(np.float32)
+    y = np.arange(n) % 2
+    x[np.arange(n) * size + rng.integers(0, size, n), 3] = np.where(y == 0, bad, 0)
+    return x, np.arange(n + 1) * size, y.astype(np.float64)
+
+
+def test_attention_finds_the_passage_that_tells():
+    """One passage of thirty marks a bad document. Learned attention finds it; the mean of all passages doesn't show it."""
+    rng = np.random.default_rng(12)
+    x, first, y = bags(rng, 800, 30, 6.0)
+    xt, ft, yt = bags(rng, 400, 30, 6.0)
+    right = lambda model, x, f: ((model.score(x, f) >= 0.5) == yt).mean()
+    learned = quality.fit(x, first, y, np.ones(len(y)))
+    mean = lambda x: x.reshape(-1, 30, x.shape[1]).mean(1)
+    flat = quality.fit(mean(x), np.arange(len(y) + 1), y, np.ones(len(y)))
+    a = learned.attention(xt, ft).reshape(-1, 30)[yt == 0]
+    tells = np.abs(xt[:, 3].reshape(-1, 30)[yt == 0] - 6.0) < 1e-6
+    print(f"attention {right(learned, xt, ft):.3f}, mean {right(flat, mean(xt), np.arange(len(yt) + 1)):.3f}, share on the passage that tells {a[tells].mean():.2f}")
+    assert right(learned, xt, ft) >= right(flat, mean(xt), np.arange(len(yt) + 1)) + 0.05 and a[tells].mean() > 3 / 30
+
+
+def test_passages_tell_repetition_and_words(spark, hard):
+    import pyarrow as pa
+
+    from orrery.llm.common import texts
+
+    same = " ".join(f"w{i}" for i in range(80))
+    x, first = next(quality.passages(t) for t in texts(pa.RecordBatch.from_arrays([pa.array([f"{same} {same}", None, "  "])], ["text"])))
+    assert first.tolist() == [0, 2, 3, 4] and not x[2:].any()
+    seen = quality.SURFACE - 2
+    assert x[0, seen] == 0 and x[1, seen] > 0.9 and abs(x[:2, quality.SURFACE :].sum(1) - 1).max() < 1e-5
+    out = quality.score(hard, None, keep=["score", "doc_id"])
+    assert out.columns == ["doc_id", "score"] and {r.score for r in out.collect()} == {0.5}
+
+
 def lexicon_of(spark, texts_of):
     """The grammar learned from (text, label) rows."""
     rows = [(i, t, y) for i, (t, y) in enumerate(texts_of)]
@@ -444,6 +481,31 @@ def test_urls(spark):
     assert got == [(1, None, "block"), (2, "com/de/", "block"), (3, None, "allow"), (4, None, "allow"), (5, None, "block"), (6, None, "allow"), (7, None, "allow"), (8, "org/", "allow"), (9, None, "allow"), (9, None, "allow"), (10, None, "block"), (11, None, "block"), (12, None, "allow")]
 
 
+def test_links_resolve_like_urljoin(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.net/x/y/z.html?q=1#f", "http://a.net", "https://b.org/d/"]
+    links = ["w", "./w", "../w", "../../w", "../../../../w", "/r/./s/../t", "//o.net/p/q", "http://abs.net/a/b", "?k=2", "w/..", "w/.", "w/../", "..", "../", "a.b/..c/.d", "w?x=../y"]
+    rows = [(b, k) for b in bases for k in links]
+    got = spark.createDataFrame(rows, "base string, link string").select("base", "link", urlfilter.node(urlfilter.resolved(F.col("base"), F.col("link"))).alias("to")).collect()
+    for r in got:
+        want = urljoin(r.base, r.link)
+        assert r.to.rstrip("/") == want.split("#")[0].rstrip("/"), (r.base, r.link, want)
+    whole = spark.range(1).select(*(urlfilter.resolved(F.lit(bases[0]), F.lit(x)).alias(f"c{k}") for k, x in enumerate(("//o.net/p/../q", "http://abs.net/a/./../b?c=/../d"))))
+    assert tuple(whole.first()) == ("http://o.net/q", "http://abs.net/b?c=/../d")
+
+
+def test_pages_of_odd_rows(spark):
+    """Null pages, very long ones, rows that repeat, clashing columns, a hub of aliases, and an empty table."""
+    link = '<link rel="canonical" href="http://blocked.com/de/hub">'
+    rows = [(i, f"http://n{i}.net/", "x" * (200_000 if i == 0 else 10) + link, None) for i in range(60)] + [(60, None, link, None), (61, "http://z.net/", None, None), (None, "http://z.org/", "", None), (3, "http://n3.net/", link, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, rule string").withColumn("component", F.lit(1)).withColumn("node", F.lit("n"))
+    got = sorted(((r.page_id, r.rule, r.verdict) for r in urlfilter.judge(df, registry.URL_RULES).collect()), key=str)
+    want = [(i, None, "block") for i in [*range(60), 3]] + [(60, None, "allow"), (61, None, "allow"), (None, "org/", "allow")]
+    assert got == sorted(want, key=str)
+    assert urlfilter.judge(df.filter("page_id < 0"), registry.URL_RULES).count() == 0
+
+
 def brute_repeats(rows):
     first, out = {}, []
     low = lambda d: -(2**63) if d is None else d
@@ -636,6 +698,18 @@ def test_packing(hard, empty, documents):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_of_odd_rows(spark):
+    """Rows without an id or that share one are packed each for itself, with columns of clashing names."""
+    rows = [(None, "a b"), (None, "a b"), (3, None), (3, "c" * 9000), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("p")).withColumn("start", F.lit(1)).repartition(2)
+    got = packing.pack(df).collect()
+    total = Counter()
+    for r in got:
+        total[r.doc_id] += r.length
+    assert sum(r.start == 0 for r in got) == len(rows) and {r.doc_tokens for r in got if r.doc_id == 4} == {1}
+    assert total[None] == 2 * next(r.doc_tokens for r in got if r.doc_id is None) and sum(total.values()) == sum(r.doc_tokens for r in got if r.start == 0)
+
+
 def test_special_token_text(spark):
     df = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
     check_packing(packing.pack(df), [(1, "a<|endoftext|>b")])

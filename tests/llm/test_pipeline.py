@@ -91,3 +91,33 @@ def test_quality_stage_keeps_what_op3_calls_good(spark):
     score = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     assert {r.doc_id for r in quality.accepted(docs, model).collect()} == {d for d, x in score.items() if x >= 0.7}
     assert inspect.signature(quality.accepted).parameters["threshold"].default == quality.THRESHOLD == 0.7
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls in every column, empty, blank and very long texts, ties, repeated rows and columns of clashing names pass every stage; so does an empty table."""
+    fine = "The keeper of the old mill walked along the river and counted the boats that came in with the tide. "
+    long = " ".join(f"{fine[:-2]} {i}." for i in range(4000))
+    rows = [
+        (1, fine * 3, "en", "a", 1), (2, fine * 3, "en", "a", 1), (2, fine * 3, "en", "a", 1), (3, None, None, None, None), (4, "", "en", "a", 0), (5, " \n ", "en", "a", 3), (6, long, "en", "a", 1), (7, long + " tail", "en", None, 1),
+        (None, fine * 2 + "Another end.", "en", "a", 1), (None, None, None, None, None), (8, "é" * 60, "fr", "b", 60), (8, "ü" * 60, "de", "b", 60),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, _node long, _id string, _bad int, score double, spans string, content long, key string, component_id long, kept boolean"
+    df = spark.createDataFrame([(*r, 1, "i", 2, 0.5, "s", 3, "k", 4, True) for r in rows], schema).repartition(3)
+    key = lambda r: str(r)
+    for docs in (df, df.filter("doc_id < 0")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = written(stage(spark, docs, SF), name)
+            assert out.columns == df.columns, name
+            got = sorted(((r.doc_id, r.text) for r in out.collect()), key=key)
+            if name == "near_duplicates":
+                assert got == sorted({(d, t) for d, t, *_ in rows if (d, t) in set(map(tuple, got))}, key=key)
+                if docs is df:
+                    assert {d for d, t in got if t == fine * 3} == {1} and {d for d, t in got if t and len(t) > 9000} == {6}
+                    assert {(3, None), (4, ""), (None, None), (8, "é" * 60), (8, "ü" * 60)} <= set(got)
+            elif name == "repeated_passages" and docs is df:
+                # the row without an id comes first of all and keeps its text
+                assert len(got) == len(rows) and (3, None) in got and (None, fine * 2 + "Another end.") in got and len(dict(got)[7]) < 100
+            elif name == "decontamination":
+                assert got == sorted(((r[0], r[1]) for r in rows), key=key) if docs is df else not got
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        assert sum(r.start == 0 for r in packed.collect()) == (len(rows) if docs is df else 0)
