@@ -7,6 +7,8 @@ are cut from all but the first, contaminated documents go, and the rest is packe
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,11 @@ from orrery.llm.common import written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3, learned from all labels; documents that score under the operator's threshold of 0.7 go."""
+    """Operator 3, learned from all labels; documents that score under the operator's threshold of 0.7 go.
+
+    Null, empty and blank texts score as a text without words does. Rows that share an id, or have none, are judged
+    each by its own text. Without labels all stay; an empty table gives no rows.
+    """
     return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -23,28 +29,34 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Operator 1 over five words and a similarity of 0.8; the least doc_id of each group stays, once.
 
     A document is an id with a text: rows that share an id but not a text are judged each for itself, and so are
-    rows without an id, which come after all ids of their group. Rows alike in both are one document.
+    rows without an id, which come after all ids of their group. Rows alike in both are one document; null
+    and empty texts are alike by id and text only. Other columns stay, whatever their names.
     """
-    nodes = docs.withColumn("_node", F.xxhash64("doc_id", "text"))
-    groups = neardup.near_duplicates(nodes, id_col="_node").select(F.col("doc_id").alias("_node"), "component_id").distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_node")
-    first = groups.join(nodes.select("_node", "doc_id").distinct(), "_node").groupBy("component_id").agg(F.min(order).alias("first"))
-    return nodes.join(first.select("first._node"), "_node", "left_semi").dropDuplicates(["_node"]).select(*docs.columns)
+    node = f"node_{uuid.uuid4().hex}"
+    nodes = docs.withColumn(node, F.xxhash64("doc_id", "text"))
+    groups = neardup.near_duplicates(nodes, id_col=node).select(F.col("doc_id").alias(node), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(node).alias("node"))
+    first = groups.join(nodes.select(node, "doc_id").distinct(), node).groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = nodes.join(first.select(F.col("first.node").alias(node)), node, "left_semi")
+    return kept.dropDuplicates([node, "doc_id", "text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7; texts lose what a smaller doc_id has too, and n_chars follows. Documents stay, if need be with an empty text."""
+    """Operator 7; texts lose what a smaller doc_id has too, and n_chars follows. Documents stay, if need be with an empty text.
+
+    Null texts stay null. Rows without an id count as less than all ids; rows that share one lose nothing to each other.
+    """
     out = suffixdedup.without_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def no_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8; contaminated documents go."""
+    """Operator 8; contaminated documents go. Null and empty texts stay; each row is judged by its own text."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9."""
+    """Operator 9. Null and empty texts are the end token alone; every row is packed, whatever its id."""
     return packing.pack(docs)
 
 
