@@ -72,22 +72,22 @@ def numbered(bigrams: list[str]) -> list[str]:
     return out
 
 
-def chosen_words(templates: list[tuple[list[str], int]]) -> list[str]:
-    """Words such that every template (bigrams, how many of them a match may not all lack) has that many bigrams with one of them. Greedy: the word that brings templates furthest, with words of few letters, which stand in any text, put last."""
+def chosen_words(templates: list[tuple[list[str], int]]) -> list[tuple[str, ...]]:
+    """Words such that every template (bigrams, how many of them a match may not all lack) has that many bigrams with one of them. Greedy: the word that brings templates furthest. Words of few letters stand in any text and are chosen only as a bigram, with both its words."""
     left = [([set(g.split(" #")[0].split()) for g in grams], n) for grams, n in templates]
     need, chosen = [n for _, n in left], []
     while any(n > 0 for _, n in left):
-        gain: dict[str, float] = {}
+        gain: dict[tuple[str, ...], float] = {}
         for (open_, n), all_ in zip(left, need):
             if n > 0:
-                times: dict[str, int] = {}
-                for w in {x for words in open_ for x in words}:
-                    times[w] = sum(w in words for words in open_)
-                for w, c in times.items():
-                    gain[w] = gain.get(w, 0.0) + min(c, n) / all_ * (1.0 if len(w) > 5 else len(w) / 50)
+                for c in {(w,) for words in open_ for w in words if len(w) > 5}:
+                    gain[c] = gain.get(c, 0.0) + min(sum(c[0] in words for words in open_), n) / all_
+                for words in open_:
+                    c = tuple(sorted(words, key=lambda w: (-len(w), w)))
+                    gain[c] = gain.get(c, 0.0) + len("".join(c)) / 1000
         best = max(sorted(gain), key=gain.get)
         chosen.append(best)
-        left = [([words for words in open_ if best not in words], n - sum(best in words for words in open_)) for open_, n in left]
+        left = [([words for words in open_ if not set(best) <= words], n - sum(set(best) <= words for words in open_)) for open_, n in left]
     return chosen
 
 
@@ -105,8 +105,10 @@ def scan(documents: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES,
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     known = [(name, grams, len(grams)) for name, text in templates if (grams := template_bigrams(text))]
     held = chosen_words([(grams, n - math.ceil(n * low - 1e-9) + 1) for _, grams, n in known])
-    rare = sorted({g for _, grams, _ in known for g in (re.sub(r" #\d+$", "", x) for x in grams) if set(g.split()) & set(held)})
-    may_have = reduce(lambda a, b: a | b, [F.contains("low", F.lit(w)) for w in held])
+    rare = sorted({g for _, grams, _ in known for g in (re.sub(r" #\d+$", "", x) for x in grams) if any(set(c) <= set(g.split()) for c in held)})
+    # a word that another one stands in is found with that one
+    tested = [c for c in held if not any(len(d) == 1 and d != c and d[0] in w for w in c for d in held)]
+    may_have = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains("low", F.lit(w)) for w in c]) for c in tested])
     text = F.col("low")
     segments = F.array_distinct(F.concat(F.split(text, r"\n"), F.split(text, BLANK_LINES), F.array(text)))
     rows = documents.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("low")).filter("low is not null").filter(may_have)
