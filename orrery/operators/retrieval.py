@@ -83,10 +83,12 @@ def bm25(tokens: DataFrame, terms: DataFrame, *, operator: str = "or", id_col: s
     there are and how long they are is taken over the whole corpus; only occurrences of asked words are counted, once.
     """
     terms = small(terms)
-    stats = tokens.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
-    words = small(terms.select("word").distinct())
-    found = tokens.select(id_col, "element", "length", F.explode("tokens").alias("word")).join(words, "word")
+    # every text has the mark once, so that one look at the corpus gives postings and statistics
+    mark = "\0"
+    words = small(terms.select("word").union(terms.sparkSession.range(1).select(F.lit(mark))).distinct())
+    found = tokens.select(id_col, "element", "length", F.explode(F.concat("tokens", F.array(F.lit(mark)))).alias("word")).join(words, "word")
     held = written(found.groupBy("word", id_col, "element").agg(F.count("*").alias("tf"), F.first("length").alias("length")), "postings")
+    stats, held = held.filter(F.col("word") == mark).agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")), held.filter(F.col("word") != mark)
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = held.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(stats)).select("word", idf.alias("idf"), "mean_length")  # stats: one row
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
