@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.exprs import cosine_distance, dot, standard_tokens
-from orrery.sources.tables import written
+from orrery.sources.tables import spread, written
 
 K1, B = 1.2, 0.75
 RANK_CONSTANT = 60
@@ -66,9 +66,9 @@ def small(df: DataFrame, most: int = MOST_TERMS) -> DataFrame:
 
 
 def field_tokens(docs: DataFrame, field: Field, id_col: str = "asset_id") -> DataFrame:
-    """(id, element, tokens, length): the texts of a field, cut by its analyzer; texts without tokens are left out."""
+    """(id, element, tokens, length): the texts of a field, cut by its analyzer. Texts without tokens have none, or null; their length isn't positive."""
     units = docs.select(id_col, F.posexplode(field.text).alias("element", "_v")) if field.nested else docs.select(id_col, F.lit(0).alias("element"), field.text.alias("_v"))
-    return units.select(id_col, "element", field.analyzer(F.col("_v")).alias("tokens")).withColumn("length", F.size("tokens")).filter("length > 0")
+    return spread(units).select(id_col, "element", field.analyzer(F.col("_v")).alias("tokens")).withColumn("length", F.size("tokens"))
 
 
 def query_terms(queries: DataFrame, text: str = "text", analyzer: Callable[[Column], Column] = standard_tokens) -> DataFrame:
@@ -83,21 +83,23 @@ def bm25(tokens: DataFrame, terms: DataFrame, *, operator: str = "or", id_col: s
     there are and how long they are is taken over the whole corpus; only occurrences of asked words are counted, once.
     """
     terms = small(terms)
-    # every text has the mark once, so that one look at the corpus gives postings and statistics
+    # every text with tokens has the mark once, so that one look at the corpus gives postings and statistics
     mark = "\0"
     words = small(terms.select("word").union(terms.sparkSession.range(1).select(F.lit(mark))).distinct())
-    found = tokens.select(id_col, "element", "length", F.explode(F.concat("tokens", F.array(F.lit(mark)))).alias("word")).join(words, "word")
+    marked = F.when(F.col("length") > 0, F.concat("tokens", F.array(F.lit(mark))))
+    found = tokens.select(id_col, "element", "length", F.explode(marked).alias("word")).join(words, "word")
     held = written(found.groupBy("word", id_col, "element").agg(F.count("*").alias("tf"), F.first("length").alias("length")), "postings")
     stats, held = held.filter(F.col("word") == mark).agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")), held.filter(F.col("word") != mark)
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = held.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(stats)).select("word", idf.alias("idf"), "mean_length")  # stats: one row
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     met = held.join(small(terms.join(weights, "word")), "word")
-    each = met.groupBy("query_id", id_col, "element").agg(F.sum(F.col("idf") * tf * F.col("boost")).alias("score"), *([F.countDistinct("term").alias("terms")] if operator == "and" else []))
-    if operator == "and":
-        wanted = small(terms.groupBy("query_id").agg(F.countDistinct("term").alias("wanted")))
-        each = each.join(wanted, "query_id").filter("terms = wanted")
-    return each.groupBy("query_id", id_col).agg(F.sum("score").alias("score"))
+    score = F.sum(F.col("idf") * tf * F.col("boost")).alias("score")
+    if operator != "and":
+        return met.groupBy("query_id", id_col).agg(score)
+    wanted = small(terms.groupBy("query_id").agg(F.countDistinct("term").alias("wanted")))
+    each = met.groupBy("query_id", id_col, "element").agg(score, F.countDistinct("term").alias("terms"))
+    return each.join(wanted, "query_id").filter("terms = wanted").groupBy("query_id", id_col).agg(F.sum("score").alias("score"))
 
 
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, expansions: int = 1) -> DataFrame:
@@ -183,7 +185,8 @@ def text_leg(docs: DataFrame, queries: DataFrame, fields: dict[str, Field | tupl
             held = contained(values.select(id_col, F.lower("_v").alias("_v")), asked, id_col)
             held = held.distinct() if f.nested else held
             parts.append(held.select("query_id", id_col, F.lit(float(f.wildcard)).alias("score"), F.lit(name).alias("field")))
-    return reduce(DataFrame.unionByName, parts).groupBy("query_id", id_col).agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("field")).alias("fields"))
+    matched = F.array_compact(F.array(*(F.when(F.bool_or(F.col("field") == name), name) for name in sorted(fields))))
+    return reduce(DataFrame.unionByName, parts).groupBy("query_id", id_col).agg(F.sum("score").alias("score"), matched.alias("fields"))
 
 
 # Vector legs, scores, windows
