@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, spans, texts
+from .common import Texts, spans, spread, texts
 from .sampling import sample_per_label, sampled_texts
 from .toxicity import fold_case
 
@@ -253,4 +253,4 @@ def identify(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text
                             lang[d], score[d] = m.languages[top[d]], share[d, top[d]] / all_[d]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, docs), pa.array(lang), pa.array(score), pa.array(parts, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang: string, start: int, end: int>>")
+    return spread(rows).mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang: string, start: int, end: int>>")

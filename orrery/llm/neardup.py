@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, mix, shingles, texts, words, written
+from .common import NOT_SPACE, mix, shingles, spread, texts, words, written
 from .components import connected_components
 
 BANDS, ROWS = 48, 6
@@ -88,7 +88,7 @@ def sketch_table(documents: DataFrame, size: int, bands: int, rows: int) -> Data
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(full * bands)].astype(np.int32), pa.array(keys[full].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, n), pa.array(np.diff(first)), pa.array(_sums(mix(h), first)), pa.array(_sums(mix(h ^ _U(0xA5A5A5A5)), first)), lists], ["doc_id", "n_shingles", "d1", "d2", "keys"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
 
 
 def _linked(a: np.ndarray, inter: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import spread, texts, written
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
@@ -152,7 +152,7 @@ def pack(documents: DataFrame, *, vocabulary: str | None = None, window: int = W
         yield packer.drain()
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = written(rows.mapInArrow(tokenise, _OPEN), "packed")
+    packed = written(spread(rows).mapInArrow(tokenise, _OPEN), "packed")
     parts = (packed.agg(F.max("part")).first()[0] or 0) + 1
     done = [packed.filter("ids is null")]
     open_, level = packed.filter("ids is not null"), 0

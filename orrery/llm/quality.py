@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Texts, mix, texts, words
+from .common import NOT_SPACE, Texts, mix, spread, texts, words
 from .sampling import sample_per_label, sampled_texts
 
 PASSAGE_WORDS = 80
@@ -228,7 +228,7 @@ def score(documents: DataFrame, model: Model | None, *, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(t.lo, t.hi - t.lo) for k in range(len(keep))), pa.array(y)], [*keep, "score"])
 
     schema = rows.drop("_text").schema.add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def accepted(documents: DataFrame, model: Model | None, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:

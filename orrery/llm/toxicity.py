@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Texts, hashed, mix, spans, texts, written
+from .common import LOWER, Texts, hashed, mix, spans, spread, texts, written
 from .sampling import sample_per_label, sampled_texts
 
 #: Labelled documents of each label that the lexicon and weights are learned on at most.
@@ -437,4 +437,4 @@ def score(documents: DataFrame, grammar: Grammar, *, id_col: str = "doc_id", tex
                 found = shared.value.matches(t)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, t.hi - t.lo), pa.array(shared.value.score(found)), pa.array(list(found), pa.list_(pa.float64()))], ["doc_id", "score", "found"])
 
-    return rows.mapInArrow(run, "doc_id long, score double, found array<double>")
+    return spread(rows).mapInArrow(run, "doc_id long, score double, found array<double>")
