@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 THRESHOLD = 0.8
 
 # Notices by which works name their license, and full texts of the short licenses.
@@ -111,8 +113,9 @@ def scan(documents: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES,
     may_have = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains("low", F.lit(w)) for w in c]) for c in tested])
     text = F.col("low")
     segments = F.array_distinct(F.concat(F.split(text, r"\n"), F.split(text, BLANK_LINES), F.array(text)))
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("low")).filter("low is not null").filter(may_have)
-    parts = rows.select("doc_id", F.explode(segments).alias("low")).filter(may_have)
+    rows = spread(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("low")).filter("low is not null"))
+    # the test is part of the explode, as a filter would lower-case a text for each word anew, and before it is dealt
+    parts = rows.select("doc_id", F.lower("low").alias("low")).select("doc_id", F.explode(F.when(may_have, segments)).alias("low")).filter(may_have)
     words = parts.select("doc_id", F.col("low").alias("segment"), F.split(normalised(F.col("low")), " ").alias("words"))
     least, most = min(n for _, _, n in known), max(n for _, _, n in known)
     words = words.filter((F.size("words") - 1 >= math.ceil(least * low - 1e-9)) & (F.size("words") - 1 <= math.floor(most * high + 1e-9)) & (F.size("words") > 1))
