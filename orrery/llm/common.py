@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
 _U = np.uint64
@@ -58,6 +59,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
+#: Keys with this share of all rows are hot; there can't be more of them than that.
+HOT = 1000
+
+
+def by_class(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """rows, each with the columns of its class. classes hold every key once (null may be one) and n, the rows of it.
+
+    Keys that hold a thousandth of all rows or more, a thousand at most, are broadcast; the others are joined by
+    shuffle, where none is hot. rows and classes are written tables.
+    """
+    one = f"class_{uuid.uuid4().hex}"
+    named = classes.withColumnRenamed(key, one)
+    total = named.agg(F.sum("n")).first()[0] or 0
+    hot, cold = named.filter(F.col("n") * HOT >= total), named.filter(F.col("n") * HOT < total)
+    same = F.col(key).eqNullSafe(F.col(one))
+    rest = rows.join(F.broadcast(hot.select(one)), same, "left_anti")
+    return rows.join(F.broadcast(hot), same).unionByName(rest.join(cold, same)).drop(one, "n")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by written() that no later plan reads."""
     for df in tables:

@@ -124,4 +124,70 @@ SELECT doc_id, name AS license, coalesce(dice, 0.0)::DOUBLE AS dice, coalesce(n,
 """
 
 
-SQL = {"op7_repeats": REPEATS, "op10_licenses": _licenses(), "op6_urls": URLS, "op1_neardup": NEARDUP, "op8_decontamination": DECONTAMINATION}
+#: CRC-32 byte by byte over distinct features.
+RESAMPLING = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), df AS MATERIALIZED (
+  SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM d) GROUP BY ALL
+), bf AS MATERIALIZED (
+  SELECT f, count(*) AS n FROM (SELECT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM b) GROUP BY ALL
+), step AS (
+  SELECT i, 0 AS k, i AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), tab AS MATERIALIZED (
+  SELECT i, c FROM step WHERE k = 8
+), x AS (
+  SELECT f, hex(encode(f)) AS h, 0::BIGINT AS i, 4294967295::BIGINT AS c FROM (SELECT f FROM df UNION SELECT f FROM bf)
+  UNION ALL
+  SELECT f, h, x.i + 2, xor(tab.c, x.c >> 8) FROM x JOIN tab ON tab.i = xor(x.c & 255, 16 * (strpos('0123456789ABCDEF', h[x.i + 1]) - 1) + strpos('0123456789ABCDEF', h[x.i + 2]) - 1) WHERE x.i < len(h)
+), k AS MATERIALIZED (
+  SELECT f, xor(c, 4294967295) % 10000 AS bucket FROM x WHERE i = len(h)
+), s AS (
+  SELECT bucket, sum(n) AS s FROM df JOIN k USING (f) GROUP BY 1
+), t AS (
+  SELECT bucket, sum(n) AS t FROM bf JOIN k USING (f) GROUP BY 1
+), g AS MATERIALIZED (
+  SELECT r.bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS gain
+  FROM range(10000) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), w AS (
+  SELECT doc_id, sum(n) AS n_features, floor(sum(n * gain) / sum(n)) AS weight FROM df JOIN k USING (f) JOIN g USING (bucket) GROUP BY 1
+), z AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (doc_id)
+), r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)
+"""
+
+
+def _codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of k-means, one after the other."""
+    apart = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, part, min({{'d': d, 'entry': entry}}) AS near FROM (SELECT r, part, entry, {apart}::BIGINT AS d FROM p JOIN c{k} USING (part)) GROUP BY 1, 2)")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT part, entry, list(mean ORDER BY i) AS mean FROM (SELECT part, near.entry AS entry, i, floor(sum(v[i]) / count(*))::BIGINT AS mean FROM a{k} JOIN p USING (r, part), (SELECT unnest(range(1, {{size}} + 1)) AS i) GROUP BY ALL) GROUP BY 1, 2)".replace("{size}", "(SELECT max(len(v)) FROM p)"))
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(mean, c) AS c FROM c{k} LEFT JOIN m{k} USING (part, entry))")
+    return rf"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), p AS MATERIALIZED (
+  SELECT r, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS v FROM e, range({parts}) t(part)
+), c0 AS MATERIALIZED (
+  SELECT part, r - 1 AS entry, v AS c FROM p WHERE r <= {entries}
+), {", ".join(steps)}, h AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}
+), o AS (
+  SELECT r, string_agg(lower(lpad(hex(near.entry), 2, '0')), '' ORDER BY part) AS code, sum(near.d)::BIGINT AS error FROM a{rounds} GROUP BY 1
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN o USING (r), h
+"""
+
+
+SQL = {"op11_resampling": RESAMPLING, "op12_codes": _codes(), "op7_repeats": REPEATS, "op10_licenses": _licenses(), "op6_urls": URLS, "op1_neardup": NEARDUP, "op8_decontamination": DECONTAMINATION}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, licenses, neardup, packing, quality, suffixdedup, toxicity, urlfilter
+from . import ann, codes, decontam, langid, licenses, neardup, packing, quality, resampling, simhash, suffixdedup, toxicity, urlfilter
 from .sampling import fold
 
 
@@ -69,8 +69,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(read(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_neardup": op1_neardup, "op2_neighbours": op2_neighbours, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_urls": op6_urls, "op7_repeats": op7_repeats, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
+    return {"op1_neardup": op1_neardup, "op2_neighbours": op2_neighbours, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_urls": op6_urls, "op7_repeats": op7_repeats, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing, "op10_licenses": op10_licenses, "op11_resampling": op11_resampling, "op12_codes": op12_codes, "op13_simhash": op13_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
