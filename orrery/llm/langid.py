@@ -1,7 +1,9 @@
 """Language identification of mixed text: script ranges, per-word scores, Viterbi with a switching penalty.
 
 Byte 4-gram models of each language are learned from a bounded sample of documents. A word's script
-narrows its candidate languages; its score in each is the sum of its 4-grams' log probabilities. Viterbi
+decides its candidate languages, and only those are scored: others are impossible. A word's score is the
+sum of its 4-grams' log probabilities; a 4-gram that a language hasn't shown has the same probability in
+every language, so that little training is no advantage. Viterbi
 over the words of a text, where changing the language costs a penalty, labels spans; the language of most
 letters is the document's. All documents of a run of bytes take each Viterbi step together.
 """
@@ -28,6 +30,10 @@ BUCKETS = 1 << 16
 SWITCH = 12.0
 #: A language is a candidate for a script if so many of its words are written in it.
 SCRIPT_SHARE = 0.005
+#: Share of a 4-gram's probability that comes from all languages together; it is all that an unseen one has.
+SHARED = 0.001
+#: 4-grams that are taken as seen besides a language's own: a chance sight in little text counts for little.
+UNSURE = 200.0
 CHUNK = 4 << 20
 UNKNOWN = "und"
 
@@ -126,15 +132,21 @@ class Model:
     switch: float = SWITCH
 
     def word_scores(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Scores (words x languages, relative to a word's best), starts, ends, first words."""
+        """Scores (words x languages, relative to a word's best; impossible ones infinitely low), starts, ends, first words."""
         code, starts, ends, script, first = grams(t)
-        e = np.empty((len(starts), len(self.languages)), np.float32)
-        for k in range(len(self.languages)):
-            sums = np.zeros(len(code) + 1)
-            np.cumsum(self.log_p[k][code], out=sums[1:])
-            e[:, k] = sums[ends] - sums[starts]
-        may = self.allowed[:, script].T
-        e[~may & may.any(1)[:, None]] -= 50
+        e = np.full((len(starts), len(self.languages)), -np.inf, np.float32)
+        may = np.where(self.allowed.any(0), self.allowed, True).T  # by script; one that no language is known in leaves all
+        sets, of_script = np.unique(may, axis=0, return_inverse=True)
+        kind = of_script.ravel()[script]
+        for c, candidates in enumerate(sets):
+            on = np.flatnonzero(kind == c)
+            if not len(on):
+                continue
+            size = ends[on] - starts[on]
+            begin = np.cumsum(size) - size
+            own = code[np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(starts[on], size)]
+            for k in np.flatnonzero(candidates):
+                e[on, k] = np.add.reduceat(self.log_p[k][own], begin, dtype=np.float64)
         if len(e):
             e -= e.max(1, keepdims=True)
         return e, starts, ends, first
@@ -213,7 +225,7 @@ def learn(documents: DataFrame, *, sample: int = SAMPLE, lang_col: str = "lang",
         return Model()
     all_ = sum(total.values())
     prior = (all_ + 0.1) / (all_.sum() + 0.1 * BUCKETS)
-    log_p = np.stack([np.log((total[n] + 200.0 * prior) / (total[n].sum() + 200.0)) for n in names]).astype(np.float32)
+    log_p = np.stack([np.log(SHARED * prior + (1 - SHARED) * total[n] / (total[n].sum() + UNSURE)) for n in names]).astype(np.float32)
     allowed = np.stack([scripts[n] >= np.maximum(1, SCRIPT_SHARE * scripts[n].sum()) for n in names])
     return Model(names, log_p, allowed)
 

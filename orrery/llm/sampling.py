@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def fold(id_col: str, folds: int) -> Column:
-    """crc32 of the id as text, modulo folds."""
+    """crc32 of the id as text, modulo folds; null for rows without an id, which are neither learned from nor held out."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
