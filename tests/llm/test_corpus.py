@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.llm.common import Texts
 from orrery.llm import ann, components, decontam, langid, licenses, neardup, packing, quality, registry, suffixdedup, toxicity, urlfilter
 
 SF = "/root/testdata/sf0.001"
@@ -461,6 +462,47 @@ def test_two_hundred_languages(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 195
 
 
+def test_little_training_is_no_advantage(spark):
+    """A language of one short document gets no text that it doesn't know better, neither of its script nor of another."""
+    english = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").select("doc_id", "text", "lang")
+    strange = ["Straßenbahnhaltestelle Fußgängerüberweg Oberflächengestaltung", "Qwxzvkjq zzqxjvkw pqxzvjkq", "Krzysztof Szczepański Wrzeszcz", "Ünïcödé Àéîõü"]
+    for few, text in (("ru", "привет мир"), ("de", "Rindfleisch und Kartoffeln"), ("aa", "xhosa zulu")):
+        docs = english.union(spark.createDataFrame([(-1, text, few)], english.schema))
+        model = langid.learn(docs)
+        rows = [(i, t) for i, t in enumerate([*strange, text])]
+        got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+        assert got[len(strange)] == few
+        if few == "ru":
+            assert all(got[i] == "en" for i in range(len(strange)))
+        held = langid.identify(english, model).collect()
+        assert sum(r.lang_pred == "en" for r in held) >= 0.99 * len(held)
+
+
+def test_a_thousand_documents_against_one(spark):
+    """Unseen words cost the same in a language of a thousand documents and in one of one."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    big, small = (["".join(rng.choice(letters, 7)) for _ in range(n)] for n in (400, 15))
+    rows = [(i, " ".join(rng.choice(big, 60)), "big") for i in range(1000)] + [(1000, " ".join(small), "a_small")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    asked = [" ".join(rng.choice(big, 8)) for _ in range(50)] + [" ".join(rng.choice(small, 8)) for _ in range(50)]
+    half = [" ".join([*rng.choice(big, 3), *("".join(rng.choice(letters, 9)) for _ in range(3))]) for _ in range(50)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(list(enumerate(asked + half)), "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(100)] == ["big"] * 50 + ["a_small"] * 50
+    assert sum(got[i] == "big" for i in range(100, 150)) >= 45  # made-up words may have pieces of either by chance
+
+
+def test_a_script_rules_languages_out():
+    """Words of a script are scored in its languages only, those of a script without a language in all."""
+    latin, cyrillic = langid.SCRIPT_NAMES.index("latin"), langid.SCRIPT_NAMES.index("cyrillic")
+    allowed = np.zeros((3, len(langid.SCRIPT_NAMES)), bool)
+    allowed[[0, 1], latin] = allowed[[1, 2], cyrillic] = True
+    model = langid.Model(["a", "b", "c"], np.zeros((3, langid.BUCKETS), np.float32), allowed)
+    raw = "word слово λόγος".encode()
+    e, *_ = model.word_scores(Texts(0, 1, np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+    assert np.isfinite(e).tolist() == [[True, True, False], [False, True, True], [True, True, True]]
+
+
 def test_mixed_text_has_spans(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn(docs)
@@ -653,6 +695,69 @@ def test_contamination_of_odd_rows(spark, empty):
     assert decontam.longest_matches(empty, bench).count() == decontam.decontaminate(empty, bench, pass_bytes=300).count() == 0
 
 
+def shard_of(raw, hashes=None):
+    raw = [x.encode() for x in raw]
+    return decontam.sorted_shard(Texts(0, len(raw), np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)), hashes)
+
+
+def brute_matches(docs, items, window):
+    out = []
+    for d, t in enumerate(docs):
+        w = t.split()
+        for i, q in enumerate(x.split() for x in items):
+            n = min(window, len(q))
+            windows = {tuple(q[j : j + n]) for j in range(len(q) - n + 1)} if q else set()
+            inside, far = np.zeros(len(w) + 1, bool), np.zeros(len(w) + 1, int)
+            for p in range(len(w)):
+                if tuple(w[p : p + n]) in windows:
+                    inside[p : p + n] = True
+                    for j in range(len(q)):
+                        k = 0
+                        while p + k < len(w) and j + k < len(q) and w[p + k] == q[j + k]:
+                            k += 1
+                        far[p] = max(far[p], k)
+            edge = np.flatnonzero(np.diff(np.r_[False, inside]))
+            out += [(d, i, int(a), int(b - a), int(far[a:b].max())) for a, b in zip(edge[::2], edge[1::2])]
+    return sorted(out)
+
+
+def test_matches_of_repetitive_texts():
+    """Runs and their longest verbatim matches against every pair of places, in few and in many turns."""
+    rng = np.random.default_rng(0)
+    for _ in range(80):
+        window, v = int(rng.integers(1, 6)), int(rng.integers(1, 4))
+        docs = [" ".join(f"w{x}" for x in rng.integers(0, v, rng.integers(0, 60))) for _ in range(4)]
+        items = [" ".join(f"w{x}" for x in rng.integers(0, v, rng.integers(0, 20))) for _ in range(4)]
+        test = decontam.TestWords(list(enumerate(items)), window)
+        m = decontam.shard_matches(shard_of(docs, test.hashes), test, held=int(rng.choice([5, 50, 10**6])))
+        assert list(zip(*(x.tolist() for x in m[2:]))) == brute_matches(docs, items, window)
+        assert m.n_hit.tolist() == [len({k for x in brute_matches(docs, items, window) if x[0] == d for k in range(x[2], x[2] + x[3])}) for d in range(4)]
+
+
+def test_one_word_over_and_over():
+    """20,000 times one word against 10,000 times the same, many items of it and one-word items: work and memory of the text's size, not of all pairs."""
+    import tracemalloc
+
+    tracemalloc.start()
+    test = decontam.TestWords([(1, "w " * 10_000), (2, "w"), *((k, "v w " * 5000) for k in range(3, 30))], 13)
+    m = decontam.shard_matches(shard_of(["w " * 20_000, "w v " * 10_000], test.hashes), test)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert m.n_hit.tolist() == [20_000, 20_000] and peak < 400 << 20
+    first = [x.tolist() for x in (m.item[:2], m.start[:2], m.words[:2], m.longest[:2])]
+    assert first == [[0, 1], [0, 0], [20_000, 20_000], [10_000, 1]]
+    assert len(m.doc) == 2 + 10_000 + 27 and set(m.longest[-27:].tolist()) == {10_000}
+
+
+def test_repetitive_benchmark(spark, tmp_path):
+    rows = [(1, "w " * 3000), (2, "the cat the the cat " * 300), (3, "a b " * 900 + "w " * 40), (4, "nothing")]
+    items = [(1, "w " * 500), (2, "the"), (3, "a b " * 60), (4, "cat the"), (5, "b")]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for options in ({}, {"pass_bytes": 300}):
+        found = decontam.longest_matches(df, bench, **options).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, tuple(sorted({m.item_id for m in r.matches}))) for r in found) == brute_contamination(rows, items)
+
+
 def test_empty_benchmark(spark, hard):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.longest_matches(hard, none).filter("n_hit > 0").count() == 0
