@@ -8,7 +8,7 @@ task passes on k rows per query at most.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from orrery.functions.exprs import cosine_distance, dot, standard_tokens
 from orrery.sources.tables import spread, written
 
-K1, B = 1.2, 0.75
+from .textindex import K1, MOST_TERMS, B, Field, TextIndex, occurrences, search, segments, sizes, top  # noqa: F401
+
 RANK_CONSTANT = 60
 MOST_WINDOW, LEAST_WINDOW = 10_000, 100
 
@@ -38,27 +39,6 @@ def query_blocks(queries: DataFrame, most: int = BLOCK_QUERIES) -> list[DataFram
 # The text leg
 
 
-@dataclass(frozen=True)
-class Field:
-    """A field of the text leg. text: a string column, or with nested an array of strings, whose elements match each for itself and are summed.
-
-    match and wildcard: weights of the two clauses, 0 skips one. operator: `or`, or `and` for every term of the
-    query. fuzzy: how many words of the field near a term may stand for it.
-    """
-
-    text: Column
-    match: float = 1.0
-    wildcard: float = 0.0
-    operator: str = "or"
-    analyzer: Callable[[Column], Column] = standard_tokens
-    fuzzy: int = 0
-    nested: bool = False
-
-
-#: Rows of terms that are broadcast at most; more of them join by shuffle.
-MOST_TERMS = 1_000_000
-
-
 def small(df: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """df, written once and marked for broadcast if it has no more rows than that."""
     df = written(df, "terms")
@@ -66,9 +46,8 @@ def small(df: DataFrame, most: int = MOST_TERMS) -> DataFrame:
 
 
 def field_tokens(docs: DataFrame, field: Field, id_col: str = "asset_id") -> DataFrame:
-    """(id, element, tokens, length): the texts of a field, cut by its analyzer. Texts without tokens have none, or null; their length isn't positive."""
-    units = docs.select(id_col, F.posexplode(field.text).alias("element", "_v")) if field.nested else docs.select(id_col, F.lit(0).alias("element"), field.text.alias("_v"))
-    return spread(units).select(id_col, "element", field.analyzer(F.col("_v")).alias("tokens")).withColumn("length", F.size("tokens"))
+    """(id, field, element, tokens, length): the texts of a field that have tokens, cut by its analyzer; a document's rows follow each other."""
+    return occurrences(docs, [field], id_col)
 
 
 def query_terms(queries: DataFrame, text: str = "text", analyzer: Callable[[Column], Column] = standard_tokens) -> DataFrame:
@@ -80,26 +59,12 @@ def bm25(tokens: DataFrame, terms: DataFrame, *, operator: str = "or", id_col: s
     """R2: (query_id, id, score), summed over the elements of a document.
 
     tokens as of field_tokens(), terms(query_id, term, word, boost): words that stand for each term. How many texts
-    there are and how long they are is taken over the whole corpus; only occurrences of asked words are counted, once.
+    there are and how long they are is taken over the whole corpus; only occurrences of asked words are counted,
+    once. Scores come from the task that holds a document, so hits aren't shuffled.
     """
-    terms = small(terms)
-    # every text with tokens has the mark once, so that one look at the corpus gives postings and statistics
-    mark = "\0"
-    words = small(terms.select("word").union(terms.sparkSession.range(1).select(F.lit(mark))).distinct())
-    marked = F.when(F.col("length") > 0, F.concat("tokens", F.array(F.lit(mark))))
-    found = tokens.select(id_col, "element", "length", F.explode(marked).alias("word")).join(words, "word")
-    held = written(found.groupBy("word", id_col, "element").agg(F.count("*").alias("tf"), F.first("length").alias("length")), "postings")
-    stats, held = held.filter(F.col("word") == mark).agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")), held.filter(F.col("word") != mark)
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = held.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(stats)).select("word", idf.alias("idf"), "mean_length")  # stats: one row
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    met = held.join(small(terms.join(weights, "word")), "word")
-    score = F.sum(F.col("idf") * tf * F.col("boost")).alias("score")
-    if operator != "and":
-        return met.groupBy("query_id", id_col).agg(score)
-    wanted = small(terms.groupBy("query_id").agg(F.countDistinct("term").alias("wanted")))
-    each = met.groupBy("query_id", id_col, "element").agg(score, F.countDistinct("term").alias("terms"))
-    return each.join(wanted, "query_id").filter("terms = wanted").groupBy("query_id", id_col).agg(F.sum("score").alias("score"))
+    terms = written(terms.select("query_id", F.lit(0).alias("field"), "term", "word", F.col("boost").cast("double").alias("weight")), "asked")
+    stored = written(segments(tokens, terms.select("word"), id_col), "postings")
+    return search(stored, terms, [(operator, False)], id_col=id_col, k1=k1, b=b).filter(F.col(id_col).isNotNull()).select("query_id", id_col, "score")
 
 
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, expansions: int = 1) -> DataFrame:
@@ -152,41 +117,82 @@ def contained(values: DataFrame, asked: DataFrame, id_col: str = "asset_id") ->
     sizes = [r.n for r in asked.select(F.length("gram").alias("n")).distinct().collect()]  # 1, 2, 3
     if not sizes:
         return values.select(F.lit(None).cast("long").alias("query_id"), id_col).limit(0)
-
-    def grams(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("_v") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("_v"), i, F.lit(n)))
-
-    each = F.array_distinct(F.flatten(F.array(*map(grams, sizes))))
+    grams = [F.regexp_extract_all("_v", F.lit(f"(?s)(?=(.{{{n}}}))")) for n in sizes]  # every piece of n letters, in one pass
+    each = F.array_distinct(F.flatten(F.array(*grams)))
     met = values.filter("_v <> ''").select(id_col, "_v", F.explode(each).alias("gram")).join(asked, "gram")
     return met.filter(F.contains("_v", "_q")).select("query_id", id_col)
 
 
+def _matches(docs: DataFrame, queries: DataFrame, fields: dict[str, Field], k: int | None, id_col: str) -> DataFrame:
+    """The match clauses of all fields: rows of textindex.search()."""
+    matched = {n: f for n, f in fields.items() if f.match}
+    found, asked = occurrences(docs, list(matched.values()), id_col), []
+    for n, f in enumerate(matched.values()):
+        terms = query_terms(queries, analyzer=f.analyzer)
+        if f.fuzzy:
+            terms = fuzzy_terms(terms, found.filter(F.col("field") == n).select(F.explode("tokens").alias("term")).distinct(), f.fuzzy)
+        else:
+            terms = terms.select("query_id", "term", F.col("term").alias("word"), F.lit(1.0).alias("boost"))
+        asked.append(terms.select("query_id", F.lit(n).alias("field"), "term", "word", (F.col("boost") * float(f.match)).alias("weight")))
+    asked = written(reduce(DataFrame.unionByName, asked), "asked")
+    stored = written(segments(found, asked.select("word"), id_col), "postings")
+    return search(stored, asked, [(f.operator, f.nested) for f in matched.values()], k, id_col=id_col)
+
+
+def _named(fields: dict[str, Field]) -> Column:
+    """Names of the fields whose bits are set, in order of their names. Match clauses take the lower bits."""
+    order = [*(n for n, f in fields.items() if f.match), *(n for n, f in fields.items() if not f.match)]
+    return F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(1 << order.index(n)) != 0, n) for n in sorted(fields))))
+
+
+def _fields(fields: dict[str, Field | tuple[Column, float, float]]) -> dict[str, Field]:
+    return {n: f if isinstance(f, Field) else Field(*f) for n, f in fields.items()}
+
+
 def text_leg(docs: DataFrame, queries: DataFrame, fields: dict[str, Field | tuple[Column, float, float]], id_col: str = "asset_id") -> DataFrame:
     """(query_id, id, score, fields): the weighted clauses of all fields summed, and the names of the fields that matched. A tuple is a Field's text, match and wildcard.
 
     A match clause scores by BM25 over the field's own texts, with the field's operator, analyzer and fuzzy words.
-    The wildcard clause (*query* anywhere in the field, in any case) compares whole values. Queries without
-    tokens have no match clause, and without any clause no hits.
+    The wildcard clause (*query* anywhere in the field, in any case unless the field says otherwise) compares whole
+    values. Queries without tokens have no match clause, and without any clause no hits.
     """
+    fields = _fields(fields)
+    order = [*(n for n, f in fields.items() if f.match), *(n for n, f in fields.items() if not f.match)]
     parts = []
+    if any(f.match for f in fields.values()):
+        parts.append(_matches(docs, queries, fields, None, id_col).filter(F.col(id_col).isNotNull()).select("query_id", id_col, "score", "bits"))
     for name, f in fields.items():
-        f = f if isinstance(f, Field) else Field(*f)
-        if f.match:
-            tokens, terms = field_tokens(docs, f, id_col), query_terms(queries, analyzer=f.analyzer)
-            if f.fuzzy:
-                terms = fuzzy_terms(terms, tokens.select(F.explode("tokens").alias("term")).distinct(), f.fuzzy)
-            else:
-                terms = terms.select("query_id", "term", F.col("term").alias("word"), F.lit(1.0).alias("boost"))
-            found = bm25(tokens, terms, operator=f.operator, id_col=id_col)
-            parts.append(found.select("query_id", id_col, (F.col("score") * f.match).alias("score"), F.lit(name).alias("field")))
         if f.wildcard:
-            asked = queries.filter(F.trim("text") != "").select("query_id", F.lower("text").alias("_q"))
+            case = (lambda c: F.col(c)) if f.case_sensitive else F.lower
+            asked = queries.filter(F.trim("text") != "").select("query_id", case("text").alias("_q"))
             values = docs.select(id_col, F.explode(f.text).alias("_v")) if f.nested else docs.select(id_col, f.text.alias("_v"))
-            held = contained(values.select(id_col, F.lower("_v").alias("_v")), asked, id_col)
+            held = contained(values.select(id_col, case("_v").alias("_v")), asked, id_col)
             held = held.distinct() if f.nested else held
-            parts.append(held.select("query_id", id_col, F.lit(float(f.wildcard)).alias("score"), F.lit(name).alias("field")))
-    matched = F.array_compact(F.array(*(F.when(F.bool_or(F.col("field") == name), name) for name in sorted(fields))))
-    return reduce(DataFrame.unionByName, parts).groupBy("query_id", id_col).agg(F.sum("score").alias("score"), matched.alias("fields"))
+            parts.append(held.select("query_id", id_col, F.lit(float(f.wildcard)).alias("score"), F.lit(1 << order.index(name)).cast("long").alias("bits")))
+    leg = reduce(DataFrame.unionByName, parts)
+    if any(f.wildcard for f in fields.values()):
+        leg = leg.groupBy("query_id", id_col).agg(F.sum("score").alias("score"), F.bit_or("bits").alias("bits"))
+    return leg.select("query_id", id_col, "score", _named(fields).alias("fields"))
+
+
+def text_top(docs: DataFrame, queries: DataFrame, fields: dict[str, Field | tuple[Column, float, float]], k: int, id_col: str = "asset_id") -> tuple[DataFrame, DataFrame]:
+    """The k best of text_leg() with their rank, and how many documents each query matches (query_id, n). Of match clauses no task passes on more than k hits of a query; wildcard clauses need all hits."""
+    fields = _fields(fields)
+    if any(f.wildcard for f in fields.values()):
+        leg = written(text_leg(docs, queries, fields, id_col), "text-leg")
+        return ranked(leg, id_col).filter(F.col("rank") <= k), leg.groupBy("query_id").agg(F.count("*").alias("n"))
+    hits = written(_matches(docs, queries, fields, k, id_col), "hits")
+    return top(hits, k, id_col).select("query_id", id_col, "score", _named(fields).alias("fields"), "rank"), sizes(hits, id_col)
+
+
+def metadata_fields(docs: DataFrame, column: str, field: Field) -> dict[str, Field]:
+    """The placeholder for generated metadata as one nested field per plugin that the data know, each with the placeholder's settings, over the plugin's value texts; none if there are none.
+
+    column: map from plugin to entries with value_text (a list of texts). Names of plugins are few and told apart by
+    the data, not by a list; labels of entries are no text to search.
+    """
+    plugins = [r.p for r in docs.select(F.explode(F.map_keys(column)).alias("p")).distinct().orderBy("p").collect()]  # a row per plugin
+    return {f"{column}.{p}.value_text": replace(field, text=F.flatten(F.transform(F.col(column)[p], lambda e: e["value_text"])), nested=True) for p in plugins}
 
 
 # Vector legs, scores, windows
@@ -422,10 +428,15 @@ def hybrid_search(assets: DataFrame, views: DataFrame, queries: DataFrame, *, co
         return leg.groupBy("query_id").agg(F.count("*").alias("n"))
 
     if text_weight:
-        leg = text_leg(rows, queries.filter("text is not null"), fields or {"text": (F.col("text"), 1.0, 0.0)})
-        leg = written(collapsed(leg.select("query_id", "asset_id", "score", "fields")), "text-leg")
-        legs.append(("text", leg_window(leg, start, size, window), text_weight))
-        sizes.append(sized(leg))
+        asked, fields = queries.filter("text is not null"), fields or {"text": (F.col("text"), 1.0, 0.0)}
+        if collapse:
+            leg = written(collapsed(text_leg(rows, asked, fields).select("query_id", "asset_id", "score", "fields")), "text-leg")
+            legs.append(("text", leg_window(leg, start, size, window), text_weight))
+            sizes.append(sized(leg))
+        else:
+            leg, size_of = text_top(rows, asked, fields, most)
+            legs.append(("text", leg, text_weight))
+            sizes.append(size_of)
     seen = written(filtered_views(views, assets=rows), "views") if condition is not None or access is not None else views
     for name, asked, weight in [*([("vector", queries, vector_weight)] if vector_weight else []), *vectors]:
         asked = asked.filter("vector is not null").select("query_id", "vector")

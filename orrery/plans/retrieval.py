@@ -84,6 +84,47 @@ def r01_match_and_wildcard(spark, d):
     return leg.select("query_id", "asset_id", F.round("score", 6).alias("score"))
 
 
+_TOP = f"WITH {_bm25()}, {_rank('text_leg', 'top', 25)}, n AS (SELECT query_id, count(*) AS matches FROM text_leg GROUP BY 1) SELECT query_id, asset_id, round(score, 6) AS score, rank, matches FROM top JOIN n USING (query_id)"
+
+
+@query(_TOP)
+def r09_text_top(spark, d):
+    """The 25 best of each query by block bounds, and how many assets match it."""
+    leg, n = R.text_top(X.assets(spark, d), text_queries(spark, d), {"text": (F.col("text"), 1.0, 0.0)}, 25)
+    return leg.join(n, "query_id").select("query_id", "asset_id", F.round("score", 6).alias("score"), "rank", F.col("n").alias("matches"))
+
+
+@query(_TOP)
+def r02_stored_index(spark, d):
+    """The same from an index of all words that is written once and then searched."""
+    index = R.TextIndex.build(X.assets(spark, d), {"text": R.Field(F.col("text"))})
+    leg, n = index.search(text_queries(spark, d), 25)
+    return leg.join(n, "query_id").select("query_id", "asset_id", F.round("score", 6).alias("score"), "rank", F.col("n").alias("matches"))
+
+
+_VLM = [_clause(name, rf"SELECT doc_id AS id, 0 AS e, regexp_extract_all(lower({value}), '[\pL\pN_]+') AS t FROM documents", r"SELECT DISTINCT min(doc_id) AS query_id, unnest(regexp_extract_all(lower(source || ' ' || lang || ' crawl'), '[\pL\pN_]+')) AS term FROM documents GROUP BY source, lang") for name, value in (("cap", "lang"), ("prov", "source || ' crawl'"))]
+
+
+@query(f"WITH {', '.join(_VLM)}, u AS (SELECT query_id, id, score, 'vlm.caption.value_text' AS f FROM cap UNION ALL SELECT query_id, id, score, 'vlm.provenance.value_text' FROM prov) SELECT query_id, id AS asset_id, round(2 * sum(score), 6) AS score, string_agg(f, ',' ORDER BY f) AS fields FROM u GROUP BY 1, 2")
+def r01_generated_metadata(spark, d):
+    """The placeholder for generated metadata: a nested field for each plugin in the data."""
+    docs = X.table(spark, d, "documents")
+    asked = docs.groupBy("source", "lang").agg(F.min("doc_id").alias("query_id")).select("query_id", F.concat_ws(" ", "source", "lang", F.lit("crawl")).alias("text"))
+    assets = X.vlm_assets(spark, d)
+    leg = R.text_leg(assets, asked, R.metadata_fields(assets, "vlm", R.Field(F.lit(None), 2.0)))
+    return leg.select("query_id", "asset_id", F.round("score", 6).alias("score"), F.array_join("fields", ",").alias("fields"))
+
+
+@query("WITH q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_type[2:5]) ELSE p_type[2:5] END AS t FROM part WHERE p_partkey < 12) SELECT query_id, p_partkey AS asset_id, 0.5 AS score FROM part JOIN q ON contains(p_type, t)")
+def r01_wildcard_by_case(spark, d):
+    """The wildcard clause of a field that tells upper from lower case."""
+    part = X.table(spark, d, "part")
+    piece = F.substring("p_type", 2, 4)
+    asked = part.filter("p_partkey < 12").select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 2 == 0, F.upper(piece)).otherwise(piece).alias("text"))
+    leg = R.text_leg(part.withColumnRenamed("p_partkey", "asset_id"), asked, {"type": R.Field(F.col("p_type"), 0.0, 0.5, case_sensitive=True)})
+    return leg.select("query_id", "asset_id", F.col("score").cast("decimal(2,1)").alias("score"))
+
+
 @query(r"""WITH vocab AS (SELECT DISTINCT p_type AS w FROM part UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part), v AS (SELECT DISTINCT lower(w) AS word FROM vocab), q AS (SELECT DISTINCT left(word, len(word) - 1) AS term FROM v WHERE len(word) > 3),
  near AS (SELECT term, word, levenshtein(term, word) AS e, row_number() OVER (PARTITION BY term ORDER BY levenshtein(term, word), word) AS r FROM q, v WHERE levenshtein(term, word) BETWEEN 1 AND CASE WHEN len(term) <= 2 THEN 0 WHEN len(term) <= 5 THEN 1 ELSE 2 END)
 SELECT term, word, round(1.0 - e / least(len(term), len(word)), 6)::DOUBLE AS boost FROM near WHERE r = 1 UNION ALL SELECT term, term, 1.0 FROM q""")

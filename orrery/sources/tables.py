@@ -31,10 +31,10 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over all cores if it is read from fewer files than there are cores, for costly work on every row; select what is needed first.
 
-    A table in more files is left as it is, so that a large one isn't shuffled. The rows are the same either way.
+    A table in more files is left as it is, so that a large one isn't shuffled. The rows are the same either way. Names of files stay in the JVM.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if 0 < len(df._jdf.inputFiles()) < cores else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
