@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -55,6 +57,22 @@ def s04_change_consumer(spark, d):
     return t.read()
 
 
+@query(f"WITH {CH}, l AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY seq DESC) AS r FROM changes) SELECT uri, seq, hash_value FROM l WHERE r = 1 AND event <> 'delete'")
+def s04_durable_consumer(spark, d):
+    """Two consumers one after the other over the same table and checkpoint, each with an object of its own; then fewer files and no old versions."""
+    from orrery.sources.tables import shared_dir
+
+    path = f"{shared_dir(spark)}/consumer-{uuid.uuid4().hex}"
+    table = lambda: J.KeyedTable(spark, "uri string, seq long, hash_value string", "uri", "seq", parts=8, path=f"{path}/table")
+    stream = lambda: X.change_stream(spark, d).select("uri", "seq", "hash_value", "event")
+    J.consume(stream(), table(), f"{path}/checkpoint")
+    J.consume(stream(), table(), f"{path}/checkpoint")
+    last = table()
+    last.compact(parts=4)
+    last.vacuum(keep=1, older_ms=0)
+    return table().read()
+
+
 _Z1 = f"WITH {CH}, n AS (SELECT *, CASE WHEN event = 'delete' THEN NULL ELSE hash_value END AS now FROM changes), o AS (SELECT *, lag(now) OVER (PARTITION BY uri ORDER BY seq) AS old FROM n) SELECT uri, seq, CASE WHEN event = 'delete' THEN 'delete' ELSE 'upsert' END AS action, coalesce(now, old) AS hash_value FROM o WHERE now IS DISTINCT FROM old"
 
 

@@ -11,13 +11,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from orrery.functions.exprs import extension
-from orrery.sources.tables import latest, shared_dir, written
+from orrery.sources.keyed import KeyedTable
+from orrery.sources.tables import latest, shared_dir
 
 RETRIES = 5
 HISTORY = 5
@@ -38,42 +39,10 @@ def run_available(stream: DataFrame, sink: str | None = None, each: Callable[[Da
     return sink
 
 
-class KeyedTable:
-    """A keyed Parquet table that batches are merged into.
-
-    Keys are dealt over parts by hash, and a merge writes only the parts that its keys are of, each as a new folder.
-    A deleted key stays as a tombstone with its order, so that a change that is older than the delete stays undone.
-    """
-
-    def __init__(self, spark: SparkSession, schema: str, key: str, order: str, parts: int = 16):
-        self.spark, self.schema, self.key, self.order, self.parts = spark, schema, key, order, parts
-        self.root, self.version = f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}", 0
-        self.folders: dict[int, str] = {}  # a folder per part
-
-    def _rows(self, parts: list[int] | None = None) -> DataFrame:
-        schema = f"{self.schema}, _deleted boolean"
-        folders = [f for p, f in sorted(self.folders.items()) if parts is None or p in parts]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-
-    def read(self) -> DataFrame:
-        return self._rows().filter("not _deleted").drop("_deleted")
-
-    def merge(self, changes: DataFrame) -> None:
-        """changes has the table's columns and `event`; delete removes, everything else replaces; the last of a key by order counts, and none that is older than what is there, be it a row or a delete. Rows without a key are ignored."""
-        part = F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
-        last = written(latest(changes.filter(F.col(self.key).isNotNull()), [self.key], F.col(self.order)), "changes")
-        touched = [r.part for r in last.select(part.alias("part")).distinct().collect()]  # at most `parts`
-        if not touched:
-            return
-        old = self._rows(touched)
-        known = old.select(self.key, F.col(self.order).alias("_at"))
-        news = last.join(known, self.key, "left").filter(F.col("_at").isNull() | (F.col(self.order) >= F.col("_at")))
-        kept = old.join(news.select(self.key), self.key, "left_anti").select(*old.columns)
-        new = news.withColumn("_deleted", F.col("event") == "delete").select(*old.columns)
-        self.version += 1
-        folder = f"{self.root}/{self.version}"
-        kept.unionByName(new).withColumn("_part", part).repartition(len(touched), "_part").write.partitionBy("_part").mode("overwrite").parquet(folder)
-        self.folders |= {p: f"{folder}/_part={p}" for p in touched}
+def consume(changes: DataFrame, table: KeyedTable, checkpoint: str, writer: str | None = None) -> None:
+    """All changes that are there, merged batch by batch, each exactly once: a batch's number is published with its rows, so one that is delivered again after a crash or a restart is passed over. The checkpoint's name is the writer's, if none is given."""
+    writer = writer or checkpoint.rstrip("/")
+    run_available(changes, each=lambda df, n: table.merge(df, n, writer), checkpoint=checkpoint)
 
 
 def route(changes: DataFrame) -> DataFrame:
