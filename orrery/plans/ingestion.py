@@ -8,6 +8,8 @@ from orrery.sources import fixtures as X
 from orrery.sources import ingest as I
 from orrery.sources import tables as T
 
+from orrery.functions.documents import deep_merge, document_changes, flatten_document
+
 from .base import query
 
 A, TG, CH = X.ASSETS, X.TAGS, X.CHANGES
@@ -118,6 +120,42 @@ def s12_merge_nested(spark, d):
     return T.merge_nested(s, u, "doc_id", "m").select("doc_id", F.col("m")["a"]["x"].alias("a_x"), F.col("m")["a"]["y"].alias("a_y"), F.col("m")["b"]["z"].alias("b_z"))
 
 
+_BASE = """json_object('lang', lang, 'n', n_chars, 'info', json_object('source', source, 'sizes', [n_chars, doc_id], 'deep', json_object('a', json_object('id', doc_id, 'keep', true), 'b', lang)))"""
+_UPDATE = """json_object('info', json_object('sizes', [doc_id], 'deep', json_object('a', json_object('id', source, 'new', doc_id), 'b', json_object('now', 'object'))), 'lang', json_object('was', lang), 'added', json_object('x', json_object('y', n_chars)))"""
+_LEAVES = {"lang": "lang", "was": "lang.was", "n": "n", "source": "info.source", "sizes": "info.sizes", "id": "info.deep.a.id", "keep": "info.deep.a.keep", "new": "info.deep.a.new", "b": "info.deep.b", "now": "info.deep.b.now", "y": "added.x.y"}
+_EXTRACTS = ", ".join(f"m->>'$.{path}' AS {name}" for name, path in _LEAVES.items() if name not in ("lang", "b"))
+
+
+def _documents(spark, d):
+    return X.table(spark, d, "documents").select(
+        "doc_id",
+        F.to_json(F.struct("lang", F.col("n_chars").alias("n"), F.struct("source", F.array("n_chars", "doc_id").alias("sizes"), F.struct(F.struct(F.col("doc_id").alias("id"), F.lit(True).alias("keep")).alias("a"), F.col("lang").alias("b")).alias("deep")).alias("info"))).alias("m"),
+        F.to_json(F.struct(F.struct(F.array("doc_id").alias("sizes"), F.struct(F.struct(F.col("source").alias("id"), F.col("doc_id").alias("new")).alias("a"), F.struct(F.lit("object").alias("now")).alias("b")).alias("deep")).alias("info"), F.struct(F.col("lang").alias("was")).alias("lang"), F.struct(F.struct(F.col("n_chars").alias("y")).alias("x")).alias("added"))).alias("u"),
+    )
+
+
+@query(f"WITH t AS (SELECT doc_id, {_BASE} AS m FROM documents WHERE doc_id % 5 <> 0), u AS (SELECT doc_id, {_UPDATE} AS u FROM documents WHERE doc_id % 2 = 0), j AS (SELECT doc_id, CASE WHEN m IS NULL THEN u WHEN u IS NULL THEN m ELSE json_merge_patch(m, u) END AS m FROM t FULL JOIN u USING (doc_id)) SELECT doc_id, {_EXTRACTS} FROM j")
+def s12_merge_documents(spark, d):
+    """Documents of four levels: nested keys, lists, scalars that become objects, new keys, and updates of rows that aren't there."""
+    docs = _documents(spark, d)
+    merged = T.merge_nested(docs.filter("doc_id % 5 <> 0").select("doc_id", "m"), docs.filter("doc_id % 2 = 0").select("doc_id", F.col("u").alias("m")), "doc_id", "m")
+    return merged.select("doc_id", *(F.get_json_object("m", f"$.{path}").alias(name) for name, path in _LEAVES.items() if name not in ("lang", "b")))
+
+
+@query(f"WITH j AS (SELECT doc_id, json_merge_patch({_BASE}, {_UPDATE}) AS m FROM documents), k AS (SELECT doc_id, unnest(['lang__was', 'n', 'info__source', 'info__sizes', 'info__deep__a__id', 'info__deep__a__keep', 'info__deep__a__new', 'info__deep__b__now', 'added__x__y']) AS key, m FROM j) SELECT doc_id, key, m->>('$.' || replace(key, '__', '.')) AS value FROM k")
+def f19_flatten_documents(spark, d):
+    """Flattened keys of merged documents of four levels."""
+    flat = flatten_document(deep_merge(F.parse_json("m"), F.parse_json("u")))
+    return _documents(spark, d).select("doc_id", F.explode(flat).alias("key", "v")).select("doc_id", "key", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value"))
+
+
+@query(f"WITH j AS (SELECT doc_id, {_BASE} AS a, json_merge_patch({_BASE}, {_UPDATE}) AS b FROM documents), k AS (SELECT doc_id, unnest(['lang', 'lang__was', 'n', 'info__source', 'info__sizes', 'info__deep__a__id', 'info__deep__a__keep', 'info__deep__a__new', 'info__deep__b', 'info__deep__b__now', 'added__x__y']) AS key, a, b FROM j), v AS (SELECT doc_id, key, a->('$.' || replace(key, '__', '.')) AS o, b->('$.' || replace(key, '__', '.')) AS n FROM k) SELECT doc_id, key, o::VARCHAR AS old, CASE WHEN json_type(n) = 'OBJECT' THEN NULL ELSE n::VARCHAR END AS new FROM v WHERE o IS DISTINCT FROM CASE WHEN json_type(n) = 'OBJECT' THEN NULL ELSE n END")
+def s12_changes(spark, d):
+    """What each merge changes, by flattened key."""
+    docs = _documents(spark, d).select("doc_id", F.explode(document_changes(F.parse_json("m"), F.parse_json("u"))).alias("c"))
+    return docs.select("doc_id", "c.key", "c.old", "c.new")
+
+
 @query("SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def s13_delete(spark, d):
     return T.delete_items(_state(spark, d), X.table(spark, d, "labels"), "doc_id")

@@ -175,6 +175,18 @@ def f16_clamp(spark, d):
     return X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", E.clamp(x).alias("clamped"))
 
 
+@query("""SELECT p_partkey, p_type AS kept, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN '{"semantic:Semantics_' || p_size || '":"' || p_brand || '"}' ELSE '{"semantic:Semantics_' || least(p_size::VARCHAR, 'x') || '":"' || CASE WHEN p_size::VARCHAR < 'x' THEN p_brand ELSE p_name END || '","semantic:Semantics_x":"' || p_name || '"}' END AS labels, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 2 END AS n_keys FROM part""")
+def f18_semantic_labels(spark, d):
+    """F18 with no, one and two labels; other keys stay."""
+    size = F.col("p_size")
+    label = F.concat(F.lit("semantic:Semantics_"), size.cast("string"))
+    none = F.create_map().cast("map<string,string>")
+    labels = F.when(size % 3 == 0, none).when(size % 3 == 1, F.create_map(label, "p_brand")).otherwise(F.create_map(F.lit("semantic:Semantics_x"), "p_name", label, "p_brand"))
+    base = F.map_concat(F.create_map(F.lit("type"), "p_type"), labels)
+    c = E.semantic_label_cleanup(F.when(size % 3 == 0, F.map_concat(base, F.create_map(F.lit("semantic"), "p_name"))).otherwise(base))
+    return X.table(spark, d, "part").select("p_partkey", c["type"].alias("kept"), c["semantic_labels"].alias("labels"), F.size(c).alias("n_keys"))
+
+
 @query("""SELECT p_partkey, 'x' AS kept, '{"semantic:Semantics_a":"' || p_brand || '","semantic:Semantics_b":"' || p_type || '"}' AS labels, ['a__x', 'a__y'] AS flat, regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g') AS slug, 'my_file_name_2' AS camel FROM part""")
 def f18_maps(spark, d):
     """F18 to F20."""

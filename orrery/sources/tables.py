@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
+
+from orrery.functions.documents import deep_merge
 
 
 def shared_dir(df_or_spark) -> str:
@@ -71,13 +74,23 @@ def update_meta(target: DataFrame, partial: DataFrame, key: str) -> DataFrame:
 
 
 def merge_nested(target: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
-    """Deep merge of map<string, map<string, string>>: given inner keys overwrite, others stay."""
+    """Deep merge of a document column of any depth: given keys overwrite, others stay, at every level (see deep_merge); keys of rows that aren't there yet are inserted, with nulls in other columns.
+
+    The column is a VARIANT, a string of JSON, or map<string, map<string, string>>, and stays so. updates hold a key
+    once; of other columns they have, the target's are kept.
+    """
+    kind = target.schema[column].dataType
     u = updates.select(F.col(key), F.col(column).alias("_u"))
-    empty = F.create_map().cast("map<string,string>")
-    inner = lambda a, b: F.map_zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda k, x, y: F.coalesce(y, x))
-    outer = F.create_map().cast("map<string,map<string,string>>")
-    merged = F.map_zip_with(F.coalesce(F.col(column), outer), F.coalesce(F.col("_u"), outer), lambda k, a, b: inner(a, b))
-    return target.join(u, key, "left").withColumn(column, merged).drop("_u")
+    if isinstance(kind, MapType):
+        empty = F.create_map().cast("map<string,string>")
+        inner = lambda a, b: F.map_zip_with(F.coalesce(a, empty), F.coalesce(b, empty), lambda k, x, y: F.coalesce(y, x))
+        outer = F.create_map().cast("map<string,map<string,string>>")
+        merged = F.map_zip_with(F.coalesce(F.col(column), outer), F.coalesce(F.col("_u"), outer), lambda k, a, b: inner(a, b))
+    elif isinstance(kind, StringType):
+        merged = F.to_json(deep_merge(F.parse_json(column), F.parse_json("_u")))
+    else:
+        merged = deep_merge(F.col(column), F.col("_u"))
+    return target.join(u, key, "full_outer").withColumn(column, merged).drop("_u").select(*target.columns)
 
 
 def delete_items(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:
