@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from orrery.functions.exprs import cosine_distance, dot, standard_tokens
 from orrery.sources.tables import spread, written
 
+from .vectorindex import SHARE, VectorIndex
 from .textindex import K1, MOST_TERMS, B, Field, TextIndex, occurrences, search, segments, sizes, top  # noqa: F401
 
 RANK_CONSTANT = 60
@@ -199,69 +200,115 @@ def metadata_fields(docs: DataFrame, column: str, field: Field) -> dict[str, Fie
 
 
 def vector_scores(views: DataFrame, queries: DataFrame, id_col: str = "asset_id") -> DataFrame:
-    """R5, exact: (query_id, id, score, view_offset) over every view and query, best view per asset. queries(query_id, vector), in blocks."""
-    pairs = reduce(DataFrame.unionByName, [views.join(block, F.size("embedding") == F.size("vector")) for block in query_blocks(queries)])
-    scored = pairs.select("query_id", id_col, "view_offset", dot(F.col("embedding"), F.col("vector")).alias("s"))
-    best = F.max(F.struct(F.col("s"), (-F.col("view_offset")).alias("o"))).alias("b")
-    return scored.groupBy("query_id", id_col).agg(best).select("query_id", id_col, F.col("b.s").alias("score"), (-F.col("b.o")).alias("view_offset"))
+    """R5, exact: (query_id, id, score, view_offset) of every asset and query, best view per asset: as many rows as there are pairs. For the best of each query, or all over a score, see vector_top() and vector_above()."""
+    return _vector_parts(views, queries, None, id_col)
+
+
+#: Queries of which a batch's scores are held at a time.
+HELD_QUERIES = 256
+
 
+def vector_scores_batched(views: DataFrame, queries: list[tuple[int, list[float]]], k: int | None, id_col: str = "asset_id", *, least: float | None = None, group: str | None = None) -> DataFrame:
+    """R5 for many queries at once: matrix products over Arrow batches; each batch passes on the best view of its k best assets per query (all without k), ties to the smaller id as in ranked().
 
-def vector_scores_batched(views: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_col: str = "asset_id") -> DataFrame:
-    """R5 for many queries at once: matrix products over Arrow batches; each batch passes on the best view of its k best assets per query, ties to the smaller id as in ranked(). Views of another width than the queries' take no part."""
+    least: only scores over it. group: a column of views by which only the best asset of each value counts; assets
+    without one count each for itself. Views of another width than the queries' take no part.
+    """
     ids = np.array([q for q, _ in queries])
     matrix = np.array([v for _, v in queries], np.float64)
     shared = views.sparkSession.sparkContext.broadcast((ids, matrix))  # one block of queries
+    columns = [id_col, "view_offset", "embedding"] + ([group] if group else [])
+
+    def one_of_each(key: np.ndarray, order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        by = np.lexsort([*order[::-1], key])
+        return by, np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
 
     def run(batches):
         ids, matrix = shared.value
         for pdf in batches:
+            if not len(pdf):
+                continue
             x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            s = x @ matrix.T
             assets, offsets = pdf[id_col].to_numpy(), pdf["view_offset"].to_numpy()
-            for n, q in enumerate(ids):
-                by = np.lexsort((offsets, -s[:, n]))
-                one = by[np.sort(np.unique(assets[by], return_index=True)[1])]  # the best view of each asset
-                top = one[np.lexsort((assets[one], -np.round(s[one, n], 9)))[:k]]
-                yield pd.DataFrame({"query_id": q, id_col: assets[top], "view_offset": offsets[top], "s": s[top, n]})
-
-    rows = views.filter(F.size("embedding") == matrix.shape[1]).select(id_col, "view_offset", "embedding")
-    scored = rows.mapInPandas(run, f"query_id long, {id_col} long, view_offset int, s double")
+            by, first = one_of_each(assets, [offsets])  # an asset's views side by side
+            x, assets, offsets = x[by], assets[by], offsets[by]
+            owner = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(assets)]))
+            names = pdf[group].to_numpy()[by][first] if group else None
+            for a in range(0, len(ids), HELD_QUERIES):
+                s = x @ matrix[a : a + HELD_QUERIES].T
+                s[np.isnan(s)] = -np.inf  # vectors without a score come last
+                best = np.maximum.reduceat(s, first, axis=0)
+                for n in range(s.shape[1]):
+                    score = best[:, n]
+                    on = np.arange(len(score)) if least is None else np.flatnonzero(score > least)
+                    if k is not None and len(on) > k and not group:
+                        near = np.round(score[on], 9)
+                        on = on[near >= np.partition(near, len(on) - k)[len(on) - k]]  # the k best and what ties with the last
+                    on = on[np.lexsort((assets[first][on], -np.round(score[on], 9)))]
+                    if group:
+                        seen, keep = set(), []
+                        for i in on.tolist():
+                            if names[i] is None or names[i] not in seen:
+                                seen.add(names[i])
+                                keep.append(i)
+                        on = np.array(keep, np.int64)
+                    on = on[:k]
+                    hit = np.flatnonzero(s[:, n] == score[owner])  # of an asset's views the first that is best
+                    view = hit[np.searchsorted(owner[hit], on)] if len(on) else on
+                    out = {"query_id": ids[a + n], id_col: assets[view], "view_offset": offsets[view], "s": score[on]}
+                    yield pd.DataFrame(out if not group else out | {group: names[on]})
+
+    told = f", {group} string" if group else ""
+    rows = views.filter(F.size("embedding") == matrix.shape[1]).select(*columns)
+    scored = rows.mapInPandas(run, f"query_id long, {id_col} long, view_offset int, s double{told}")
     best = F.max(F.struct(F.col("s"), (-F.col("view_offset")).alias("o"))).alias("b")
-    return scored.groupBy("query_id", id_col).agg(best).select("query_id", id_col, F.col("b.s").alias("score"), (-F.col("b.o")).alias("view_offset"))
+    more = [F.first(group).alias(group)] if group else []
+    return scored.groupBy("query_id", id_col).agg(best, *more).select("query_id", id_col, F.col("b.s").alias("score"), (-F.col("b.o")).alias("view_offset"), *([group] if group else []))
 
 
-def vector_top(views: DataFrame, queries: DataFrame, k: int, id_col: str = "asset_id") -> DataFrame:
-    """R5, exact: each query's k best assets (query_id, id, score, view_offset), of which every task passes on k and no more. queries(query_id, vector) are held a block of BLOCK_QUERIES at a time."""
+def _vector_parts(views: DataFrame, queries: DataFrame, k: int | None, id_col: str, **options) -> DataFrame:
+    """vector_scores_batched() of all queries, a block of BLOCK_QUERIES of one width at a time."""
     queries = written(queries.filter("vector is not null").select("query_id", "vector"), "queries")
     n, parts = -(-queries.count() // BLOCK_QUERIES) or 1, []
     for block in range(n):
         rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).collect()
         for width in sorted({len(r.vector) for r in rows}):
-            parts.append(vector_scores_batched(views, [(r.query_id, r.vector) for r in rows if len(r.vector) == width], k, id_col))
+            parts.append(vector_scores_batched(views, [(r.query_id, r.vector) for r in rows if len(r.vector) == width], k, id_col, **options))
     if not parts:
-        return vector_scores(views, queries, id_col).limit(0)
-    return ranked(reduce(DataFrame.unionByName, parts), id_col).filter(F.col("rank") <= k).drop("rank")
+        told = f", {options['group']} string" if options.get("group") else ""
+        return views.sparkSession.createDataFrame([], f"query_id long, {id_col} long, score double, view_offset int{told}")
+    return reduce(DataFrame.unionByName, parts)
 
 
-def vector_candidates(views: DataFrame, queries: DataFrame, *, tables: int = 12, bits: int = 6, seed: int = 3, id_col: str = "asset_id") -> DataFrame:
-    """R6, approximate: sign random projections put views and queries into buckets of several tables; candidates that share one are scored exactly. Widths are the data's own; vectors of different widths never meet."""
-    widths = [r.n for r in queries.select(F.size("vector").alias("n")).distinct().filter("n > 0").collect()]
+def vector_top(views: DataFrame, queries: DataFrame, k: int, id_col: str = "asset_id") -> DataFrame:
+    """R5, exact: each query's k best assets (query_id, id, score, view_offset), of which every task passes on k of a batch and no more. queries(query_id, vector) are held a block of BLOCK_QUERIES at a time."""
+    return ranked(_vector_parts(views, queries, k, id_col), id_col).filter(F.col("rank") <= k).drop("rank")
+
+
+def vector_above(views: DataFrame, queries: DataFrame, least: float, id_col: str = "asset_id") -> DataFrame:
+    """R14, exact: every asset that scores over `least` (query_id, id, score, view_offset); nothing else leaves a task."""
+    return _vector_parts(views, queries, None, id_col, least=least)
 
-    def of_width(n: int) -> DataFrame:
-        rng = np.random.default_rng(seed)
-        planes = [[float(x) for x in rng.normal(size=n)] for _ in range(tables * bits)]
 
-        def keys(v: Column) -> Column:
-            signs = [(dot(v, F.array(*map(F.lit, p))) >= 0).cast("int") for p in planes]
-            return F.array(*(F.concat(F.lit(f"{t}:"), *(signs[t * bits + k].cast("string") for k in range(bits))) for t in range(tables)))
+def vector_collapsed(views: DataFrame, queries: DataFrame, hashes: DataFrame, k: int, id_col: str = "asset_id") -> DataFrame:
+    """The k best assets of each query of which no two share a hash (query_id, id, score, view_offset). hashes(id, hash_value); a task passes on the best of its k best hashes."""
+    known = views.join(hashes.select(id_col, "hash_value"), id_col)
+    best = _vector_parts(known, queries, k, id_col, group="hash_value")
+    return ranked(collapse_by_hash(best, id_col), id_col).filter(F.col("rank") <= k).drop("rank", "hash_value")
 
-        v = views.filter(F.size("embedding") == n).withColumn("key", F.explode(keys(F.col("embedding"))))
-        q = queries.filter(F.size("vector") == n).withColumn("key", F.explode(keys(F.col("vector"))))
-        met = v.join(q, "key").dropDuplicates(["query_id", id_col, "view_offset"])
-        scored = met.select("query_id", id_col, "view_offset", dot(F.col("embedding"), F.col("vector")).alias("s"))
-        return scored.groupBy("query_id", id_col).agg(F.max("s").alias("score"), F.max_by("view_offset", "s").alias("view_offset"))
 
-    return reduce(DataFrame.unionByName, [of_width(n) for n in widths or [1]])
+def vector_sizes(views: DataFrame, queries: DataFrame, id_col: str = "asset_id", group: Column | None = None) -> DataFrame:
+    """(query_id, n): assets, or groups of them, that a query's vector leg holds, told by the width of vectors."""
+    of_width = views.groupBy(F.size("embedding").alias("width")).agg(F.countDistinct(F.col(id_col) if group is None else group).alias("n"))
+    return queries.filter("vector is not null").withColumn("width", F.size("vector")).join(F.broadcast(of_width), "width").select("query_id", "n")  # a row per width of vectors
+
+
+def vector_candidates(views: DataFrame, queries: DataFrame, k: int = 100, *, share: float = SHARE, id_col: str = "asset_id") -> DataFrame:
+    """R6, approximate: each query's k best of a VectorIndex that is built of the views for it, one for each width of the queries; vectors of different widths never meet. To search an index more than once, build it and keep it."""
+    widths = [r.n for r in queries.select(F.size("vector").alias("n")).distinct().filter("n > 0").collect()]
+    built = [VectorIndex.build(views, n, id_col=id_col) for n in widths]
+    parts = [index.search(queries, k, share=share) for index in built if index]
+    return reduce(DataFrame.unionByName, parts) if parts else views.sparkSession.createDataFrame([], f"query_id long, {id_col} long, score double, view_offset int")
 
 
 def engine_score(ip: Column) -> Column:
@@ -302,7 +349,9 @@ def with_views(leg: DataFrame, views: DataFrame, queries: DataFrame, most: int =
     """The leg's hits with the `most` best views of each asset for the query: score, offset, image, label. leg: a window of hits."""
     met = leg.select("query_id", id_col).join(views, id_col).join(small(queries.select("query_id", "vector")), "query_id").filter(F.size("embedding") == F.size("vector"))
     scored = met.select("query_id", id_col, F.struct((-dot(F.col("embedding"), F.col("vector"))).alias("s"), F.col("view_offset").alias("offset"), "image", "label").alias("view"))
-    best = F.slice(F.array_sort(F.collect_list("view")), 1, most)
+    w = Window.partitionBy("query_id", id_col).orderBy("view")
+    scored = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
+    best = F.array_sort(F.collect_list("view"))
     told = F.transform(best, lambda v: F.struct((-v["s"]).alias("score"), v["offset"].alias("offset"), v["image"].alias("image"), v["label"].alias("label")))
     return leg.join(scored.groupBy("query_id", id_col).agg(told.alias("views")), ["query_id", id_col], "left")
 
@@ -441,12 +490,12 @@ def hybrid_search(assets: DataFrame, views: DataFrame, queries: DataFrame, *, co
     for name, asked, weight in [*([("vector", queries, vector_weight)] if vector_weight else []), *vectors]:
         asked = asked.filter("vector is not null").select("query_id", "vector")
         if collapse:
-            leg = collapsed(vector_scores(seen, asked))
-            sizes.append(sized(leg))
+            leg = vector_collapsed(seen, asked, rows, most)
+            one = F.coalesce("hash_value", F.concat(F.lit("#"), F.col("asset_id").cast("string")))
+            sizes.append(vector_sizes(seen.join(rows.select("asset_id", "hash_value"), "asset_id"), asked, group=one))
         else:
             leg = vector_top(seen, asked, most)
-            of_width = seen.groupBy(F.size("embedding").alias("width")).agg(F.countDistinct("asset_id").alias("n"))
-            sizes.append(asked.withColumn("width", F.size("vector")).join(F.broadcast(of_width), "width").select("query_id", "n"))  # a row per width of vectors
+            sizes.append(vector_sizes(seen, asked))
         top = leg_window(leg.withColumn("score", engine_score(F.col("score"))), start, size, window)
         top = top if cutoff_threshold is None else cutoff(top, cutoff_threshold)
         legs.append((name, with_views(top, seen, asked) if explain else top, weight))

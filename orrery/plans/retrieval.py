@@ -143,7 +143,7 @@ def r04_match_types(spark, d):
 
 @query(f"WITH {_VECTOR}, b AS (SELECT query_id, asset_id, view_offset, list_inner_product(embedding::DOUBLE[], vector::DOUBLE[]) AS s FROM asset_views, vq), {_rank('(SELECT query_id, asset_id, ip AS score FROM ip)', 'top', 50)} SELECT query_id, asset_id, round(score, 6) AS score, rank, (SELECT arg_max(view_offset, (s, -view_offset)) FROM b WHERE b.query_id = top.query_id AND b.asset_id = top.asset_id) AS view_offset FROM top")
 def r05_vector_leg(spark, d):
-    leg = R.ranked(R.vector_scores(X.asset_views(spark, d), vector_queries(spark, d))).filter("rank <= 50")
+    leg = R.ranked(R.vector_top(X.asset_views(spark, d), vector_queries(spark, d), 50))
     return leg.select("query_id", "asset_id", F.round("score", 6).alias("score"), "rank", "view_offset")
 
 
@@ -156,14 +156,36 @@ def r05_vector_batched(spark, d):
 
 @query()
 def r06_vector_approximate(spark, d):
-    leg = R.ranked(R.vector_candidates(X.asset_views(spark, d), vector_queries(spark, d))).filter("rank <= 10")
+    """An index over all views, of which each query reads less than a third of the codes."""
+    leg = R.ranked(R.vector_candidates(X.asset_views(spark, d), vector_queries(spark, d), 10))
     return leg.select("query_id", "asset_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {_VECTOR}, {_rank('(SELECT query_id, asset_id, ip AS score FROM ip)', 'top', 15)} SELECT query_id, asset_id, round(score, 6) AS score, rank FROM top")
+def r06_stored_index(spark, d):
+    """The stored index with all lists probed and all codes scored exactly: the exact leg, by way of lists, codes and their vectors."""
+    index = R.VectorIndex.build(X.asset_views(spark, d), 64)
+    found = R.VectorIndex(spark, index.folder).search(vector_queries(spark, d), 15, share=1.0, rerank=1_000_000)
+    return R.ranked(found).select("query_id", "asset_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {_bm25()}, {_VECTOR}, ta AS (SELECT query_id, asset_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, hash_value ORDER BY round(score, 9) DESC, asset_id) AS r FROM text_leg JOIN assets USING (asset_id)) WHERE r = 1),
+ va AS (SELECT query_id, asset_id, CASE WHEN ip >= 0 THEN 1 + ip ELSE 1 / (1 - ip) END AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, hash_value ORDER BY round(ip, 9) DESC, asset_id) AS r FROM ip JOIN assets USING (asset_id)) WHERE r = 1), {_rank('ta', 't', 100)}, {_rank('va', 'v', 100)},
+ l AS (SELECT query_id, asset_id, 0 AS n, rank, 1.0 / (rank + 60) AS part FROM t UNION ALL SELECT query_id, asset_id, 1, rank, 1.0 / (rank + 60) FROM v), g AS (SELECT query_id, asset_id, sum(part) AS rrf_score, min((n, rank)) AS f FROM l GROUP BY 1, 2), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, f, asset_id) AS rank FROM g),
+ c AS (SELECT query_id, max(n) AS corpus_total FROM (SELECT query_id, count(*) AS n FROM ta GROUP BY 1 UNION ALL SELECT query_id, count(*) FROM va GROUP BY 1) GROUP BY 1) SELECT query_id, asset_id, round(rrf_score, 9) AS rrf_score, rank AS position, corpus_total FROM fused JOIN c USING (query_id) WHERE rank <= 32""")
+def r18_hybrid_collapsed(spark, d):
+    """A hybrid search that shows one asset of each hash."""
+    q = text_queries(spark, d).join(vector_queries(spark, d), "query_id", "full_outer")
+    assets = X.assets(spark, d)
+    views = X.asset_views(spark, d).join(assets.select("asset_id"), "asset_id", "left_semi")
+    page = R.hybrid_search(assets, views, q, collapse=True)
+    return page.select("query_id", "asset_id", F.round("rrf_score", 9).alias("rrf_score"), F.col("position").cast("long").alias("position"), "corpus_total")
+
+
 @query(f"WITH {_VECTOR}, {_rank('(SELECT query_id, asset_id, CASE WHEN ip >= 0 THEN 1 + ip ELSE 1 / (1 - ip) END AS score FROM ip)', 'top', 100)} SELECT query_id, asset_id, round(score, 6) AS score, rank FROM top WHERE score >= 1.15")
 def r07_engine_score_cutoff(spark, d):
     """R7, R8, R9, W2."""
-    leg = R.vector_scores(X.asset_views(spark, d), vector_queries(spark, d)).withColumn("score", R.engine_score(F.col("score")))
+    leg = R.vector_top(X.asset_views(spark, d), vector_queries(spark, d), R.window_size(0, 10)).withColumn("score", R.engine_score(F.col("score")))
     return R.cutoff(R.leg_window(leg, 0, 10), 1.15).select("query_id", "asset_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -174,9 +196,10 @@ _FUSED = """l AS (SELECT query_id, asset_id, 0 AS n, rank, score, 1.0 / (rank +
 
 
 def _fuse(spark, d):
-    t = R.leg_window(R.text_leg(X.assets(spark, d), text_queries(spark, d), {"text": (F.col("text"), 1.0, 0.0)}), 0, 10)
-    v = R.vector_scores(X.asset_views(spark, d), vector_queries(spark, d)).withColumn("score", R.engine_score(F.col("score")))
-    return R.rrf_fuse([("text", t, 1.0), ("vector", R.leg_window(v, 0, 10), 0.5)], k_of={"vector": 30}), t, v
+    most, views, asked = R.window_size(0, 10), X.asset_views(spark, d), vector_queries(spark, d)
+    t, n = R.text_top(X.assets(spark, d), text_queries(spark, d), {"text": (F.col("text"), 1.0, 0.0)}, most)
+    v = R.ranked(R.vector_top(views, asked, most).withColumn("score", R.engine_score(F.col("score"))))
+    return R.rrf_fuse([("text", t, 1.0), ("vector", v, 0.5)], k_of={"vector": 30}), [n, R.vector_sizes(views, asked)]
 
 
 @query(f"WITH {_LEGS}, {_FUSED} SELECT query_id, asset_id, round(rrf_score, 9) AS rrf_score, rank FROM fused")
@@ -199,7 +222,7 @@ _DEDUP = f"""WITH RECURSIVE {_VECTOR}, {_rank('(SELECT query_id, asset_id, ip AS
 
 
 def _hits(spark, d):
-    return R.ranked(R.vector_scores(X.asset_views(spark, d), vector_queries(spark, d))).filter("rank <= 40").select("query_id", "asset_id", "rank")
+    return R.ranked(R.vector_top(X.asset_views(spark, d), vector_queries(spark, d), 40)).select("query_id", "asset_id", "rank")
 
 
 @query(_DEDUP.format(t=0.75) + " SELECT query_id, asset_id, rank FROM top JOIN kept USING (query_id, rank)")
@@ -215,15 +238,14 @@ def r13_stream_dedup(spark, d):
 
 @query(f"WITH {_VECTOR} SELECT query_id, asset_id, round(ip, 6) AS score FROM ip WHERE ip > 0.2")
 def r14_score_cutoff(spark, d):
-    return R.score_cutoff_stop(R.vector_scores(X.asset_views(spark, d), vector_queries(spark, d)), 0.2).select("query_id", "asset_id", F.round("score", 6).alias("score"))
+    return R.score_cutoff_stop(R.vector_above(X.asset_views(spark, d), vector_queries(spark, d), 0.2), 0.2).select("query_id", "asset_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_LEGS}, {_FUSED}, n AS (SELECT query_id, count(*) AS total FROM fused GROUP BY 1), c AS (SELECT query_id, max(n) AS corpus_total FROM (SELECT query_id, count(*) AS n FROM text_leg GROUP BY 1 UNION ALL SELECT query_id, count(*) FROM vl GROUP BY 1) GROUP BY 1)
 SELECT query_id, asset_id, rank AS position, total, corpus_total FROM fused JOIN n USING (query_id) JOIN c USING (query_id) WHERE rank > 10 AND rank <= 20""")
 def r15_paginate(spark, d):
-    fused, _, v = _fuse(spark, d)
-    t = R.text_leg(X.assets(spark, d), text_queries(spark, d), {"text": (F.col("text"), 1.0, 0.0)})
-    return R.paginate(fused, 10, 10, [t, v]).select("query_id", "asset_id", F.col("position").cast("long").alias("position"), "total", "corpus_total")
+    fused, sizes = _fuse(spark, d)
+    return R.paginate(fused, 10, 10, sizes=sizes).select("query_id", "asset_id", F.col("position").cast("long").alias("position"), "total", "corpus_total")
 
 
 @query(f"WITH {_LEGS}, {_FUSED} SELECT query_id, asset_id, n_legs, text_rank::INT AS text_rank, vector_rank::INT AS vector_rank FROM fused WHERE rank <= 20")
@@ -245,7 +267,7 @@ def r19_like_asset(spark, d):
     likes = spark.createDataFrame([(3, 3), (5, 5), (8, 8), (9, -1)], "query_id long, asset_id long")
     q = R.like_asset_queries(likes, views)
     seen = R.filtered_views(views, (F.col("view_offset") == 0) & F.col("label").isin("1", "2", "3"), views.select("asset_id").distinct())
-    return R.ranked(R.vector_scores(seen, q)).filter("rank <= 15").select("query_id", "asset_id", "rank")
+    return R.ranked(R.vector_top(seen, q, 15)).select("query_id", "asset_id", "rank")
 
 
 _HYBRID = f"""WITH {_bm25("regexp_matches(name, '(?is)^doc_.*$') AND size <= 16777216")}, {_VECTOR}, vl AS (SELECT query_id, asset_id, CASE WHEN ip >= 0 THEN 1 + ip ELSE 1 / (1 - ip) END AS score FROM ip WHERE asset_id IN (SELECT asset_id FROM assets WHERE size <= 16777216)),
