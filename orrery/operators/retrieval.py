@@ -13,6 +13,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -369,35 +371,83 @@ def rrf_fuse(legs: list[tuple[str, DataFrame, float]], k: int = RANK_CONSTANT, k
     return fused.withColumn("rank", F.row_number().over(w)).select("query_id", id_col, "rrf_score", "rank", "legs")
 
 
-def similarity_dedup(hits: DataFrame, vectors: DataFrame, threshold: float, id_col: str = "asset_id") -> DataFrame:
-    """Greedy in rank order: a hit nearer than the threshold to a kept hit goes. vectors(id, vector): first views. Hits without a vector stay; a zero vector is 2 from all.
+#: Hits of a query that one task decides among themselves, and such that it compares with those kept before.
+DEDUP_BLOCK, DEDUP_PART = 1000, 20_000
 
-    One query's hits (a window of at most 10,000) meet in one task. A threshold of 0 keeps all.
+
+def _directions(col: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors by width: places of the rows that have one, and the vectors. Null and zero vectors have none."""
+    col = col.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    out = []
+    for width in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == width)
+        x = pc.list_flatten(col.take(pa.array(at))).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), width)
+        n = np.sqrt((x * x).sum(1))
+        out.append((at[n > 0], x[n > 0] / n[n > 0, None]))
+    return out
+
+
+def _first_kept(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rank")
+        keep = np.ones(len(rows), bool)
+        for at, u in _directions(rows.column("vector")):
+            near = 1 - u @ u.T < threshold
+            alive = np.ones(len(at), bool)
+            for i in range(len(at)):
+                if alive[i]:
+                    alive[i + 1 :] &= ~near[i, i + 1 :]
+            keep[at] = alive
+        return rows.filter(pa.array(keep))
+
+    return run
+
+
+def _not_near(threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(rows: pa.Table, kept: pa.Table) -> pa.Table:
+        keep = np.ones(len(rows), bool)
+        if len(kept):
+            known = {u.shape[1]: u for _, u in _directions(kept.column("vector"))}
+            for at, u in _directions(rows.column("vector")):
+                if u.shape[1] in known:
+                    for a in range(0, len(at), 4096):
+                        keep[at[a : a + 4096]] = ~(1 - u[a : a + 4096] @ known[u.shape[1]].T < threshold).any(1)
+        return rows.filter(pa.array(keep))
+
+    return run
+
+
+def similarity_dedup(hits: DataFrame, vectors: DataFrame, threshold: float, id_col: str = "asset_id", *, block: int = DEDUP_BLOCK, part: int = DEDUP_PART) -> DataFrame:
+    """Greedy in rank order: a hit nearer than the threshold to a kept hit goes. vectors(id, vector): first views. Hits without a vector stay; a zero vector is 2 from all, and so are vectors of another width.
+
+    In rounds, all queries together: a task decides the next `block` hits of a query, which nothing undecided comes
+    before; then all later hits of it, dealt over tasks, are compared with those that were kept. Every hit meets each
+    kept hit at most once, no pairs are passed on, and no task holds more than a block and a part. A threshold of 0
+    keeps all.
     """
     if threshold <= 0:
         return hits
-    met = hits.join(vectors, id_col, "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        kept, keep = np.zeros((len(pdf), 0)), np.ones(len(pdf), bool)
-        m = 0
-        for i, v in enumerate(pdf["vector"]):
-            if v is None:
-                continue
-            v = np.asarray(v, np.float64)
-            n = np.sqrt((v * v).sum())
-            if not kept.shape[1]:
-                kept = np.zeros((len(pdf), len(v)))
-            u = v / n if n > 0 else np.zeros_like(v)
-            if m and n > 0 and (1 - kept[:m] @ u < threshold)[np.abs(kept[:m]).sum(1) > 0].any():
-                keep[i] = False
-                continue
-            kept[m] = u
-            m += 1
-        return pdf.loc[keep].drop(columns="vector")
-
-    return met.groupBy("query_id").applyInPandas(run, hits.schema)
+    columns = ["query_id", id_col, "rank", "vector"]
+    schema = hits.select("query_id", id_col, "rank").join(vectors.select(id_col, F.col("vector").cast("array<double>").alias("vector")), id_col).select(*columns).schema
+    left = written(hits.select("query_id", id_col, "rank").join(vectors.select(id_col, F.col("vector").cast("array<double>").alias("vector")), id_col, "left").select(*columns), "undecided")
+    kept = []
+    while True:
+        placed = left.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+        most = placed.agg(F.max("_n")).first()[0] or 0
+        first = placed.filter(F.col("_n") <= block).select(*columns).groupBy("query_id").applyInArrow(_first_kept(threshold), schema)
+        if most <= block:
+            kept.append(first)
+            break
+        first = written(first, "kept")
+        kept.append(first)
+        parts = -(-most // part)
+        rest = placed.filter(F.col("_n") > block).select(*columns, F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("_part"))
+        seen = first.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+        compared = rest.groupBy("query_id", "_part").cogroup(seen.groupBy("query_id", "_part")).applyInArrow(_not_near(threshold), rest.schema)
+        left = written(compared.select(*columns), "undecided")
+    keys = reduce(DataFrame.unionByName, kept).select("query_id", id_col)
+    return hits.join(keys, ["query_id", id_col], "left_semi").select(*hits.columns)
 
 
 def stream_dedup_filter(hits: DataFrame, vectors: DataFrame, threshold: float, most: int, excluded: list[str] = (), id_col: str = "asset_id", path: str = "base_key") -> DataFrame:

@@ -123,3 +123,32 @@ def test_codes_come_close(spark):
     I.TABLE_BYTES = old
     want = told(R.vector_top(views, q, 10))
     assert set(got) == set(want) and np.mean([len({h[0] for h in got[i]} & {h[0] for h in want[i]}) / 10 for i in want]) > 0.95
+
+
+@pytest.mark.parametrize("block,part", [(1000, 20_000), (60, 100), (7, 40)])
+def test_ordered_dedup_in_rounds(spark, block, part):
+    """Greedy dedup of many and of large windows, in one round and in many, with hits without vectors, zero vectors, copies and other widths."""
+    rng = np.random.default_rng(9)
+    x = [rng.normal(size=5).tolist() for _ in range(260)]
+    for i in range(0, 260, 4):
+        x[i] = (np.array(x[(i + 97) % 260]) + 0.05 * rng.normal(size=5)).tolist()
+    x[3], x[10], x[11], x[50], x[51] = None, [0.0] * 5, [0.0] * 5, [1.0, 2.0], [1.0, 2.1]
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "asset_id long, vector array<double>")
+    order = {q: rng.permutation(270).tolist() for q in (1, 2, 3)} | {4: [5], 5: []}
+    hits = [(q, int(a), r + 1, f"x{a}") for q, ids in order.items() for r, a in enumerate(ids)]  # ids past 259 have no vector row
+    want = set()
+    for q, ids in order.items():
+        kept = []
+        for a in ids:
+            v = x[a] if a < 260 else None
+            u = None if v is None or not any(v) else np.array(v) / np.linalg.norm(v)
+            if u is not None and any(len(k) == len(u) and 1 - float(k @ u) < 0.3 for k in kept):
+                continue
+            want.add((q, a))
+            if u is not None:
+                kept.append(u)
+    df = spark.createDataFrame(hits, "query_id long, asset_id long, rank int, legs string").repartition(3)
+    out = R.similarity_dedup(df, vectors, 0.3, block=block, part=part)
+    assert out.columns == df.columns
+    assert {(r.query_id, r.asset_id) for r in out.collect()} == want and 100 < len(want) < len(hits)
+    assert R.similarity_dedup(df.filter("query_id > 9"), vectors, 0.3).collect() == []
