@@ -443,7 +443,7 @@ def similarity_dedup(hits: DataFrame, vectors: DataFrame, threshold: float, id_c
         kept.append(first)
         parts = -(-most // part)
         rest = placed.filter(F.col("_n") > block).select(*columns, F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("_part"))
-        seen = first.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+        seen = first.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
         compared = rest.groupBy("query_id", "_part").cogroup(seen.groupBy("query_id", "_part")).applyInArrow(_not_near(threshold), rest.schema)
         left = written(compared.select(*columns), "undecided")
     keys = reduce(DataFrame.unionByName, kept).select("query_id", id_col)

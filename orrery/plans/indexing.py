@@ -127,6 +127,23 @@ def z04_stale(spark, d):
     return J.stale_results(J.fan_out(f, plugins(spark)).filter("seq % 2 = 0").select("plugin", "uri", "hash_value").distinct(), current)
 
 
+_REUSE = "e AS (SELECT event_id AS seq, ts, 'u_' || user_id AS uri, 'p' || (event_id % 2) AS plugin, props AS h, CASE WHEN event_type = 'error' THEN 'gone' WHEN event_type IN ('signup', 'purchase') THEN 'result' ELSE 'job' END AS kind FROM events), s AS (SELECT j.seq, min(r.uri) AS src FROM e j JOIN e r ON j.kind = 'job' AND r.kind = 'result' AND r.h = j.h AND r.plugin = j.plugin AND r.uri <> j.uri AND r.seq < j.seq AND epoch_ms(r.ts) > epoch_ms(j.ts) - 432000000 WHERE NOT EXISTS (SELECT 1 FROM e g WHERE g.kind = 'gone' AND g.h = r.h AND g.uri = r.uri AND g.seq > r.seq AND g.seq < j.seq) GROUP BY 1)"
+
+
+@query(f"WITH {_REUSE} SELECT plugin, uri, e.seq, CASE WHEN src IS NULL THEN 'run' ELSE 'copy' END AS action, src, h AS hash_value FROM e LEFT JOIN s USING (seq) WHERE kind = 'job'")
+def z04_reuse_stream(spark, d):
+    """Z4 and Z9 as keyed state: results of the last five days whose path still has the content."""
+    s = X.change_stream(spark, d)
+    kind = F.when(F.col("event_type") == "error", "gone").when(F.col("event_type").isin("signup", "purchase"), "result").otherwise("job")
+    events = s.select(kind.alias("kind"), F.concat(F.lit("p"), (F.col("seq") % 2).cast("string")).alias("plugin"), "uri", "hash_value", "seq", "ts")
+    return _stateful(spark, J.reuse_stream(events, 5 * 24 * 3600 * 1000)).filter("action <> 'evict'")
+
+
+@query(f"WITH {CH}, n AS (SELECT *, CASE WHEN event = 'delete' THEN NULL ELSE hash_value END AS now FROM changes), o AS (SELECT *, lag(now) OVER (PARTITION BY uri ORDER BY seq) AS old FROM n) SELECT uri, seq, old AS hash_value FROM o WHERE old IS NOT NULL AND now IS DISTINCT FROM old")
+def z04_moves(spark, d):
+    return _stateful(spark, J.moves(X.change_stream(spark, d)))
+
+
 @query(f"WITH {_JOBS} SELECT seq, plugin, uri, hash_value FROM jobs WHERE (plugin, uri, hash_value) NOT IN (SELECT (plugin, uri, hash_value) FROM jobs WHERE seq % 5 = 0)")
 def z06_still_valid(spark, d):
     jobs = J.fan_out(_files(spark, d), plugins(spark)).select("seq", "plugin", "uri", "hash_value")

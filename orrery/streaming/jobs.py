@@ -112,6 +112,133 @@ def stale_results(results: DataFrame, current: DataFrame) -> DataFrame:
     return results.join(current, ["uri", "hash_value"], "left_anti")
 
 
+class ContentReuse(StatefulProcessor):
+    """Z4 and Z9 for one content hash: which paths were processed with that content, by which plugin and when.
+
+    A result is kept until its path has other content, or until its time is over: a timer takes it out when the
+    watermark passes its end, and no job is given a result that is over at the job's own time, so what a job gets
+    doesn't depend on when timers run. The least path of each plugin is kept at hand; the others are looked
+    through only when it goes.
+    """
+
+    def __init__(self, ttl_ms: int):
+        self.ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.results = handle.getMapState("results", "plugin string, uri string", "at long")
+        self.least = handle.getMapState("least", "plugin string", "uri string")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _at(self, plugin: str, uri: str) -> int | None:
+        return self.results.getValue((plugin, uri))[0] if self.results.containsKey((plugin, uri)) else None
+
+    def _seek(self, plugin: str, after: int, but: str | None = None) -> str | None:
+        return min((k[1] for k, v in self.results.iterator() if k[0] == plugin and k[1] != but and v[0] + self.ttl > after), default=None)
+
+    def _source(self, plugin: str, uri: str, now: int) -> str | None:
+        """The least other path with a result that isn't over at that time."""
+        least = self.least.getValue((plugin,))[0] if self.least.containsKey((plugin,)) else None
+        if least is None:
+            return None
+        at = self._at(plugin, least)
+        if least != uri and at is not None and at + self.ttl > now:
+            return least
+        return self._seek(plugin, now, uri)
+
+    def _forget(self, plugin: str, uri: str) -> None:
+        self.results.removeKey((plugin, uri))
+        if self.least.containsKey((plugin,)) and self.least.getValue((plugin,))[0] == uri:
+            other = self._seek(plugin, -(2**62))
+            self.least.removeKey((plugin,)) if other is None else self.least.updateValue((plugin,), (other,))
+
+    def _wake(self, at: int) -> None:
+        """One timer for a key, at the first end of a result."""
+        if self.timer.exists():
+            known = self.timer.get()[0]
+            if known <= at:
+                return
+            self.handle.deleteTimer(known)
+        self.timer.update((at,))
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values("seq")
+        out = []
+        for r in pdf.itertuples(index=False):
+            if r.kind == "job":
+                src = None if key[0] is None else self._source(r.plugin, r.uri, r.at)
+                out.append((r.plugin, r.uri, r.seq, "run" if src is None else "copy", src, key[0]))
+            elif key[0] is None:
+                continue
+            elif r.kind == "result":
+                old = self.least.getValue((r.plugin,))[0] if self.least.containsKey((r.plugin,)) else None
+                self.results.updateValue((r.plugin, r.uri), (int(r.at),))
+                if old is None or r.uri < old:
+                    self.least.updateValue((r.plugin,), (r.uri,))
+                self._wake(int(r.at) + self.ttl)
+            elif r.kind == "gone":
+                for plugin in [k[0] for k in self.least.keys()]:
+                    if self.results.containsKey((plugin, r.uri)):
+                        self._forget(plugin, r.uri)
+        yield pd.DataFrame(out, columns=_REUSE.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        self.timer.clear()
+        old = [k for k, v in self.results.iterator() if v[0] + self.ttl <= now]
+        for plugin, uri in old:
+            self._forget(plugin, uri)
+        left = min((v[0] for _, v in self.results.iterator()), default=None)
+        if left is not None:
+            self._wake(left + self.ttl)
+        yield pd.DataFrame([(p, u, None, "evict", None, key[0]) for p, u in old], columns=_REUSE.names, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+_REUSE = StructType([StructField("plugin", StringType()), StructField("uri", StringType()), StructField("seq", LongType()), StructField("action", StringType()), StructField("src", StringType()), StructField("hash_value", StringType())])
+
+
+def reuse_stream(events: DataFrame, ttl_ms: int = REUSE_MS, late: str = "10 minutes") -> DataFrame:
+    """Z4 and Z9 on a stream: (plugin, uri, seq, action, src, hash_value).
+
+    events(kind, plugin, uri, hash_value, seq, ts): a `result` says that a plugin has processed a path with that
+    content, `gone` that a path has it no longer (moves() tells), a `job` asks. A job becomes a copy from the least
+    other path with a result, or runs; results that are over give `evict`. Within a batch rows count in order of seq;
+    a batch holds as much of one content as the source's limits let in. Jobs without a hash run.
+    """
+    timed = events.select("kind", "plugin", "uri", "hash_value", "seq", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).withColumn("at", F.unix_millis("ts"))
+    return timed.groupBy("hash_value").transformWithStateInPandas(ContentReuse(ttl_ms), _REUSE, "append", "eventTime")
+
+
+class Moves(StatefulProcessor):
+    """What content a path had before, whenever it changes or the path goes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.hash = handle.getValueState("hash", StructType([StructField("hash", StringType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        now, out = self.hash.get()[0] if self.hash.exists() else None, []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            new = None if r.event == "delete" else r.hash_value
+            if now is not None and new != now:
+                out.append((key[0], r.seq, now))
+            now = new
+        self.hash.clear() if now is None else self.hash.update((now,))
+        yield pd.DataFrame(out, columns=["uri", "seq", "hash_value"])
+
+    def close(self) -> None:
+        pass
+
+
+def moves(changes: DataFrame) -> DataFrame:
+    """Z4 on a stream of changes: (uri, seq, hash_value) of content that a path has no longer: the `gone` events of reuse_stream()."""
+    schema = StructType([StructField("uri", StringType()), StructField("seq", LongType()), StructField("hash_value", StringType())])
+    return changes.select("uri", "seq", "event", "hash_value").groupBy("uri").transformWithStateInPandas(Moves(), schema, "append", "none")
+
+
 def with_priority(changes: DataFrame) -> DataFrame:
     """Z5."""
     return changes.withColumn("priority", F.when(F.col("source") == "subscription", PRIORITY).otherwise(NORMAL))
