@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from orrery.functions.exprs import metadata_rows
 from orrery.operators import stats as S
 from orrery.sources import fixtures as X
+from orrery.sources.keyed import Files
 from orrery.sources.tables import shared_dir
 from orrery.streaming import contracts as C
 from orrery.streaming import jobs as J
+from orrery.streaming import progress as P
 
 from .base import query
 from .statistics import _ST, plugins, statuses
@@ -60,8 +62,6 @@ def s04_change_consumer(spark, d):
 @query(f"WITH {CH}, l AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY seq DESC) AS r FROM changes) SELECT uri, seq, hash_value FROM l WHERE r = 1 AND event <> 'delete'")
 def s04_durable_consumer(spark, d):
     """Two consumers one after the other over the same table and checkpoint, each with an object of its own; then fewer files and no old versions."""
-    from orrery.sources.tables import shared_dir
-
     path = f"{shared_dir(spark)}/consumer-{uuid.uuid4().hex}"
     table = lambda: J.KeyedTable(spark, "uri string, seq long, hash_value string", "uri", "seq", parts=8, path=f"{path}/table")
     stream = lambda: X.change_stream(spark, d).select("uri", "seq", "hash_value", "event")
@@ -127,6 +127,44 @@ def z04_stale(spark, d):
     return J.stale_results(J.fan_out(f, plugins(spark)).filter("seq % 2 = 0").select("plugin", "uri", "hash_value").distinct(), current)
 
 
+@query(f"WITH {CH}, c AS (SELECT 'all' AS consumer, seq, event <> 'delete' AS done FROM changes UNION ALL SELECT 'even', seq, true FROM changes WHERE seq % 2 = 0), t AS (SELECT count(*) AS total, max(seq) AS newest FROM changes) SELECT consumer, count(*) AS read, count(*) FILTER (done) AS processed, any_value(total) - count(*) AS lag, round(100.0 * count(*) FILTER (done) / any_value(total), 6) AS percent, max(seq) AS last_seq, any_value(newest) - max(seq) AS behind FROM c, t GROUP BY 1")
+def a15_live_progress(spark, d):
+    """Two consumers of the log as they tell of themselves while they run; one reads every other change."""
+    path = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    log, stream = P.ProgressLog(spark, f"{path}/progress"), X.change_stream(spark, d)
+    spark.streams.addListener(log)
+    try:
+        P.run_tracked(stream, "all", log, f"{path}/all", done=F.col("event") != "delete")
+        P.run_tracked(stream.filter("seq % 2 = 0"), "even", log, f"{path}/even")
+    finally:
+        spark.streams.removeListener(log)
+    return P.live_progress(X.changes(spark, d), log.rows()).drop("batches", "at").withColumn("percent", F.round("percent", 6))
+
+
+@query("WITH e AS (SELECT DISTINCT ['usd', 'usda', 'png', 'jpg', 'mdl'][(doc_id % 5 + 1)::INT] AS ext FROM documents) SELECT 1 AS step, ext, 'create' AS event FROM e UNION ALL SELECT 2, ext, 'delete' FROM e WHERE ext IN ('png', 'jpg') UNION ALL SELECT 2, ext, 'create' FROM e WHERE ext = 'jpg'")
+def s03_listing_stream(spark, d):
+    """A folder of the assets' files by format, listed as a stream; then one format goes and another is written anew, and a second run tells what changed."""
+    from orrery.sources.listing import listing_stream
+
+    path = f"{shared_dir(spark)}/folder-{uuid.uuid4().hex}"
+    assets = X.assets(spark, d).select("base_key", "size", "ext")
+    assets.write.partitionBy("ext").parquet(f"{path}/files")
+    rows = f"{path}/rows"
+
+    def listed(step):
+        stream = listing_stream(spark, f"{path}/files", f"{path}/state", ignore=[r"/_SUCCESS$"])
+        keep = lambda df, n: df.select(F.lit(step).alias("step"), F.regexp_extract("uri", "/ext=([^/]*)/", 1).alias("ext"), "event").write.mode("overwrite").parquet(f"{rows}/batch={n}")
+        J.run_available(stream, each=keep, checkpoint=f"{path}/checkpoint")
+
+    listed(1)
+    files = Files(spark, f"{path}/files")
+    files.delete("ext=png")
+    files.delete("ext=jpg")
+    assets.filter("ext = 'jpg'").drop("ext").write.parquet(f"{path}/files/ext=jpg")
+    listed(2)
+    return spark.read.schema("step int, ext string, event string").parquet(f"{rows}/batch=*").distinct()
+
+
 _REUSE = "e AS (SELECT event_id AS seq, ts, 'u_' || user_id AS uri, 'p' || (event_id % 2) AS plugin, props AS h, CASE WHEN event_type = 'error' THEN 'gone' WHEN event_type IN ('signup', 'purchase') THEN 'result' ELSE 'job' END AS kind FROM events), s AS (SELECT j.seq, min(r.uri) AS src FROM e j JOIN e r ON j.kind = 'job' AND r.kind = 'result' AND r.h = j.h AND r.plugin = j.plugin AND r.uri <> j.uri AND r.seq < j.seq AND epoch_ms(r.ts) > epoch_ms(j.ts) - 432000000 WHERE NOT EXISTS (SELECT 1 FROM e g WHERE g.kind = 'gone' AND g.h = r.h AND g.uri = r.uri AND g.seq > r.seq AND g.seq < j.seq) GROUP BY 1)"
 
 
