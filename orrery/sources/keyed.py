@@ -112,6 +112,11 @@ class KeyedTable:
             return Snapshot(parts=self._parts)
         return Snapshot.of(self._files.read(f"log/{known[-1] if version is None else version:020d}.json"))
 
+    @property
+    def folders(self) -> dict[int, str]:
+        """The folder of each part, as of now."""
+        return self.snapshot().folders
+
     def _publish(self, new: Snapshot) -> None:
         self._files.publish(f"log/{new.version:020d}.json", new.text())
 
