@@ -41,7 +41,7 @@ def retrieval_metrics(run: DataFrame, qrels: DataFrame, k: int = 10, groups: lis
 
 def config_sweep(legs: DataFrame, configs: DataFrame) -> DataFrame:
     """legs(query_id, query_class, asset_id, leg, n, rank) fused under every config(config_id, rank_constant, window_size, text_weight, vector_weight). configs: a table of settings, a row each."""
-    met = legs.join(F.broadcast(configs), F.col("rank") <= F.col("window_size"))
+    met = legs.join(small(configs), F.col("rank") <= F.col("window_size"))
     weight = F.when(F.col("leg") == "text", F.col("text_weight")).otherwise(F.col("vector_weight"))
     fused = met.groupBy("config_id", "query_id", "query_class", "asset_id").agg(F.sum(weight / (F.col("rank") + F.col("rank_constant"))).alias("rrf_score"), F.min(F.struct("n", "rank")).alias("first"))
     w = Window.partitionBy("config_id", "query_id").orderBy(F.desc(F.round("rrf_score", 12)), "first", "asset_id")

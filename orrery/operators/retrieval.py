@@ -114,6 +114,39 @@ def field_match(value: Column, query: str, kind: str) -> Column:
     raise ValueError(kind)
 
 
+def field_matches(docs: DataFrame, queries: DataFrame, value: Column, kind: str, id_col: str = "asset_id") -> DataFrame:
+    """R4 for a table of queries(query_id, text): (query_id, id) of what field_match() holds for, in the kinds it knows.
+
+    An equi-join on the longest whole token of a query, at its places in a document, then a comparison of the tokens
+    around that place: no query meets a text that lacks this token. A prefix of one token joins on its first three
+    letters, or all it has if fewer. Queries without tokens match nothing; no text has a token that is null.
+    """
+    if kind not in ("exact", "phrase", "prefix"):
+        raise ValueError(kind)
+    asked = queries.select("query_id", standard_tokens(F.col("text")).alias("_w")).filter(F.size("_w") > 0).withColumn("_n", F.size("_w"))
+    whole = F.slice("_w", F.lit(1), F.col("_n") - 1) if kind == "prefix" else F.col("_w")
+    anchor = F.array_max(F.transform(whole, lambda t, i: F.struct(F.length(t).alias("length"), i.alias("at"), t.alias("term"))))
+    asked = asked.withColumn("_a", anchor).select("query_id", "_w", "_n", F.col("_a.at").alias("_at"), F.col("_a.term").alias("_term"))
+    texts = spread(docs.select(id_col, value.alias("_v"))).select(id_col, standard_tokens(F.col("_v")).alias("_t"))
+    known = small(asked.filter("_term is not null"))
+    if kind == "exact":
+        met = texts.select(id_col, "_t", F.explode(F.array_distinct("_t")).alias("_term")).join(known, "_term")
+        return met.filter(F.size(F.array_except("_w", "_t")) == 0).select("query_id", id_col)
+    met = texts.select(id_col, "_t", F.posexplode("_t").alias("_p", "_term")).join(known, "_term").withColumn("_p", F.col("_p") - F.col("_at"))
+    met = met.filter((F.col("_p") >= 0) & (F.col("_p") + F.col("_n") <= F.size("_t")))
+    around = lambda n: F.slice("_t", F.col("_p") + 1, n)
+    if kind == "phrase":
+        return met.filter(around(F.col("_n")) == F.col("_w")).select("query_id", id_col).distinct()
+    begins = F.startswith(F.get("_t", F.col("_p") + F.col("_n") - 1), F.element_at("_w", -1))
+    found = met.filter((around(F.col("_n") - 1) == F.slice("_w", F.lit(1), F.col("_n") - 1)) & begins).select("query_id", id_col)
+    alone = small(asked.filter("_term is null").select("query_id", F.col("_w")[0].alias("_q")).withColumn("_g", F.substring("_q", 1, 3)))
+    sizes = [r.n for r in alone.select(F.length("_g").alias("n")).distinct().collect()]  # 1, 2, 3
+    if sizes:
+        each = texts.select(id_col, F.explode(F.array_distinct("_t")).alias("_term")).withColumn("_g", F.explode(F.array_distinct(F.array(*(F.substring("_term", 1, n) for n in sizes)))))
+        found = found.unionByName(each.join(alone, "_g").filter(F.startswith("_term", "_q")).select("query_id", id_col))
+    return found.distinct()
+
+
 def contained(values: DataFrame, asked: DataFrame, id_col: str = "asset_id") -> DataFrame:
     """(query_id, id) of values(id, _v) that hold _q of asked(query_id, _q): an equi-join on the first three letters of a query, or all it has if fewer, then a check."""
     asked = small(asked.withColumn("gram", F.substring("_q", 1, 3)))

@@ -84,6 +84,32 @@ def r01_match_and_wildcard(spark, d):
     return leg.select("query_id", "asset_id", F.round("score", 6).alias("score"))
 
 
+_TOKENS = r"regexp_extract_all(lower({}), '[\pL\pN_]+')"
+_MATCHED = f"WITH d AS (SELECT doc_id, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS v, {_TOKENS.format('text')} AS t FROM documents), b AS (SELECT item_id, {_TOKENS.format('text')} AS w FROM benchmark), q AS (SELECT item_id AS query_id, {{}} AS w FROM b) SELECT query_id, doc_id AS asset_id FROM d, q WHERE len(w) > 0 AND {{}}"
+
+
+def _pieces(spark, d, sql):
+    """Parts of the benchmark's texts as queries."""
+    words = text_queries(spark, d).select("query_id", standard_tokens(F.col("text")).alias("w"))
+    return words.select("query_id", F.array_join(F.expr(sql), " ").alias("text"))
+
+
+@query(_MATCHED.format("list_distinct([w[4], w[2], w[9]])", "len(list_intersect(t, w)) = len(w)"))
+def r04_exact_queries(spark, d):
+    return R.field_matches(X.assets(spark, d), _pieces(spark, d, "array_distinct(array_compact(array(get(w, 3), get(w, 1), get(w, 8))))"), F.col("text"), "exact")
+
+
+@query(_MATCHED.format("w[2:5]", "contains(v, ' ' || array_to_string(w, ' ') || ' ')"))
+def r04_phrase_queries(spark, d):
+    return R.field_matches(X.assets(spark, d), _pieces(spark, d, "slice(w, 2, 4)"), F.col("text"), "phrase")
+
+
+@query(_MATCHED.format("CASE WHEN item_id % 3 = 0 THEN [left(w[2], 4)] ELSE list_append(w[3:4], left(w[5], 2)) END", "contains(v, ' ' || array_to_string(w, ' '))"))
+def r04_prefix_queries(spark, d):
+    """Two whole words and the beginning of a third, or the beginning of one."""
+    return R.field_matches(X.assets(spark, d), _pieces(spark, d, "if(query_id % 3 = 0, array(left(get(w, 1), 4)), concat(slice(w, 3, 2), array(left(get(w, 4), 2))))"), F.col("text"), "prefix")
+
+
 _TOP = f"WITH {_bm25()}, {_rank('text_leg', 'top', 25)}, n AS (SELECT query_id, count(*) AS matches FROM text_leg GROUP BY 1) SELECT query_id, asset_id, round(score, 6) AS score, rank, matches FROM top JOIN n USING (query_id)"
 
 

@@ -160,3 +160,19 @@ def test_generated_metadata_as_fields(spark):
     got = {r.asset_id: list(r.fields) for r in R.text_leg(docs, spark.createDataFrame([(1, "red")], "query_id long, text string"), fields).collect()}
     assert got == {1: ["vlm.caption.value_text"], 2: ["vlm.tags.value_text"]}
     assert R.metadata_fields(docs.filter("asset_id = 3"), "vlm", R.Field(F.lit(None))) == {}
+
+
+@pytest.mark.parametrize("kind", ["exact", "phrase", "prefix"])
+def test_match_types_of_many_queries(spark, kind):
+    """A table of queries against the expression for one query, over every text."""
+    rng = np.random.default_rng(3)
+    some = ["red", "redwood", "re", "wall", "waller", "w", "stone", "ü", "漢字", "a_b"]
+    rows = [(i, " ".join(rng.choice(some, rng.integers(1, 12))).title() if i % 2 else " - ".join(rng.choice(some, 3))) for i in range(60)] + [(90, None), (91, ""), (92, "...")]
+    queries = [(i, " ".join(rng.choice(some, rng.integers(1, 4)))) for i in range(60)] + [(80, ""), (81, None), (82, "red red"), (83, "RED, wal"), (84, "ston"), (85, "漢"), (86, "wa")]
+    docs, asked = spark.createDataFrame(rows, "asset_id long, text string"), spark.createDataFrame(queries, "query_id long, text string")
+    got = [(r.query_id, r.asset_id) for r in R.field_matches(docs, asked, F.col("text"), kind).collect()]
+    found = docs.select("asset_id", *(F.coalesce(R.field_match(F.col("text"), t, kind), F.lit(False)).alias(f"q{i}") for i, t in queries if t)).collect()
+    want = {(i, r.asset_id) for i, t in queries if t for r in found if r[f"q{i}"]}
+    assert len(got) == len(set(got)) and set(got) == want and want
+    with pytest.raises(ValueError):
+        R.field_matches(docs, asked, F.col("text"), "fuzzy")
