@@ -187,6 +187,21 @@ def test_lists_grow_with_the_square_root(spark, tmp_path):
     assert len(ann.fit(ann.usable(df, "vec_id", "embedding"), centre_bytes=4 * 17 * 10).centres) == 10
 
 
+def test_recall_on_the_given_vectors(spark):
+    """The registered query against all inner products, on the given table of a hundred queries."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x, ids = np.stack(rows.embedding).astype(np.float64), rows.vec_id.to_numpy()
+    got = defaultdict(set)
+    for r in registry.op2_neighbours(spark, "/root/testdata/sf0.1").collect():
+        got[r.query_id].add(r.vec_id)
+    asked = np.flatnonzero(ids % 20 == 0)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = ids[np.argsort(-score, axis=1)[:, :20]]
+    recall = np.mean([len(got[q] & set(b.tolist())) / 20 for q, b in zip(ids[asked].tolist(), best)])
+    assert len(got) == len(asked) and recall >= 0.95
+
+
 @pytest.mark.parametrize("d,centres", [(64, 4), (384, 4)])
 def test_recall_of_scanned_lists(spark, tmp_path, d, centres):
     """At least 20 lists are probed, under a third of all; the scan abandons most candidates early and finds what it should."""
