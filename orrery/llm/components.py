@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node with an edge to another; component is the smallest node reached.
+    """(node, component) for every node with an edge to another but the smallest of each component; component is the smallest node reached.
 
     edges(a, b): undirected, self loops and nulls are ignored, duplicates allowed; an empty table gives no rows.
     Links stay in tables; the driver sees only two sums per round, to tell when nothing moves any more.

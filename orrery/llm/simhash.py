@@ -186,6 +186,7 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, radius: int
     table = written(fingerprints(documents, shingle_words=shingle_words, id_col=id_col, text_col=text_col), "fingerprints")
     classes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     joined = connected_components(links(classes.select("fp"), radius=radius, **options))
+    joined = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct())  # the least of a component is a node, too
     linked = written(classes.join(joined, F.col("fp") == F.col("node")).select("fp", "least", "component"), "linked")
     roots = written(linked.groupBy("component").agg(F.min("least").alias("root"), F.count("*").alias("n")), "roots")
     found = by_class(linked, roots, "component").select("fp", "root")
