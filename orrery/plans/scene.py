@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from orrery.operators import graph as G
 from orrery.operators import prims as Q
+from orrery.operators.spatial import write_layout
 from orrery.sources import fixtures as X
+from orrery.sources.tables import shared_dir
 
 from .base import query
 
@@ -51,6 +55,51 @@ def x06_near_prims(spark, d):
     return moved.select("scene_url", "centre_path", "usd_path", *((F.round(f"moved_{a}", 9) + 0.0).alias(f"moved_{a}") for a in Q.AXES))
 
 
+FLOORS = f"{PS}, floors AS (SELECT 'floor_' || line AS scene_url, scene_url || usd_path AS usd_path, mid_x, mid_y, mid_z FROM prims)"
+SPOTS = "spots AS (SELECT s_suppkey AS spot, 'floor_' || (1 + s_nationkey % 7) AS scene_url, 25 + s_acctbal::DOUBLE / 500 AS x, s_nationkey / 2.5::DOUBLE AS y, (s_suppkey % 9)::DOUBLE AS z FROM supplier)"
+APART = "sqrt((mid_x - x) * (mid_x - x) + (mid_y - y) * (mid_y - y) + (mid_z - z) * (mid_z - z))"
+
+
+def _floors(spark, d):
+    """All prims on seven dense floors, one for each line number, stored along the curve."""
+    p = X.prims(spark, d).withColumn("usd_path", F.concat("scene_url", "usd_path")).withColumn("scene_url", F.concat(F.lit("floor_"), F.col("curve_segment_count").cast("string")))
+    return write_layout(p.select("scene_url", "usd_path", "mid_x", "mid_y", "mid_z"), f"{shared_dir(spark)}/floors-{uuid.uuid4().hex}")
+
+
+def _spots(spark, d):
+    s = X.table(spark, d, "supplier")
+    floor = F.concat(F.lit("floor_"), (F.col("s_nationkey") % 7 + 1).cast("string"))
+    return s.select(F.col("s_suppkey").alias("spot"), floor.alias("scene_url"), (F.col("s_acctbal").cast("double") / 500 + 25).alias("x"), (F.col("s_nationkey") / F.lit(2.5).cast("double")).alias("y"), (F.col("s_suppkey") % 9).cast("double").alias("z"))
+
+
+@query(f"WITH {FLOORS}, {SPOTS} SELECT spot, scene_url, usd_path FROM floors JOIN spots USING (scene_url) WHERE mid_x BETWEEN x - 2 AND x + 2 AND mid_y BETWEEN y - 1 AND y + 1 AND mid_z BETWEEN z - 1 AND z + 1")
+def x04_boxes(spark, d):
+    """X4 for a table of boxes, over the stored layout."""
+    ends = (f for a, r in (("x", 2), ("y", 1), ("z", 1)) for f in ((F.col(a) - r).alias(f"least_{a}"), (F.col(a) + r).alias(f"most_{a}")))
+    return _floors(spark, d).in_boxes(_spots(spark, d).select("spot", "scene_url", *ends)).select("spot", "scene_url", "usd_path")
+
+
+@query(f"WITH {FLOORS}, {SPOTS} SELECT spot, usd_path, round({APART}, 9) AS distance FROM floors JOIN spots USING (scene_url) QUALIFY row_number() OVER (PARTITION BY spot ORDER BY {APART}, usd_path) <= 12")
+def x05_nearest(spark, d):
+    """X5 for a table of points: the twelve nearest of each, however far."""
+    return _floors(spark, d).near(_spots(spark, d), limit=12).select("spot", "usd_path", F.round("distance", 9).alias("distance"))
+
+
+@query(f"WITH {FLOORS}, {SPOTS} SELECT spot, usd_path, round({APART}, 9) AS distance FROM floors JOIN spots USING (scene_url) WHERE {APART} < 1.5")
+def x05_within(spark, d):
+    """X5 for a table of points without a limit."""
+    return _floors(spark, d).near(_spots(spark, d), 1.5).select("spot", "usd_path", F.round("distance", 9).alias("distance"))
+
+
+@query(f"""WITH {PS}, c AS (SELECT scene_url, usd_path AS centre_path, mid_x AS x, mid_y AS y, mid_z AS z FROM prims WHERE default_prim)
+SELECT scene_url, centre_path, usd_path, round({APART}, 9) AS distance FROM prims JOIN c USING (scene_url) WHERE {APART} < 30 QUALIFY row_number() OVER (PARTITION BY scene_url ORDER BY {APART}, usd_path) <= 3""")
+def x06_nearest_prims(spark, d):
+    """X6 with a limit around every scene's default prim."""
+    p = X.prims(spark, d)
+    near = Q.near_prims(p, p.filter("default_prim").select("scene_url", F.col("usd_path").alias("centre_path")), 30.0, 3)
+    return near.select("scene_url", "centre_path", "usd_path", F.round("distance", 9).alias("distance"))
+
+
 @query(f"""WITH {PS}, t AS (SELECT scene_url, string_agg(prim_type || '=' || n, ',' ORDER BY prim_type) AS types FROM (SELECT scene_url, prim_type, count(*) AS n FROM prims GROUP BY 1, 2) GROUP BY 1)
 SELECT scene_url, count(*) AS prims, sum(polygon_count)::BIGINT AS polygons, sum(point_count)::BIGINT AS points, sum(curve_segment_count)::BIGINT AS curve_segments, min(usd_path) AS default_prim, any_value(types) AS types, count(*) AS n_line, count(DISTINCT source_asset_url)::INT AS n_assets, count(DISTINCT status)::INT + count(DISTINCT line)::INT + count(DISTINCT visible)::INT AS n_values, CASE WHEN split_part(scene_url, '_', 2)::BIGINT % 2 = 0 THEN 'Y' ELSE 'Z' END AS up_axis FROM prims JOIN t USING (scene_url) GROUP BY 1""")
 def a07_scene_summary(spark, d):
