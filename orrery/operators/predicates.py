@@ -281,8 +281,8 @@ def field_registry(spark: SparkSession) -> DataFrame:
 
 
 def map_filters(parsed: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """P21. parsed(query_id, pos, field, operator, value) to (query_id, param, value) and the filters with reason (null: applied). The registry is a dimension table of fixed size."""
-    r = parsed.join(F.broadcast(registry), "field", "left")
+    """P21. parsed(query_id, pos, field, operator, value) to (query_id, param, value) and the filters with reason (null: applied)."""
+    r = parsed.join(registry, "field", "left")
     value, op = F.col("value"), F.col("operator")
     reason = (
         F.when(F.col("kind").isNull(), "unknown field")

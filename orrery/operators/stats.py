@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.exprs import infer_value_type, slug
 from orrery.operators.predicates import global_rank
+from orrery.sources.tables import dimension
 
 
 def exploded(assets: DataFrame, column: str = "props", id_col: str = "asset_id") -> DataFrame:
@@ -69,8 +70,8 @@ def derive_filter_fields(catalog: DataFrame, top: int = 40, most_values: int = 5
 
 def target_audit(catalog: DataFrame, targets: DataFrame) -> DataFrame:
     """targets(concept, pattern, recommended): present, and the best key: the recommended one if it matches, else of the highest coverage."""
-    # both are dimension tables: a row per key and per concept
-    met = targets.join(catalog.select("key", "n_assets"), F.expr("key rlike concat('(?i)', pattern)"))
+    # the catalog stays dealt over tasks; the concepts, a table of settings whose size is checked, go to each
+    met = catalog.select("key", "n_assets").join(dimension(targets), F.expr("key rlike concat('(?i)', pattern)"))
     best = met.groupBy("concept").agg(F.max_by("key", F.struct(F.col("key") == F.col("recommended"), "n_assets", F.col("key"))).alias("best_key"))
     return targets.join(best, "concept", "left").select("concept", F.col("best_key").isNotNull().alias("present"), "best_key")
 
@@ -87,8 +88,8 @@ def latest_status(status: DataFrame) -> DataFrame:
 
 
 def assets_by_status(listing: DataFrame, plugins: DataFrame, status: DataFrame, include: list[str] | None = None, exclude: list[str] = ()) -> DataFrame:
-    """Status, uri and its plugins; "missing" where a plugin never reported. plugins: a dimension table."""
-    pairs = listing.select("uri").distinct().join(F.broadcast(plugins.select(F.col("name").alias("plugin"))))
+    """Status, uri and its plugins; "missing" where a plugin never reported. plugins: a table of settings, its size is checked."""
+    pairs = listing.select("uri").distinct().join(dimension(plugins.select(F.col("name").alias("plugin"))))
     found = pairs.join(latest_status(status).select("plugin", "uri", "status"), ["plugin", "uri"], "left").withColumn("status", F.coalesce("status", F.lit("missing")))
     if include is not None:
         found = found.filter(F.col("status").isin(include))

@@ -280,7 +280,7 @@ def e01_producer(spark, d):
 def e02_registry(spark, d):
     a = X.assets(spark, d)
     p = C.plugin_registry(spark).filter("active").select(F.col("name").alias("plugin"), F.explode("data_types").alias("ext"))
-    return a.join(F.broadcast(p), "ext", "left").groupBy("asset_id").agg(F.count("plugin").alias("n"))
+    return a.join(p, "ext", "left").groupBy("asset_id").agg(F.count("plugin").alias("n"))
 
 
 @query("SELECT doc_id AS asset_id, [strlen(lang)::FLOAT, strlen(source)::FLOAT] AS sizes FROM documents")

@@ -39,6 +39,13 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dimension(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df marked for broadcast after a look at its size; a table of settings with more rows than most is an error, as every row of the other side meets all of it."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a table of settings with more than {most} rows")
+    return F.broadcast(df)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over all cores if it is read from fewer files than there are cores, for costly work on every row; select what is needed first.
 

@@ -18,7 +18,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from orrery.functions.exprs import extension
 from orrery.sources.keyed import KeyedTable
-from orrery.sources.tables import latest, shared_dir
+from orrery.sources.tables import dimension, latest, shared_dir
 
 RETRIES = 5
 HISTORY = 5
@@ -94,9 +94,9 @@ def changed_only_batch(changes: DataFrame) -> DataFrame:
 
 
 def fan_out(changes: DataFrame, plugins: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """Z3: a job per active plugin that takes the file's extension, unless the plugin recorded that hash for it. plugins: a dimension table."""
-    p = F.broadcast(plugins.filter("active").select(F.col("name").alias("plugin"), "data_types"))
-    jobs = changes.filter("event <> 'delete'").join(p, F.array_contains("data_types", extension(F.col("uri")))).drop("data_types")
+    """Z3: a job per active plugin that takes the file's extension, unless the plugin recorded that hash for it. Extensions are an equi-join, whatever the number of plugins."""
+    p = plugins.filter("active").select(F.col("name").alias("plugin"), F.explode(F.array_distinct("data_types")).alias("_ext"))
+    jobs = changes.filter("event <> 'delete'").join(p, extension(F.col("uri")) == F.col("_ext")).drop("_ext")
     return jobs if done is None else jobs.join(done.select("plugin", "uri", "hash_value"), ["plugin", "uri", "hash_value"], "left_anti")
 
 
@@ -328,8 +328,8 @@ def debounce(changes: DataFrame, gap: str = "2 seconds", late: str = "10 minutes
 
 
 def sync_status(listing: DataFrame, done: DataFrame, plugins: DataFrame) -> DataFrame:
-    """For each plugin and uri not_found, in_sync or out_of_sync by the recorded and the current hash."""
-    pairs = listing.select("uri", F.col("hash_value").alias("_now")).join(F.broadcast(plugins.select(F.col("name").alias("plugin"))))
+    """For each plugin and uri not_found, in_sync or out_of_sync by the recorded and the current hash. plugins: a table of settings, its size is checked."""
+    pairs = listing.select("uri", F.col("hash_value").alias("_now")).join(dimension(plugins.select(F.col("name").alias("plugin"))))
     met = pairs.join(done.select("plugin", "uri", F.col("hash_value").alias("_done")), ["plugin", "uri"], "left")
     return met.select("plugin", "uri", F.when(F.col("_done").isNull(), "not_found").when(F.col("_done") == F.col("_now"), "in_sync").otherwise("out_of_sync").alias("sync"))
 

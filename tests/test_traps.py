@@ -277,3 +277,20 @@ def test_streams_over_batches_and_a_restart(spark, tmp_path):
         last.setdefault(uri, {}).setdefault(n, []).append((seq, status))
     assert {u: sorted(b[max(b)]) for u, b in last.items()} == {u: [(r.seq, r.event) for r in rows[-J.HISTORY :]] for u, rows in by.items()}
     assert sorted(tuple(r) for r in table.read().collect()) == sorted((u, rows[-1].seq, rows[-1].hash_value) for u, rows in by.items() if rows[-1].event != "delete")
+
+
+def test_tables_of_settings_are_checked_before_they_are_broadcast(spark):
+    from orrery.operators import stats as A
+    from orrery.sources.tables import dimension
+
+    assert dimension(spark.range(10), 10).count() == 10
+    with pytest.raises(ValueError, match="more than 10 rows"):
+        dimension(spark.range(11), 10)
+    many = spark.range(10_001).select(F.concat(F.lit("p"), "id").alias("name"), F.lit(True).alias("active"), F.array(F.lit("usd"), F.lit("usd"), F.lit(None)).alias("data_types"))
+    listing = spark.createDataFrame([("/a.usd", "create", "h"), ("/b", "create", "h"), ("/c.usd", "delete", "h")], "uri string, event string, hash_value string")
+    done = spark.createDataFrame([("p7", "/a.usd", "h")], "plugin string, uri string, hash_value string")
+    assert J.fan_out(listing, many, done).count() == 10_000  # an equi-join needs no bound
+    with pytest.raises(ValueError, match="settings"):
+        J.sync_status(listing, done, many)
+    with pytest.raises(ValueError, match="settings"):
+        A.assets_by_status(listing, many, done)
