@@ -112,13 +112,60 @@ def stale_results(results: DataFrame, current: DataFrame) -> DataFrame:
     return results.join(current, ["uri", "hash_value"], "left_anti")
 
 
+class _Times:
+    """Paths in order, each with the time of its result or NEVER, and above them the newest time of every run of paths: a tree in one list."""
+
+    NEVER = -(2**62)
+
+    def __init__(self, times: dict[str, int], others: set[str]):
+        self.paths = sorted(times.keys() | others)
+        self.at = {p: i for i, p in enumerate(self.paths)}
+        self.size = 1 << max(len(self.paths) - 1, 0).bit_length()
+        self.newest = [self.NEVER] * self.size + [times.get(p, self.NEVER) for p in self.paths] + [self.NEVER] * (self.size - len(self.paths))
+        for i in range(self.size - 1, 0, -1):
+            self.newest[i] = max(self.newest[2 * i], self.newest[2 * i + 1])
+
+    def get(self, path: str) -> int:
+        return self.newest[self.size + self.at[path]] if path in self.at else self.NEVER
+
+    def put(self, path: str, time: int) -> None:
+        i = self.size + self.at[path]
+        self.newest[i] = time
+        while i > 1:
+            i >>= 1
+            self.newest[i] = max(self.newest[2 * i], self.newest[2 * i + 1])
+
+    def _first(self, after: int, start: int) -> int | None:
+        """The first place from start on whose time is later, in as many steps as the tree is high."""
+        i = self.size + start
+        while self.newest[i] <= after:
+            while i & 1:
+                i >>= 1
+            if not i:
+                return None
+            i += 1
+        while i < self.size:
+            i = 2 * i if self.newest[2 * i] > after else 2 * i + 1
+        return i - self.size
+
+    def least(self, after: int, but: str) -> str | None:
+        """The least path but that one with a time later than `after`."""
+        found = self._first(after, 0)
+        if found is not None and self.paths[found] == but:
+            found = self._first(after, found + 1) if found + 1 < self.size else None
+        return None if found is None else self.paths[found]
+
+    def times(self) -> dict[str, int]:
+        return {p: t for p, t in zip(self.paths, self.newest[self.size :]) if t != self.NEVER}
+
+
 class ContentReuse(StatefulProcessor):
     """Z4 and Z9 for one content hash: which paths were processed with that content, by which plugin and when.
 
-    A result is kept until its path has other content, or until its time is over: a timer takes it out when the
-    watermark passes its end, and no job is given a result that is over at the job's own time, so what a job gets
-    doesn't depend on when timers run. The least path of each plugin is kept at hand; the others are looked
-    through only when it goes.
+    A result is kept until its path has other content, or until its time is over: a timer takes out what the
+    watermark has passed the end of, and no job is given a result that is over at the job's own time, so what a job
+    gets doesn't depend on when timers run. Of a path's results the newest counts. A batch reads a content's results
+    as one list, looks each job's source up in logarithmic time, and writes the list if it has changed.
     """
 
     def __init__(self, ttl_ms: int):
@@ -126,31 +173,18 @@ class ContentReuse(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.results = handle.getMapState("results", "plugin string, uri string", "at long")
-        self.least = handle.getMapState("least", "plugin string", "uri string")
+        self.results = handle.getListState("results", "plugin string, uri string, at long")
         self.timer = handle.getValueState("timer", "at long")
 
-    def _at(self, plugin: str, uri: str) -> int | None:
-        return self.results.getValue((plugin, uri))[0] if self.results.containsKey((plugin, uri)) else None
-
-    def _seek(self, plugin: str, after: int, but: str | None = None) -> str | None:
-        return min((k[1] for k, v in self.results.iterator() if k[0] == plugin and k[1] != but and v[0] + self.ttl > after), default=None)
+    def _kept(self) -> list[tuple[str, str, int]]:
+        return [tuple(r) for r in self.results.get()] if self.results.exists() else []
 
-    def _source(self, plugin: str, uri: str, now: int) -> str | None:
-        """The least other path with a result that isn't over at that time."""
-        least = self.least.getValue((plugin,))[0] if self.least.containsKey((plugin,)) else None
-        if least is None:
-            return None
-        at = self._at(plugin, least)
-        if least != uri and at is not None and at + self.ttl > now:
-            return least
-        return self._seek(plugin, now, uri)
-
-    def _forget(self, plugin: str, uri: str) -> None:
-        self.results.removeKey((plugin, uri))
-        if self.least.containsKey((plugin,)) and self.least.getValue((plugin,))[0] == uri:
-            other = self._seek(plugin, -(2**62))
-            self.least.removeKey((plugin,)) if other is None else self.least.updateValue((plugin,), (other,))
+    def _keep(self, results: list[tuple[str, str, int]]) -> None:
+        if results:
+            self.results.put(results)
+            self._wake(min(at for _, _, at in results) + self.ttl)
+        else:
+            self.results.clear()
 
     def _wake(self, at: int) -> None:
         """One timer for a key, at the first end of a result."""
@@ -165,34 +199,37 @@ class ContentReuse(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("seq")
         out = []
+        if key[0] is None:
+            out = [(r.plugin, r.uri, r.seq, "run", None, None) for r in pdf.itertuples(index=False) if r.kind == "job"]
+            yield pd.DataFrame(out, columns=_REUSE.names)
+            return
+        old: dict[str, dict[str, int]] = {}
+        for plugin, uri, at in self._kept():
+            old.setdefault(plugin, {})[uri] = at
+        told = pdf[pdf["kind"] == "result"]
+        new = {plugin: set(uris) for plugin, uris in told.groupby("plugin")["uri"]}
+        held = {p: _Times(old.get(p, {}), new.get(p, set())) for p in old.keys() | new.keys()}
         for r in pdf.itertuples(index=False):
             if r.kind == "job":
-                src = None if key[0] is None else self._source(r.plugin, r.uri, r.at)
+                src = held[r.plugin].least(int(r.at) - self.ttl, r.uri) if r.plugin in held else None
                 out.append((r.plugin, r.uri, r.seq, "run" if src is None else "copy", src, key[0]))
-            elif key[0] is None:
-                continue
             elif r.kind == "result":
-                old = self.least.getValue((r.plugin,))[0] if self.least.containsKey((r.plugin,)) else None
-                self.results.updateValue((r.plugin, r.uri), (int(r.at),))
-                if old is None or r.uri < old:
-                    self.least.updateValue((r.plugin,), (r.uri,))
-                self._wake(int(r.at) + self.ttl)
+                held[r.plugin].put(r.uri, max(int(r.at), held[r.plugin].get(r.uri)))
             elif r.kind == "gone":
-                for plugin in [k[0] for k in self.least.keys()]:
-                    if self.results.containsKey((plugin, r.uri)):
-                        self._forget(plugin, r.uri)
+                for times in held.values():
+                    if times.get(r.uri) != times.NEVER:
+                        times.put(r.uri, times.NEVER)
+        now = {plugin: times.times() for plugin, times in held.items()}
+        if any(now[plugin] != old.get(plugin, {}) for plugin in now):
+            self._keep([(plugin, uri, at) for plugin in now for uri, at in now[plugin].items()])
         yield pd.DataFrame(out, columns=_REUSE.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         self.timer.clear()
-        old = [k for k, v in self.results.iterator() if v[0] + self.ttl <= now]
-        for plugin, uri in old:
-            self._forget(plugin, uri)
-        left = min((v[0] for _, v in self.results.iterator()), default=None)
-        if left is not None:
-            self._wake(left + self.ttl)
-        yield pd.DataFrame([(p, u, None, "evict", None, key[0]) for p, u in old], columns=_REUSE.names, dtype=object)
+        held = self._kept()
+        self._keep([r for r in held if r[2] + self.ttl > now])
+        yield pd.DataFrame([(p, u, None, "evict", None, key[0]) for p, u, at in held if at + self.ttl <= now], columns=_REUSE.names, dtype=object)
 
     def close(self) -> None:
         pass

@@ -89,3 +89,28 @@ def test_moves_are_what_goes(spark, rocks, tmp_path):
     out = []
     J.run_available(J.moves(stream), each=lambda df, n: out.extend(tuple(r) for r in df.collect()), checkpoint=str(tmp_path / "c"))
     assert sorted(out) == [("a", 3, "x"), ("a", 4, "y"), ("b", 3, "q")]
+
+
+def test_all_that_is_over_goes_at_once(spark, rocks, tmp_path):
+    """One run of the timer takes out every result whose end the watermark has passed, and an older result doesn't shorten a newer one of its path."""
+    hour = lambda h: START + datetime.timedelta(hours=h)
+    first = [("result", "p", f"u{k}", "a", k, hour(k / 10)) for k in range(9)] + [("result", "p", "u0", "a", 9, hour(3)), ("result", "p", "u0", "a", 10, hour(1))]
+    out = []
+    run(spark, 0, tmp_path, 3600 * 1000, [first, [("job", "p", "u9", "a", 11, hour(3.5)), ("job", "q", "u9", "b", 12, hour(3.9))]], out)
+    assert sorted(r[2:5] for r in out if r[3] != "evict") == [(11, "copy", "u0"), (12, "run", None)]
+    assert sorted(r[1] for r in out if r[3] == "evict") == [f"u{k}" for k in range(1, 9)]
+
+
+def test_least_source_in_time():
+    """Against a look at all paths, with times that come and go."""
+    rng = random.Random(3)
+    times = J._Times({f"u{k:02}": k for k in range(5)}, {f"u{k:02}" for k in range(37)})
+    known = times.times()
+    for n in range(2000):
+        path, time = f"u{rng.randint(0, 36):02}", rng.choice([times.NEVER, n])
+        times.put(path, time)
+        known[path] = time
+        after, but = n - rng.randint(0, 20), f"u{rng.randint(0, 40):02}"
+        assert times.least(after, but) == min((p for p, t in known.items() if t > after and p != but), default=None)
+    assert times.times() == {p: t for p, t in known.items() if t != times.NEVER}
+    assert J._Times({}, set()).least(0, "u") is None
