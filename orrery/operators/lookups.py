@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,13 +91,52 @@ def thumbnails(assets: DataFrame, listing: DataFrame, resolutions: list[int] = (
     return candidates.join(listing.select("uri"), "uri", "left_semi").select(key, "uri", "place")
 
 
+def _names_at_segments(pattern: str) -> bool | None:
+    """Whether every match of pattern holds the text for {name} literally, right after a slash (True) or anywhere (False); None if it may do without it.
+
+    Told of {name} outside groups and classes, in a pattern without alternatives, quoting or flags, and with nothing
+    after it that makes its last letter optional. Anything else counts as None.
+    """
+    if re.search(r"\\[QE]|\(\?[a-zA-Z-]", pattern):
+        return None
+    found, depth, in_class = None, 0, 0
+    for m in re.finditer(r"\\.|\{name\}[?*{]?|.", pattern, re.DOTALL):
+        c = m.group()
+        if c in "[]" and (c == "[" or in_class):
+            in_class += 1 if c == "[" else -1
+        elif in_class:
+            continue
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            return None
+        elif c == "{name}" and not depth:
+            found = bool(found) or pattern[: m.start()].endswith("/")
+    return None if in_class or depth else found
+
+
 def thumbnails_by_pattern(assets: DataFrame, listing: DataFrame, pattern: str, key: str = "base_key") -> DataFrame:
-    """J13, regular expression form: {name} stands for the base name; files of the same folder or below its .thumbs are compared."""
+    """J13, regular expression form: {name} stands for the base name; files of the same folder or below its .thumbs are compared.
+
+    If every match holds the name itself, a file tells what names it could match: its pieces without a slash, as long
+    as names are, for which the expression holds. These are joined to the assets by folder and name, so a folder's
+    assets don't meet all its files. Patterns that may do without the name compare the whole folder.
+    """
     folder = lambda c: F.regexp_replace(F.regexp_replace(c, r"/\.thumbs/.*$|/[^/]*$", ""), r"/$", "")
-    quoted = F.concat(F.lit("\\Q"), F.substring_index(key, "/", -1), F.lit("\\E"))
-    a = assets.select(key, folder(F.col(key)).alias("dir"), F.replace(F.lit(pattern), F.lit("{name}"), quoted).alias("re"))
+    quoted = lambda c: F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    regexp = lambda name: F.concat(F.lit("^(?:"), F.replace(F.lit(pattern), F.lit("{name}"), quoted(name)), F.lit(")$"))
+    a = assets.select(key, folder(F.col(key)).alias("dir"), F.substring_index(key, "/", -1).alias("_name"))
     files = listing.select("uri", folder(F.col("uri")).alias("dir"))
-    return a.join(files, "dir").filter(F.expr("uri rlike concat('^(?:', re, ')$')")).select(key, "uri")
+    begins = _names_at_segments(pattern)
+    if begins is None:
+        return a.join(files, "dir").filter(F.rlike(F.col("uri"), regexp(F.col("_name")))).select(key, "uri")
+    sizes = [r.n for r in a.filter("_name is not null").select(F.length("_name").alias("n")).distinct().collect()]  # a row per length of a name
+    sizes = F.array(*map(F.lit, sizes)).cast("array<int>")
+    at = lambda part: F.array(F.lit(1)) if begins else F.sequence(F.lit(1), F.length(part) + 1)
+    pieces = lambda part: F.flatten(F.transform(at(part), lambda i: F.transform(sizes, lambda n: F.substring(part, i, n))))
+    names = F.array_distinct(F.flatten(F.transform(F.split("uri", "/"), pieces)))
+    told = files.select("uri", "dir", F.explode(names).alias("_name")).filter(F.rlike(F.col("uri"), regexp(F.col("_name"))))
+    return a.join(told, ["dir", "_name"]).select(key, "uri")
 
 
 def latest_history(status: DataFrame, keep: int = 5) -> DataFrame:

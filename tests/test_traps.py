@@ -294,3 +294,23 @@ def test_tables_of_settings_are_checked_before_they_are_broadcast(spark):
         J.sync_status(listing, done, many)
     with pytest.raises(ValueError, match="settings"):
         A.assets_by_status(listing, many, done)
+
+
+def test_thumbnails_by_pattern_joins_by_name(spark):
+    """Names told by the files give the rows of the folder's comparison, also for odd names and patterns; a folder's assets don't meet all its files."""
+    import re
+
+    from orrery.operators import lookups as L
+
+    assert [L._names_at_segments(p) for p in (r".*/\.thumbs/{name}\.\d\.png", r".*{name}", r"x/[{name}]", r"(?i){name}", r"{name}?", r"a|{name}", r"(/{name})?.*", r"[/|(]{name}", r".*")] == [True, False, None, None, None, None, None, False, None]
+    names = ["a.png", "a", "", "b(1).usd", "\\E.usd", "ä", "aa", "a.png.1"]
+    keys = [f"s3://b/d{k}/{n}" for k in (1, 2) for n in names]
+    uris = [f"s3://b/d{k}/{t}" for k in (1, 2) for n in names for t in (f".thumbs/{n}.7.png", f".thumbs/x_{n}_x", n, f".thumbs/{n.upper()}.7.png")]
+    assets, listing = spark.createDataFrame([(k,) for k in keys], "base_key string"), spark.createDataFrame([(u,) for u in uris], "uri string")
+    folder = lambda u: re.sub(r"/$", "", re.sub(r"/\.thumbs/.*$|/[^/]*$", "", u))
+    for pattern in (r".*/\.thumbs/{name}\.\d\.png", r".*/x_{name}_x", r".*{name}.*", r".*/(?:{name}|zz).*", r"(?i).*/{name}\.7\.png"):
+        want = sorted((k, u) for k in keys for u in uris if folder(k) == folder(u) and re.search((re.match(r"\(\?i\)", pattern) or [""])[0] + "^(?:" + pattern.removeprefix("(?i)").replace("{name}", re.escape(k.rsplit("/", 1)[1])) + ")$", u, re.A))
+        assert sorted(tuple(r) for r in L.thumbnails_by_pattern(assets, listing, pattern).collect()) == want, pattern
+    many = spark.range(30_000).select(F.concat(F.lit("s3://b/d/n"), F.col("id").cast("string")).alias("base_key"))
+    thumbs = many.select(F.concat(F.lit("s3://b/d/.thumbs/"), F.substring_index("base_key", "/", -1), F.lit(".7.png")).alias("uri"))
+    assert L.thumbnails_by_pattern(many, thumbs, r".*/\.thumbs/{name}\.\d\.png").count() == 30_000  # 900 million pairs in the folder
