@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,14 +61,15 @@ def vlm_assets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prims(spark: SparkSession, d: str) -> DataFrame:
-    """Scene-graph nodes; boxes from line items, one scene per order."""
+    """Scene-graph nodes; boxes from line items, one scene per order. Line items are dealt by scene once, which is all that their grouping, the least path and what groups by scene later need."""
     li = table(spark, d, "lineitem")
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    g = li.groupBy(*keys).agg(*(F.min(c).alias(c) for c in ("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_extendedprice")))
+    keys, values = ["l_linenumber", "l_partkey", "l_suppkey"], ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_extendedprice"]
+    dealt = li.select(F.concat(F.lit("scene_"), F.col("l_orderkey").cast("string")).alias("scene_url"), *keys, *values).repartition("scene_url")
+    g = dealt.groupBy("scene_url", *keys).agg(*(F.min(c).alias(c) for c in values))
     x, y, z = F.col("l_quantity"), F.col("l_discount") * 100 + 0.0, F.col("l_tax") * 100 + 0.0
     path = F.concat(F.lit("/Root/L"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_suppkey").cast("string"))
     out = g.select(
-        F.concat(F.lit("scene_"), F.col("l_orderkey").cast("string")).alias("scene_url"), path.alias("usd_path"), F.element_at(F.create_map(F.lit("A"), F.lit("Mesh"), F.lit("N"), F.lit("Xform"), F.lit("R"), F.lit("Material")), F.col("l_returnflag")).alias("prim_type"),
+        "scene_url", path.alias("usd_path"), F.element_at(F.create_map(F.lit("A"), F.lit("Mesh"), F.lit("N"), F.lit("Xform"), F.lit("R"), F.lit("Material")), F.col("l_returnflag")).alias("prim_type"),
         F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("source_asset_url"),
         x.alias("min_x"), y.alias("min_y"), z.alias("min_z"), (x + 1).alias("max_x"), (y + 2).alias("max_y"), (z + 3).alias("max_z"),
         (x + 0.5).alias("mid_x"), (y + 1.0).alias("mid_y"), (z + 1.5).alias("mid_z"), F.lit(0.01).alias("scene_mpu"),
@@ -76,8 +77,8 @@ def prims(spark: SparkSession, d: str) -> DataFrame:
         F.create_map(F.lit("status"), F.col("l_linestatus"), F.lit("line"), F.col("l_linenumber").cast("string"), F.lit("visible"), (F.col("l_linenumber") % 2 == 0).cast("string")).alias("properties"),
         F.create_map(F.lit("line"), F.col("l_linenumber").cast("double"), F.lit("price"), F.col("l_extendedprice")).alias("numbers"),
     )
-    first = out.groupBy("scene_url").agg(F.min("usd_path").alias("_first"))
-    return out.join(first, "scene_url").withColumn("default_prim", F.col("usd_path") == F.col("_first")).withColumn("root_prim", F.col("usd_path").startswith("/Root/L1_")).drop("_first")
+    first = F.min("usd_path").over(Window.partitionBy("scene_url"))
+    return out.filter("scene_url is not null").withColumn("default_prim", F.col("usd_path") == first).withColumn("root_prim", F.col("usd_path").startswith("/Root/L1_"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:

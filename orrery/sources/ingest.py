@@ -82,7 +82,8 @@ SCENE = "scene_url string, default_prim_path string, scene_mpu double, scene_up_
 
 def ingest_scenes(scenes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scene documents (schema SCENE) to assets, edges and prims; the default prim is marked, prims carry the scene's metres per unit."""
-    assets = scenes.select(F.explode("assets").alias("a")).select("a.*").union(scenes.select(F.col("scene_url").alias("url"), F.lit(None).cast("long"))).groupBy("url").agg(F.max("size").alias("size"))
+    own = F.struct(F.col("scene_url").alias("url"), F.lit(None).cast("long").alias("size"))  # a scene is an asset too; documents are read once
+    assets = scenes.select(F.explode(F.concat(F.array(own), F.coalesce("assets", F.array().cast("array<struct<url:string,size:long>>")))).alias("a")).select("a.*").groupBy("url").agg(F.max("size").alias("size"))
     edges = scenes.select("scene_url", F.explode("asset_relationships").alias("r")).select(F.col("r.node_1_url").alias("src"), F.col("r.node_2_url").alias("dst"), F.col("r.type").alias("type"), "scene_url")
     prims = scenes.select("scene_url", "default_prim_path", "scene_mpu", F.explode("prims").alias("usd_path", "p")).select("scene_url", "usd_path", "p.*", "scene_mpu", (F.col("usd_path") == F.col("default_prim_path")).alias("default_prim"))
     return assets, edges, prims
