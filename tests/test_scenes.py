@@ -53,3 +53,9 @@ def test_a_query_stores_only_its_columns(spark, monkeypatch):
     monkeypatch.setattr(spatial, "write_layout", lambda prims, *a: (stored.append(prims.columns), write(prims, *a))[1])
     assert catalog.queries()["x06_nearest_prims"](spark, SF).count()
     assert stored == [["scene_url", "usd_path", "default_prim", "mid_x", "mid_y", "mid_z"]]
+
+
+def test_prims_without_a_path_are_neighbours_but_no_centres(spark):
+    prims = spark.createDataFrame([("s", "/a", 0.0, 0.0, 0.0), ("s", None, 0.1, 0.0, 0.0), (None, "/a", 0.0, 0.0, 0.0)], "scene_url string, usd_path string, mid_x double, mid_y double, mid_z double")
+    centres = spark.createDataFrame([("s", "/a"), ("s", None), (None, "/a")], "scene_url string, centre_path string")
+    assert {(r.centre_path, r.usd_path) for r in Q.near_prims(prims, centres, 1.0).collect()} == {("/a", "/a"), ("/a", None)}
