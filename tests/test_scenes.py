@@ -59,3 +59,18 @@ def test_prims_without_a_path_are_neighbours_but_no_centres(spark):
     prims = spark.createDataFrame([("s", "/a", 0.0, 0.0, 0.0), ("s", None, 0.1, 0.0, 0.0), (None, "/a", 0.0, 0.0, 0.0)], "scene_url string, usd_path string, mid_x double, mid_y double, mid_z double")
     centres = spark.createDataFrame([("s", "/a"), ("s", None), (None, "/a")], "scene_url string, centre_path string")
     assert {(r.centre_path, r.usd_path) for r in Q.near_prims(prims, centres, 1.0).collect()} == {("/a", "/a"), ("/a", None)}
+
+
+def test_a_layout_computes_its_prims_once(spark, tmp_path):
+    """Bounds, ranges and the layout read rows that are written once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    prims = spark.createDataFrame([("s", f"/p{i}", float(i), 0.0, 0.0) for i in range(50)], "scene_url string, usd_path string, x double, mid_y double, mid_z double")
+    prims = prims.withColumn("mid_x", counted.asNondeterministic()("x")).drop("x")
+    assert spatial.write_layout(prims, f"file://{tmp_path}/l").prims.count() == 50
+    assert seen.value == 50
