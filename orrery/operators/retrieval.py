@@ -159,10 +159,10 @@ def contained(values: DataFrame, asked: DataFrame, id_col: str = "asset_id") ->
     return met.filter(F.contains("_v", "_q")).select("query_id", id_col)
 
 
-def _matches(docs: DataFrame, queries: DataFrame, fields: dict[str, Field], k: int | None, id_col: str) -> DataFrame:
-    """The match clauses of all fields: rows of textindex.search()."""
+def _matches(docs: DataFrame, queries: DataFrame, fields: dict[str, Field], k: int | None, id_col: str, key: Column | None = None) -> DataFrame:
+    """The match clauses of all fields: rows of textindex.search(). key: documents with the same one collapse."""
     matched = {n: f for n, f in fields.items() if f.match}
-    found, asked = occurrences(docs, list(matched.values()), id_col), []
+    found, asked = occurrences(docs, list(matched.values()), id_col, key), []
     for n, f in enumerate(matched.values()):
         terms = query_terms(queries, analyzer=f.analyzer)
         if f.fuzzy:
@@ -172,7 +172,7 @@ def _matches(docs: DataFrame, queries: DataFrame, fields: dict[str, Field], k: i
         asked.append(terms.select("query_id", F.lit(n).alias("field"), "term", "word", (F.col("boost") * float(f.match)).alias("weight")))
     asked = written(reduce(DataFrame.unionByName, asked), "asked")
     stored = written(segments(found, asked.select("word"), id_col), "postings")
-    return search(stored, asked, [(f.operator, f.nested) for f in matched.values()], k, id_col=id_col)
+    return search(stored, asked, [(f.operator, f.nested) for f in matched.values()], k, id_col=id_col, keyed=key is not None)
 
 
 def _named(fields: dict[str, Field]) -> Column:
@@ -221,6 +221,19 @@ def text_top(docs: DataFrame, queries: DataFrame, fields: dict[str, Field | tupl
     return top(hits, k, id_col).select("query_id", id_col, "score", _named(fields).alias("fields"), "rank"), sizes(hits, id_col)
 
 
+def text_collapsed(docs: DataFrame, queries: DataFrame, fields: dict[str, Field | tuple[Column, float, float]], k: int, id_col: str = "asset_id") -> tuple[DataFrame, DataFrame]:
+    """text_top() of the best hit of each hash_value of docs, and how many hashes each query matches (query_id, n); hits without a hash all stay.
+
+    Of match clauses a task passes on the best of its k best hashes, as documents are dealt by hash; wildcard clauses need all hits.
+    """
+    fields = _fields(fields)
+    if any(f.wildcard for f in fields.values()):
+        leg = written(collapse_by_hash(text_leg(docs, queries, fields, id_col).join(docs.select(id_col, "hash_value"), id_col), id_col).drop("hash_value"), "text-leg")
+        return ranked(leg, id_col).filter(F.col("rank") <= k), leg.groupBy("query_id").agg(F.count("*").alias("n"))
+    hits = written(_matches(docs, queries, fields, k, id_col, _hash_key(id_col)), "hits")
+    return top(hits, k, id_col).select("query_id", id_col, "score", _named(fields).alias("fields"), "rank"), sizes(hits, id_col)
+
+
 def metadata_fields(docs: DataFrame, column: str, field: Field) -> dict[str, Field]:
     """The placeholder for generated metadata as one nested field per plugin that the data know, each with the placeholder's settings, over the plugin's value texts; none if there are none.
 
@@ -371,9 +384,14 @@ def cutoff(leg: DataFrame, least: float) -> DataFrame:
     return leg.filter(F.col("score") >= least)
 
 
+def _hash_key(id_col: str) -> Column:
+    """What collapses hits: their hash, or if they have none themselves."""
+    return F.coalesce(F.col("hash_value").cast("string"), F.concat(F.lit("#"), F.col(id_col).cast("string")))
+
+
 def collapse_by_hash(leg: DataFrame, id_col: str = "asset_id") -> DataFrame:
     """The best hit of each hash; hits without a hash all stay."""
-    w = Window.partitionBy("query_id", F.coalesce("hash_value", F.concat(F.lit("#"), F.col(id_col).cast("string")))).orderBy(F.desc(F.round("score", 9)), id_col)
+    w = Window.partitionBy("query_id", _hash_key(id_col)).orderBy(F.desc(F.round("score", 9)), id_col)
     return leg.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
@@ -553,29 +571,18 @@ def hybrid_search(assets: DataFrame, views: DataFrame, queries: DataFrame, *, co
         rows = rows.join(access, "base_key", "left_semi")
     most, legs, sizes = window_size(start, size, window), [], []
 
-    def collapsed(leg: DataFrame) -> DataFrame:
-        return collapse_by_hash(leg.join(rows.select("asset_id", "hash_value"), "asset_id")) if collapse else leg
-
-    def sized(leg: DataFrame) -> DataFrame:
-        return leg.groupBy("query_id").agg(F.count("*").alias("n"))
-
     if text_weight:
         asked, fields = queries.filter("text is not null"), fields or {"text": (F.col("text"), 1.0, 0.0)}
-        if collapse:
-            leg = written(collapsed(text_leg(rows, asked, fields).select("query_id", "asset_id", "score", "fields")), "text-leg")
-            legs.append(("text", leg_window(leg, start, size, window), text_weight))
-            sizes.append(sized(leg))
-        else:
-            leg, size_of = text_top(rows, asked, fields, most)
-            legs.append(("text", leg, text_weight))
-            sizes.append(size_of)
+        leg, size_of = (text_collapsed if collapse else text_top)(rows, asked, fields, most)
+        legs.append(("text", leg, text_weight))
+        sizes.append(size_of)
+    hashes = written(rows.select("asset_id", "hash_value"), "hashes") if collapse else None
     seen = written(filtered_views(views, assets=rows), "views") if condition is not None or access is not None else views
     for name, asked, weight in [*([("vector", queries, vector_weight)] if vector_weight else []), *vectors]:
         asked = asked.filter("vector is not null").select("query_id", "vector")
         if collapse:
-            leg = vector_collapsed(seen, asked, rows, most)
-            one = F.coalesce("hash_value", F.concat(F.lit("#"), F.col("asset_id").cast("string")))
-            sizes.append(vector_sizes(seen.join(rows.select("asset_id", "hash_value"), "asset_id"), asked, group=one))
+            leg = vector_collapsed(seen, asked, hashes, most)
+            sizes.append(vector_sizes(seen.join(hashes, "asset_id"), asked, group=_hash_key("asset_id")))
         else:
             leg = vector_top(seen, asked, most)
             sizes.append(vector_sizes(seen, asked))

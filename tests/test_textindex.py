@@ -225,3 +225,43 @@ def test_memory_of_building_segments_does_not_grow():
 
     less, more = peak(20_000), peak(60_000)  # 500,000 and 1,500,000 postings
     assert more < 1.2 * less and more < 50e6
+
+
+@pytest.mark.parametrize("k,size", [(1, 2_000_000), (7, 300)])
+def test_collapsed_in_segments(spark, monkeypatch, k, size):
+    """The best of each hash and the number of hashes, with hashes of one text, of other texts, over many segments, and none."""
+    monkeypatch.setattr(I, "SEGMENT", size)
+    rows = corpus(400, 6)
+    rows += [(i, rows[i % 50][1], rows[i % 50][2]) for i in range(400, 500)]
+    name = lambda i: None if i % 11 == 0 else "big" if i % 5 < 2 else f"same{i % 50}" if i >= 400 else f"h{i % 150}"
+    docs = spark.createDataFrame([(*r, name(r[0])) for r in rows], "asset_id long, text string, tags array<string>, hash_value string").repartition(3)
+    queries = spark.createDataFrame(QUERIES, "query_id long, text string")
+    for fields, plan in (
+        ({"text": (F.col("text"), 1.0, 0.0)}, {"text": (1, 1.0, "or")}),
+        ({"text": R.Field(F.col("text"), 2.0, operator="and"), "tags": R.Field(F.col("tags"), 0.5, nested=True)}, {"text": (1, 2.0, "and"), "tags": (2, 0.5, "or")}),
+    ):
+        want = {}
+        for q, hits in plain(rows, [q for q in QUERIES if q[1]], plan).items():
+            first = {}
+            for i, h in sorted(hits.items(), key=lambda h: (-round(h[1][0], 9), h[0])):
+                first.setdefault(name(i) or i, (i, h))
+            want[q] = dict(first.values())
+        for most in (I.MOST_TERMS, 5):  # words by a broadcast, and by a shuffle
+            monkeypatch.setattr(I, "MOST_TERMS", most)
+            leg, sizes = R.text_collapsed(docs, queries, fields, k)
+            assert told(leg) == best(want, k)
+            assert {r.query_id: r.n for r in sizes.collect()} == {q: len(h) for q, h in want.items() if h}
+        monkeypatch.undo()
+        monkeypatch.setattr(I, "SEGMENT", size)
+
+
+def test_a_collapsed_search_writes_no_hits_but_the_best(spark, monkeypatch):
+    rows = [(i, f"red {'blue' if i % 2 else 'green'} w{i}", f"h{i % 1500}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "asset_id long, text string, hash_value string").repartition(2)
+    views = spark.createDataFrame([(1, 0, [1.0, 0.0])], "asset_id long, view_offset int, embedding array<double>")
+    queries = spark.createDataFrame([(q, "red", None) for q in range(20)], "query_id long, text string, vector array<double>")
+    wrote, old = {}, R.written
+    monkeypatch.setattr(R, "written", lambda df, name="table": wrote.setdefault(name, old(df, name)))
+    page = R.hybrid_search(docs, views, queries, collapse=True, size=5).collect()
+    assert len(page) == 100 and {r.corpus_total for r in page} == {1500}
+    assert "text-leg" not in wrote and wrote["hits"].count() <= 20 * 103 * max(wrote["postings"].filter("field = -1").count(), 1) < 60_000
