@@ -562,7 +562,7 @@ def hybrid_search(assets: DataFrame, views: DataFrame, queries: DataFrame, *, co
     """Filters, legs, cutoff, fusion, deduplication, access, page, enrichment. queries(query_id, text, vector); a leg without queries is left out.
 
     vectors: more vector legs (name, queries(query_id, vector), weight), as of images or stored assets (R19).
-    Filters come before every leg and access before the page, so pages are full. Text scores are written once; a
+    Filters come before every leg and access before the page, so pages are full. Of a text leg only the best hits are written; a
     vector leg passes on its window alone, and its size is counted apart. explain: with matched fields and views.
     enrich: functions that add columns to the page (J4 to J6), which has base_key.
     """
