@@ -265,3 +265,36 @@ def test_a_collapsed_search_writes_no_hits_but_the_best(spark, monkeypatch):
     page = R.hybrid_search(docs, views, queries, collapse=True, size=5).collect()
     assert len(page) == 100 and {r.corpus_total for r in page} == {1500}
     assert "text-leg" not in wrote and wrote["hits"].count() <= 20 * 103 * max(wrote["postings"].filter("field = -1").count(), 1) < 60_000
+
+
+@pytest.mark.parametrize("k", [25])
+def test_memory_of_searching_segments_does_not_grow(k):
+    """A task that builds and searches three times the segments for 60 queries holds no more of them."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    queries = np.arange(60)
+    asked = I.Asked(queries, np.arange(0, 241, 4), np.zeros(240, int), np.tile(np.arange(4), 60), [WORDS[i % 24] for i in range(240)], np.ones(240), np.full(240, 4))
+    search = I._task(type("Shared", (), {"value": asked}), [("or", False)], {0: 24.0}, k, I.K1, I.B, "asset_id")
+
+    def batches(texts):
+        words = pa.array([*WORDS[:24], I.MARK] * 400)
+        for a in range(0, texts, 400):
+            ids = np.repeat(np.arange(a, a + 400), 25)
+            none = np.zeros(len(ids), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(none), pa.array(none), pa.array(none + 24), words], ["asset_id", "field", "element", "length", "word"])
+
+    def peak(texts):
+        tracemalloc.start()
+        try:
+            hits = [(b.num_rows - b.column("n").null_count, b.column("n").null_count, pc.sum(b.column("n")).as_py()) for part in I._cut("asset_id", I.SEGMENT)(batches(texts)) for b in search(iter([part]))]
+            counts, found, matching = (sum(c) for c in zip(*hits))
+            assert matching == 60 * texts and found == (counts * k if k else matching)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    less, more = peak(20_000), peak(60_000)  # 500,000 and 1,500,000 postings
+    assert more < 1.2 * less and more < 50e6
