@@ -267,7 +267,7 @@ def test_a_collapsed_search_writes_no_hits_but_the_best(spark, monkeypatch):
     assert "text-leg" not in wrote and wrote["hits"].count() <= 20 * 103 * max(wrote["postings"].filter("field = -1").count(), 1) < 60_000
 
 
-@pytest.mark.parametrize("k", [25, 100])
+@pytest.mark.parametrize("k", [25, 100, None])
 def test_memory_of_searching_segments_does_not_grow(k):
     """A task that builds and searches three times the segments for 60 queries holds no more of them."""
     import tracemalloc
