@@ -189,9 +189,9 @@ def r06_vector_approximate(spark, d):
 
 @query(f"WITH {_VECTOR}, {_rank('(SELECT query_id, asset_id, ip AS score FROM ip)', 'top', 15)} SELECT query_id, asset_id, round(score, 6) AS score, rank FROM top")
 def r06_stored_index(spark, d):
-    """The stored index with all lists probed and all codes scored exactly: the exact leg, by way of lists, codes and their vectors."""
+    """The exact leg from a stored index, by way of lists, codes and every vector that by its code may be among the best."""
     index = R.VectorIndex.build(X.asset_views(spark, d), 64)
-    found = R.VectorIndex(spark, index.folder).search(vector_queries(spark, d), 15, share=1.0, rerank=1_000_000)
+    found = R.VectorIndex(spark, index.folder).exact(vector_queries(spark, d), 15)
     return R.ranked(found).select("query_id", "asset_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -170,3 +170,48 @@ def test_distances_held_are_bounded():
     tracemalloc.stop()
     assert peak < 128 << 20
     assert at[:50].tolist() == [int(((centres - v) ** 2).sum(1).argmin()) for v in x[:50]]
+
+
+@pytest.mark.parametrize("list_rows", [1, 4, 200])
+def test_exact_search_has_no_bound_on_candidates(spark, some, list_rows, monkeypatch):
+    """However few candidates an approximate search scores, an exact one misses nothing."""
+    from orrery.operators import vectorindex as I
+
+    views, queries, v, q = some
+    monkeypatch.setattr(I, "RERANK", 1)
+    monkeypatch.setattr(I, "LEAST_RERANK", 1)
+    monkeypatch.setattr(I, "TABLE_BYTES", 1)  # a query a turn
+    index = VectorIndex.build(v, 6, list_rows=list_rows)
+    six = [(n, x) for n, x in queries if len(x) == 6]
+    q = q.filter("query_id % 3 = 0 or query_id > 49")
+    for k in (1, 9, 5000):
+        assert told(index.exact(q, k)) == exact(views, [(n, x) for n, x in six if n % 3 == 0 or n > 49], k)
+    assert index.exact(q.filter("query_id = 51"), 3).collect() == []
+
+
+def test_a_vector_with_a_poor_code_is_found(spark):
+    """The nearest vector's code says otherwise: a search that keeps the best codes misses it."""
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(size=(4000, 16)), 6.0 * rng.normal(size=(40, 16))]
+    views = spark.createDataFrame([(i, 0, r.tolist()) for i, r in enumerate(x)], SCHEMA)
+    asked = [(i, rng.normal(size=16).tolist()) for i in range(10)]
+    index = VectorIndex.build(views, 16, list_rows=400)
+    q = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    want = exact([(i, 0, r) for i, r in enumerate(x)], asked, 20)
+    assert told(index.search(q, 20, share=1.0, rerank=20)) != want
+    assert told(index.exact(q, 20)) == want
+    at, code = index.model.encode(x)
+    near = index.model.centres[at] + index.model.books[np.arange(code.shape[1]), code].reshape(len(x), -1)
+    assert (index.model.gaps(x, at, code) >= np.sqrt(((x - near) ** 2).sum(1))).all()
+
+
+def test_the_stored_index_asks_without_a_bound(spark, monkeypatch):
+    """r06_stored_index gives what exact() gives, not the best of a number of candidates."""
+    from orrery.operators import vectorindex as I
+    from orrery.plans import retrieval as plans
+
+    monkeypatch.setattr(I.VectorIndex, "search", lambda self, queries, k, **more: self._none() if not more else 1 / 0)
+    d = "/root/testdata/sf0.001"
+    got = {(r.query_id, r.asset_id, r["rank"]) for r in plans.r06_stored_index(spark, d).collect()}
+    want = {(r.query_id, r.asset_id, r["rank"]) for r in R.ranked(R.vector_top(X.asset_views(spark, d), plans.vector_queries(spark, d), 15)).collect()}
+    assert got == want
